@@ -1,0 +1,24 @@
+"""Small building blocks shared by the column functions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+ColumnOrName = Column | str
+
+
+def as_column(value: ColumnOrName) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+def text(value: ColumnOrName) -> Column:
+    """The column with NULL read as the empty string."""
+    return F.coalesce(as_column(value), F.lit(""))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
