@@ -47,8 +47,8 @@ def is_time(value: ColumnOrName) -> Column:
     return _local(text(value)).isNotNull()
 
 
-def print_time(value: ColumnOrName, unreadable: str = ZERO_TIME) -> Column:
-    """The time to the second in its own offset, ``Z`` for UTC.
+def print_time(value: ColumnOrName, unreadable: str = ZERO_TIME, fraction: bool = False) -> Column:
+    """The time in its own offset, ``Z`` for UTC, to the second or with its fraction.
 
     A missing time prints the zero time; text that is no time prints ``unreadable``
     (pass the run time to stamp such records with the time of the export).
@@ -56,5 +56,7 @@ def print_time(value: ColumnOrName, unreadable: str = ZERO_TIME) -> Column:
     raw = text(value)
     offset = F.concat(_part(raw, 5), _part(raw, 6), F.lit(":"), _part(raw, 7))
     utc = (_number(raw, 6) == 0) & (_number(raw, 7) == 0)
-    printed = F.concat(_local(raw), F.when(utc, F.lit("Z")).otherwise(offset))
+    digits = F.rtrim(F.substring(_part(raw, 4), 1, 9), F.lit("0"))
+    shown = F.when(F.lit(fraction) & (digits != ""), F.concat(F.lit("."), digits)).otherwise(F.lit(""))
+    printed = F.concat(_local(raw), shown, F.when(utc, F.lit("Z")).otherwise(offset))
     return F.when(raw == "", F.lit(ZERO_TIME)).otherwise(F.coalesce(printed, F.lit(unreadable)))
