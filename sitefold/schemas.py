@@ -124,3 +124,11 @@ def zero_filled(value: Column, data_type: T.DataType) -> Column:
 
 def zero_filled_fields(record: Column, ddl: str) -> list[Column]:
     return [zero_filled(record.getField(f.name), f.dataType).alias(f.name) for f in struct_type(ddl)]
+
+
+def entity_columns(ddl: str, fields: dict[str, Column]) -> list[Column]:
+    """All columns of an entity, those without a given value at their zero value."""
+    return [
+        fields.get(f.name, zero_filled(F.lit(None).cast(f.dataType), f.dataType)).alias(f.name)
+        for f in struct_type(ddl)
+    ]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.schemas import CATEGORY, MEDIA, POST, SITE, TAG, USER, listed_ord, struct_type, zero_filled
+from sitefold.schemas import CATEGORY, MEDIA, POST, SITE, TAG, USER, entity_columns, listed_ord
 
 # Methods by entity, and the page size of calls that page.
 METHODS = {
@@ -243,11 +243,7 @@ def _user_fields(m: Column) -> dict[str, Column]:
 
 def _as_rows(records: DataFrame, ddl: str, fields: dict[str, Column]) -> DataFrame:
     """All columns of the entity, those the method does not carry at their zero value."""
-    columns = [
-        fields.get(f.name, zero_filled(F.lit(None).cast(f.dataType), f.dataType)).alias(f.name)
-        for f in struct_type(ddl)
-    ]
-    return records.select("site", "ord", *columns)
+    return records.select("site", "ord", *entity_columns(ddl, fields))
 
 
 def _records(rpc_pages: DataFrame, method: str) -> DataFrame:
@@ -311,8 +307,4 @@ def rpc_site_info(rpc_pages: DataFrame) -> DataFrame:
         "date_format": option("date_format"),
         "time_format": option("time_format"),
     }
-    columns = [
-        fields.get(f.name, zero_filled(F.lit(None).cast(f.dataType), f.dataType)).alias(f.name)
-        for f in struct_type(SITE)
-    ]
-    return options.select("site", *columns)
+    return options.select("site", *entity_columns(SITE, fields))
