@@ -3,53 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from sitefold.functions.exprs import ColumnOrName, bind, text
-from sitefold.functions.links import url_path
-from sitefold.functions.names import EMPTY_FOLDER, folder_name
+from sitefold.functions.links import resolved_sql, url_path_sql
+from sitefold.functions.names import EMPTY_FOLDER, FOLDER_FORBIDDEN, replace_each_sql
+from sitefold.functions.sqltext import bind, column, lit, text
 
 # Permalink segments that are not categories.
 NON_CATEGORY_SEGMENTS = ("blog", "posts", "archives")
 
+# Segments of a path are told apart by the slashes around them.
+_START, _END = r"(?<![^/])", r"(?![^/])"
 
-def is_numeric(value: ColumnOrName) -> Column:
+
+def is_numeric_sql(value: str) -> str:
+    return f"({text(value)} RLIKE {lit(r'\A[0-9]+\z')})"
+
+
+def is_numeric(value: str) -> Column:
     """ASCII digits only, at least one."""
-    return text(value).rlike(r"\A[0-9]+\z")
+    return column(is_numeric_sql(value))
+
+
+def _without_segments(path: str, *segments: str) -> str:
+    """A path without empty segments and those that match one of the patterns."""
+    return f"btrim(regexp_replace({path}, {lit(_START + '(?:' + '|'.join(segments) + ')?(?:/|' + chr(92) + 'z)')}, ''), '/')"
+
+
+def _resolved(path: str) -> str:
+    """Resolve ``.`` and ``..`` in a joined path; ``.`` stands for nothing left."""
+    whole = f"array_join({resolved_sql(f'split({path}, {lit('/')})', ('.',))}, '/')"
+    return f"CASE WHEN {path} RLIKE {lit(_START + r'\.\.?' + _END)} THEN coalesce(nullif({whole}, ''), '.') ELSE {path} END"
 
 
-def join_folders(names: Column) -> Column:
+def join_folders_sql(names: str) -> str:
+    return bind(f"array_join({names}, '/')", _resolved)
+
+
+def join_folders(names: str) -> Column:
     """Join folder names, resolving ``.`` and ``..`` without ever leaving the top.
 
     An empty list gives an empty string; names that resolve to nothing give ``.``.
     """
-    empty = F.array().cast("array<string>")
-
-    def step(done: Column, name: Column) -> Column:
-        return (
-            F.when(name == ".", done)
-            .when(name == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
-            .otherwise(F.concat(done, F.array(name)))
-        )
-
-    resolved = F.array_join(F.aggregate(names, empty, step), "/")
-    dotted = F.exists(names, lambda name: name.isin(".", ".."))
-    joined = F.when(dotted, resolved).otherwise(F.array_join(names, "/"))
-    return (
-        F.when(F.size(names) == 0, F.lit(""))
-        .when(joined == "", F.lit("."))
-        .otherwise(joined)
-    )
-
-
-def link_folder(link: ColumnOrName) -> Column:
+    return column(join_folders_sql(names))
+
+
+def link_folder_sql(link: str) -> str:
+    def folders(path: str) -> str:
+        parents = f"substring({path}, 1, length({path}) - length(substring_index({path}, '/', -1)))"
+        named = _without_segments(parents, "[0-9]+", *NON_CATEGORY_SEGMENTS)
+        # Clean every segment at once: a hyphen per run of forbidden characters,
+        # none next to a slash.
+        hyphened = f"regexp_replace({replace_each_sql(named, FOLDER_FORBIDDEN[1:], '-')}, '-+', '-')"
+        clean = f"regexp_replace({hyphened}, {lit(_START + '-|-' + _END)}, '')"
+        kept = _without_segments(clean, EMPTY_FOLDER)
+        dated = f"{path} RLIKE {lit(r'\A[0-9]+/[0-9]+/[0-9]+' + _END)}"
+        return f"CASE WHEN NOT contains({path}, '/') OR {dated} THEN '' ELSE {bind(kept, _resolved)} END"
+
+    return bind(f"btrim({text(url_path_sql(link))}, '/')", folders)
+
+
+def link_folder(link: str) -> Column:
     """Category folders named by a permalink; empty where it names none."""
-    def folders(parts: Column) -> Column:
-        dated = (F.size(parts) >= 3) & F.forall(F.slice(parts, 1, 3), is_numeric)
-        parents = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-        named = F.filter(parents, lambda part: ~is_numeric(part) & ~part.isin(*NON_CATEGORY_SEGMENTS))
-        kept = F.filter(F.transform(named, folder_name), lambda name: name != EMPTY_FOLDER)
-        return F.when(dated, F.lit("")).otherwise(bind(kept, join_folders))
-
-    path = F.btrim(F.coalesce(url_path(link), F.lit("")), F.lit("/"))
-    return bind(F.split(path, "/"), folders)
+    return column(link_folder_sql(link))

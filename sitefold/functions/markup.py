@@ -5,9 +5,8 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from sitefold.functions.exprs import ColumnOrName, text
+from sitefold.functions.sqltext import column, lit, text
 
 # Tag replacements, in the order in which they apply. Tags with
 # attributes, links and images stay as they are.
@@ -56,16 +55,25 @@ WHITE_SPACE = (
 )
 
 
-def _swap(value: Column, old: str, new: str) -> Column:
-    return F.replace(value, F.lit(old), F.lit(new))
+def _swap(value: str, old: str, new: str) -> str:
+    return f"replace({value}, {lit(old)}, {lit(new)})"
 
 
-def html_to_markdown(html: ColumnOrName) -> Column:
+def html_to_markdown_sql(html: str) -> str:
     replaced = reduce(lambda value, pair: _swap(value, *pair), TAG_REPLACEMENTS, text(html))
-    return F.btrim(_swap(replaced, "\n\n\n", "\n\n"), F.lit(WHITE_SPACE))
+    return f"btrim({_swap(replaced, chr(10) * 3, chr(10) * 2)}, {lit(WHITE_SPACE)})"
 
 
-def yaml_text(value: ColumnOrName) -> Column:
-    """Quotes and line ends escaped; backslashes and tabs stay."""
+def yaml_text_sql(value: str) -> str:
     quoted = _swap(text(value), '"', '\\"')
     return _swap(_swap(quoted, "\n", "\\n"), "\r", "\\r")
+
+
+def html_to_markdown(html: str) -> Column:
+    """The tag replacements in turn, one pass over triple line ends, then trimmed."""
+    return column(html_to_markdown_sql(html))
+
+
+def yaml_text(value: str) -> Column:
+    """Quotes and line ends escaped; backslashes and tabs stay."""
+    return column(yaml_text_sql(value))

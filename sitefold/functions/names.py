@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from sitefold.functions.exprs import ColumnOrName, as_column, bind, text
-from sitefold.functions.links import url_path
+from sitefold.functions.links import url_path_sql
+from sitefold.functions.sqltext import bind, column, lit, text
 
 # Characters that may not stand in a name, and the name used
 # when nothing is left.
@@ -43,87 +42,113 @@ MIME_EXTENSIONS = {
 DEFAULT_EXTENSION = ".bin"
 
 
-def _replace_each(value: Column, characters: str, by: str) -> Column:
-    return F.translate(value, characters, by * len(characters))
+def replace_each_sql(value: str, characters: str, by: str) -> str:
+    return f"translate({value}, {lit(characters)}, {lit(by * len(characters))})"
 
 
-def folder_name(value: ColumnOrName) -> Column:
-    hyphened = _replace_each(text(value), FOLDER_FORBIDDEN, "-")
-    trimmed = F.btrim(F.regexp_replace(hyphened, "-+", "-"), F.lit("-"))
-    return F.coalesce(F.nullif(trimmed, F.lit("")), F.lit(EMPTY_FOLDER))
+def _hyphened(value: str) -> str:
+    return f"regexp_replace({replace_each_sql(text(value), FOLDER_FORBIDDEN, '-')}, '-+', '-')"
 
 
-def domain_name(value: ColumnOrName) -> Column:
-    hyphened = F.regexp_replace(_replace_each(text(value), FOLDER_FORBIDDEN, "-"), "-+", "-")
-    dotted = r"(?s)\A(.+)(\.[^.]*)\z"
-    stem = F.btrim(F.regexp_extract(hyphened, dotted, 1), F.lit("-"))
-    joined = F.when(
-        hyphened.rlike(dotted), F.concat(stem, F.regexp_extract(hyphened, dotted, 2))
-    ).otherwise(hyphened)
-    return F.coalesce(F.nullif(F.btrim(joined, F.lit("-")), F.lit("")), F.lit(EMPTY_DOMAIN))
+def folder_name_sql(value: str) -> str:
+    return f"coalesce(nullif(btrim({_hyphened(value)}, '-'), ''), {lit(EMPTY_FOLDER)})"
 
 
-def markdown_file_name(slug: ColumnOrName, record_id: ColumnOrName) -> Column:
-    fallback = F.concat(F.lit("post-"), as_column(record_id).cast("string"))
-    stem = F.coalesce(F.nullif(text(slug), F.lit("")), fallback)
-    return F.concat(_replace_each(stem, SLUG_FORBIDDEN, "-"), F.lit(".md"))
+def domain_name_sql(value: str) -> str:
+    dotted = lit(r"(?s)\A(.+)(\.[^.]*)\z")
 
+    def trimmed(name: str) -> str:
+        stem = f"btrim(regexp_extract({name}, {dotted}, 1), '-')"
+        whole = f"CASE WHEN {name} RLIKE {dotted} THEN concat({stem}, regexp_extract({name}, {dotted}, 2)) ELSE {name} END"
+        return f"coalesce(nullif(btrim({whole}, '-'), ''), {lit(EMPTY_DOMAIN)})"
 
-def extension(value: Column) -> Column:
-    """From the last dot on; empty where there is none."""
-    return F.regexp_extract(value, r"(?s)(\.[^.]*)\z", 1)
+    return bind(_hyphened(value), trimmed)
 
 
-def file_name(value: ColumnOrName) -> Column:
-    """Replace forbidden characters and keep at most 200 bytes, extension included.
+def markdown_file_name_sql(slug: str, record_id: str) -> str:
+    stem = f"coalesce(nullif({slug}, ''), concat('post-', {record_id}))"
+    return f"concat({replace_each_sql(stem, SLUG_FORBIDDEN, '-')}, '.md')"
 
-    The cut falls on a character boundary: a character of several bytes is
-    dropped whole rather than split.
-    """
-    clean = _replace_each(as_column(value), FILE_FORBIDDEN, "_")
-    ending = extension(clean)
-    room = F.greatest(F.lit(FILE_NAME_BYTES) - F.octet_length(ending), F.lit(0))
-    stem = F.substring(clean, F.lit(1), F.length(clean) - F.length(ending))
-    kept = F.make_valid_utf8(F.substring(F.encode(stem, "UTF-8"), F.lit(1), room).cast("string"))
-    shortened = F.concat(F.regexp_replace(kept, "\ufffd+\\z", ""), ending)
-    return F.when(F.octet_length(clean) > FILE_NAME_BYTES, shortened).otherwise(clean)
 
+def file_name_sql(value: str) -> str:
+    def shortened(clean: str) -> str:
+        ending = f"regexp_extract({clean}, {lit(r'(?s)(\.[^.]*)\z')}, 1)"
+        room = f"greatest({FILE_NAME_BYTES} - octet_length({ending}), 0)"
+        stem = f"substring({clean}, 1, length({clean}) - length({ending}))"
+        kept = f"make_valid_utf8(CAST(substring(encode({stem}, 'UTF-8'), 1, {room}) AS STRING))"
+        cut = f"concat(regexp_replace({kept}, {lit('�+' + chr(92) + 'z')}, ''), {ending})"
+        return f"CASE WHEN octet_length({clean}) > {FILE_NAME_BYTES} THEN {cut} ELSE {clean} END"
 
-def base_name(path: Column) -> Column:
+    return bind(replace_each_sql(value, FILE_FORBIDDEN, "_"), shortened)
+
+
+def base_name_sql(path: str) -> str:
     """Last element of a path: ``.`` for an empty path, ``/`` for slashes only."""
-    bare = F.rtrim(path, F.lit("/"))
-    return (
-        F.when(path == "", F.lit("."))
-        .when(bare == "", F.lit("/"))
-        .otherwise(F.substring_index(bare, "/", -1))
-    )
+    bare = f"rtrim('/', {path})"
+    return f"CASE WHEN {path} = '' THEN '.' WHEN {bare} = '' THEN '/' ELSE substring_index({bare}, '/', -1) END"
+
+
+def mime_extension_sql(mime_type: str) -> str:
+    pairs = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in MIME_EXTENSIONS.items())
+    return f"coalesce(try_element_at(map({pairs}), {text(mime_type)}), {lit(DEFAULT_EXTENSION)})"
+
+
+def _with_id(media_id: str, name: str) -> str:
+    return f"concat({media_id}, '_', {file_name_sql(name)})"
+
+
+def media_file_name_sql(media_id: str, url: str, mime_type: str) -> str:
+    generated = f"concat('media_', {media_id}, {mime_extension_sql(mime_type)})"
+
+    def named(path: str) -> str:
+        return bind(
+            base_name_sql(path),
+            lambda base: _with_id(media_id, f"CASE WHEN {base} IN ('.', '/') THEN {generated} ELSE {base} END"),
+        )
+
+    return bind(url_path_sql(url), named)
 
 
-def mime_extension(mime_type: ColumnOrName) -> Column:
-    pairs = [F.lit(item) for pair in MIME_EXTENSIONS.items() for item in pair]
-    found = F.try_element_at(F.create_map(*pairs), text(mime_type))
-    return F.coalesce(found, F.lit(DEFAULT_EXTENSION))
+def size_file_name_sql(media_id: str, size_url: str, url: str, mime_type: str) -> str:
+    def named(path: str) -> str:
+        own = media_file_name_sql(media_id, url, mime_type)
+        return f"CASE WHEN {path} IS NULL THEN {own} ELSE {_with_id(media_id, base_name_sql(path))} END"
+
+    return bind(url_path_sql(size_url), named)
+
+
+def folder_name(value: str) -> Column:
+    """Forbidden characters as single hyphens, none at the ends; never empty."""
+    return column(folder_name_sql(value))
+
+
+def domain_name(value: str) -> Column:
+    """As a folder name, with hyphens before the last dot trimmed too."""
+    return column(domain_name_sql(value))
+
+
+def markdown_file_name(slug: str, record_id: str) -> Column:
+    return column(markdown_file_name_sql(slug, record_id))
+
+
+def file_name(value: str) -> Column:
+    """Replace forbidden characters and keep at most 200 bytes, extension included.
+
+    The cut falls on a character boundary: a character of several bytes is
+    dropped whole rather than split.
+    """
+    return column(file_name_sql(value))
 
 
-def _with_id(media_id: Column, name: Column) -> Column:
-    return F.concat(media_id.cast("string"), F.lit("_"), file_name(name))
+def mime_extension(mime_type: str) -> Column:
+    return column(mime_extension_sql(mime_type))
 
 
-def media_file_name(media_id: ColumnOrName, url: ColumnOrName, mime_type: ColumnOrName) -> Column:
+def media_file_name(media_id: str, url: str, mime_type: str) -> Column:
     """Local file name of a media item, from its URL or else its id and type."""
-    number = as_column(media_id)
-    generated = F.concat(F.lit("media_"), number.cast("string"), mime_extension(mime_type))
-    return bind(
-        base_name(url_path(url)),
-        lambda base: _with_id(number, F.when(base.isin(".", "/"), generated).otherwise(base)),
-    )
+    return column(media_file_name_sql(media_id, url, mime_type))
 
 
-def size_file_name(
-    media_id: ColumnOrName, size_url: ColumnOrName, url: ColumnOrName, mime_type: ColumnOrName
-) -> Column:
+def size_file_name(media_id: str, size_url: str, url: str, mime_type: str) -> Column:
     """Local file name of one size of a media item; the item's own where the URL is broken."""
-    path = url_path(size_url)
-    return F.when(path.isNull(), media_file_name(media_id, url, mime_type)).otherwise(
-        _with_id(as_column(media_id), base_name(path))
-    )
+    return column(size_file_name_sql(media_id, size_url, url, mime_type))

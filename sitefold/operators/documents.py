@@ -5,66 +5,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.functions.exprs import ColumnOrName, as_column, text
-from sitefold.functions.markup import html_to_markdown, yaml_text
+from sitefold.functions.markup import html_to_markdown_sql, yaml_text_sql
 from sitefold.functions.names import markdown_file_name
-from sitefold.functions.times import ZERO_TIME, print_time
+from sitefold.functions.sqltext import column, lit, text
+from sitefold.functions.times import ZERO_TIME, print_time_sql
 from sitefold.operators.joins import SLICES
 from sitefold.operators.taxonomy import with_category_folder
 
 
-def _quoted(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f'{name}: "'), text(value), F.lit('"'))
+def _quoted(name: str, value: str) -> str:
+    return f"concat({lit(name + ': ' + chr(34))}, {text(value)}, {lit(chr(34))})"
 
 
-def _plain(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}: "), value.cast("string"))
+def _plain(name: str, value: str) -> str:
+    return f"concat({lit(name + ': ')}, {value})"
 
 
-def _positive(name: str, value: Column) -> Column:
-    return F.when(value > 0, _plain(name, value))
+def _positive(name: str) -> str:
+    return f"CASE WHEN {name} > 0 THEN {_plain(name, name)} END"
 
 
-def _id_list(name: str, ids: Column) -> Column:
-    lines = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("\n  - "), i.cast("string"))), "")
-    return F.when(F.size(ids) > 0, F.concat(F.lit(f"{name}:"), lines))
+def _id_list(name: str) -> str:
+    lines = f"array_join(transform({name}, i -> concat({lit(chr(10) + '  - ')}, i)), '')"
+    return f"CASE WHEN size({name}) > 0 THEN concat({lit(name + ':')}, {lines}) END"
 
 
-def front_matter(content_type: ColumnOrName, unreadable_time: str = ZERO_TIME) -> Column:
-    """Lines between the two rules; optional fields only where set."""
-    return F.concat_ws(
-        "\n",
-        F.lit("---"),
-        _plain("id", F.col("id")),
-        _quoted("title", yaml_text(F.col("title.rendered"))),
-        _quoted("slug", F.col("slug")),
-        _plain("date", print_time("date", unreadable_time)),
-        _plain("modified", print_time("modified", unreadable_time)),
-        _quoted("status", F.col("status")),
-        _quoted("type", as_column(content_type)),
-        _quoted("link", F.col("link")),
-        _positive("author", F.col("author")),
-        _positive("featured_media", F.col("featured_media")),
-        _id_list("categories", F.col("categories")),
-        _id_list("tags", F.col("tags")),
-        F.lit("---"),
-    )
+def _front_matter_sql(content_type: str, unreadable_time: str) -> str:
+    lines = [
+        "'---'",
+        _plain("id", "id"),
+        _quoted("title", yaml_text_sql("title.rendered")),
+        _quoted("slug", "slug"),
+        _plain("date", print_time_sql("date", unreadable_time)),
+        _plain("modified", print_time_sql("modified", unreadable_time)),
+        _quoted("status", "status"),
+        _quoted("type", lit(content_type)),
+        _quoted("link", "link"),
+        _positive("author"),
+        _positive("featured_media"),
+        _id_list("categories"),
+        _id_list("tags"),
+        "'---'",
+    ]
+    return f"concat_ws({lit(chr(10))}, {', '.join(lines)})"
+
+
+def front_matter(content_type: str, unreadable_time: str = ZERO_TIME) -> Column:
+    """The lines from rule to rule for a row of posts; optional fields only where set."""
+    return column(_front_matter_sql(content_type, unreadable_time))
 
 
-def document_text(content_type: ColumnOrName, unreadable_time: str = ZERO_TIME) -> Column:
-    excerpt = F.when(
-        text("excerpt.rendered") != "",
-        F.concat(F.lit("## Excerpt\n\n"), html_to_markdown("excerpt.rendered"), F.lit("\n\n")),
-    ).otherwise(F.lit(""))
-    return F.concat(
-        front_matter(content_type, unreadable_time),
-        F.lit("\n\n# "),
+def document_text(content_type: str, unreadable_time: str = ZERO_TIME) -> Column:
+    """Front matter, title, excerpt if there is one, and content."""
+    gap = chr(10) * 2
+    excerpt = (
+        f"CASE WHEN {text('excerpt.rendered')} = '' THEN '' ELSE "
+        f"concat({lit('## Excerpt' + gap)}, {html_to_markdown_sql('excerpt.rendered')}, {lit(gap)}) END"
+    )
+    parts = [
+        _front_matter_sql(content_type, unreadable_time),
+        lit(gap + "# "),
         text("title.rendered"),
-        F.lit("\n\n"),
+        lit(gap),
         excerpt,
-        F.lit("## Content\n\n"),
-        html_to_markdown("content.rendered"),
-    )
+        lit("## Content" + gap),
+        html_to_markdown_sql("content.rendered"),
+    ]
+    return column(f"concat({', '.join(parts)})")
 
 
 def last_writes(rows: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def post_documents(posts: DataFrame, paths: DataFrame, unreadable_time: str = ZE
     placed = with_category_folder(posts.filter("content_type = 'post'"), paths).withColumn(
         "path", F.concat_ws("/", F.lit("posts"), folder, markdown_file_name("slug", "id"))
     )
-    return last_writes(placed).select("site", "path", document_text(F.lit("post"), unreadable_time).alias("content"))
+    return last_writes(placed).select("site", "path", document_text("post", unreadable_time).alias("content"))
 
 
 def page_documents(posts: DataFrame, unreadable_time: str = ZERO_TIME) -> DataFrame:
@@ -109,7 +116,7 @@ def page_documents(posts: DataFrame, unreadable_time: str = ZERO_TIME) -> DataFr
     placed = posts.filter("content_type = 'page'").withColumn(
         "path", F.concat(F.lit("pages/"), markdown_file_name("slug", "id"))
     )
-    return last_writes(placed).select("site", "path", document_text(F.lit("page"), unreadable_time).alias("content"))
+    return last_writes(placed).select("site", "path", document_text("page", unreadable_time).alias("content"))
 
 
 def site_readmes(sites: DataFrame, exported_at: str) -> DataFrame:
@@ -122,16 +129,15 @@ def site_readmes(sites: DataFrame, exported_at: str) -> DataFrame:
         ("Timezone", "timezone"),
         ("Language", "language"),
     )
-    lines = [F.concat(F.lit(f"**{label}:** "), text(name), F.lit("  ")) for label, name in facts]
-    content = F.concat_ws(
-        "\n",
-        F.concat(F.lit("# "), text("name")),
-        F.lit(""),
-        *lines,
-        F.lit(""),
-        F.lit("---"),
-        F.lit(""),
-        F.lit(f"*Exported on {exported_at}*"),
-        F.lit(""),
-    )
+    lines = [
+        f"concat('# ', {text('name')})",
+        "''",
+        *[f"concat({lit(f'**{label}:** ')}, {text(name)}, '  ')" for label, name in facts],
+        "''",
+        "'---'",
+        "''",
+        lit(f"*Exported on {exported_at}*"),
+        "''",
+    ]
+    content = column(f"concat_ws({lit(chr(10))}, {', '.join(lines)})")
     return sites.select("site", F.lit("README.md").alias("path"), content.alias("content"))

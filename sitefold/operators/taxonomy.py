@@ -103,7 +103,7 @@ def category_paths(categories: DataFrame) -> DataFrame:
         "id",
         "slug",
         F.size("names").alias("depth"),
-        join_folders(F.col("names")).alias("path"),
+        join_folders("names").alias("path"),
         "in_cycle",
     )
 

@@ -186,11 +186,12 @@ def default_outputs(sites: DataFrame, run_time: str) -> DataFrame:
     The host without ``www.``, made safe for a file system, then date and time
     of the run. ``output`` is NULL where the URL does not parse.
     """
-    host = F.regexp_replace(F.coalesce(F.nullif(url_host("url"), F.lit("")), F.lit(EMPTY_DOMAIN)), r"\Awww\.", "")
     day, _, clock = run_time.removesuffix("Z").partition("T")
     suffix = f".{day}{clock.replace(':', '')}"
-    output = F.when(url_host("url").isNotNull(), F.concat(F.lit("export/"), domain_name(host), F.lit(suffix)))
-    return sites.select("site", output.alias("output"))
+    hosts = sites.select("site", url_host("url").alias("host"))
+    bare = F.regexp_replace(F.coalesce(F.nullif("host", F.lit("")), F.lit(EMPTY_DOMAIN)), r"\Awww\.", "")
+    output = F.when(F.col("host").isNotNull(), F.concat(F.lit("export/"), domain_name("bare"), F.lit(suffix)))
+    return hosts.withColumn("bare", bare).select("site", output.alias("output"))
 
 
 def read_captures(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:

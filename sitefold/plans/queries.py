@@ -12,6 +12,7 @@ from sitefold.functions.folders import link_folder
 from sitefold.functions.links import is_inside, url_host
 from sitefold.functions.markup import html_to_markdown
 from sitefold.functions.names import domain_name, folder_name, markdown_file_name, media_file_name, mime_extension
+from sitefold.functions.sqltext import lit
 from sitefold.functions.times import is_time, parse_time, print_time
 from sitefold.operators import discovery, documents, media, rewrite, stats, taxonomy
 from sitefold.plans import export, stand_ins
@@ -49,14 +50,14 @@ def q_markdown_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     name = cat("  ", F.col("p_name"), " / ", F.col("p_brand"), '--<"', F.col("p_type"), '">?*|\\ ')
-    return part.select("p_partkey", folder_name(name).alias("folder"))
+    return part.select("p_partkey", name.alias("name")).select("p_partkey", folder_name("name").alias("folder"))
 
 
 def q_site_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").withColumn("site", F.col("page_id").cast("string"))
     outputs = export.default_outputs(pages, RUN_TIME).select("site", "output")
-    odd = cat("--", F.col("url"), "--")
-    names = pages.select("site", "page_id", url_host("url").alias("host"), domain_name(odd).alias("odd_name"))
+    odd = pages.withColumn("odd", cat("--", F.col("url"), "--"))
+    names = odd.select("site", "page_id", url_host("url").alias("host"), domain_name("odd").alias("odd_name"))
     return names.join(outputs, "site").drop("site")
 
 
@@ -80,7 +81,7 @@ def q_parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stand_ins.order_posts(spark, sf_dir).select("site", "id", documents.front_matter(F.lit("post"), RUN_TIME).alias("front_matter"))
+    return stand_ins.order_posts(spark, sf_dir).select("site", "id", documents.front_matter("post", RUN_TIME).alias("front_matter"))
 
 
 def q_post_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +167,8 @@ def q_mime_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "view", "image/jpeg").when(kind == "click", "video/mp4").when(kind == "purchase", "application/pdf")
         .when(kind == "signup", "image/svg+xml").otherwise(F.col("props"))
     )
-    return read(spark, sf_dir, "events").select("event_id", mime_extension(mime).alias("extension"))
+    events = read(spark, sf_dir, "events").select("event_id", mime.alias("mime"))
+    return events.select("event_id", mime_extension("mime").alias("extension"))
 
 
 def q_path_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +176,7 @@ def q_path_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = F.when(F.col("url").startswith("http:"), "../").otherwise("")
     below = F.regexp_extract("url", r"^[a-z]+://[^/]*([^?#]*)", 1)
     path = cat(MEDIA_FOLDER, "/", stand_ins.page_host(), "/", up, up, below)
-    return pages.select("page_id", is_inside(path, F.lit(MEDIA_FOLDER)).alias("inside"))
+    return pages.select("page_id", path.alias("path")).select("page_id", is_inside("path", lit(MEDIA_FOLDER)).alias("inside"))
 
 
 def q_media_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,8 +322,8 @@ def q_page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every web page as a Markdown file in the folder its address names."""
     pages = read(spark, sf_dir, "pages")
     folder = F.nullif(link_folder("url"), F.lit(""))
-    path = F.concat_ws("/", F.lit("posts"), F.coalesce(folder, F.lit(taxonomy.UNCATEGORIZED)), markdown_file_name(stand_ins.page_slug(), "page_id"))
-    return pages.select("page_id", path.alias("path"), html_to_markdown("html").alias("content"))
+    path = F.concat_ws("/", F.lit("posts"), F.coalesce(folder, F.lit(taxonomy.UNCATEGORIZED)), markdown_file_name("slug", "page_id"))
+    return pages.withColumn("slug", stand_ins.page_slug()).select("page_id", path.alias("path"), html_to_markdown("html").alias("content"))
 
 
 QUERIES: dict[str, Query] = {

@@ -7,10 +7,14 @@ and a quoted number both survive; read them with ``try_variant_get``.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitefold.functions.sqltext import lit
+
 _RENDERED = "STRUCT<rendered: STRING, protected: BOOLEAN>"
 _LINK_KEYS = (
     "self",
@@ -91,6 +95,7 @@ POSITION_BITS = 31
 FOUND_BASE = 1 << 62
 
 
+@lru_cache
 def struct_type(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -103,32 +108,43 @@ def found_ord(record_id: Column) -> Column:
     return F.lit(FOUND_BASE) + record_id
 
 
-def zero_filled(value: Column, data_type: T.DataType) -> Column:
-    """The value with every missing part replaced by its type's zero value."""
-    if isinstance(data_type, T.StructType):
-        return F.struct(
-            *[zero_filled(value.getField(f.name), f.dataType).alias(f.name) for f in data_type]
-        )
+def _zero_sql(data_type: T.DataType) -> str:
     if isinstance(data_type, T.StringType):
-        return F.coalesce(value, F.lit(""))
-    if isinstance(data_type, (T.IntegerType, T.LongType)):
-        return F.coalesce(value, F.lit(0).cast(data_type))
+        return "''"
     if isinstance(data_type, T.BooleanType):
-        return F.coalesce(value, F.lit(False))
+        return "false"
+    if isinstance(data_type, (T.IntegerType, T.LongType)):
+        return f"CAST(0 AS {data_type.simpleString()})"
     if isinstance(data_type, T.ArrayType):
-        return F.coalesce(value, F.array().cast(data_type))
+        return f"CAST(array() AS {data_type.simpleString()})"
     if isinstance(data_type, T.MapType):
-        return F.coalesce(value, F.create_map().cast(data_type))
-    return value
+        return f"CAST(map() AS {data_type.simpleString()})"
+    return f"CAST(NULL AS {data_type.simpleString()})"
 
 
-def zero_filled_fields(record: Column, ddl: str) -> list[Column]:
-    return [zero_filled(record.getField(f.name), f.dataType).alias(f.name) for f in struct_type(ddl)]
+def zero_filled_sql(value: str | None, data_type: T.DataType) -> str:
+    """The value with every missing part replaced by its type's zero value; all of it for None."""
+    if isinstance(data_type, T.StructType):
+        fields = [
+            f"{lit(f.name)}, {zero_filled_sql(value and f'{value}.`{f.name}`', f.dataType)}" for f in data_type
+        ]
+        return f"named_struct({', '.join(fields)})"
+    if isinstance(data_type, T.VariantType):
+        return value or "CAST(NULL AS VARIANT)"
+    zero = _zero_sql(data_type)
+    return f"coalesce({value}, {zero})" if value else zero
+
+
+def zero_filled_fields(record: str, ddl: str) -> list[Column]:
+    """All columns of an entity out of a decoded record."""
+    return [
+        F.expr(zero_filled_sql(f"{record}.`{f.name}`", f.dataType)).alias(f.name) for f in struct_type(ddl)
+    ]
 
 
 def entity_columns(ddl: str, fields: dict[str, Column]) -> list[Column]:
     """All columns of an entity, those without a given value at their zero value."""
     return [
-        fields.get(f.name, zero_filled(F.lit(None).cast(f.dataType), f.dataType)).alias(f.name)
+        (fields[f.name] if f.name in fields else F.expr(zero_filled_sql(None, f.dataType))).alias(f.name)
         for f in struct_type(ddl)
     ]

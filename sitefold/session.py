@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Accept an extra shuffle rather than one task with a third of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Call-site capture costs several round trips per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

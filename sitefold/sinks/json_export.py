@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitefold.functions.times import print_time
+from sitefold.functions.sqltext import lit
+from sitefold.functions.times import print_time_sql
 from sitefold.schemas import ENDPOINT_ROWS, SITE, STAT_COLUMNS, struct_type
 
 # Keys of the documents, in the order in which they are written.
@@ -22,37 +23,34 @@ _OPTIONAL_GROUPS = ("media_details", "_links")
 _HEAD, _RECORD, _TAIL = 0, 1, 2
 
 
-def _json_value(value: Column, field: T.StructField, run_time: str, optional: bool) -> Column:
+def _json_value(value: str, field: T.StructField, run_time: str, optional: bool) -> str:
     """The field as written: optional fields NULL when empty (and so left out), VARIANT NULL as ``null``."""
     kind = field.dataType
     if isinstance(kind, T.StructType):
-        return F.struct(
-            *[
-                _json_value(
-                    value.getField(f.name),
-                    f,
-                    run_time,
-                    f.name in _OPTIONAL_FLAGS or field.name in _OPTIONAL_GROUPS,
-                ).alias(f.name)
-                for f in kind
-            ]
-        )
+        inner = [
+            f"{lit(f.name)}, "
+            + _json_value(
+                f"{value}.`{f.name}`", f, run_time, f.name in _OPTIONAL_FLAGS or field.name in _OPTIONAL_GROUPS
+            )
+            for f in kind
+        ]
+        return f"named_struct({', '.join(inner)})"
     if field.name in _TIME_FIELDS:
-        return print_time(value, run_time, fraction=True)
+        return print_time_sql(value, run_time, fraction=True)
     if not optional:
-        return F.coalesce(value, F.parse_json(F.lit("null"))) if isinstance(kind, T.VariantType) else value
+        return f"coalesce({value}, parse_json('null'))" if isinstance(kind, T.VariantType) else value
     if isinstance(kind, T.StringType):
-        return F.nullif(value, F.lit(""))
+        return f"nullif({value}, '')"
     if isinstance(kind, T.BooleanType):
-        return F.when(value, value)
+        return f"CASE WHEN {value} THEN true END"
     if isinstance(kind, (T.ArrayType, T.MapType)):
-        return F.when(F.size(value) > 0, value)
+        return f"CASE WHEN size({value}) > 0 THEN {value} END"
     return value
 
 
 def record_json(ddl: str, run_time: str) -> Column:
-    fields = [_json_value(F.col(f"`{f.name}`"), f, run_time, False).alias(f.name) for f in struct_type(ddl)]
-    return F.to_json(F.struct(*fields))
+    fields = [f"{lit(f.name)}, {_json_value(f'`{f.name}`', f, run_time, False)}" for f in struct_type(ddl)]
+    return F.expr(f"to_json(named_struct({', '.join(fields)}))")
 
 
 def stats_json() -> Column:
@@ -100,9 +98,12 @@ def document_lines(
         line = F.concat(F.lit(opening(key)), value, F.lit(closing(key)))
         return rows.select("site", F.lit(keys.index(key)).alias("key_no"), F.lit(_HEAD).alias("part"), zero.alias("ord"), line.alias("line"))
 
-    frames = [F.struct(F.lit(keys.index(k)).alias("key_no"), F.lit(_HEAD).alias("part"), F.lit(opening(k) + "[").alias("line")) for k in lists]
-    frames += [F.struct(F.lit(keys.index(k)).alias("key_no"), F.lit(_TAIL).alias("part"), F.lit("]" + closing(k)).alias("line")) for k in lists]
-    framing = sites.select("site", F.explode(F.array(*frames)).alias("frame")).select(
+    frames = [
+        f"named_struct('key_no', {keys.index(k)}, 'part', {part}, 'line', {lit(line)})"
+        for k in lists
+        for part, line in ((_HEAD, opening(k) + "["), (_TAIL, "]" + closing(k)))
+    ]
+    framing = sites.selectExpr("site", f"explode(array({', '.join(frames)})) AS frame").select(
         "site", "frame.key_no", "frame.part", zero.alias("ord"), "frame.line"
     )
     chosen = records.filter(F.col("entity").isin(*lists))

@@ -115,7 +115,7 @@ def scan_listing(api_pages: DataFrame, endpoint: str) -> DataFrame:
     return records.select(
         "site",
         listed_ord(F.col("page"), F.col("position")).alias("ord"),
-        *zero_filled_fields(F.col("record"), ddl),
+        *zero_filled_fields("record", ddl),
     )
 
 
@@ -165,4 +165,4 @@ def decode_items(api_items: DataFrame, content_type: str) -> DataFrame:
     found = found_items(api_items.filter(F.col("content_type") == content_type)).select(
         "site", F.col("id").alias("looked_up"), F.from_json("body", ddl).alias("record")
     )
-    return found.select("site", "looked_up", *zero_filled_fields(F.col("record"), ddl))
+    return found.select("site", "looked_up", *zero_filled_fields("record", ddl))

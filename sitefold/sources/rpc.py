@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.schemas import CATEGORY, MEDIA, POST, SITE, TAG, USER, entity_columns, listed_ord
+from sitefold.functions.sqltext import lit
+from sitefold.schemas import CATEGORY, MEDIA, POST, SITE, TAG, USER, listed_ord, struct_type, zero_filled_sql
 
 # Methods by entity, and the page size of calls that page.
 METHODS = {
@@ -44,8 +45,8 @@ def _value_ddl(depth: int) -> str:
     return f"STRUCT<{fields}>"
 
 
-# An array of records whose members may hold an array of records (terms of a post).
-_RESPONSE = f"params STRUCT<param: ARRAY<STRUCT<value: {_value_ddl(4)}>>>"
+def _response_ddl(depth: int) -> str:
+    return f"params STRUCT<param: ARRAY<STRUCT<value: {_value_ddl(depth)}>>>"
 
 
 def _outlined(rpc_pages: DataFrame) -> DataFrame:
@@ -126,185 +127,182 @@ def _surviving_calls(rpc_pages: DataFrame) -> DataFrame:
     )
 
 
-def _scalar(value: Column) -> Column:
-    return F.coalesce(*[value.getField(name) for name in _SCALARS], F.lit(""))
+def _scalar(value: str) -> str:
+    return f"coalesce({', '.join(f'{value}.`{name}`' for name in _SCALARS)}, '')"
 
 
-def _member(members: Column, name: str) -> Column:
-    return F.try_element_at(F.filter(members, lambda m: m["name"] == name), F.lit(1))["value"]
+def _found(name: str) -> str:
+    """Position of a member in ``names``, NULL where it is missing."""
+    return f"nullif(array_position(names, {lit(name)}), 0L)"
 
 
-def _text(members: Column, *names: str) -> Column:
-    found = [F.nullif(_scalar(_member(members, name)), F.lit("")) for name in names]
-    return F.coalesce(*found, F.lit(""))
+def _text(*names: str) -> str:
+    found = [f"nullif(try_element_at(texts, CAST({_found(name)} AS INT)), '')" for name in names]
+    return f"coalesce({', '.join(found)}, '')"
 
 
-def _number(members: Column, *names: str) -> Column:
-    return F.coalesce(_text(members, *names).try_cast("bigint"), F.lit(0))
+def _number(*names: str) -> str:
+    return f"coalesce(try_cast({_text(*names)} AS BIGINT), 0L)"
 
 
-def _flag(members: Column, name: str) -> Column:
-    return _text(members, name).isin("1", "true")
+def _flag(name: str) -> str:
+    return f"{_text(name)} IN ('1', 'true')"
 
 
-def _time(members: Column, *names: str) -> Column:
-    return F.regexp_replace(_text(members, *names), r"\A(\d{4})(\d{2})(\d{2})T", "$1-$2-$3T")
+def _time(*names: str) -> str:
+    return f"regexp_replace({_text(*names)}, {lit(r'\A(\d{4})(\d{2})(\d{2})T')}, '$1-$2-$3T')"
 
 
-def _rendered(value: Column) -> Column:
-    return F.struct(value.alias("rendered"), F.lit(False).alias("protected"))
+def _rendered(value: str) -> str:
+    return f"named_struct('rendered', {value}, 'protected', false)"
 
 
-def _term_ids(members: Column, taxonomy: str) -> Column:
-    terms = _member(members, "terms")["array"]["data"]["value"]
-    chosen = F.filter(terms, lambda t: _text(t["struct"]["member"], "taxonomy") == taxonomy)
-    return F.coalesce(
-        F.transform(chosen, lambda t: _number(t["struct"]["member"], "term_id")), F.array().cast("array<bigint>")
-    )
-
-
-def _post_fields(m: Column) -> dict[str, Column]:
-    return {
-        "id": _number(m, "post_id"),
-        "date": _time(m, "post_date"),
-        "date_gmt": _time(m, "post_date_gmt"),
-        "guid": F.struct(_text(m, "guid").alias("rendered")),
-        "modified": _time(m, "post_modified"),
-        "modified_gmt": _time(m, "post_modified_gmt"),
-        "slug": _text(m, "post_name"),
-        "status": _text(m, "post_status"),
-        "type": _text(m, "post_type"),
-        "link": _text(m, "link"),
-        "title": _rendered(_text(m, "post_title")),
-        "content": _rendered(_text(m, "post_content")),
-        "excerpt": _rendered(_text(m, "post_excerpt")),
-        "author": _number(m, "post_author"),
-        "comment_status": _text(m, "comment_status"),
-        "ping_status": _text(m, "ping_status"),
-        "sticky": _flag(m, "sticky"),
-        "format": _text(m, "post_format"),
-        "categories": _term_ids(m, "category"),
-        "tags": _term_ids(m, "post_tag"),
-    }
-
-
-def _page_fields(m: Column) -> dict[str, Column]:
-    return {
-        "id": _number(m, "page_id"),
-        "date": _time(m, "dateCreated"),
-        "date_gmt": _time(m, "date_created_gmt"),
-        "slug": _text(m, "wp_slug"),
-        "status": _text(m, "page_status"),
-        "type": F.lit("page"),
-        "link": _text(m, "link", "permaLink"),
-        "title": _rendered(_text(m, "title")),
-        "content": _rendered(_text(m, "description")),
-        "excerpt": _rendered(_text(m, "excerpt")),
-        "author": _number(m, "wp_author_id"),
-        "template": _text(m, "wp_page_template"),
-    }
-
-
-def _media_fields(m: Column) -> dict[str, Column]:
-    return {
-        "id": _number(m, "attachment_id"),
-        "date_gmt": _time(m, "date_created_gmt"),
-        "link": _text(m, "link"),
-        "source_url": _text(m, "link"),
-        "title": _rendered(_text(m, "title")),
-        "caption": _rendered(_text(m, "caption")),
-        "description": _rendered(_text(m, "description")),
-        "mime_type": _text(m, "type"),
-        "post": _number(m, "parent"),
-    }
+def _inner(members: str, name: str) -> str:
+    """Text of a member of a nested record."""
+    return f"coalesce({_scalar(f'try_element_at(filter({members}, x -> x.name = {lit(name)}), 1).value')}, '')"
 
 
-def _term_fields(m: Column) -> dict[str, Column]:
-    return {
-        "id": _number(m, "term_id"),
-        "count": _number(m, "count"),
-        "description": _text(m, "description"),
-        "name": _text(m, "name"),
-        "slug": _text(m, "slug"),
-        "taxonomy": _text(m, "taxonomy"),
-        "parent": _number(m, "parent"),
-    }
+def _term_ids(taxonomy: str) -> str:
+    terms = f"try_element_at(members, CAST({_found('terms')} AS INT)).value.array.data.value"
+    chosen = f"filter({terms}, t -> {_inner('t.struct.member', 'taxonomy')} = {lit(taxonomy)})"
+    ids = f"transform({chosen}, t -> coalesce(try_cast({_inner('t.struct.member', 'term_id')} AS BIGINT), 0L))"
+    return f"coalesce({ids}, CAST(array() AS ARRAY<BIGINT>))"
 
 
-def _user_fields(m: Column) -> dict[str, Column]:
-    return {
-        "id": _number(m, "user_id"),
-        "name": _text(m, "display_name", "username"),
-        "url": _text(m, "url"),
-        "description": _text(m, "bio"),
-        "slug": _text(m, "nicename", "username"),
-    }
-
+# Members of each method's records by the field they fill; the response nests
+# to the given depth.
+_POST_FIELDS = {
+    "id": _number("post_id"),
+    "date": _time("post_date"),
+    "date_gmt": _time("post_date_gmt"),
+    "guid": f"named_struct('rendered', {_text('guid')})",
+    "modified": _time("post_modified"),
+    "modified_gmt": _time("post_modified_gmt"),
+    "slug": _text("post_name"),
+    "status": _text("post_status"),
+    "type": _text("post_type"),
+    "link": _text("link"),
+    "title": _rendered(_text("post_title")),
+    "content": _rendered(_text("post_content")),
+    "excerpt": _rendered(_text("post_excerpt")),
+    "author": _number("post_author"),
+    "comment_status": _text("comment_status"),
+    "ping_status": _text("ping_status"),
+    "sticky": _flag("sticky"),
+    "format": _text("post_format"),
+    "categories": _term_ids("category"),
+    "tags": _term_ids("post_tag"),
+}
+_PAGE_FIELDS = {
+    "id": _number("page_id"),
+    "date": _time("dateCreated"),
+    "date_gmt": _time("date_created_gmt"),
+    "slug": _text("wp_slug"),
+    "status": _text("page_status"),
+    "type": "'page'",
+    "link": _text("link", "permaLink"),
+    "title": _rendered(_text("title")),
+    "content": _rendered(_text("description")),
+    "excerpt": _rendered(_text("excerpt")),
+    "author": _number("wp_author_id"),
+    "template": _text("wp_page_template"),
+}
+_MEDIA_FIELDS = {
+    "id": _number("attachment_id"),
+    "date_gmt": _time("date_created_gmt"),
+    "link": _text("link"),
+    "source_url": _text("link"),
+    "title": _rendered(_text("title")),
+    "caption": _rendered(_text("caption")),
+    "description": _rendered(_text("description")),
+    "mime_type": _text("type"),
+    "post": _number("parent"),
+}
+_TERM_FIELDS = {
+    "id": _number("term_id"),
+    "count": _number("count"),
+    "description": _text("description"),
+    "name": _text("name"),
+    "slug": _text("slug"),
+    "taxonomy": _text("taxonomy"),
+    "parent": _number("parent"),
+}
+_USER_FIELDS = {
+    "id": _number("user_id"),
+    "name": _text("display_name", "username"),
+    "url": _text("url"),
+    "description": _text("bio"),
+    "slug": _text("nicename", "username"),
+}
+_RECORD_DEPTH, _TERMS_DEPTH, _OPTIONS_DEPTH = 2, 4, 2
 
-def _as_rows(records: DataFrame, ddl: str, fields: dict[str, Column]) -> DataFrame:
-    """All columns of the entity, those the method does not carry at their zero value."""
-    return records.select("site", "ord", *entity_columns(ddl, fields))
 
+def _records(rpc_pages: DataFrame, method: str, ddl: str, fields: dict[str, str], depth: int = _RECORD_DEPTH) -> DataFrame:
+    """Records of one method in all columns of the entity; those it does not carry are zero.
 
-def _records(rpc_pages: DataFrame, method: str) -> DataFrame:
+    Member names and texts become two parallel arrays once per record, so each
+    field is a plain lookup.
+    """
     calls = _surviving_calls(rpc_pages.filter(F.col("method") == method))
-    response = calls.select("site", "offset", F.from_xml("body", F.lit(_RESPONSE), _XML_OPTIONS).alias("response"))
-    values = F.try_element_at(F.col("response.params.param"), F.lit(1))["value"]["array"]["data"]["value"]
-    exploded = response.select("site", "offset", F.posexplode(values).alias("position", "value"))
-    return exploded.select(
-        "site",
-        listed_ord(F.col("offset"), F.col("position")).alias("ord"),
-        F.coalesce(
-            F.col("value.struct.member"), F.array().cast(exploded.select("value.struct.member").schema[0].dataType)
-        ).alias("m"),
+    response = calls.select("site", "offset", F.from_xml("body", F.lit(_response_ddl(depth)), _XML_OPTIONS).alias("response"))
+    members = (
+        response.selectExpr("site", "offset", "posexplode(try_element_at(response.params.param, 1).value.array.data.value) AS (position, value)")
+        .select("site", listed_ord(F.col("offset"), F.col("position")).alias("ord"), F.col("value.struct.member").alias("members"))
+        .selectExpr(
+            "site",
+            "ord",
+            "members",
+            "coalesce(transform(members, m -> m.name), CAST(array() AS ARRAY<STRING>)) AS names",
+            f"coalesce(transform(members, m -> {_scalar('m.value')}), CAST(array() AS ARRAY<STRING>)) AS texts",
+        )
     )
+    columns = [f"{fields.get(f.name) or zero_filled_sql(None, f.dataType)} AS `{f.name}`" for f in struct_type(ddl)]
+    return members.selectExpr("site", "ord", *columns)
 
 
 def rpc_posts(rpc_pages: DataFrame) -> DataFrame:
     """Posts and pages, in the columns of the JSON API."""
-    m = F.col("m")
-    posts = _as_rows(_records(rpc_pages, METHODS["posts"]), POST, _post_fields(m))
-    pages = _as_rows(_records(rpc_pages, METHODS["pages"]), POST, _page_fields(m))
-    return posts.withColumn("content_type", F.lit("post")).unionByName(
-        pages.withColumn("content_type", F.lit("page"))
-    )
+    posts = _records(rpc_pages, METHODS["posts"], POST, _POST_FIELDS, _TERMS_DEPTH)
+    pages = _records(rpc_pages, METHODS["pages"], POST, _PAGE_FIELDS)
+    return posts.withColumn("content_type", F.lit("post")).unionByName(pages.withColumn("content_type", F.lit("page")))
 
 
 def rpc_media(rpc_pages: DataFrame) -> DataFrame:
-    return _as_rows(_records(rpc_pages, METHODS["media"]), MEDIA, _media_fields(F.col("m")))
+    return _records(rpc_pages, METHODS["media"], MEDIA, _MEDIA_FIELDS)
 
 
 def rpc_categories(rpc_pages: DataFrame) -> DataFrame:
-    rows = _as_rows(_records(rpc_pages, METHODS["terms"]), CATEGORY, _term_fields(F.col("m")))
-    return rows.filter("taxonomy = 'category'")
+    return _records(rpc_pages, METHODS["terms"], CATEGORY, _TERM_FIELDS).filter("taxonomy = 'category'")
 
 
 def rpc_tags(rpc_pages: DataFrame) -> DataFrame:
-    rows = _as_rows(_records(rpc_pages, METHODS["terms"]), TAG, _term_fields(F.col("m")))
-    return rows.filter("taxonomy = 'post_tag'")
+    return _records(rpc_pages, METHODS["terms"], TAG, _TERM_FIELDS).filter("taxonomy = 'post_tag'")
 
 
 def rpc_users(rpc_pages: DataFrame) -> DataFrame:
-    return _as_rows(_records(rpc_pages, METHODS["users"]), USER, _user_fields(F.col("m")))
+    return _records(rpc_pages, METHODS["users"], USER, _USER_FIELDS)
 
 
 def rpc_site_info(rpc_pages: DataFrame) -> DataFrame:
     """One row per site whose options call succeeded; missing options keep their defaults."""
     calls = _surviving_calls(rpc_pages.filter(F.col("method") == METHODS["options"]))
-    response = F.from_xml("body", F.lit(_RESPONSE), _XML_OPTIONS)
-    members = F.try_element_at(F.col("response.params.param"), F.lit(1))["value"]["struct"]["member"]
-    options = calls.select("site", response.alias("response")).select("site", members.alias("m"))
+    response = F.from_xml("body", F.lit(_response_ddl(_OPTIONS_DEPTH)), _XML_OPTIONS)
+    options = calls.select("site", response.alias("response")).selectExpr(
+        "site", "try_element_at(response.params.param, 1).value.struct.member AS members"
+    )
 
-    def option(name: str) -> Column:
-        return _text(_member(F.col("m"), name)["struct"]["member"], "value")
+    def option(name: str, default: str = "''") -> str:
+        record = f"try_element_at(filter(members, m -> m.name = {lit(name)}), 1).value.struct.member"
+        return f"coalesce(nullif({_inner(record, 'value')}, ''), {default})"
 
     fields = {
-        "name": F.coalesce(F.nullif(option("blog_title"), F.lit("")), F.lit(SITE_NAME)),
+        "name": option("blog_title", lit(SITE_NAME)),
         "description": option("blog_tagline"),
-        "url": F.coalesce(F.nullif(option("blog_url"), F.lit("")), F.concat(F.lit("https://"), F.col("site"))),
+        "url": option("blog_url", "concat('https://', site)"),
         "home_url": option("home_url"),
         "timezone": option("time_zone"),
         "date_format": option("date_format"),
         "time_format": option("time_format"),
     }
-    return options.select("site", *entity_columns(SITE, fields))
+    columns = [f"{fields.get(f.name) or zero_filled_sql(None, f.dataType)} AS `{f.name}`" for f in struct_type(SITE)]
+    return options.selectExpr("site", *columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.schemas import SITE, struct_type, zero_filled
+from sitefold.functions.sqltext import lit
+from sitefold.schemas import SITE, struct_type, zero_filled_sql
 
 # Fixed value: name of a site whose information cannot be read.
 DEFAULT_NAME = "WordPress Site"
@@ -37,12 +38,10 @@ def site_info(api_pages: DataFrame, sites: DataFrame) -> DataFrame:
     )
     columns = []
     for field in struct_type(SITE):
-        value = F.col("info")[field.name]
-        if field.name == "home_url":
-            value = F.coalesce(value, F.col("info")["home"])
-        default = {"name": F.lit(DEFAULT_NAME), "url": F.col("given_url")}.get(field.name)
-        filled = zero_filled(value, field.dataType)
-        if default is not None:
-            filled = F.when(F.col("info").isNull(), default).otherwise(filled)
-        columns.append(filled.alias(field.name))
-    return read.select("site", *columns)
+        value = "coalesce(info.home_url, info.home)" if field.name == "home_url" else f"info.{field.name}"
+        filled = zero_filled_sql(value, field.dataType)
+        default = {"name": lit(DEFAULT_NAME), "url": "given_url"}.get(field.name)
+        if default:
+            filled = f"CASE WHEN info IS NULL THEN {default} ELSE {filled} END"
+        columns.append(f"{filled} AS {field.name}")
+    return read.selectExpr("site", *columns)

@@ -179,7 +179,7 @@ def test_urls(evaluate):
 
 
 def test_is_inside(evaluate):
-    check(evaluate, is_inside("x", F.lit("/t/media")), [
+    check(evaluate, is_inside("x", "'/t/media'"), [
         ("/t/media/image.jpg", True), ("/t/media/subdir/image.jpg", True), ("/t/outside.jpg", False),
         ("/t/media/../outside.jpg", False), ("/etc/passwd", False), ("../outside.jpg", False),
         ("/t/media", True), ("/t/media/a/../b", True), ("/t/media/..b", False), ("/t/mediax/a", False),

@@ -16,7 +16,7 @@ def table(spark, ddl, rows, extra=""):
 
     data = [(r.pop("site", "s"), r.pop("ord", i), r.pop("content_type", "post"), json.dumps(r)) for i, r in enumerate(map(dict, rows))]
     df = spark.createDataFrame(data, "site string, ord long, content_type string, j string").withColumn("record", F.from_json("j", ddl))
-    out = df.select("site", "ord", "content_type", *zero_filled_fields(F.col("record"), ddl))
+    out = df.select("site", "ord", "content_type", *zero_filled_fields("record", ddl))
     return out if ddl is schemas.POST else out.drop("content_type")
 
 
