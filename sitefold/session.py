@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Accept an extra shuffle rather than one task with a third of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+# Settable only while a session is built.
+STATIC_SETTINGS = {
     # Call-site capture costs several round trips per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -24,7 +27,7 @@ def build_session(master: str | None = None, app_name: str = "sitefold", **extra
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
