@@ -9,7 +9,7 @@ from sitefold.functions.markup import html_to_markdown_sql, yaml_text_sql
 from sitefold.functions.names import markdown_file_name
 from sitefold.functions.sqltext import column, lit, text
 from sitefold.functions.times import ZERO_TIME, print_time_sql
-from sitefold.operators.joins import SLICES
+from sitefold.operators.joins import BROADCAST_BYTES, SLICES, fits_broadcast, materialised
 from sitefold.operators.taxonomy import with_category_folder
 
 
@@ -74,32 +74,28 @@ def document_text(content_type: str, unreadable_time: str = ZERO_TIME) -> Column
     return column(f"concat({', '.join(parts)})")
 
 
-def last_writes(rows: DataFrame) -> DataFrame:
+def last_writes(rows: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
     """Of the rows with equal (site, path), the one with the largest ``ord``.
 
     Only paths written more than once leave the aggregation, and rows that lose
-    are removed by an anti-join against them. Usually few paths collide, so
-    Spark broadcasts those and the rows with their texts are not shuffled; where
-    one path holds very many rows, they are spread over slices.
+    are removed by an anti-join against them. Usually few paths collide; those
+    are broadcast and the rows with their texts are not shuffled. Beyond the
+    bound, the rows of one path are spread over slices.
     """
-    contested = (
+    contested = materialised(
         rows.groupBy("site", "path")
         .agg(F.max("ord").alias("last_ord"), F.count(F.lit(1)).alias("writes"))
         .filter("writes > 1")
-        .select(
-            F.col("site").alias("w_site"),
-            F.col("path").alias("w_path"),
-            "last_ord",
-            F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("w_slice"),
-        )
+        .select(F.col("site").alias("w_site"), F.col("path").alias("w_path"), "last_ord")
     )
     overwritten = (
-        (F.col("site") == F.col("w_site"))
-        & (F.col("path") == F.col("w_path"))
-        & (F.pmod(F.xxhash64("ord"), F.lit(SLICES)).cast("int") == F.col("w_slice"))
-        & (F.col("ord") < F.col("last_ord"))
+        (F.col("site") == F.col("w_site")) & (F.col("path") == F.col("w_path")) & (F.col("ord") < F.col("last_ord"))
     )
-    return rows.join(contested, overwritten, "left_anti")
+    if fits_broadcast(contested, bound):
+        return rows.join(F.broadcast(contested), overwritten, "left_anti")
+    repeated = contested.withColumn("w_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    same_slice = F.pmod(F.xxhash64("ord"), F.lit(SLICES)).cast("int") == F.col("w_slice")
+    return rows.join(repeated, overwritten & same_slice, "left_anti")
 
 
 def post_documents(posts: DataFrame, paths: DataFrame, unreadable_time: str = ZERO_TIME) -> DataFrame:

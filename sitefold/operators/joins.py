@@ -1,26 +1,55 @@
-"""Joins that stay even when one key holds a large share of the rows."""
+"""Joins of a large side with a lookup table that is unique per key.
+
+The lookup side is materialised and measured first. Within the bound it is
+broadcast, so the large side is not shuffled at all; beyond it, the large side
+is spread so that no key gathers in one task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitefold.session import cut_lineage
+
 SLICES = 16
+BROADCAST_BYTES = 32 << 20
 _SLICE = "__slice"
+_HOW = ("inner", "left", "left_semi", "left_anti")
+
+
+def fits_broadcast(table: DataFrame, bound: int = BROADCAST_BYTES) -> bool:
+    """Whether a materialised table, written out as text, stays within the bound."""
+    row_bytes = F.octet_length(F.to_json(F.struct("*"))) + 64
+    return (table.agg(F.sum(row_bytes)).first()[0] or 0) <= bound
 
 
 def spread_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: list[str], slices: int = SLICES
 ) -> DataFrame:
-    """Join a large left side to a small right side that is unique per key.
+    """Shuffle join in which the left rows of one key go to ``slices`` join keys.
 
-    Left rows of one key go to ``slices`` join keys by a hash of ``spread_by``;
-    the right side is repeated once per slice. No size is assumed: Spark
-    broadcasts the right side if its measured size allows, shuffles otherwise,
-    and splits what is still uneven at run time.
+    The slice is a hash of ``spread_by``; the right side is repeated once per
+    slice. What is still uneven is split at run time by adaptive execution.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
+    if how not in _HOW:
         raise ValueError(f"unsupported join type: {how}")
     sliced = left.withColumn(_SLICE, F.pmod(F.xxhash64(*spread_by), F.lit(slices)).cast("int"))
     repeated = right.withColumn(_SLICE, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return sliced.join(repeated, [*keys, _SLICE], how).drop(_SLICE)
+
+
+def lookup_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: list[str], bound: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Join to a materialised lookup table, by broadcast if it fits and spread otherwise."""
+    if how not in _HOW:
+        raise ValueError(f"unsupported join type: {how}")
+    if fits_broadcast(right, bound):
+        return left.join(F.broadcast(right), keys, how)
+    return spread_join(left, right, keys, how, spread_by)
+
+
+def materialised(table: DataFrame) -> DataFrame:
+    """The table on shared storage, so that measuring and joining it do not compute it twice."""
+    return cut_lineage(table)

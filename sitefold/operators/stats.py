@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.operators.discovery import is_discovered
-from sitefold.operators.media import downloaded_counts
 from sitefold.schemas import STAT_COLUMNS
 
 
@@ -23,31 +22,28 @@ def export_stats(
 ) -> DataFrame:
     """The eight counters of every site.
 
-    Each entity is reduced to one number per site before the shuffle; the union
-    of those is summed once, so no join and no wide row is involved.
+    Each table is read once and reduced to one row per site before the shuffle;
+    the union of those rows is summed, so no join and no wide row is involved.
     """
+    page = F.col("content_type") == "page"
+    found = F.count_if(is_discovered())
+    every = F.count(F.lit(1))
 
-    def counted(rows: DataFrame, counter) -> DataFrame:
-        return rows.groupBy("site", counter.alias("counter")).agg(F.count(F.lit(1)).alias("n"))
+    def counted(rows: DataFrame, **counters: Column) -> DataFrame:
+        per_site = rows.groupBy("site").agg(*[c.alias(name) for name, c in counters.items()])
+        missing = [F.lit(0).cast("bigint").alias(name) for name in STAT_COLUMNS if name not in counters]
+        return per_site.select("site", *counters, *missing)
 
-    page = F.col("content_type") == "page"
     parts = [
-        sites.select("site", F.lit(STAT_COLUMNS[0]).alias("counter"), F.lit(0).cast("long").alias("n")),
-        counted(posts, F.when(page, "total_pages").otherwise("total_posts")),
-        counted(media, F.lit("total_media")),
-        counted(categories, F.lit("total_categories")),
-        counted(tags, F.lit("total_tags")),
-        counted(users, F.lit("total_users")),
-        counted(posts.filter(is_discovered()), F.lit("brute_force_found")),
-        counted(media.filter(is_discovered()), F.lit("brute_force_found")),
+        counted(sites, total_posts=F.lit(0).cast("bigint")),
+        counted(posts, total_posts=F.count_if(~page), total_pages=F.count_if(page), brute_force_found=found),
+        counted(media, total_media=every, brute_force_found=found),
+        counted(categories, total_categories=every),
+        counted(tags, total_tags=every),
+        counted(users, total_users=every),
     ]
     if manifest is not None:
-        parts.append(
-            downloaded_counts(manifest).select(
-                "site", F.lit("media_downloaded").alias("counter"), F.col("media_downloaded").alias("n")
-            )
-        )
-    totals = [
-        F.coalesce(F.sum(F.when(F.col("counter") == name, F.col("n"))), F.lit(0)).alias(name) for name in STAT_COLUMNS
-    ]
-    return reduce(DataFrame.unionByName, parts).groupBy("site").agg(*totals)
+        parts.append(counted(manifest, media_downloaded=F.count_if("downloaded")))
+    return (
+        reduce(DataFrame.unionByName, parts).groupBy("site").agg(*[F.sum(name).alias(name) for name in STAT_COLUMNS])
+    )

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.folders import join_folders, link_folder
 from sitefold.functions.names import folder_name
-from sitefold.operators.joins import spread_join
-from sitefold.session import cut_lineage
+from sitefold.operators.joins import BROADCAST_BYTES, lookup_join, materialised
 
 # Folder of posts without a category, and the category name that
 # counts as none.
@@ -28,20 +27,20 @@ def latest_categories(categories: DataFrame) -> DataFrame:
     )
 
 
-def _jump(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+def _jump(left: DataFrame, right: DataFrame, how: str, bound: int) -> DataFrame:
     """Follow ``up`` one step: join each node to the row of the ancestor it points at."""
-    return spread_join(left, right.withColumnRenamed("id", "up"), ["site", "up"], how, ["id"])
+    return lookup_join(left, right.withColumnRenamed("id", "up"), ["site", "up"], how, ["id"], bound)
 
 
-def _edges(nodes: DataFrame) -> DataFrame:
+def _edges(nodes: DataFrame, bound: int) -> DataFrame:
     """Nodes with ``up`` set to the parent where the parent exists, NULL for roots."""
     children = nodes.filter("parent > 0").withColumn("up", F.col("parent"))
     known = nodes.select("site", "id", F.lit(True).alias("exists"))
-    checked = _jump(children, known, "left").withColumn("up", F.when(F.col("exists"), F.col("up"))).drop("exists")
+    checked = _jump(children, known, "left", bound).withColumn("up", F.when(F.col("exists"), F.col("up"))).drop("exists")
     return nodes.filter("parent <= 0").withColumn("up", F.lit(None).cast("bigint")).unionByName(checked)
 
 
-def _cycle_members(edges: DataFrame) -> DataFrame:
+def _cycle_members(edges: DataFrame, bound: int) -> DataFrame:
     """(site, id) of categories that are their own ancestor.
 
     The number of jumps doubles each round. Once it reaches the size of the
@@ -49,54 +48,48 @@ def _cycle_members(edges: DataFrame) -> DataFrame:
     member is the end of some pointer.
     """
     largest = edges.groupBy("site").count().agg(F.max("count")).first()[0] or 0
-    pointers = cut_lineage(edges.filter("up IS NOT NULL").select("site", "id", "up"))
+    pointers = materialised(edges.filter("up IS NOT NULL").select("site", "id", "up"))
     jumps = 1
     while jumps < largest and not pointers.isEmpty():
         targets = pointers.select("site", "id", F.col("up").alias("next"))
-        pointers = cut_lineage(
-            _jump(pointers, targets, "inner").select("site", "id", F.col("next").alias("up"))
+        pointers = materialised(
+            _jump(pointers, targets, "inner", bound).select("site", "id", F.col("next").alias("up"))
         )
         jumps *= 2
     return pointers.select("site", F.col("up").alias("id")).distinct()
 
 
-def category_paths(categories: DataFrame) -> DataFrame:
+def category_paths(categories: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
     """(site, id, slug, depth, path, in_cycle), ``path`` being the folder from the root down.
 
-    Each round joins every node to the ancestor it has reached, so the resolved
-    depth doubles per round and a tree of depth d takes log2(d) joins. Lineage
-    is cut after each round. Members of a parent cycle are reported and start
-    paths of their own.
+    Each round joins every unresolved node to the ancestor it has reached, so
+    the resolved depth doubles per round and a tree of depth d takes log2(d)
+    joins. Every round is materialised. Members of a parent cycle are reported
+    and start paths of their own. Tables within ``bound`` bytes are broadcast.
     """
-    nodes = latest_categories(categories)
-    start = (
-        _edges(nodes)
-        .withColumn("names", F.array(folder_name("slug")))
-        .withColumn("in_cycle", F.lit(False))
-        .select("site", "id", "slug", "names", "up", "in_cycle")
-    )
-    state = cut_lineage(start)
-    edges, depth, trusted = state, 1, False
+    nodes = materialised(latest_categories(categories).withColumn("names", F.array(folder_name("slug"))))
+    columns = ["site", "id", "slug", "names", "up", "in_cycle"]
+    edges = materialised(_edges(nodes, bound).withColumn("in_cycle", F.lit(False)).select(*columns))
+    state, depth, trusted = edges, 1, False
     while not state.filter("up IS NOT NULL").isEmpty():
         if depth >= TRUSTED_DEPTH and not trusted:
             trusted = True
-            cycles = cut_lineage(_cycle_members(edges))
+            cycles = materialised(_cycle_members(edges, bound))
             if not cycles.isEmpty():
-                flagged = edges.drop("in_cycle").join(
-                    cycles.withColumn("member", F.lit(True)), ["site", "id"], "left"
-                )
-                state = cut_lineage(
+                members = cycles.withColumn("member", F.lit(True))
+                flagged = edges.drop("in_cycle").join(members, ["site", "id"], "left")
+                state = materialised(
                     flagged.withColumn("in_cycle", F.coalesce("member", F.lit(False)))
                     .withColumn("up", F.when(~F.col("in_cycle"), F.col("up")))
-                    .select("site", "id", "slug", "names", "up", "in_cycle")
+                    .select(*columns)
                 )
                 depth = 1
                 continue
         above = state.select("site", "id", F.col("names").alias("above"), F.col("up").alias("next"))
-        advanced = _jump(state.filter("up IS NOT NULL"), above, "inner").select(
+        advanced = _jump(state.filter("up IS NOT NULL"), above, "inner", bound).select(
             "site", "id", "slug", F.concat("above", "names").alias("names"), F.col("next").alias("up"), "in_cycle"
         )
-        state = cut_lineage(state.filter("up IS NULL").unionByName(advanced))
+        state = materialised(state.filter("up IS NULL").unionByName(advanced))
         depth *= 2
     return state.select(
         "site",
@@ -112,10 +105,11 @@ def first_category(categories: Column) -> Column:
     return F.try_element_at(categories, F.lit(1))
 
 
-def with_category_folder(posts: DataFrame, paths: DataFrame) -> DataFrame:
+def with_category_folder(posts: DataFrame, paths: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``folder``: from the permalink, else the path of the first category.
 
-    Posts settled by their permalink get a join key of their own, so neither
+    ``paths`` comes from ``category_paths``. While it fits ``bound``, posts are
+    not shuffled. Beyond that, posts settled by their permalink get a join key of their own, so neither
     they nor posts of one popular category gather in one task.
     """
     keyed = posts.withColumn("link_folder", link_folder("link")).withColumn(
@@ -127,7 +121,7 @@ def with_category_folder(posts: DataFrame, paths: DataFrame) -> DataFrame:
     )
     # Ids are positive; anything else cannot name a category.
     lookup = paths.filter("id > 0").select("site", F.col("id").alias("category_key"), F.col("path").alias("category_path"))
-    joined = spread_join(keyed, lookup, ["site", "category_key"], "left", ["ord"])
+    joined = lookup_join(keyed, lookup, ["site", "category_key"], "left", ["ord"], bound)
     path = F.nullif(F.col("category_path"), F.lit(GENERIC_CATEGORY))
     return joined.withColumn(
         "folder",

@@ -11,7 +11,8 @@ from sitefold.functions.links import url_host
 from sitefold.functions.names import EMPTY_DOMAIN, domain_name
 from sitefold.operators import discovery, documents, media, rewrite, stats, taxonomy
 from sitefold.plans.options import ExportOptions
-from sitefold.schemas import ATTEMPTS, CONTENT_TYPES, EXISTING_FILES
+from sitefold.operators.joins import materialised
+from sitefold.schemas import ATTEMPTS, CONTENT_TYPES, ENDPOINT_ROWS, EXISTING_FILES
 from sitefold.sinks import json_export, markdown_export
 from sitefold.sources import rest, rpc, site
 
@@ -43,15 +44,17 @@ def content_from_api(api_pages: DataFrame, sites: DataFrame, strict: bool = Fals
 
     A failed listing is empty; with ``strict`` it raises.
     """
+    listings = api_pages.filter(F.col("endpoint").isin(*ENDPOINT_ROWS))
+    cuts = materialised(rest.page_cuts(listings))
     if strict:
-        _require_complete(rest.failed_listings(api_pages))
+        _require_complete(rest.failed_listings(listings, cuts))
     return Content(
         sites=site.site_info(api_pages, sites),
-        posts=rest.scan_posts(api_pages),
-        media=rest.scan_media(api_pages),
-        categories=rest.scan_categories(api_pages),
-        tags=rest.scan_tags(api_pages),
-        users=rest.scan_users(api_pages),
+        posts=rest.scan_posts(listings, cuts),
+        media=rest.scan_media(listings, cuts),
+        categories=rest.scan_categories(listings, cuts),
+        tags=rest.scan_tags(listings, cuts),
+        users=rest.scan_users(listings, cuts),
     )
 
 
@@ -138,7 +141,8 @@ def json_lines(prepared: Prepared, options: ExportOptions) -> DataFrame:
 
 
 def metadata_lines(prepared: Prepared, options: ExportOptions) -> DataFrame:
-    records = json_export.entity_rows(_tables(prepared.content), options.run_time)
+    tables = {name: rows for name, rows in _tables(prepared.content).items() if name != "posts"}
+    records = json_export.entity_rows(tables, options.run_time)
     return json_export.document_lines(
         prepared.content.sites, records, prepared.stats, options.run_time, json_export.METADATA_KEYS
     )

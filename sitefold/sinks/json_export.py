@@ -58,20 +58,16 @@ def stats_json() -> Column:
 
 
 def entity_rows(tables: dict[str, DataFrame], run_time: str) -> DataFrame:
-    """(site, entity, ord, record) of the listed entities, each record as JSON text."""
-    posts = tables["posts"]
-    sources = {
-        "posts": posts.filter("content_type = 'post'"),
-        "pages": posts.filter("content_type = 'page'"),
-        "media": tables["media"],
-        "categories": tables["categories"],
-        "tags": tables["tags"],
-        "users": tables["users"],
-    }
-    parts = [
-        rows.select("site", F.lit(name).alias("entity"), "ord", record_json(ENDPOINT_ROWS[name], run_time).alias("record"))
-        for name, rows in sources.items()
-    ]
+    """(site, entity, ord, record) of the given tables, each record as JSON text.
+
+    Keys are ``posts`` (posts and pages in one pass), ``media``, ``categories``,
+    ``tags`` and ``users``.
+    """
+    parts = []
+    for name, rows in tables.items():
+        entity = F.expr("CASE WHEN content_type = 'page' THEN 'pages' ELSE 'posts' END") if name == "posts" else F.lit(name)
+        record = record_json(ENDPOINT_ROWS[name], run_time)
+        parts.append(rows.select("site", entity.alias("entity"), "ord", record.alias("record")))
     return reduce(DataFrame.unionByName, parts)
 
 

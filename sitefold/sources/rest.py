@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitefold.operators.joins import BROADCAST_BYTES, fits_broadcast, materialised
 from sitefold.schemas import (
     CONTENT_TYPES,
     ENDPOINT_ROWS,
@@ -69,46 +70,46 @@ def page_cuts(api_pages: DataFrame) -> DataFrame:
     )
 
 
-def failed_listings(api_pages: DataFrame) -> DataFrame:
-    return page_cuts(api_pages).filter("failed").select("site", "endpoint", "error_page")
+def failed_listings(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    cuts = page_cuts(api_pages) if cuts is None else cuts
+    return cuts.filter("failed").select("site", "endpoint", "error_page")
 
 
-def surviving_pages(api_pages: DataFrame) -> DataFrame:
+def surviving_pages(
+    api_pages: DataFrame, cuts: DataFrame | None = None, bound: int = BROADCAST_BYTES
+) -> DataFrame:
     """Listing pages before the end of listings that did not fail.
 
-    The cut is spread over blocks of pages, so the join key is (site, endpoint,
-    block). Spark broadcasts the cuts where their measured size allows and
-    otherwise shuffles evenly sized keys.
+    The cuts are materialised and measured. Within ``bound`` bytes they are
+    broadcast, so bodies are not shuffled. Beyond that, a cut is spread over
+    blocks of pages and the join key is (site, endpoint, block): whatever share
+    of the rows one site holds, no key gathers more than a block.
     """
-    blocks = (
-        page_cuts(api_pages)
-        .filter("NOT failed AND end_page > 0")
-        .select(
-            "site",
-            "endpoint",
-            "end_page",
-            F.explode(F.sequence(F.lit(0), F.floor((F.col("end_page") - 1) / PAGE_BLOCK).cast("int"))).alias(
-                "page_block"
-            ),
+    cuts = materialised(page_cuts(api_pages)) if cuts is None else cuts
+    ends = cuts.filter("NOT failed AND end_page > 0").select("site", "endpoint", "end_page")
+    answered = api_pages.filter("status = 200")
+    if fits_broadcast(ends, bound):
+        joined = answered.join(F.broadcast(ends), ["site", "endpoint"])
+    else:
+        last_block = F.floor((F.col("end_page") - 1) / PAGE_BLOCK).cast("int")
+        blocks = ends.withColumn("page_block", F.explode(F.sequence(F.lit(0), last_block)))
+        joined = answered.withColumn("page_block", F.floor(F.col("page") / PAGE_BLOCK).cast("int")).join(
+            blocks, ["site", "endpoint", "page_block"]
         )
-    )
-    return (
-        api_pages.filter("status = 200")
-        .withColumn("page_block", F.floor(F.col("page") / PAGE_BLOCK).cast("int"))
-        .join(blocks, ["site", "endpoint", "page_block"])
-        .filter("page < end_page")
-        .drop("page_block", "end_page")
-    )
+    return joined.filter("page < end_page").select(*api_pages.columns)
 
 
-def scan_listing(api_pages: DataFrame, endpoint: str) -> DataFrame:
-    """Typed records of one endpoint, with ``site`` and ``ord`` in front."""
+def scan_listing(api_pages: DataFrame, endpoint: str, cuts: DataFrame | None = None) -> DataFrame:
+    """Typed records of one endpoint, with ``site`` and ``ord`` in front.
+
+    Pass materialised ``cuts`` to share them between endpoints; otherwise those
+    of this endpoint are computed, and partitioned captures are pruned to it.
+    """
     if endpoint not in ENDPOINT_ROWS:
         raise ValueError(f"unknown endpoint: {endpoint}")
     ddl = ENDPOINT_ROWS[endpoint]
-    # The filter sits below the cut as well: a broken page of another endpoint
-    # never reaches this scan, and partitioned captures are pruned.
-    pages = surviving_pages(api_pages.filter(F.col("endpoint") == endpoint))
+    mine = F.col("endpoint") == endpoint
+    pages = surviving_pages(api_pages.filter(mine), None if cuts is None else cuts.filter(mine))
     records = pages.select(
         "site", "page", F.posexplode(F.from_json("body", f"ARRAY<STRUCT<{ddl}>>")).alias("position", "record")
     )
@@ -119,27 +120,29 @@ def scan_listing(api_pages: DataFrame, endpoint: str) -> DataFrame:
     )
 
 
-def scan_posts(api_pages: DataFrame) -> DataFrame:
+def scan_posts(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """Posts and pages in one table, told apart by ``content_type``."""
-    posts = scan_listing(api_pages, "posts").withColumn("content_type", F.lit("post"))
-    pages = scan_listing(api_pages, "pages").withColumn("content_type", F.lit("page"))
+    if cuts is None:
+        cuts = materialised(page_cuts(api_pages.filter(F.col("endpoint").isin("posts", "pages"))))
+    posts = scan_listing(api_pages, "posts", cuts).withColumn("content_type", F.lit("post"))
+    pages = scan_listing(api_pages, "pages", cuts).withColumn("content_type", F.lit("page"))
     return posts.unionByName(pages)
 
 
-def scan_media(api_pages: DataFrame) -> DataFrame:
-    return scan_listing(api_pages, "media")
+def scan_media(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    return scan_listing(api_pages, "media", cuts)
 
 
-def scan_categories(api_pages: DataFrame) -> DataFrame:
-    return scan_listing(api_pages, "categories")
+def scan_categories(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    return scan_listing(api_pages, "categories", cuts)
 
 
-def scan_tags(api_pages: DataFrame) -> DataFrame:
-    return scan_listing(api_pages, "tags")
+def scan_tags(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    return scan_listing(api_pages, "tags", cuts)
 
 
-def scan_users(api_pages: DataFrame) -> DataFrame:
-    return scan_listing(api_pages, "users")
+def scan_users(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    return scan_listing(api_pages, "users", cuts)
 
 
 def item_outcome(status: Column, body: Column) -> Column:

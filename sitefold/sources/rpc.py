@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.functions.sqltext import lit
+from sitefold.operators.joins import BROADCAST_BYTES, fits_broadcast, materialised
 from sitefold.schemas import CATEGORY, MEDIA, POST, SITE, TAG, USER, listed_ord, struct_type, zero_filled_sql
 
 # Methods by entity, and the page size of calls that page.
@@ -106,25 +107,19 @@ def offset_cuts(rpc_pages: DataFrame) -> DataFrame:
 OFFSET_BLOCK = 64 * PAGE_SIZE
 
 
-def _surviving_calls(rpc_pages: DataFrame) -> DataFrame:
-    block = F.floor(F.col("offset") / OFFSET_BLOCK).cast("int")
-    cuts = (
-        offset_cuts(rpc_pages)
-        .filter(~F.col("failed"))
-        .select(
-            "site",
-            "method",
-            "last_offset",
-            F.explode(F.sequence(F.lit(0), F.floor(F.col("last_offset") / OFFSET_BLOCK).cast("int"))).alias("block"),
+def _surviving_calls(rpc_pages: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Calls up to the end of sequences that did not fail, joined as listing pages are."""
+    cuts = materialised(offset_cuts(rpc_pages).filter(~F.col("failed")).select("site", "method", "last_offset"))
+    answered = rpc_pages.filter("status = 200")
+    if fits_broadcast(cuts, bound):
+        joined = answered.join(F.broadcast(cuts), ["site", "method"])
+    else:
+        last_block = F.floor(F.col("last_offset") / OFFSET_BLOCK).cast("int")
+        blocks = cuts.withColumn("block", F.explode(F.sequence(F.lit(0), last_block)))
+        joined = answered.withColumn("block", F.floor(F.col("offset") / OFFSET_BLOCK).cast("int")).join(
+            blocks, ["site", "method", "block"]
         )
-    )
-    return (
-        rpc_pages.filter("status = 200")
-        .withColumn("block", block)
-        .join(cuts, ["site", "method", "block"])
-        .filter("offset <= last_offset")
-        .drop("block", "last_offset")
-    )
+    return joined.filter("offset <= last_offset").select(*rpc_pages.columns)
 
 
 def _scalar(value: str) -> str:

@@ -225,3 +225,18 @@ def test_stats(spark):
     cats = categories_of(spark, [(1, 0, "a")])
     got = {r.site: tuple(r)[1:] for r in stats.export_stats(sites, posts, items, cats, cats, cats, manifest).collect()}
     assert got == {"s": (2, 1, 1, 1, 1, 1, 1, 1), "empty": (0,) * 8}
+
+
+def test_shuffle_paths_equal_broadcast_paths(spark):
+    """With a bound of nothing, every lookup takes the spread join and gives the same rows."""
+    cats = categories_of(spark, [(1, 0, "a"), (2, 1, "b"), (3, 2, "c"), (4, 9, "d"), (5, 5, "self")])
+    spread, broadcast = (taxonomy.category_paths(cats, bound) for bound in (-1, 1 << 20))
+    assert sorted(spread.collect()) == sorted(broadcast.collect())
+    posts = posts_of(spark, [{"id": i, "categories": [i % 6] if i % 7 else [], "link": "https://e.com/x"} for i in range(40)])
+    folders = [sorted((r.id, r.folder) for r in taxonomy.with_category_folder(posts, spread, bound).collect()) for bound in (-1, 1 << 20)]
+    assert folders[0] == folders[1] and len(folders[0]) == 40
+    rows = spark.range(200).selectExpr("'s' AS site", "concat('p', id % 30) AS path", "id AS ord")
+    assert [sorted(r.ord for r in documents.last_writes(rows, bound).collect()) for bound in (-1, 1 << 20)] == [list(range(170, 200))] * 2
+    pages = [("s", "tags", p, 200, '[{"id":1}]') for p in range(1, 300)] + [("s", "tags", 300, 400, "")]
+    listing = spark.createDataFrame(pages, schemas.API_PAGES)
+    assert [rest.surviving_pages(listing, bound=bound).count() for bound in (-1, 1 << 20)] == [299, 299]
