@@ -59,8 +59,34 @@ def _swap(value: str, old: str, new: str) -> str:
     return f"replace({value}, {lit(old)}, {lit(new)})"
 
 
+# Text in which removing one tag would complete another, so that the order of
+# the replacements shows.
+_NESTED = lit(r"<[/a-z1-6 ]{0,8}<(?:p|ul|ol)>")
+
+
+def _in_turn(html: str) -> str:
+    return reduce(lambda value, pair: _swap(value, *pair), TAG_REPLACEMENTS, html)
+
+
+def _at_once(html: str) -> str:
+    """One pass: what follows each ``<`` up to the next ``>`` is looked up in the table of tags.
+
+    Tags cannot overlap and no replacement contains an angle bracket, so this
+    equals replacing in turn unless a removed tag stands inside another.
+    """
+    pairs = ", ".join(f"{lit(old[1:-1])}, {lit(new)}" for old, new in TAG_REPLACEMENTS)
+    longest = max(len(old) for old, _ in TAG_REPLACEMENTS) - 1
+    end = "locate('>', piece)"
+    swapped = f"concat(try_element_at(map({pairs}), substring(piece, 1, {end} - 1)), substring(piece, {end} + 1))"
+    return (
+        f"array_join(transform(split({html}, '<'), (piece, i) -> CASE WHEN i = 0 THEN piece "
+        f"WHEN {end} BETWEEN 2 AND {longest} THEN coalesce({swapped}, concat('<', piece)) ELSE concat('<', piece) END), '')"
+    )
+
+
 def html_to_markdown_sql(html: str) -> str:
-    replaced = reduce(lambda value, pair: _swap(value, *pair), TAG_REPLACEMENTS, text(html))
+    source = text(html)
+    replaced = f"CASE WHEN {source} RLIKE {_NESTED} THEN {_in_turn(source)} ELSE {_at_once(source)} END"
     return f"btrim({_swap(replaced, chr(10) * 3, chr(10) * 2)}, {lit(WHITE_SPACE)})"
 
 
@@ -70,7 +96,7 @@ def yaml_text_sql(value: str) -> str:
 
 
 def html_to_markdown(html: str) -> Column:
-    """The tag replacements in turn, one pass over triple line ends, then trimmed."""
+    """The tag replacements as if made in turn, one pass over triple line ends, then trimmed."""
     return column(html_to_markdown_sql(html))
 
 

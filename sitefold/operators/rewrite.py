@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitefold.functions.sqltext import bind, lit
 from sitefold.operators.media import link_path, media_urls
 
 POST_KEY = ["site", "content_type", "ord"]
@@ -67,22 +68,21 @@ def _url_shapes(urls: DataFrame) -> Column:
     return urls.agg(*aggregates).select(F.struct(*names).alias("shapes")).scalar()
 
 
-def _piece_hashes(content: Column, start: str, lengths: Column, span: Column) -> Column:
+def _piece_hashes(content: str, start: str, lengths: str, span: str) -> str:
     """Hashes of all pieces of the content that start like a URL and are as long as one."""
-    none = F.array().cast("array<bigint>")
-
-    def hashes(parts: Column) -> Column:
-        def at(index: Column) -> Column:
-            tail = F.array_join(F.slice(parts, index, span), "")
-            return F.transform(
-                F.filter(lengths, lambda size: size <= F.length(tail)),
-                lambda size: F.xxhash64(F.substring(tail, F.lit(1), size)),
+
+    def hashes(parts: str) -> str:
+        joined = f"array_join(slice({parts}, i, {span}), '')"
+
+        def prefixes(tail: str) -> str:
+            return (
+                f"transform(filter({lengths}, n -> n <= length({tail})), n -> xxhash64(substring({tail}, 1, n)))"
             )
 
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), at))
+        return f"flatten(transform(sequence(1, size({parts})), i -> {bind(f'substring({joined}, 1, array_max({lengths}))', prefixes)}))"
 
-    pieces = F.element_at(F.transform(F.array(F.split(content, start)), hashes), 1)
-    return F.when((F.size(lengths) > 0) & (content != ""), pieces).otherwise(none)
+    pieces = bind(f"split({content}, {lit(start)})", hashes)
+    return f"CASE WHEN size({lengths}) > 0 AND {content} <> '' THEN {pieces} ELSE CAST(array() AS ARRAY<BIGINT>) END"
 
 
 def rewrite_candidates(posts: DataFrame, urls: DataFrame) -> DataFrame:
@@ -90,16 +90,16 @@ def rewrite_candidates(posts: DataFrame, urls: DataFrame) -> DataFrame:
 
     The list of one post is bounded by the post's own text.
     """
-    text_columns = [F.coalesce("content.rendered", F.lit("")), F.coalesce("excerpt.rendered", F.lit(""))]
-    shaped = posts.select(*POST_KEY, *[c.alias(f"text_{i}") for i, c in enumerate(text_columns)]).withColumn(
+    texts = ("content.rendered", "excerpt.rendered")
+    shaped = posts.selectExpr(*POST_KEY, *[f"coalesce({t}, '') AS text_{i}" for i, t in enumerate(texts)]).withColumn(
         "shapes", _url_shapes(urls)
     )
     found = [
-        _piece_hashes(F.col(f"text_{i}"), start, F.col(f"shapes.{name}_lengths"), F.col(f"shapes.{name}_span"))
-        for i in range(len(text_columns))
+        _piece_hashes(f"text_{i}", start, f"shapes.{name}_lengths", f"shapes.{name}_span")
+        for i in range(len(texts))
         for name, start in _STARTS.items()
     ]
-    pieces = shaped.select(*POST_KEY, F.explode(F.array_distinct(F.concat(*found))).alias("url_hash"))
+    pieces = shaped.selectExpr(*POST_KEY, f"explode(array_distinct(concat({', '.join(found)}))) AS url_hash")
     hashed = urls.withColumn("url_hash", F.xxhash64("url"))
     # A URL that a third of all posts carry makes one hot key on the left of an
     # inner join, which adaptive execution splits; the next step shuffles anyway.

@@ -207,3 +207,21 @@ def test_times(evaluate):
     assert evaluate(rows, "x string", F.unix_micros(parse_time("x"))) == expected
     assert evaluate(rows, "x string", is_time("x")) == [c[1] is not None for c in cases]
     assert evaluate(rows, "x string", print_time("x", "NOW")) == [c[2] for c in cases]
+
+
+def test_markdown_equals_replacing_in_turn(evaluate):
+    """Against the plain loop, on texts with split, nested and repeated tags."""
+    import random
+
+    from sitefold.functions.markup import TAG_REPLACEMENTS, WHITE_SPACE
+
+    rng = random.Random(3)
+    bits = [old for old, _ in TAG_REPLACEMENTS] + ["<", ">", "u", "l>", "/", "h1>", "p", " ", "\n", "<p ", "é", "<u", "o", "<<", "strong>", "a>b"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+
+    def plain(value):
+        for old, new in TAG_REPLACEMENTS:
+            value = value.replace(old, new)
+        return value.replace("\n\n\n", "\n\n").strip(WHITE_SPACE)
+
+    check(evaluate, html_to_markdown("x"), [(t, plain(t)) for t in texts])
