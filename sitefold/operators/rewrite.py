@@ -3,9 +3,9 @@
 A URL is replaced wherever it occurs as a substring, so a token join is not
 enough: ``https://a/b.jp`` also occurs inside ``https://a/b.jpg``. Every
 occurrence starts where the text could start a URL of the same kind and has the
-length of some URL. Hashing exactly those pieces turns the substring search
-into an equi-join that finds every occurrence, for any URL text, without
-pairing posts with media.
+length of some URL and its last character. Hashing exactly those pieces turns
+the substring search into an equi-join that finds every occurrence, for any URL
+text, without pairing posts with media.
 
 A hash that matches by accident is harmless, since replacing a URL that is not
 there changes nothing.
@@ -50,36 +50,45 @@ def replacements(media: DataFrame) -> DataFrame:
 
 
 def _url_shapes(urls: DataFrame) -> Column:
-    """Per kind, the distinct URL lengths and the most starts one URL can span.
+    """Per kind, the distinct URL lengths with the characters URLs of that length end in,
+    and the most starts one URL can span.
 
-    A one-row subquery. It holds lengths only, so it is bounded by the longest
-    URL and does not grow with the number of media.
+    A one-row subquery. It is bounded by the length of the longest URL and the
+    alphabet, and does not grow with the number of media.
     """
-    url = F.col("url")
-    kind = _kind(url)
+    kinds = list(_STARTS)
+    url, kind = F.col("url"), _kind(F.col("url"))
+    # One more start may begin in the last characters and end beyond the URL.
+    spans = [F.when(kind == name, F.size(F.split(url, start)) + 1) for name, start in _STARTS.items()]
+    per_length = (
+        urls.select(kind.alias("kind"), F.length(url).alias("n"), F.right(url, F.lit(1)).alias("last"), F.coalesce(*spans).alias("span"))
+        .groupBy("kind", "n")
+        .agg(F.array_join(F.array_sort(F.collect_set("last")), "").alias("lasts"), F.max("span").alias("span"))
+    )
     aggregates = []
-    for name, start in _STARTS.items():
-        mine = kind == name
-        aggregates.append(F.array_sort(F.collect_set(F.when(mine, F.length(url)))).alias(f"{name}_lengths"))
-        # One more start may begin in the last characters and end beyond the URL.
-        span = F.size(F.split(url, start)) + 1
-        aggregates.append(F.coalesce(F.max(F.when(mine, span)), F.lit(0)).alias(f"{name}_span"))
-    names = [f"{name}_{part}" for name in _STARTS for part in ("lengths", "span")]
-    return urls.agg(*aggregates).select(F.struct(*names).alias("shapes")).scalar()
+    for name in kinds:
+        mine = F.col("kind") == name
+        aggregates.append(F.array_sort(F.collect_list(F.when(mine, F.struct("n", "lasts")))).alias(f"{name}_lengths"))
+        aggregates.append(F.coalesce(F.max(F.when(mine, F.col("span"))), F.lit(0)).alias(f"{name}_span"))
+    names = [f"{name}_{part}" for name in kinds for part in ("lengths", "span")]
+    return per_length.agg(*aggregates).select(F.struct(*names).alias("shapes")).scalar()
 
 
 def _piece_hashes(content: str, start: str, lengths: str, span: str) -> str:
-    """Hashes of all pieces of the content that start like a URL and are as long as one."""
+    """Hashes of all pieces of the content that start like a URL and are as long as one.
+
+    Pieces that do not end like a URL of their length are left out.
+    """
 
     def hashes(parts: str) -> str:
         joined = f"array_join(slice({parts}, i, {span}), '')"
 
         def prefixes(tail: str) -> str:
-            return (
-                f"transform(filter({lengths}, n -> n <= length({tail})), n -> xxhash64(substring({tail}, 1, n)))"
-            )
+            ends = f"filter({lengths}, u -> u.n <= length({tail}) AND contains(u.lasts, substring({tail}, u.n, 1)))"
+            return f"transform({ends}, u -> xxhash64(substring({tail}, 1, u.n)))"
 
-        return f"flatten(transform(sequence(1, size({parts})), i -> {bind(f'substring({joined}, 1, array_max({lengths}))', prefixes)}))"
+        tail = f"substring({joined}, 1, element_at({lengths}, -1).n)"
+        return f"flatten(transform(sequence(1, size({parts})), i -> {bind(tail, prefixes)}))"
 
     pieces = bind(f"split({content}, {lit(start)})", hashes)
     return f"CASE WHEN size({lengths}) > 0 AND {content} <> '' THEN {pieces} ELSE CAST(array() AS ARRAY<BIGINT>) END"

@@ -20,6 +20,8 @@ SETTINGS = {
 STATIC_SETTINGS = {
     # Call-site capture costs several round trips per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Checkpoints of finished loops leave the shared folder with their tables.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -24,10 +24,20 @@ from sitefold.schemas import (
 PAGE_BLOCK = 64
 
 
+def is_json_null(body: Column) -> Column:
+    return body.rlike(r"\A\s*null\s*\z")
+
+
+def is_json_object(body: Column) -> Column:
+    """Whether a body decodes into a record; ``null`` does, into an empty one."""
+    closed = F.json_object_keys(body).isNotNull() & body.rlike(r"\}\s*\z")
+    return is_json_null(body) | closed
+
+
 def _row_count(body: Column) -> Column:
     """Records in a JSON array body, 0 for ``null``; NULL where it is no array of objects."""
     objects = body.rlike(r"\A\s*\[\s*(?:\]|\{|null)") & body.rlike(r"\]\s*\z")
-    return F.when(F.trim(body) == "null", F.lit(0)).when(objects, F.json_array_length(body))
+    return F.when(is_json_null(body), F.lit(0)).when(objects, F.json_array_length(body))
 
 
 def page_outcome(status: Column, body: Column) -> Column:
@@ -146,11 +156,9 @@ def scan_users(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame
 
 
 def item_outcome(status: Column, body: Column) -> Column:
-    """``found``, ``missing`` (404) or ``error`` (any other status, or a body that is no object)."""
-    readable = F.json_object_keys(F.coalesce(body, F.lit(""))).isNotNull() & body.rlike(r"\}\s*\z")
-    return (
-        F.when((status == 200) & readable, "found").when(status == 404, "missing").otherwise("error")
-    )
+    """``found``, ``missing`` (404) or ``error`` (any other status, or a body that is no record)."""
+    readable = is_json_object(F.coalesce(body, F.lit("")))
+    return F.when((status == 200) & readable, "found").when(status == 404, "missing").otherwise("error")
 
 
 def found_items(api_items: DataFrame) -> DataFrame:

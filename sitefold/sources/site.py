@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.sqltext import lit
 from sitefold.schemas import SITE, struct_type, zero_filled_sql
+from sitefold.sources.rest import is_json_object
 
 # Fixed value: name of a site whose information cannot be read.
 DEFAULT_NAME = "WordPress Site"
@@ -30,10 +31,8 @@ def site_info(api_pages: DataFrame, sites: DataFrame) -> DataFrame:
         .select(
             "site",
             F.col("url").alias("given_url"),
-            F.when(
-                F.json_object_keys(body).isNotNull() & body.rlike(r"\}\s*\z"),
-                F.from_json(body, SITE + ", home STRING"),
-            ).alias("info"),
+            is_json_object(body).alias("readable"),
+            F.from_json(body, SITE + ", home STRING").alias("info"),
         )
     )
     columns = []
@@ -42,6 +41,8 @@ def site_info(api_pages: DataFrame, sites: DataFrame) -> DataFrame:
         filled = zero_filled_sql(value, field.dataType)
         default = {"name": lit(DEFAULT_NAME), "url": "given_url"}.get(field.name)
         if default:
-            filled = f"CASE WHEN info IS NULL THEN {default} ELSE {filled} END"
+            filled = f"CASE WHEN readable THEN {filled} ELSE {default} END"
+        else:
+            filled = f"CASE WHEN readable THEN {filled} ELSE {zero_filled_sql(None, field.dataType)} END"
         columns.append(f"{filled} AS {field.name}")
     return read.selectExpr("site", *columns)

@@ -64,11 +64,11 @@ def test_media_users_terms(spark):
 
 def test_item_outcomes(spark):
     rows = [("s", "posts", 1, 200, '{"id":1}'), ("s", "posts", 2, 404, ""), ("s", "posts", 3, 500, ""),
-            ("s", "posts", 4, 200, "x"), ("s", "posts", 5, 200, None)]
+            ("s", "posts", 4, 200, "x"), ("s", "posts", 5, 200, None), ("s", "posts", 6, 200, " null\n")]
     items = spark.createDataFrame(rows, schemas.API_ITEMS)
     got = [r.o for r in items.select("id", rest.item_outcome(F.col("status"), F.col("body")).alias("o")).orderBy("id").collect()]
-    assert got == ["found", "missing", "error", "error", "error"]
-    assert [r.id for r in rest.decode_items(items, "posts").collect()] == [1]
+    assert got == ["found", "missing", "error", "error", "error", "found"]
+    assert sorted(r.id for r in rest.decode_items(items, "posts").collect()) == [0, 1]
     with pytest.raises(ValueError):
         rest.decode_items(items, "comments")
 
