@@ -40,12 +40,14 @@ def _row_count(body: Column) -> Column:
     return F.when(is_json_null(body), F.lit(0)).when(objects, F.json_array_length(body))
 
 
-def page_outcome(status: Column, body: Column) -> Column:
-    """``stop`` ends a listing, ``error`` fails it, ``rows`` continues it."""
-    count = F.when(status == 200, _row_count(F.coalesce(body, F.lit(""))))
+def page_outcome(status: Column, count: Column) -> Column:
+    """``stop`` ends a listing, ``error`` fails it, ``rows`` continues it.
+
+    ``count`` is the number of records of an answered page, NULL if unreadable.
+    """
     return (
-        F.when((status == 400) | (count == 0), "stop")
-        .when(count > 0, "rows")
+        F.when((status == 400) | ((status == 200) & (count == 0)), "stop")
+        .when((status == 200) & (count > 0), "rows")
         .otherwise("error")
     )
 
@@ -58,8 +60,10 @@ def page_cuts(api_pages: DataFrame) -> DataFrame:
     per listing are aggregated, partially before the shuffle; bodies stay put.
     """
     outcome = F.col("outcome")
+    count = F.when(F.col("status") == 200, _row_count(F.coalesce("body", F.lit(""))))
     return (
-        api_pages.select("site", "endpoint", "page", page_outcome(F.col("status"), F.col("body")).alias("outcome"))
+        api_pages.select("site", "endpoint", "page", "status", count.alias("count"))
+        .select("site", "endpoint", "page", page_outcome(F.col("status"), F.col("count")).alias("outcome"))
         .groupBy("site", "endpoint")
         .agg(
             F.min(F.when(outcome == "stop", F.col("page"))).alias("stop_page"),
@@ -120,23 +124,26 @@ def scan_listing(api_pages: DataFrame, endpoint: str, cuts: DataFrame | None = N
     ddl = ENDPOINT_ROWS[endpoint]
     mine = F.col("endpoint") == endpoint
     pages = surviving_pages(api_pages.filter(mine), None if cuts is None else cuts.filter(mine))
-    records = pages.select(
-        "site", "page", F.posexplode(F.from_json("body", f"ARRAY<STRUCT<{ddl}>>")).alias("position", "record")
-    )
-    return records.select(
+    return _records(pages, ddl)
+
+
+def _records(pages: DataFrame, ddl: str, *labels: Column) -> DataFrame:
+    """Records of listing pages in their order, decoded once per body."""
+    record = F.posexplode(F.from_json("body", f"ARRAY<STRUCT<{ddl}>>")).alias("position", "record")
+    return pages.select("site", "endpoint", "page", record).select(
         "site",
         listed_ord(F.col("page"), F.col("position")).alias("ord"),
+        *labels,
         *zero_filled_fields("record", ddl),
     )
 
 
 def scan_posts(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
-    """Posts and pages in one table, told apart by ``content_type``."""
-    if cuts is None:
-        cuts = materialised(page_cuts(api_pages.filter(F.col("endpoint").isin("posts", "pages"))))
-    posts = scan_listing(api_pages, "posts", cuts).withColumn("content_type", F.lit("post"))
-    pages = scan_listing(api_pages, "pages", cuts).withColumn("content_type", F.lit("page"))
-    return posts.unionByName(pages)
+    """Posts and pages in one table and one scan, told apart by ``content_type``."""
+    mine = F.col("endpoint").isin("posts", "pages")
+    pages = surviving_pages(api_pages.filter(mine), None if cuts is None else cuts.filter(mine))
+    content_type = F.when(F.col("endpoint") == "pages", "page").otherwise("post")
+    return _records(pages, POST, content_type.alias("content_type"))
 
 
 def scan_media(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:

@@ -236,12 +236,14 @@ def _records(rpc_pages: DataFrame, method: str, ddl: str, fields: dict[str, str]
     """Records of one method in all columns of the entity; those it does not carry are zero.
 
     Member names and texts become two parallel arrays once per record, so each
-    field is a plain lookup.
+    field is a plain lookup. The outer explode keeps the optimizer from parsing
+    bodies once more in a filter on empty responses.
     """
     calls = _surviving_calls(rpc_pages.filter(F.col("method") == method))
     response = calls.select("site", "offset", F.from_xml("body", F.lit(_response_ddl(depth)), _XML_OPTIONS).alias("response"))
     members = (
-        response.selectExpr("site", "offset", "posexplode(try_element_at(response.params.param, 1).value.array.data.value) AS (position, value)")
+        response.selectExpr("site", "offset", "posexplode_outer(try_element_at(response.params.param, 1).value.array.data.value) AS (position, value)")
+        .filter("position IS NOT NULL")
         .select("site", listed_ord(F.col("offset"), F.col("position")).alias("ord"), F.col("value.struct.member").alias("members"))
         .selectExpr(
             "site",
