@@ -66,7 +66,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Every input bit changes about half of the output bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -80,12 +81,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     h = lengths.astype(np.uint64) * _MULTIPLIER
     alive, at, left, part = slice(None), starts, lengths, h
     while len(at):
-        part = _mixed(part ^ (eight[at] & _TAIL[np.minimum(left, 8)])) * _MULTIPLIER
+        part = mixed(part ^ (eight[at] & _TAIL[np.minimum(left, 8)])) * _MULTIPLIER
         h[alive] = part
         more = np.flatnonzero(left > 8)
         alive = more if isinstance(alive, slice) else alive[more]
         at, left, part = at[more] + 8, left[more] - 8, part[more]
-    return _mixed(h)
+    return mixed(h)
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -113,7 +114,7 @@ def rolling_hashes(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * _powers(base, n), out=sums[1:])
     inverse = pow(base, -1, 1 << 64)
-    return _mixed((sums[width:] - sums[: n + 1 - width]) * _powers(inverse, n + 1 - width))
+    return mixed((sums[width:] - sums[: n + 1 - width]) * _powers(inverse, n + 1 - width))
 
 
 def window_mask(first_word: np.ndarray, n_words: int, width: int) -> np.ndarray:
