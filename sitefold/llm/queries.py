@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefold.llm import decontamination, license_scan, line_dedup, sharding, simhash, substring_dedup, url_filter
+from sitefold.llm import decontamination, license_scan, line_dedup, sharding, simhash, substring_dedup, toxicity, url_filter
 from sitefold.llm.common import table
 
 
@@ -16,6 +16,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the chain's probabilities and the verdict ``toxic`` of every document."""
+    labels = toxicity.chain_labels(table(spark, sf_dir, "labels"))
+    return toxicity.score(table(spark, sf_dir, "documents"), labels)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -47,6 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
