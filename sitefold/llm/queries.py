@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefold.llm import decontamination, license_scan, line_dedup, sharding, simhash, substring_dedup, toxicity, url_filter
+from sitefold.llm import decontamination, license_scan, line_dedup, pieces, sharding, simhash, substring_dedup, toxicity, url_filter
 from sitefold.llm.common import table
 
 
@@ -35,6 +35,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the ids, their number, the digest of the decoded text and whether it equals the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode(docs, decoded="decoded")
+    return coded.select("doc_id", "token_ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
