@@ -287,12 +287,21 @@ def find_items(
     return found
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns kept; a row with a null id is judged like others."""
-    marked = find_items(docs.withColumn("__dc_key", F.to_json(F.struct(F.col(key), F.md5(F.coalesce(text, F.lit("")))))), items, "__dc_key", text)
-    return (
-        docs.withColumn("__dc_key", F.to_json(F.struct(F.col(key), F.md5(F.coalesce(text, F.lit(""))))))
-        .join(marked.select("__dc_key").distinct(), "__dc_key", "left_anti")
-        .drop("__dc_key")
-    )
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item, all columns kept; each row is judged where it is read."""
+    at = docs.columns.index(text)
+    numbered = items.select(F.lit(0).alias("number"), F.col(item_text).alias("text"))
+    for ids, texts in _blocks(numbered, "number", "text", block_bytes):
+        index = docs.sparkSession.sparkContext.broadcast(Index(ids, texts))
+
+        def run(batches, index=index):
+            for batch in batches:
+                data, offsets = text_bytes(batch.column(at))
+                clean = np.ones(batch.num_rows, bool)
+                for first, last in slices(offsets):
+                    own = (data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                    clean[[first + found[0] for found in index.value.matches(own)]] = False
+                yield batch.filter(pa.array(clean))
 
+        docs = short_batches(docs).mapInArrow(run, docs.schema)
+    return docs

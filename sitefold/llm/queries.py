@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefold.llm import decontamination, license_scan, line_dedup, pieces, sharding, simhash, substring_dedup, toxicity, url_filter
+import corpus_pipeline
+from sitefold.llm import decontamination, embedding_dedup, license_scan, line_dedup, pieces, sharding, simhash, substring_dedup, toxicity, url_filter
 from sitefold.llm.common import table
 
 
@@ -42,6 +43,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "token_ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -65,9 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_url_filter": op5_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {

@@ -205,3 +205,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # A fingerprint of very many documents is spread, should the lookup not fit a broadcast.
     placed = lookup_join(prints, landed(members), ["fingerprint_bits"], "left", [key])
     return placed.select(key, hexed, "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, that of the smallest key, all columns kept; of repeated rows one stays.
+
+    Only keys move: those of rows to drop are measured and broadcast, or joined by a spread shuffle beyond the bound.
+    """
+    number = F.coalesce(F.lpad(F.col(key).cast("string"), 20, "0"), F.lit("~"))  # texts sort like the numbers
+    keyed = docs.withColumn("__sh_key", F.concat_ws("/", number, F.md5(F.coalesce(text, F.lit("")))))
+    found = landed(near_duplicates(keyed, "__sh_key", text).select("__sh_key", "component_id"))
+    dropped = landed(found.where("__sh_key <> component_id").select("__sh_key").distinct())
+    kept = lookup_join(keyed, dropped, ["__sh_key"], "left_anti", [text])
+    repeated = landed(found.where("__sh_key = component_id").groupBy("__sh_key").count().where("count > 1").select("__sh_key"))
+    if not repeated.isEmpty():
+        once = lookup_join(kept, repeated, ["__sh_key"], "left_semi", [text]).dropDuplicates(["__sh_key"])
+        kept = lookup_join(kept, repeated, ["__sh_key"], "left_anti", [text]).unionByName(once)
+    return kept.drop("__sh_key")
