@@ -10,8 +10,8 @@ at most (mean distinct lines per page) / ``max_ratio`` boilerplate lines; these
 the bound and joined by a spread shuffle beyond it. Texts are not shuffled in the first case.
 
 Defined cases: a null text stays null and counts as a page without lines; a null host is a host of its own; an empty
-text has one blank line. Repeated rows are pages of their own. Extra columns pass through unchanged. An empty table
-gives no rows.
+text has one blank line. Repeated rows are pages of their own. Extra columns pass through unchanged, but
+``n_lines`` and ``n_dropped`` are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ vocabulary and travel by broadcast; texts are not shuffled.
 
 Defined cases: null and empty texts have no ids and decode to the empty text. A text that holds the marker itself decodes
 to one with blanks there; ``round_trip`` compares with that. Of equally good segmentations the one whose last piece
-starts first wins, then the one before it in turn. Repeated rows, null keys and extra columns are carried. An empty table
-gives no rows.
+starts first wins, then the one before it in turn. Repeated rows, null keys and extra columns are carried; a column
+that has the name of a new one is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -293,6 +293,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL_PATH, decoded:
     ``decoded`` names a column for the decoded text, if it is wanted.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))
+    docs = docs.drop("token_ids", "n_tokens", "round_trip", *([decoded] if decoded else []))
     at = docs.columns.index(text)
     added = ["token_ids array<int>", "n_tokens bigint", "round_trip boolean", *([f"`{decoded}` string"] if decoded else [])]
 
@@ -326,6 +327,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL_PATH, decoded:
 def decode(rows: DataFrame, ids: str = "token_ids", path: str = MODEL_PATH, decoded: str = "decoded") -> DataFrame:
     """All rows and columns with the text of their ids; null ids give a null text."""
     vocabulary = rows.sparkSession.sparkContext.broadcast(load(path))
+    rows = rows.drop(decoded)
     at = rows.columns.index(ids)
 
     def run(batches):
