@@ -31,8 +31,6 @@ def known_ids(posts: DataFrame, media: DataFrame) -> DataFrame:
 
 def candidate_ids(ranges: DataFrame) -> DataFrame:
     """All ids of ``ranges(site, content_type, first_id, last_id)``; an inverted range has none."""
-    spark = ranges.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = (
         ranges.filter("first_id <= last_id")
         .select(
@@ -41,7 +39,7 @@ def candidate_ids(ranges: DataFrame) -> DataFrame:
             "last_id",
             F.explode(F.sequence("first_id", "last_id", F.lit(ID_BLOCK).cast("long"))).alias("block_start"),
         )
-        .repartition(parts, "site", "content_type", "block_start")
+        .repartition("site", "content_type", "block_start")
     )
     block_end = F.least(F.col("block_start") + (ID_BLOCK - 1), F.col("last_id"))
     return blocks.select("site", "content_type", F.explode(F.sequence("block_start", block_end)).alias("id"))

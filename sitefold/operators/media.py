@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ LINK_FOLDER = "media"
 
 
 def media_dir(output: str, output_format: str) -> str:
-    """Folder of local copies: beside a ``.json`` file, else inside the output folder."""
+    """Folder of local copies: beside a ``.json`` file, else inside the output folder. It is absolute or a URI."""
+    if "://" not in output:
+        output = os.path.abspath(output)
     if output_format == "json" and output.endswith(".json"):
         return output.removesuffix(".json") + "_media"
     return output.rstrip("/") + "/media"

@@ -165,14 +165,22 @@ def export(
     existing_files: DataFrame | None = None,
     attempts: DataFrame | None = None,
     api_items: DataFrame | None = None,
-    as_files: bool = True,
+    as_files: bool = False,
+    by_entity: bool = False,
 ) -> DataFrame:
-    """Write the export below ``output`` and return the counters of every site."""
+    """Write the export below ``output`` and return the counters of every site.
+
+    A JSON export is one document per site in ordered part files, or with ``by_entity`` JSON lines in a folder per
+    entity, each line valid by itself. Markdown goes to Parquet, or with ``as_files`` to a tree of files.
+    """
     if options.discover and api_items is not None:
         content = with_discovered(content, api_items, options.max_id)
     prepared = prepare(content, output, options, existing_files, attempts)
     root = output.removesuffix(".json").rstrip("/")
-    if options.output_format == "json":
+    if options.output_format == "json" and by_entity:
+        records = json_export.entity_rows(_tables(prepared.content), options.run_time)
+        json_export.write_entities(records, f"{root}/entities")
+    elif options.output_format == "json":
         json_export.write_document_lines(json_lines(prepared, options), f"{root}/export")
     else:
         pages = markdown_documents(prepared, options)
@@ -184,6 +192,13 @@ def export(
     return prepared.stats
 
 
+def export_captures(
+    api_pages: DataFrame, sites: DataFrame, output: str, options: ExportOptions, **inputs: DataFrame | bool | None
+) -> DataFrame:
+    """Decode captured responses and export them; ``options.strict`` decides whether a failed listing raises."""
+    return export(content_from_api(api_pages, sites, options.strict), output, options, **inputs)
+
+
 def default_outputs(sites: DataFrame, run_time: str) -> DataFrame:
     """(site, output): the folder an export of each site goes to by default.
 

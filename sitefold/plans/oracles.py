@@ -62,7 +62,7 @@ ORDER_POSTS = f"""order_posts AS (
     CASE WHEN o_orderstatus = 'F' THEN '<p><em>' || o_orderpriority || '</em></p>' ELSE '' END AS excerpt,
     o_custkey AS author, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey ELSE 0 END AS featured_media,
     CASE WHEN o_orderstatus = 'P' THEN []::BIGINT[] ELSE [o_custkey + 100001, 1] END AS categories,
-    [year(o_orderdate)]::BIGINT[] AS tags, o_totalprice > 499500 AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AS broken
+    [year(o_orderdate)]::BIGINT[] AS tags, o_totalprice > 499000 AND o_orderstatus = 'F' AS broken
   FROM orders JOIN customer ON c_custkey = o_custkey)"""
 
 PAGE_POSTS = f"""page_posts AS (
@@ -152,10 +152,11 @@ MANIFEST = """manifest AS (
 EVENT_LISTING = """event_listing AS (
   SELECT 'user-' || user_id AS site, event_type AS endpoint, event_id::INT AS page,
     CASE WHEN value > 190 THEN 400 WHEN value > 150 THEN 500 ELSE 200 END AS status,
-    CASE WHEN value < 1 THEN '[]' WHEN value < 2 THEN '[{' ELSE '[{"id":' || event_id || '}]' END AS body, value FROM events)"""
+    CASE WHEN value < 1 THEN '[]' WHEN value < 2 THEN '[{' WHEN value < 3 THEN '[{"id":' || event_id || '},7,{"id":' || event_id || '}]'
+      WHEN value < 4 THEN '[{"id":' || event_id || '},null]' ELSE '[{"id":' || event_id || '}]' END AS body, value FROM events)"""
 EVENT_CUTS = """cuts AS (
   SELECT site, endpoint, min(page) FILTER (value > 190 OR value < 1) AS stop_page,
-    min(page) FILTER ((value > 150 AND value <= 190) OR (value >= 1 AND value < 2)) AS error_page, max(page) AS last_page
+    min(page) FILTER ((value > 150 AND value <= 190) OR (value >= 1 AND value < 3)) AS error_page, max(page) AS last_page
   FROM event_listing GROUP BY ALL),
   ends AS (SELECT site, endpoint, stop_page, error_page, coalesce(stop_page, last_page + 1) AS end_page,
     error_page IS NOT NULL AND (stop_page IS NULL OR error_page < stop_page) AS failed FROM cuts)"""

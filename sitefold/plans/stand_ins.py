@@ -250,7 +250,7 @@ def order_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = order_posts(spark, sf_dir)
     price = read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
-        ((F.col("o_totalprice") > 499500) & (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")).alias("broken"),
+        ((F.col("o_totalprice") > 499000) & (F.col("o_orderstatus") == "F")).alias("broken"),
     )
     record = F.struct("id", "date", "modified", "slug", "status", "link", "title", "content", "excerpt", "author", "featured_media", "categories", "tags")
     pages = (
@@ -307,7 +307,11 @@ def event_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("value")
     events = read(spark, sf_dir, "events")
     status = F.when(value > 190, 400).when(value > 150, 500).otherwise(200)
-    body = F.when(value < 1, "[]").when(value < 2, "[{").otherwise(cat('[{"id":', F.col("event_id"), "}]"))
+    record = cat('{"id":', F.col("event_id"), "}")
+    body = (
+        F.when(value < 1, "[]").when(value < 2, "[{").when(value < 3, cat("[", record, ",7,", record, "]"))
+        .when(value < 4, cat("[", record, ",null]")).otherwise(cat("[", record, "]"))
+    )
     return events.select(
         cat("user-", F.col("user_id")).alias("site"), F.col("event_type").alias("endpoint"), F.col("event_id").cast("int").alias("page"),
         status.alias("status"), body.alias("body"),

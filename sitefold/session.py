@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,8 @@ def build_session(master: str | None = None, app_name: str = "sitefold", **extra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The cluster's shared checkpoint folder. A temporary one takes its place on a local master only:
+    elsewhere executors would each write to a disk of their own."""
     context = spark.sparkContext
     folder = (
         spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
         or context.getCheckpointDir()
     )
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

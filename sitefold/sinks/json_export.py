@@ -126,9 +126,8 @@ def write_document_lines(lines: DataFrame, output: str) -> None:
 
     Range partitioning on the full order splits a large site over many files.
     """
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        lines.repartitionByRange(parts, *LINE_ORDER)
+        lines.repartitionByRange(*LINE_ORDER)  # adaptive execution sets the number of parts
         .sortWithinPartitions(*LINE_ORDER)
         .select("site", "line")
         .write.mode("overwrite")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+
+from sitefold.functions.links import is_inside
+from sitefold.functions.sqltext import lit
+
+# Schemes that the tasks' file systems can write to.
+TREE_SCHEMES = ("file", "hdfs", "s3", "gs")
 
 
 def write_documents(documents: DataFrame, output: str) -> None:
@@ -15,9 +23,23 @@ def write_documents(documents: DataFrame, output: str) -> None:
 def write_tree(documents: DataFrame, output: str) -> None:
     """One file per document at ``<output>/<site>/<path>``, written by the tasks.
 
-    ``output`` is a URI or an absolute path on storage that all executors share.
-    Paths are unique and texts fixed, so a repeated task writes the same files.
+    ``output`` is an absolute path or a URI of one of ``TREE_SCHEMES`` on storage that all executors share; another
+    scheme fails before the job starts. A document whose path would leave its site's folder fails the job, and so
+    does a site that is no plain folder name. Paths are unique and texts fixed, so a repeated task writes the same files.
     """
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*)://", output)
+    if scheme and scheme[1] not in TREE_SCHEMES:
+        raise ValueError(f"cannot write files to {scheme[1]}://; use write_documents, or one of {', '.join(TREE_SCHEMES)}")
+    if not scheme and not output.startswith("/"):
+        raise ValueError(f"not an absolute path: {output}")
+    whole = F.concat(F.lit("/tree/"), "site", F.lit("/"), "path")
+    plain = F.col("site").rlike(r"\A[^/\x00]+\z") & ~F.col("site").isin(".", "..")
+    inside = plain & is_inside("__whole", "__folder") & is_inside("__whole", lit("/tree"))
+    checked = (
+        documents.withColumn("__whole", whole)
+        .withColumn("__folder", F.concat(F.lit("/tree/"), "site"))
+        .withColumn("path", F.when(inside, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("path outside its site: "), "__whole"))))
+    )
 
     def write_rows(rows: Iterator[Row]) -> None:
         from pyarrow import fs
@@ -33,4 +55,4 @@ def write_tree(documents: DataFrame, output: str) -> None:
             with store.open_output_stream(target) as stream:
                 stream.write(row.content.encode("utf-8"))
 
-    documents.select("site", "path", "content").foreachPartition(write_rows)
+    checked.select("site", "path", "content").foreachPartition(write_rows)

@@ -35,9 +35,14 @@ def is_json_object(body: Column) -> Column:
 
 
 def _row_count(body: Column) -> Column:
-    """Records in a JSON array body, 0 for ``null``; NULL where it is no array of objects."""
-    objects = body.rlike(r"\A\s*\[\s*(?:\]|\{|null)") & body.rlike(r"\]\s*\z")
-    return F.when(is_json_null(body), F.lit(0)).when(objects, F.json_array_length(body))
+    """Records in a JSON array body, 0 for ``null``; NULL where it is no array of objects and nulls.
+
+    The decoder decides: one element of another kind makes the whole array undecodable.
+    """
+    array = body.rlike(r"\A\s*\[") & body.rlike(r"\]\s*\z")
+    decoded = F.size(F.from_json(body, "ARRAY<STRUCT<id: STRING>>"))
+    count = F.json_array_length(body)
+    return F.when(is_json_null(body), F.lit(0)).when(array & (decoded == count), count)
 
 
 def page_outcome(status: Column, count: Column) -> Column:

@@ -10,6 +10,7 @@ from sitefold.operators import discovery
 from sitefold.plans import export
 from sitefold.plans.options import ExportOptions
 from sitefold.session import shared_dir
+from sitefold.sinks.markdown_export import write_tree
 from sitefold.streaming.discovery import discovered_stream, read_lookups, start_discovery
 
 RUN = "2025-01-02T03:04:05Z"
@@ -45,7 +46,7 @@ def test_markdown_export(spark, tmp_path):
     options = ExportOptions(output_format="markdown", run_time=RUN, discover=True)
     existing = spark.createDataFrame([("a", "5_x.jpg")], schemas.EXISTING_FILES)
     out = tmp_path / "out"
-    stats = {r.site: r.asDict() for r in export.export(content, str(out), options, existing, api_items=items(spark)).collect()}
+    stats = {r.site: r.asDict() for r in export.export(content, str(out), options, existing, api_items=items(spark), as_files=True).collect()}
     assert stats["a"] == {"site": "a", "total_posts": 2, "total_pages": 1, "total_media": 1, "total_categories": 2, "total_tags": 1,
                           "total_users": 1, "media_downloaded": 1, "brute_force_found": 1}
     assert stats["b"]["total_posts"] == 0
@@ -83,6 +84,60 @@ def test_json_export(spark, tmp_path):
     assert empty["posts"] == [] and empty["site"]["name"] == "WordPress Site"
 
 
+def test_json_export_by_entity(spark, tmp_path):
+    pages, sites = captures(spark)
+    export.export_captures(pages, sites, str(tmp_path / "o"), ExportOptions(run_time=RUN), by_entity=True)
+    lines = {}
+    for path in glob(f"{tmp_path}/o/entities/entity=*/part-*"):
+        with open(path) as file:
+            lines.setdefault(os.path.dirname(path).rsplit("=")[-1], []).extend(json.loads(x) for x in file)
+    assert sorted(lines) == ["categories", "media", "pages", "posts", "tags", "users"]
+    assert [(x["site"], x["record"]["slug"]) for x in lines["posts"]] == [("a", "hello")]
+    assert sorted(x["record"]["slug"] for x in lines["categories"]) == ["local", "news"]
+
+
+def test_strict_option_raises_on_a_failed_listing(spark, tmp_path):
+    pages, sites = captures(spark)
+    with pytest.raises(export.IncompleteCapture):
+        export.export_captures(pages, sites, str(tmp_path), ExportOptions(strict=True))
+
+
+@pytest.mark.parametrize(("site", "path"), [("a", "../b/x.md"), ("a", "posts/../../../x.md"), ("..", "x.md"), ("a/b", "x.md")])
+def test_tree_refuses_paths_outside_a_site(spark, tmp_path, site, path):
+    rows = spark.createDataFrame([(site, path, "text")], "site string, path string, content string")
+    with pytest.raises(Exception, match="path outside its site"):
+        write_tree(rows, str(tmp_path / "out"))
+    assert not glob(f"{tmp_path}/**/*.md", recursive=True)
+
+
+@pytest.mark.parametrize("output", ["s3a://bucket/x", "ftp://host/x", "relative/x"])
+def test_tree_refuses_storage_it_cannot_write(spark, output):
+    with pytest.raises(ValueError):
+        write_tree(spark.createDataFrame([], "site string, path string, content string"), output)
+
+
+def test_work_folder_has_to_be_shared(monkeypatch):
+    class Context:
+        master, folder = "yarn", None
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "/shared"}
+    assert shared_dir(Session()) == "/shared" and Session.sparkContext.folder == "/shared"
+
+
 def test_large_document_spans_files(spark, tmp_path):
     from sitefold.sinks.json_export import EXPORT_KEYS, document_lines, write_document_lines
 
@@ -91,7 +146,11 @@ def test_large_document_spans_files(spark, tmp_path):
     records = spark.range(5000).select(F.lit("a").alias("site"), F.lit("posts").alias("entity"), F.col("id").alias("ord"),
                                        F.concat(F.lit('{"id":'), F.col("id"), F.lit("}")).alias("record"))
     stats = export.prepare(content, "/x", ExportOptions()).stats
-    write_document_lines(document_lines(content.sites, records, stats, RUN, EXPORT_KEYS), str(tmp_path / "doc"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as for a large document
+    try:
+        write_document_lines(document_lines(content.sites, records, stats, RUN, EXPORT_KEYS), str(tmp_path / "doc"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(glob(f"{tmp_path}/doc/site=a/part-*")) > 1
     assert [p["id"] for p in document(tmp_path / "doc", "a")["posts"]] == list(range(5000))
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -149,6 +150,9 @@ def test_media_dir():
     assert media.media_dir("/tmp/export/data.json", "json") == "/tmp/export/data_media"
     assert media.media_dir("/tmp/export/dir", "json") == "/tmp/export/dir/media"
     assert media.media_dir("/tmp/export/data.json", "markdown") == "/tmp/export/data.json/media"
+    assert media.media_dir("out.json", "json") == os.path.join(os.getcwd(), "out_media")
+    assert media.media_dir("a/../b", "markdown") == os.path.join(os.getcwd(), "b", "media")
+    assert media.media_dir("s3a://bucket/x/", "json") == "s3a://bucket/x/media"
 
 
 def test_rewrite_fixture(spark):

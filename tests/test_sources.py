@@ -20,12 +20,15 @@ def test_listing_ends_and_failures(spark):
         ("bad-json", "posts", 1, 200, ids(1)), ("bad-json", "posts", 2, 200, '[{"id":1'),
         ("object", "posts", 1, 200, "{}"), ("numbers", "posts", 1, 200, "[1,2]"), ("trailing", "posts", 1, 200, "[] x"),
         ("no-end", "posts", 1, 200, ids(2)),
+        ("mixed", "posts", 1, 200, '[{"id":1},7,{"id":3}]'), ("mixed", "posts", 2, 200, ids(1, 4)),
+        ("text-inside", "posts", 1, 200, '[{"id":1},"{}"]'), ("list-inside", "posts", 1, 200, '[{"id":1},[]]'),
+        ("null-inside", "posts", 1, 200, '[{"id":1},null]'),
     ]
     pages = spark.createDataFrame(rows, schemas.API_PAGES)
     counts = {r.site: r["count"] for r in rest.scan_posts(pages).groupBy("site").count().collect()}
-    assert counts == {"two-then-400": 3, "empty-page": 1, "no-end": 2}
+    assert counts == {"two-then-400": 3, "empty-page": 1, "no-end": 2, "null-inside": 2}
     failed = {r.site: r.error_page for r in rest.failed_listings(pages).collect()}
-    assert failed == {"server-error": 2, "bad-json": 2, "object": 1, "numbers": 1, "trailing": 1}
+    assert failed == {"server-error": 2, "bad-json": 2, "object": 1, "numbers": 1, "trailing": 1, "mixed": 1, "text-inside": 1, "list-inside": 1}
 
 
 def test_long_listing_spans_page_blocks(spark):
@@ -36,7 +39,7 @@ def test_long_listing_spans_page_blocks(spark):
 
 
 def test_post_fields(spark):
-    body = """[{"id": 5, "date": "2024-01-15T10:30:45", "guid": {"rendered": "g"}, "title": {"rendered": "T"},
+    body = """[{"id": 5, "date": "2011-07-09T10:04:58", "guid": {"rendered": "g"}, "title": {"rendered": "T"},
       "sticky": true, "meta": [], "categories": [3, 1], "tags": [], "unknown": 1,
       "_links": {"self": [{"href": "h", "targetHints": {}}], "wp:term": [{"href": "w", "taxonomy": "t"}]}}, {}]"""
     pages = spark.createDataFrame([("s", "pages", 1, 200, body)], schemas.API_PAGES)
