@@ -1,11 +1,14 @@
 """Media URLs in content replaced by local paths.
 
 A URL is replaced wherever it occurs as a substring, so a token join is not
-enough: ``https://a/b.jp`` also occurs inside ``https://a/b.jpg``. Every
-occurrence starts where the text could start a URL of the same kind and has the
-length of some URL and its last character. Hashing exactly those pieces turns
-the substring search into an equi-join that finds every occurrence, for any URL
-text, without pairing posts with media.
+enough: ``https://a/b.jp`` also occurs inside ``https://a/b.jpg``. Every URL has
+an anchor: the first ``://`` in it, else the first dot, else the first slash. An
+occurrence in a text stands around the same anchor, so the pieces that lie around
+the anchors of a text as some URL of its site lies around its own, and that begin
+and end with the same characters, contain every occurrence. Hashing those pieces
+turns the substring search into an equi-join, without pairing posts with media.
+Only URLs with no anchor at all, such as ``logo``, are looked for at every character,
+and only on sites that have one.
 
 A hash that matches by accident is harmless, since replacing a URL that is not
 there changes nothing.
@@ -17,20 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.functions.sqltext import bind, lit
+from sitefold.operators.joins import lookup_join, materialised
 from sitefold.operators.media import link_path, media_urls
 
 POST_KEY = ["site", "content_type", "ord"]
-
-# Kinds of URL by the text they start with: where an occurrence may start.
-_STARTS = {
-    "absolute": r"(?=https?://)",
-    "rooted": r"(?=/)",
-    "other": "",
-}
+# Anchors in the order in which they are tried.
+_ANCHORS = {"scheme": "://", "dot": ".", "slash": "/"}
+_BARE = "bare"
 
 
 def _kind(url: Column) -> Column:
-    return F.when(url.rlike(r"\Ahttps?://"), "absolute").when(url.startswith("/"), "rooted").otherwise("other")
+    cases = [F.when(url.contains(mark), F.lit(name)) for name, mark in _ANCHORS.items()]
+    return F.coalesce(*cases, F.lit(_BARE))
 
 
 def replacements(media: DataFrame) -> DataFrame:
@@ -49,81 +50,137 @@ def replacements(media: DataFrame) -> DataFrame:
     )
 
 
-def _url_shapes(urls: DataFrame) -> Column:
-    """Per kind, the distinct URL lengths with the characters URLs of that length end in,
-    and the most starts one URL can span.
+def _url_shapes(urls: DataFrame) -> DataFrame:
+    """Per site and kind, how URLs lie around their anchor: (site, shapes, spans).
 
-    A one-row subquery. It is bounded by the length of the longest URL and the
-    alphabet, and does not grow with the number of media.
+    A shape is the number of characters before the anchor, the length of the URL, and
+    the characters URLs of that shape begin and end in; a span is the most anchors one
+    URL holds. Both are bounded by the longest URL and the alphabet, not by the number of media.
     """
-    kinds = list(_STARTS)
-    url, kind = F.col("url"), _kind(F.col("url"))
-    # One more start may begin in the last characters and end beyond the URL.
-    spans = [F.when(kind == name, F.size(F.split(url, start)) + 1) for name, start in _STARTS.items()]
-    per_length = (
-        urls.select(kind.alias("kind"), F.length(url).alias("n"), F.right(url, F.lit(1)).alias("last"), F.coalesce(*spans).alias("span"))
-        .groupBy("kind", "n")
-        .agg(F.array_join(F.array_sort(F.collect_set("last")), "").alias("lasts"), F.max("span").alias("span"))
+    url, kind = F.col("url"), F.col("kind")
+    marks = [(F.when(kind == name, F.instr(url, mark) - 1), F.when(kind == name, F.size(F.split(url, F.lit("\\Q" + mark + "\\E"))) - 1)) for name, mark in _ANCHORS.items()]
+    shapes = (
+        urls.withColumn("kind", _kind(url))
+        .select(
+            "site",
+            "kind",
+            F.coalesce(*[before for before, _ in marks], F.lit(0)).alias("before"),
+            F.length(url).alias("n"),
+            F.left(url, F.lit(1)).alias("first"),
+            F.right(url, F.lit(1)).alias("last"),
+            F.coalesce(*[span for _, span in marks], F.lit(0)).alias("span"),
+        )
+        .groupBy("site", "kind", "before", "n")
+        .agg(
+            F.array_join(F.array_sort(F.collect_set("first")), "").alias("firsts"),
+            F.array_join(F.array_sort(F.collect_set("last")), "").alias("lasts"),
+            F.max("span").alias("span"),
+        )
+    )
+    kinds = [*_ANCHORS, _BARE]
+    shape = F.struct("before", "n", "firsts", "lasts")
+    return shapes.groupBy("site").agg(
+        F.struct(
+            *[F.array_sort(F.collect_list(F.when(kind == name, shape))).alias(name) for name in kinds],
+            *[F.coalesce(F.max(F.when(kind == name, F.col("span"))), F.lit(0)).alias(f"{name}_span") for name in kinds],
+        ).alias("shapes")
     )
-    aggregates = []
-    for name in kinds:
-        mine = F.col("kind") == name
-        aggregates.append(F.array_sort(F.collect_list(F.when(mine, F.struct("n", "lasts")))).alias(f"{name}_lengths"))
-        aggregates.append(F.coalesce(F.max(F.when(mine, F.col("span"))), F.lit(0)).alias(f"{name}_span"))
-    names = [f"{name}_{part}" for name in kinds for part in ("lengths", "span")]
-    return per_length.agg(*aggregates).select(F.struct(*names).alias("shapes")).scalar()
 
 
-def _piece_hashes(content: str, start: str, lengths: str, span: str) -> str:
-    """Hashes of all pieces of the content that start like a URL and are as long as one.
+_NONE = "CAST(array() AS ARRAY<BIGINT>)"
 
-    Pieces that do not end like a URL of their length are left out.
-    """
 
-    def hashes(parts: str) -> str:
-        joined = f"array_join(slice({parts}, i, {span}), '')"
+def _anchored_pieces(content: str, name: str) -> str:
+    """Hashes of all pieces around an anchor of the content that look like a URL of the site."""
+    mark, shapes = _ANCHORS[name], f"shapes.{name}"
 
-        def prefixes(tail: str) -> str:
-            ends = f"filter({lengths}, u -> u.n <= length({tail}) AND contains(u.lasts, substring({tail}, u.n, 1)))"
-            return f"transform({ends}, u -> xxhash64(substring({tail}, 1, u.n)))"
+    def around(parts: str) -> str:
+        joined = f"array_join(slice({parts}, i + 1, shapes.{name}_span), {lit(mark)})"
 
-        tail = f"substring({joined}, 1, element_at({lengths}, -1).n)"
-        return f"flatten(transform(sequence(1, size({parts})), i -> {bind(tail, prefixes)}))"
+        def pieces(tail: str) -> str:
+            own = f"element_at({parts}, i)"
+            rest = f"u.n - u.before - {len(mark)}"
+            inside = f"u.before <= length({own}) AND {rest} <= length({tail})"
+            begin = f"CASE WHEN u.before > 0 THEN substring({own}, -u.before, 1) ELSE {lit(mark[0])} END"
+            end = f"CASE WHEN {rest} > 0 THEN substring({tail}, {rest}, 1) ELSE {lit(mark[-1])} END"
+            like = f"filter({shapes}, u -> {inside} AND contains(u.firsts, {begin}) AND contains(u.lasts, {end}))"
+            piece = f"concat(right({own}, u.before), {lit(mark)}, substring({tail}, 1, {rest}))"
+            return f"transform({like}, u -> xxhash64({piece}))"
 
-    pieces = bind(f"split({content}, {lit(start)})", hashes)
-    return f"CASE WHEN size({lengths}) > 0 AND {content} <> '' THEN {pieces} ELSE CAST(array() AS ARRAY<BIGINT>) END"
+        longest = f"array_max(transform({shapes}, u -> u.n))"
+        return f"flatten(transform(sequence(1, size({parts}) - 1), i -> {bind(f'left({joined}, {longest})', pieces)}))"
 
+    found = bind(f"split({content}, {lit('\\Q' + mark + '\\E')}, -1)", lambda parts: f"CASE WHEN size({parts}) > 1 THEN {around(parts)} ELSE {_NONE} END")
+    return f"CASE WHEN size({shapes}) > 0 THEN {found} ELSE {_NONE} END"
 
-def rewrite_candidates(posts: DataFrame, urls: DataFrame) -> DataFrame:
-    """Per post, the replacements that may occur in its content or excerpt, in order.
 
-    The list of one post is bounded by the post's own text.
-    """
-    texts = ("content.rendered", "excerpt.rendered")
-    shaped = posts.selectExpr(*POST_KEY, *[f"coalesce({t}, '') AS text_{i}" for i, t in enumerate(texts)]).withColumn(
-        "shapes", _url_shapes(urls)
-    )
-    found = [
-        _piece_hashes(f"text_{i}", start, f"shapes.{name}_lengths", f"shapes.{name}_span")
-        for i in range(len(texts))
-        for name, start in _STARTS.items()
-    ]
+def _bare_pieces(content: str) -> str:
+    """Hashes of all pieces of the lengths of URLs without an anchor, at every character."""
+    shapes = f"shapes.{_BARE}"
+
+    def at_each(letters: str) -> str:
+        piece = f"array_join(slice({letters}, i, u.n), '')"
+        fits = f"i + u.n - 1 <= size({letters}) AND contains(u.firsts, element_at({letters}, i)) AND contains(u.lasts, element_at({letters}, i + u.n - 1))"
+        return f"flatten(transform(sequence(1, size({letters})), i -> transform(filter({shapes}, u -> {fits}), u -> xxhash64({piece}))))"
+
+    found = bind(f"split({content}, '')", at_each)
+    return f"CASE WHEN size({shapes}) > 0 AND {content} <> '' THEN {found} ELSE {_NONE} END"
+
+
+def _occurring(texts: DataFrame, columns: list[str], urls: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(post key, rank, url, local_path) of the replacements that may occur in the text columns."""
+    shaped = lookup_join(texts, shapes, ["site"], "inner", ["ord"])
+    found = [_anchored_pieces(c, name) for c in columns for name in _ANCHORS] + [_bare_pieces(c) for c in columns]
     pieces = shaped.selectExpr(*POST_KEY, f"explode(array_distinct(concat({', '.join(found)}))) AS url_hash")
     hashed = urls.withColumn("url_hash", F.xxhash64("url"))
     # A URL that a third of all posts carry makes one hot key on the left of an
     # inner join, which adaptive execution splits; the next step shuffles anyway.
-    return (
-        pieces.join(hashed, ["site", "url_hash"])
-        .groupBy(*POST_KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "url", "local_path"))).alias("swaps"))
-    )
+    return pieces.join(hashed, ["site", "url_hash"]).select(*POST_KEY, "rank", "url", "local_path")
+
+
+def _swaps(found: DataFrame) -> DataFrame:
+    """Per post its replacements in order. The list of one post is bounded by the post's own text."""
+    return found.groupBy(*POST_KEY).agg(F.array_sort(F.collect_set(F.struct("rank", "url", "local_path"))).alias("swaps"))
+
 
+_TEXTS = ("content", "excerpt")
 
-def rewrite_media_links(posts: DataFrame, media: DataFrame, enabled: bool = True) -> DataFrame:
-    """Posts and pages with media URLs in content and excerpt pointing to local files."""
+
+def rewrite_candidates(posts: DataFrame, urls: DataFrame, exact: bool = False) -> DataFrame:
+    """Per post, the replacements that may occur in its content or excerpt, in order.
+
+    With ``exact``, URLs that only an earlier replacement forms are found as well: every text between two
+    replacements is searched in its turn, until no further URL turns up. Each round is a job over changed posts only.
+    """
+    shapes = materialised(_url_shapes(urls))
+    names = [f"text_{t}" for t in _TEXTS]
+    texts = posts.selectExpr(*POST_KEY, *[f"coalesce({t}.rendered, '') AS text_{t}" for t in _TEXTS])
+    found = _occurring(texts, names, urls, shapes)
+    if not exact:
+        return _swaps(found)
+    found = materialised(found)
+    known, size = found, found.count()
+    while size:
+        steps = [
+            f"aggregate(swaps, array({name}), (done, s) -> CASE WHEN contains(element_at(done, -1), s.url) THEN "
+            f"concat(done, array(replace(element_at(done, -1), s.url, s.local_path))) ELSE done END)"
+            for name in names
+        ]
+        between = texts.join(_swaps(known), POST_KEY).selectExpr(*POST_KEY, f"explode(array_distinct(concat({', '.join(steps)}))) AS text")
+        fresh = materialised(_occurring(between, ["text"], urls, shapes).unionByName(known).dropDuplicates([*POST_KEY, "url"]))
+        grown = fresh.count()
+        known, size = fresh, 0 if grown == size else grown
+    return _swaps(known)
+
+
+def rewrite_media_links(posts: DataFrame, media: DataFrame, enabled: bool = True, exact: bool = False) -> DataFrame:
+    """Posts and pages with media URLs in content and excerpt pointing to local files.
+
+    ``exact`` also replaces URLs that an earlier replacement has formed.
+    """
     if not enabled:
         return posts
-    swaps = rewrite_candidates(posts, replacements(media))
+    swaps = rewrite_candidates(posts, replacements(media), exact)
 
     def rewritten(name: str) -> Column:
         body = F.aggregate("swaps", F.col(name)["rendered"], lambda text, s: F.replace(text, s["url"], s["local_path"]))

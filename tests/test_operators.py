@@ -194,6 +194,34 @@ def test_rewrite_equals_sequential_replacement(spark):
         assert got[n] == text
 
 
+def test_exact_rewrite_replays_every_replacement(spark):
+    """URLs that only an earlier replacement forms, over several steps, are replaced as well."""
+    urls = ["https://a/b", "media/1_b.jpg", "2_1_b.jpg", "media/media/3_2_1_b", "b.jp", "logo", "/x", "media/7_x.png"]
+    media_df = media_of(spark, [{"id": i, "ord": i, "source_url": u} for i, u in enumerate(urls, 1)])
+    texts = ["see https://a/b.jpg", "b.jp https://a/b and https://a/b.jpgb.jp", "/x.png logo/x", "nothing", "", "media/1_b.jpg" * 3]
+    posts = posts_of(spark, [{"id": n, "content": {"rendered": t}, "excerpt": {"rendered": t[::-1] + t}} for n, t in enumerate(texts)])
+    order = [(r.url, r.local_path) for r in rewrite.replacements(media_df).orderBy("rank").collect()]
+
+    def replayed(text):
+        for url, path in order:
+            text = text.replace(url, path)
+        return text
+
+    got = {r.id: (r.content.rendered, r.excerpt.rendered) for r in rewrite.rewrite_media_links(posts, media_df, exact=True).collect()}
+    assert got == {n: (replayed(t), replayed(t[::-1] + t)) for n, t in enumerate(texts)}
+    plain = {r.id: r.content.rendered for r in rewrite.rewrite_media_links(posts, media_df).collect()}
+    assert plain[0] != got[0][0]
+
+
+def test_odd_urls_stay_on_their_site(spark):
+    """Pieces are looked for by the URLs of a post's own site only."""
+    urls = rewrite.replacements(media_of(spark, [{"id": 1, "ord": 1, "source_url": "https://a/b.jpg"}]))
+    odd = urls.unionByName(urls.selectExpr("'other' AS site", "'logo' AS url", "local_path", "rank"))
+    shapes = {r.site: r.shapes.asDict(True) for r in rewrite._url_shapes(odd).collect()}
+    own = next(v for k, v in shapes.items() if k != "other")
+    assert own["bare"] == [] and own["scheme"] == [{"before": 5, "n": 15, "firsts": "h", "lasts": "g"}] and shapes["other"]["scheme"] == []
+
+
 def test_last_write_wins(spark):
     rows = spark.createDataFrame([("s", "a", 1, "x"), ("s", "a", 3, "z"), ("s", "a", 2, "y"), ("s", "b", 1, "w"), ("t", "a", 0, "v")],
                                  "site string, path string, ord long, content string")
