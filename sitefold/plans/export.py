@@ -13,6 +13,7 @@ from sitefold.operators import discovery, documents, media, rewrite, stats, taxo
 from sitefold.plans.options import ExportOptions
 from sitefold.operators.joins import materialised
 from sitefold.schemas import ATTEMPTS, CONTENT_TYPES, ENDPOINT_ROWS, EXISTING_FILES
+from sitefold.session import landed
 from sitefold.sinks import json_export, markdown_export
 from sitefold.sources import rest, rpc, site
 
@@ -120,9 +121,11 @@ def prepare(
     manifest = media.media_manifest(
         content.media, existing_files, attempts, folder, options.retries, options.download_media
     )
-    rewritten = replace(
-        content, posts=rewrite.rewrite_media_links(content.posts, content.media, options.download_media)
-    )
+    posts = content.posts
+    if options.download_media:
+        # Landed, because posts and pages are read by several jobs and the rewrite is the dearest step.
+        posts = landed(rewrite.rewrite_media_links(posts, content.media, exact=options.exact_rewrite))
+    rewritten = replace(content, posts=posts)
     counters = stats.export_stats(
         content.sites, content.posts, content.media, content.categories, content.tags, content.users, manifest
     )

@@ -14,7 +14,8 @@ FORMATS = ("json", "markdown")
 @dataclass(frozen=True)
 class ExportOptions:
     """``run_time`` is the time of the export, as ``YYYY-MM-DDTHH:MM:SSZ``; it is an
-    argument, so that a repeated run gives the same result."""
+    argument, so that a repeated run gives the same result. ``exact_rewrite`` also replaces
+    URLs that only an earlier replacement has formed."""
 
     output_format: str = "json"
     run_time: str = ZERO_TIME
@@ -22,6 +23,7 @@ class ExportOptions:
     max_id: int = DEFAULT_MAX_ID
     download_media: bool = True
     retries: int = DEFAULT_RETRIES
+    exact_rewrite: bool = False
     strict: bool = False
 
     def __post_init__(self) -> None:

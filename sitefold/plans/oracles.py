@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from sitefold.functions.markup import TAG_REPLACEMENTS, WHITE_SPACE
-from sitefold.functions.names import DEFAULT_EXTENSION, MIME_EXTENSIONS
 from sitefold.plans.stand_ins import IDS_PER_PAGE, RUN_TIME, SEGMENTS
 
+# Fixed values, written out here so that a wrong entry of the library shows.
+TAG_REPLACEMENTS = [
+    ("<h1>", "# "), ("</h1>", "\n\n"), ("<h2>", "## "), ("</h2>", "\n\n"), ("<h3>", "### "), ("</h3>", "\n\n"),
+    ("<h4>", "#### "), ("</h4>", "\n\n"), ("<h5>", "##### "), ("</h5>", "\n\n"), ("<h6>", "###### "), ("</h6>", "\n\n"),
+    ("<strong>", "**"), ("</strong>", "**"), ("<b>", "**"), ("</b>", "**"), ("<em>", "*"), ("</em>", "*"), ("<i>", "*"), ("</i>", "*"),
+    ("<p>", ""), ("</p>", "\n\n"), ("<br>", "\n"), ("<br/>", "\n"), ("<br />", "\n"), ("<ul>", ""), ("</ul>", "\n"), ("<ol>", ""), ("</ol>", "\n"),
+    ("<li>", "- "), ("</li>", "\n"), ("<code>", "`"), ("</code>", "`"), ("<pre>", "```\n"), ("</pre>", "\n```"),
+]
+WHITE_SPACE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+MIME_EXTENSIONS = {
+    "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/webp": ".webp", "image/svg+xml": ".svg", "image/bmp": ".bmp",
+    "image/tiff": ".tiff", "video/mp4": ".mp4", "video/avi": ".avi", "video/mov": ".mov", "video/wmv": ".wmv", "video/flv": ".flv", "video/webm": ".webm",
+    "audio/mp3": ".mp3", "audio/wav": ".wav", "audio/ogg": ".ogg", "application/pdf": ".pdf", "text/plain": ".txt", "application/zip": ".zip",
+}
+DEFAULT_EXTENSION = ".bin"
+
 
 def lit(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -284,7 +300,7 @@ ORACLES: dict[str, str] = {
       FROM order_posts p LEFT JOIN category_paths c ON c.site = p.site AND c.id = p.categories[1]""",
     "gap_ids": f"""WITH {LOOKUPS}, {LISTED}, ranges AS (SELECT content_type, unnest(range(1, max(id) + 1)) AS id FROM lookups GROUP BY content_type)
       SELECT 'store' AS site, content_type, id FROM ranges r WHERE NOT EXISTS (SELECT 1 FROM listed k WHERE k.content_type = r.content_type AND k.id = r.id)""",
-    "id_range": f"WITH {LOOKUPS} SELECT id, slug, content_type FROM lookups WHERE status = 200 AND readable AND id >= 1 AND content_type <> 'pages'",
+    "id_range": f"WITH {LOOKUPS} SELECT id, slug, content_type FROM lookups WHERE status = 200 AND readable AND (content_type = 'posts' AND id BETWEEN 100 AND 700 OR content_type = 'media' AND id BETWEEN 7 AND 90 OR content_type = 'pages' AND id = 42)",
     "item_outcome": f"""WITH {LOOKUPS} SELECT content_type, id,
       CASE WHEN status = 200 AND readable THEN 'found' WHEN status = 404 THEN 'missing' ELSE 'error' END AS outcome FROM lookups""",
     "discover": f"WITH {LOOKUPS}, {LISTED}, {DISCOVERED} SELECT 'store' AS site, content_type, id FROM discovered",
@@ -294,9 +310,8 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'store', 'page', id, slug, true FROM discovered WHERE content_type = 'pages'""",
     "media_filename": f"""WITH {PAGE_MEDIA} SELECT page_id AS id, CASE WHEN url LIKE '%/' THEN page_id || '_media_' || page_id || {MIME} ELSE file END AS file
       FROM page_media JOIN pages ON page_id = id""",
-    "mime_extension": f"""SELECT event_id, coalesce(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in MIME_EXTENSIONS.items())}}}[CASE event_type
-      WHEN 'view' THEN 'image/jpeg' WHEN 'click' THEN 'video/mp4' WHEN 'purchase' THEN 'application/pdf' WHEN 'signup' THEN 'image/svg+xml'
-      ELSE props END], '{DEFAULT_EXTENSION}') AS extension FROM events""",
+    "mime_extension": f"""SELECT event_id, coalesce(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in MIME_EXTENSIONS.items())}}}[CASE WHEN event_type = 'error' THEN props
+      ELSE [{', '.join(f"'{k}'" for k in MIME_EXTENSIONS)}][event_id % {len(MIME_EXTENSIONS)} + 1] END], '{DEFAULT_EXTENSION}') AS extension FROM events""",
     "path_safe": "SELECT page_id, url LIKE 'https:%' AS inside FROM pages",
     "media_variants": f"""WITH {PAGE_MEDIA}, v AS (SELECT *, unnest([{{'n': 'large', 'u': '-1024x768.jpg'}}, {{'n': 'thumbnail', 'u': '-150x150.jpg?v=1'}}]) AS s
         FROM page_media WHERE source_url <> '')
@@ -329,20 +344,24 @@ ORACLES: dict[str, str] = {
         + row_number() OVER (PARTITION BY c_nationkey, {listed_page('c_custkey')} ORDER BY c_custkey) - 1 AS ord, c_custkey AS id, c_name AS name,
       lower(c_name) AS slug, 'https://shop.example.com/u/' || c_custkey AS url, '' AS description, 'https://shop.example.com/a/' || c_custkey || '.png' AS avatar FROM customer""",
     "site_info": f"WITH {SITE_INFO} SELECT {SITE_COLUMNS} FROM site_info",
-    "offset_cut": f"""WITH {ORDER_POSTS}, calls AS (SELECT site, id // {IDS_PER_PAGE} * 100 AS o, count(*) AS n FROM order_posts GROUP BY ALL)
-      SELECT site, 'wp.getPosts' AS method, min(o) FILTER (n < 100) AS short_offset, NULL::INT AS error_offset,
-        coalesce(min(o) FILTER (n < 100), max(o)) AS last_offset, false AS failed FROM calls GROUP BY site""",
+    "offset_cut": f"""WITH {ORDER_POSTS}, calls AS (SELECT site, id // {IDS_PER_PAGE} * 100 AS o, count(*) AS n FROM order_posts GROUP BY ALL),
+      judged AS (SELECT *, length(site) = 6 AND o = right(site, 1)::INT % 3 * 100 AS error FROM calls),
+      cuts AS (SELECT site, min(o) FILTER (n < 100 AND NOT error) AS short_offset, min(o) FILTER (error) AS error_offset, max(o) AS max_offset FROM judged GROUP BY site)
+      SELECT site, 'wp.getPosts' AS method, short_offset, error_offset, coalesce(short_offset, max_offset) AS last_offset,
+        error_offset IS NOT NULL AND (short_offset IS NULL OR error_offset < short_offset) AS failed FROM cuts""",
     "rpc_outcome": """WITH e AS (SELECT *, event_type IN ('view', 'signup') OR (event_type = 'purchase' AND value <= 50) AS ok FROM events)
       SELECT 'user-' || user_id AS site, event_id AS offset, CASE WHEN ok THEN 'ok' ELSE 'error' END AS outcome,
         CASE WHEN ok AND event_type <> 'signup' THEN 2 ELSE 0 END AS records FROM e""",
-    "rpc_posts": f"""WITH {ORDER_POSTS}, calls AS (SELECT site, id // {IDS_PER_PAGE} AS o, count(*) AS n FROM order_posts GROUP BY ALL),
-      cuts AS (SELECT site, coalesce(min(o) FILTER (n < 100), max(o)) AS last FROM calls GROUP BY site)
-      SELECT p.site, content_type, id, date, slug, status, author, link, title, content FROM order_posts p JOIN cuts c ON c.site = p.site AND id // {IDS_PER_PAGE} <= last""",
+    "rpc_posts": f"""WITH {ORDER_POSTS} SELECT site || '-' || id // {IDS_PER_PAGE} AS site, CASE WHEN status = 'private' THEN 'page' ELSE 'post' END AS content_type, id, date,
+      slug, status, author, link, CASE WHEN status = 'private' THEN 0 ELSE featured_media END AS featured_media, title, content FROM order_posts""",
+    "rpc_site_info": """SELECT DISTINCT 'site-' || n_nationkey AS site, n_name AS name, '' AS description, 'https://site-' || n_nationkey AS url, '' AS home_url,
+      '' AS timezone, '' AS language FROM nation""",
     "rpc_users": f"""SELECT 'site-' || c_nationkey || '-' || c_custkey // {IDS_PER_PAGE} AS site, c_custkey AS id, c_name AS name, lower(c_name) AS slug,
       'https://shop.example.com/u/' || c_custkey AS url FROM customer""",
     "rpc_media": f"""SELECT 'site-' || s_nationkey || '-' || s_suppkey // {IDS_PER_PAGE} AS site, s_suppkey AS id, s_name AS title, 'image/png' AS mime_type,
       'https://cdn.example.com/' || s_suppkey || '.png' AS source_url FROM supplier""",
-    "rpc_terms": f"WITH {CATEGORIES} SELECT site || '-' || id // {IDS_PER_PAGE} AS site, id, slug, parent FROM category_nodes",
+    "rpc_terms": f"""WITH {ORDER_POSTS}, {CATEGORIES}, {TAGS} SELECT site || '-' || id // {IDS_PER_PAGE} AS site, id, slug, parent FROM category_nodes
+      UNION ALL SELECT site || '-' || id // {IDS_PER_PAGE}, id, id::VARCHAR, 0 FROM tags""",
     "export_stats": f"""WITH {ORDER_POSTS}, {CATEGORIES}, {TAGS}, {SITES}, {LOOKUPS}, {LISTED}, {DISCOVERED},
       found AS (SELECT 'site-0' AS site FROM discovered WHERE content_type = 'posts'), posts AS (SELECT site FROM order_posts UNION ALL SELECT site FROM found)
       SELECT site, {counted('posts p', 'p.site', 'total_posts')}, 0 AS total_pages, {counted('supplier', "'site-' || s_nationkey", 'total_media')},

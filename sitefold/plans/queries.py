@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitefold.functions.folders import link_folder
 from sitefold.functions.links import is_inside, url_host
 from sitefold.functions.markup import html_to_markdown
-from sitefold.functions.names import domain_name, folder_name, markdown_file_name, media_file_name, mime_extension
+from sitefold.functions.names import MIME_EXTENSIONS, domain_name, folder_name, markdown_file_name, media_file_name, mime_extension
 from sitefold.functions.sqltext import lit
 from sitefold.functions.times import is_time, parse_time, print_time
 from sitefold.operators import discovery, documents, media, rewrite, stats, taxonomy
@@ -116,10 +116,11 @@ def q_gap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_id_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = stand_ins.lookups(spark, sf_dir)
-    posts = discovery.items_in_range(items, "posts", 1, 1 << 40).select("id", "slug", F.lit("posts").alias("content_type"))
-    media_rows = discovery.items_in_range(items, "media", 1, 1 << 40).select("id", "slug", F.lit("media").alias("content_type"))
+    posts = discovery.items_in_range(items, "posts", 100, 700).select("id", "slug", F.lit("posts").alias("content_type"))
+    media_rows = discovery.items_in_range(items, "media", 7, 90).select("id", "slug", F.lit("media").alias("content_type"))
     inverted = discovery.items_in_range(items, "pages", 20, 10).select("id", "slug", F.lit("pages").alias("content_type"))
-    return posts.unionByName(media_rows).unionByName(inverted)
+    single = discovery.items_in_range(items, "pages", 42, 42).select("id", "slug", F.lit("pages").alias("content_type"))
+    return posts.unionByName(media_rows).unionByName(inverted).unionByName(single)
 
 
 def q_item_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +164,8 @@ def q_media_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_mime_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
-    mime = (
-        F.when(kind == "view", "image/jpeg").when(kind == "click", "video/mp4").when(kind == "purchase", "application/pdf")
-        .when(kind == "signup", "image/svg+xml").otherwise(F.col("props"))
-    )
+    known = F.array(*[F.lit(m) for m in MIME_EXTENSIONS])
+    mime = F.when(kind == "error", F.col("props")).otherwise(F.element_at(known, (F.col("event_id") % len(MIME_EXTENSIONS) + 1).cast("int")))
     events = read(spark, sf_dir, "events").select("event_id", mime.alias("mime"))
     return events.select("event_id", mime_extension("mime").alias("extension"))
 
@@ -265,9 +264,9 @@ def q_rpc_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rpc_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = rpc.rpc_posts(stand_ins.order_calls(spark, sf_dir))
+    posts = rpc.rpc_posts(stand_ins.post_calls(spark, sf_dir))
     return posts.select(
-        "site", "content_type", "id", "date", "slug", "status", "author", "link",
+        "site", "content_type", "id", "date", "slug", "status", "author", "link", "featured_media",
         F.col("title.rendered").alias("title"), F.col("content.rendered").alias("content"),
     )
 
@@ -281,6 +280,10 @@ def q_rpc_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("site", "id", "source_url", "mime_type", F.col("title.rendered").alias("title"))
 
 
+def q_rpc_site_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpc.rpc_site_info(stand_ins.customer_calls(spark, sf_dir)).select("site", "name", "description", "url", "home_url", "timezone", "language")
+
+
 def q_rpc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = stand_ins.customer_calls(spark, sf_dir)
     categories = rpc.rpc_categories(calls).select("site", "id", "slug", "parent")

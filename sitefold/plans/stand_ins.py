@@ -352,8 +352,8 @@ _XML_TAIL = "</data></array></value></param></params></methodResponse>"
 def _calls(rows: DataFrame, method: str, members: list[Column], paged: bool = False) -> DataFrame:
     """Captured calls, the records of one id range per call.
 
-    Paged calls of a site follow each other by offset; otherwise every range is
-    a site of its own with a single call.
+    Paged calls of a site follow each other by offset, and ten sites have one that failed; otherwise every
+    range is a site of its own with a single call.
     """
     record = cat("<value><struct>", *members, "</struct></value>")
     ordered = F.array_sort(F.collect_list(F.struct(F.col("id"), record.alias("xml"))))
@@ -361,8 +361,10 @@ def _calls(rows: DataFrame, method: str, members: list[Column], paged: bool = Fa
     site = F.col("site") if paged else cat(F.col("site"), "-", block)
     offset = (block * 100).cast("int") if paged else F.lit(0)
     calls = rows.groupBy(site.alias("site"), F.lit(method).alias("method"), offset.alias("offset"))
+    digit = F.try_element_at(F.regexp_extract_all("site", F.lit("^site-([0-9])$"), F.lit(1)), F.lit(1)).cast("int")
+    failed = (offset == digit % 3 * 100) if paged else F.lit(False)
     return calls.agg(
-        F.lit(200).alias("status"),
+        F.first(F.when(failed, 503).otherwise(200)).alias("status"),
         cat(_XML_HEAD, F.array_join(F.transform(ordered, lambda r: r["xml"]), ""), _XML_TAIL).alias("body"),
     )
 
@@ -383,11 +385,35 @@ def order_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calls(posts, "wp.getPosts", members, paged=True)
 
 
+def post_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as captured XML-RPC calls: private ones as pages, the others as posts."""
+    posts = order_posts(spark, sf_dir)
+    stamp = F.regexp_replace("date", "-", "")
+    thumbnail = cat("<member><name>post_thumbnail</name><value><struct>", _xml_member("attachment_id", "string", F.col("featured_media")), "</struct></value></member>")
+    post_members = [
+        _xml_member("post_id", "string", F.col("id")), _xml_member("post_title", "string", F.col("title.rendered")),
+        _xml_member("post_date", "dateTime.iso8601", stamp), _xml_member("post_name", "string", F.col("slug")),
+        _xml_member("post_status", "string", F.col("status")), _xml_member("post_author", "string", F.col("author")),
+        _xml_member("link", "string", F.col("link")), _xml_member("post_content", "string", F.col("content.rendered")), thumbnail,
+    ]
+    page_members = [
+        _xml_member("page_id", "string", F.col("id")), _xml_member("title", "string", F.col("title.rendered")),
+        _xml_member("dateCreated", "dateTime.iso8601", stamp), _xml_member("wp_slug", "string", F.col("slug")),
+        _xml_member("page_status", "string", F.col("status")), _xml_member("wp_author_id", "string", F.col("author")),
+        _xml_member("permaLink", "string", F.col("link")), _xml_member("description", "string", F.col("content.rendered")),
+    ]
+    private = F.col("status") == "private"
+    return _calls(posts.where(~private), "wp.getPosts", post_members).unionByName(_calls(posts.where(private), "wp.getPages", page_members))
+
+
 def customer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers, suppliers and categories as captured XML-RPC calls; one call per site and method."""
+    """Customers, suppliers, categories and tags as captured XML-RPC calls; one call per site and method."""
     users = store_users(spark, sf_dir)
     media = store_media(spark, sf_dir)
-    terms = store_categories(spark, sf_dir)
+    named = ("site", "id", "slug", "taxonomy")
+    terms = store_categories(spark, sf_dir).select(*named, "parent").unionByName(
+        store_tags(spark, sf_dir).select(*named, F.lit(0).cast("bigint").alias("parent"))
+    )
     sites = store_sites(spark, sf_dir)
     user_calls = _calls(users, "wp.getUsers", [
         _xml_member("user_id", "string", F.col("id")), _xml_member("display_name", "string", F.col("name")),

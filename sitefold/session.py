@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """The table written to Parquet in the shared folder and read again: computed once, read by column."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise on shared storage, so that a lost executor never replays a loop."""
     shared_dir(df.sparkSession)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sitefold.functions.sqltext import lit
 from sitefold.functions.times import print_time_sql
+from sitefold.operators.joins import lookup_join, materialised
 from sitefold.schemas import ENDPOINT_ROWS, SITE, STAT_COLUMNS, struct_type
 
 # Keys of the documents, in the order in which they are written.
@@ -103,13 +104,14 @@ def document_lines(
         "site", "frame.key_no", "frame.part", zero.alias("ord"), "frame.line"
     )
     chosen = records.filter(F.col("entity").isin(*lists))
-    firsts = chosen.groupBy("site", "entity").agg(F.min("ord").alias("ord")).withColumn("first", F.lit(True))
-    listed = chosen.join(firsts, ["site", "entity", "ord"], "left").select(
+    # A row per list: measured and broadcast, so that records are not shuffled for their commas.
+    firsts = materialised(chosen.groupBy("site", "entity").agg(F.min("ord").alias("first_ord")))
+    listed = lookup_join(chosen, firsts, ["site", "entity"], "left", ["ord"]).select(
         "site",
         numbers[F.col("entity")].alias("key_no"),
         F.lit(_RECORD).alias("part"),
         "ord",
-        F.concat(F.when(F.col("first"), F.lit("")).otherwise(F.lit(",")), F.col("record")).alias("line"),
+        F.concat(F.when(F.col("ord") == F.col("first_ord"), F.lit("")).otherwise(F.lit(",")), F.col("record")).alias("line"),
     )
     parts = [framing, listed, single(stats, "stats", stats_json())]
     parts.append(single(sites, "exported_at", F.lit(f'"{run_time}"')))

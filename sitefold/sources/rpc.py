@@ -164,6 +164,12 @@ def _term_ids(taxonomy: str) -> str:
     return f"coalesce({ids}, CAST(array() AS ARRAY<BIGINT>))"
 
 
+def _thumbnail() -> str:
+    """Id of the featured image: a record of its own, or a plain number."""
+    record = f"try_element_at(members, CAST({_found('post_thumbnail')} AS INT)).value.struct.member"
+    return f"coalesce(try_cast({_inner(record, 'attachment_id')} AS BIGINT), {_number('post_thumbnail')})"
+
+
 # Members of each method's records by the field they fill; the response nests
 # to the given depth.
 _POST_FIELDS = {
@@ -181,6 +187,7 @@ _POST_FIELDS = {
     "content": _rendered(_text("post_content")),
     "excerpt": _rendered(_text("post_excerpt")),
     "author": _number("post_author"),
+    "featured_media": _thumbnail(),
     "comment_status": _text("comment_status"),
     "ping_status": _text("ping_status"),
     "sticky": _flag("sticky"),
