@@ -147,7 +147,7 @@ def q_discover_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookups.write.parquet(f"{folder}/landing")
     found = discovered_stream(read_lookups(spark, f"{folder}/landing"), stand_ins.listed_ids(spark, sf_dir), 1 << 40)
     start_discovery(found, f"{folder}/found", uuid.uuid4().hex).awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{folder}/found").select("site", "content_type", "id")
+    return spark.read.parquet(f"{folder}/found").select("site", "content_type", "id")
 
 
 def q_merge_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sitefold.operators.discovery import DEFAULT_MAX_ID
 from sitefold.schemas import API_ITEMS, CONTENT_TYPES
-from sitefold.session import shared_dir
+from sitefold.session import landed, shared_dir
 from sitefold.sources.rest import found_items
 
 _KEY = ["site", "content_type", "id"]
@@ -22,23 +22,35 @@ def read_lookups(spark: SparkSession, landing: str, max_files_per_trigger: int |
 
 
 def discovered_stream(lookups: DataFrame, known: DataFrame, max_id: int = DEFAULT_MAX_ID) -> DataFrame:
-    """Found lookups that no listing holds, each (site, content_type, id) once.
+    """Found lookups that no listing holds.
 
-    The known ids are a static table, read anew in every micro-batch. State
-    holds one key per discovered record and so grows with the id space only.
+    The known ids are made distinct and landed once, as a static side that micro-batches read by column. The
+    stream itself keeps no state; ``start_discovery`` writes each (site, content_type, id) once.
     """
     in_range = lookups.filter(F.col("id").between(1, max_id) & F.col("content_type").isin(*CONTENT_TYPES))
-    distinct = known.select(*_KEY).distinct()
-    return found_items(in_range).join(distinct, _KEY, "left_anti").dropDuplicates(_KEY)
+    return found_items(in_range).join(landed(known.select(*_KEY).distinct()), _KEY, "left_anti")
 
 
 def start_discovery(found: DataFrame, output: str, name: str, **trigger) -> StreamingQuery:
-    """Append discovered lookups to Parquet; progress is the query's own progress report."""
+    """Append discovered lookups to Parquet; progress is the query's own progress report.
+
+    A micro-batch goes to a folder of its own, without what earlier batches have written. What is remembered is
+    the output itself, so memory does not grow with the ids seen, and a batch that is repeated after a failure
+    replaces its own folder.
+    """
     folder = shared_dir(found.sparkSession).rstrip("/")
+    schema = found.schema
+    # An empty first batch, so that the output can be read before anything is found.
+    found.sparkSession.createDataFrame([], schema).write.mode("overwrite").parquet(f"{output}/batch_id=-1")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        written = batch.sparkSession.read.parquet(output).filter(F.col("batch_id") < batch_id).select(*_KEY)
+        fresh = batch.dropDuplicates(_KEY).join(written, _KEY, "left_anti")
+        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+
     return (
-        found.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", output)
+        found.writeStream.outputMode("append")
+        .foreachBatch(write_batch)
         .option("checkpointLocation", f"{folder}/streams/{name}")
         .trigger(**(trigger or {"availableNow": True}))
         .start()

@@ -180,10 +180,17 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(rows, schemas.API_ITEMS).coalesce(1).write.mode("append").parquet(landing)
     found = discovered_stream(read_lookups(spark, landing, 1), known, 220)
     shared_dir(spark)
-    start_discovery(found, str(tmp_path / "found"), f"test-{os.getpid()}").awaitTermination()
+    query = start_discovery(found, str(tmp_path / "found"), f"test-{os.getpid()}")
+    query.awaitTermination()
+    batches = [p for p in query.recentProgress if p.numInputRows]
+    assert len(batches) == 2 and not any(p.stateOperators for p in batches)  # nothing is kept between batches
     streamed = sorted(r.id for r in spark.read.parquet(str(tmp_path / "found")).collect())
     batch = discovery.discovered_items(spark.read.parquet(landing), known, 220)
     assert streamed == sorted({r.id for r in batch.collect()}) and len(streamed) > 50
+    later = [("a", "posts", i, 200, '{"id":%d}' % i) for i in (2, 4, 217, 219)]  # two are known to the output already
+    spark.createDataFrame(later, schemas.API_ITEMS).coalesce(1).write.mode("append").parquet(landing)
+    start_discovery(discovered_stream(read_lookups(spark, landing, 1), known, 220), str(tmp_path / "found"), f"test-{os.getpid()}").awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "found")).collect()) == sorted({*streamed, 2, 4, 217})
 
 
 def test_rpc_content_exports(spark, tmp_path):
