@@ -78,6 +78,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT k, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+windows AS (SELECT k, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM starts),
+firsts AS (SELECT h, min(doc_id) AS smallest FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT k, unnest(range(i, i + 50)) AS j FROM windows JOIN firsts USING (h) WHERE smallest < doc_id),
+words AS (SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT k, string_agg(word, ' ' ORDER BY j) AS text, count(*) AS n FROM words WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.k = words.k AND gone.j = words.j) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (k)""",
+    "op7_embedding_dedup": r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k <> b.k WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT k, k AS r FROM v UNION SELECT reach.k, links.b FROM reach JOIN links ON links.a = reach.r),
+smallest AS (SELECT reach.k, min(v.vec_id) AS component_id FROM reach JOIN v ON v.k = reach.r GROUP BY reach.k)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = v.k) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN smallest USING (k)""",
     "op5_url_filter": r"""
 WITH rules(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
   ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),

@@ -1,16 +1,20 @@
 """URL rules, components, embeddings, pieces and the classifier chain; the registered queries and the pipeline."""
 
+import hashlib
 import math
 import os
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from compare import connect, differences
+from pyspark.sql import functions as F
+from test_text_operators import plain_components, plain_fingerprint, plain_matches
 
 import corpus_pipeline
-from sitefold.llm import components, embedding_dedup, pieces, queries, toxicity, url_filter
+from sitefold.llm import components, embedding_dedup, license_scan, pieces, queries, toxicity, url_filter
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
@@ -244,6 +248,46 @@ def test_query_equals_its_oracle(spark, name):
     assert problem is None and rows > 0
 
 
+@needs_tables
+def test_queries_without_an_oracle_equal_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in corpus_pipeline.table(spark, SF_DIR, "documents").collect()]
+    licences = {r.doc_id: (r.n_base, r.first_word, r.last_word, r.base_labels) for r in queries.op3_license_scan(spark, SF_DIR).collect()}
+    assert licences == dict(zip([d for d, _ in docs], license_scan.scan_by_brute_force([t for _, t in docs])))
+    prints = [plain_fingerprint(t) for _, t in docs]
+    components_of = {d: (f"{p:016x}", docs[c][0]) for (d, _), p, c in zip(docs, prints, plain_components(prints))}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op4_simhash(spark, SF_DIR).collect()} == components_of
+    shards = queries.op8_sharding(spark, SF_DIR).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in shards) == sorted((d, len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in docs)
+    assert sorted(r.slot * 16 + r.shard for r in shards) == list(range(len(docs))) and {r.law for r in shards} == {"rows"}
+    items = [(r.item_id, r.text) for r in corpus_pipeline.table(spark, SF_DIR, "benchmark").collect()]
+    wanted = plain_matches(docs, items)
+    found = {(r.doc_id, r.item_id): (r.first_word, r.distance) for r in queries.op10_decontamination(spark, SF_DIR).collect()}
+    assert set(found) <= set(wanted) and len(found) >= 0.97 * len(wanted)
+
+
+@needs_tables
+@needs_model
+def test_every_document_comes_back_from_its_pieces(spark):
+    rows = queries.op6_sentencepiece(spark, SF_DIR).collect()
+    texts = {r.doc_id: r.text for r in corpus_pipeline.table(spark, SF_DIR, "documents").collect()}
+    assert len(rows) == len(texts) and all(r.round_trip and len(r.token_ids) == r.n_tokens for r in rows)
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are not here")
+def test_toxicity_query_on_documents_it_was_not_trained_on(spark, tmp_path):
+    """Labels of a third of the labelled documents are withheld and compared."""
+    for name in ("documents", "labels"):
+        os.symlink(f"/root/testdata/sf0.1/{name}.parquet", tmp_path / f"all_{name}.parquet")
+    labels = spark.read.parquet(str(tmp_path / "all_labels.parquet"))
+    labels.where("doc_id % 3 <> 0").write.parquet(str(tmp_path / "labels.parquet"))
+    os.symlink("/root/testdata/sf0.1/documents.parquet", tmp_path / "documents.parquet")
+    found = queries.op2_toxicity(spark, str(tmp_path)).join(labels.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("truth")), "doc_id")
+    counts = {(bool(r.truth), r.toxic): r["count"] for r in found.groupBy("truth", "toxic").count().collect()}
+    assert counts.get((True, True), 0) >= 0.8 * (counts.get((True, True), 0) + counts.get((True, False), 0)) > 50
+    assert counts.get((False, True), 0) <= 0.02 * counts[False, False]
+
+
 @needs_tables
 @needs_model
 def test_pipeline_stages_take_effect(spark):
