@@ -121,16 +121,23 @@ def placed_in_cells(classes: DataFrame, pivots: list[tuple[str, bytes]], cosine:
     )
 
 
-def _linked(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs of two blocks at ``cosine`` or more; a, b: unit vectors, left, right: as given."""
-    i, j = np.nonzero(a @ b.T >= cosine - 1e-9)
-    x, y = left[i], right[j]
-    exact = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-    near = np.where(np.isfinite(exact), exact, np.einsum("ij,ij->i", a[i], b[j])) >= cosine
-    return i[near], j[near]
-
-
-def cell_links(cell: pa.Table, cosine: float = COSINE, block: int = 1024) -> pa.Table:
+def _linked(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs of two blocks are at ``cosine`` or more; a, b: unit vectors, left, right: as given.
+
+    Only pairs within rounding of the limit are computed again from the given components, a few at a time.
+    """
+    products = a @ b.T
+    near = products >= cosine
+    i, j = np.nonzero(np.abs(products - cosine) <= 1e-9)
+    for k in range(0, len(i), 4096):
+        x, y = left[i[k : k + 4096]], right[j[k : k + 4096]]
+        exact = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+        usable = np.isfinite(exact)
+        near[i[k : k + 4096][usable], j[k : k + 4096][usable]] = exact[usable] >= cosine
+    return near
+
+
+def cell_links(cell: pa.Table, cosine: float = COSINE, block: int = 512) -> pa.Table:
     """Link counts of the classes of a cell and the edges that join what the cell links."""
     radius = np.sqrt(max(0.0, 2 - 2 * cosine))
     cell = cell.sort_by([("distance", "ascending"), ("class", "ascending")])
@@ -141,25 +148,25 @@ def cell_links(cell: pa.Table, cosine: float = COSINE, block: int = 1024) -> pa.
     unit, n = _unit(given), len(names)
     links, component, edges = np.zeros(n, np.int64), np.arange(n), []
     for first in range(0, n, block):
-        last = min(n, first + block)
+        rows = np.arange(first, min(n, first + block))
         for other in range(first, n, block):
-            if distance[other] - distance[last - 1] > radius + SLACK:
+            if distance[other] - distance[rows[-1]] > radius + SLACK:
                 break
-            stop = min(n, other + block)
-            i, j = _linked(unit[first:last], unit[other:stop], given[first:last], given[other:stop], cosine)
-            i, j = i + first, j + other
+            columns = np.arange(other, min(n, other + block))
+            near = _linked(unit[rows], unit[columns], given[rows], given[columns], cosine)
             # A pair counts once: in order, with one at home, and in the task of both its parts.
-            counts = (i < j) & (home[i] | home[j])
-            counts &= (np.minimum(part[i], part[j]) == low_part) & (np.maximum(part[i], part[j]) == high_part)
-            i, j = i[counts], j[counts]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            open_pairs = np.flatnonzero(component[i] != component[j])
-            while len(open_pairs):
-                a, b = int(i[open_pairs[0]]), int(j[open_pairs[0]])
-                edges.append((names[a], names[b]))
-                component[component == component[b]] = component[a]
-                open_pairs = open_pairs[component[i[open_pairs]] != component[j[open_pairs]]]
+            near &= (rows[:, None] < columns) & (home[rows][:, None] | home[columns])
+            near &= np.minimum(part[rows][:, None], part[columns]) == low_part
+            near &= np.maximum(part[rows][:, None], part[columns]) == high_part
+            links[rows] += near @ copies[columns]
+            links[columns] += copies[rows] @ near
+            for i in np.flatnonzero(near.any(axis=1)):
+                own, partners = rows[i], columns[near[i]]
+                others, at = np.unique(component[partners], return_index=True)
+                at, others = at[others != component[own]], others[others != component[own]]
+                if len(others):
+                    edges += [(names[own], names[j]) for j in partners[at]]
+                    component[np.isin(component, others)] = component[own]
     some = np.flatnonzero(links)
     out = {"a": [names[k] for k in some] + [a for a, _ in edges], "b": [None] * len(some) + [b for _, b in edges], "links": links[some].tolist() + [0] * len(edges)}
     return pa.table(out, schema=pa.schema([("a", pa.string()), ("b", pa.string()), ("links", pa.int64())]))

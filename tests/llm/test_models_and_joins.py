@@ -91,6 +91,24 @@ def test_embedding_dedup_equals_brute_force(spark, monkeypatch):
     assert sum(r[1] > 0 for r in wanted) > 100
 
 
+def test_dense_cell_stays_within_memory():
+    """A few thousand near copies of one vector: millions of links, but only counts and joining edges come out."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n = 3_000
+    rows = np.ones(64) + rng.normal(size=(n, 64)) * 0.01
+    cell = pa.table({"class": [f"{i:05d}" for i in range(n)], "vector": [r.tobytes() for r in rows], "copies": np.ones(n, np.int64), "home": [True] * n,
+                     "distance": np.linalg.norm(rows / np.linalg.norm(rows, axis=1, keepdims=True) - 0.125, axis=1), "part": np.zeros(n, np.int32), "low": np.zeros(n, np.int32), "high": np.zeros(n, np.int32)})
+    tracemalloc.start()
+    found = embedding_dedup.cell_links(cell)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert found.column("b").null_count == n and found.num_rows == 2 * n - 1
+    assert set(found.column("links").to_pylist()[:n]) == {n - 1}
+
+
 def test_embedding_dedup_defined_cases(spark):
     assert embedding_dedup.near_duplicates(vectors_of(spark, [])).count() == 0
     rows = [(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [2.0, 0.0], 1), (None, None, 1), (9, [1.0, 0.0], 2)]
