@@ -221,8 +221,18 @@ USER_JSON = """json_object('id', c_custkey, 'name', c_name, 'url', 'https://shop
   'slug', lower(c_name), 'avatar_urls', json_object('24', 'https://shop.example.com/a/' || c_custkey || '.png'), 'meta', NULL, '_links', json('{}'))"""
 
 TAGS = "tags AS (SELECT site, tags[1] AS id, count(*) AS n FROM order_posts GROUP BY ALL)"
+IMAGE = "author % 97 + 1"
+
+
+def store_posts(rewritten: bool) -> str:
+    """Orders with an image, under its local path where it is media of the same store and links are rewritten."""
+    local = f"EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = {IMAGE} AND 'site-' || s_nationkey = site)" if rewritten else "false"
+    return f"""store_posts AS (SELECT * REPLACE (content || '<img src="' || CASE WHEN {local} THEN 'media/' || ({IMAGE}) || '_' || ({IMAGE}) || '.png'
+      ELSE 'https://cdn.example.com/' || ({IMAGE}) || '.png' END || '">' AS content) FROM order_posts)"""
+
+
 RECORDS = f"""records AS (
-  SELECT site, 'posts' AS entity, id AS ord, {POST_JSON}::VARCHAR AS record FROM order_posts
+  SELECT site, CASE WHEN status = 'private' THEN 'pages' ELSE 'posts' END AS entity, id AS ord, {POST_JSON}::VARCHAR AS record FROM store_posts
   UNION ALL SELECT 'site-' || s_nationkey, 'media', s_suppkey, {MEDIA_JSON}::VARCHAR FROM supplier
   UNION ALL SELECT site, 'categories', id, {CATEGORY_JSON}::VARCHAR FROM category_nodes
   UNION ALL SELECT site, 'tags', id, {TAG_JSON}::VARCHAR FROM tags
@@ -256,15 +266,15 @@ def _lines(keys: tuple[str, ...]) -> str:
         + ", ".join(lit(k) for k in lists) + ")"
     )
     parts.append(single("exported_at", "sites", lit(f'"{RUN_TIME}"')))
-    parts.append(single("stats", "stats", """json_object('total_posts', total_posts, 'total_pages', 0, 'total_media', total_media,
+    parts.append(single("stats", "stats", """json_object('total_posts', total_posts, 'total_pages', total_pages, 'total_media', total_media,
       'total_categories', total_categories, 'total_tags', total_tags, 'total_users', total_users, 'media_downloaded', 0, 'brute_force_found', 0)::VARCHAR"""))
     if "site" in keys:
         parts.append(single("site", "sites", """json_object('name', n_name, 'description', '', 'url', 'https://shop.example.com/' || n_nationkey,
           'home_url', '', 'admin_email', '', 'timezone', '', 'date_format', '', 'time_format', '', 'start_of_week', 1, 'language', 'en')::VARCHAR"""))
-    stats = f"""stats AS (SELECT site, {counted('order_posts o', 'o.site', 'total_posts')},
+    stats = f"""stats AS (SELECT site, {counted('order_posts o', 'o.site', 'total_posts', "o.status <> 'private'")}, {counted('order_posts o', 'o.site', 'total_pages', "o.status = 'private'")},
       {counted('supplier', "'site-' || s_nationkey", 'total_media')}, {counted('category_nodes c', 'c.site', 'total_categories')},
       {counted('tags t', 't.site', 'total_tags')}, {counted('customer', "'site-' || c_nationkey", 'total_users')} FROM sites)"""
-    return f"WITH {ORDER_POSTS}, {CATEGORIES}, {TAGS}, {RECORDS}, {SITES}, {stats} " + " UNION ALL ".join(parts)
+    return f"WITH {ORDER_POSTS}, {store_posts(rewritten=True)}, {CATEGORIES}, {TAGS}, {RECORDS}, {SITES}, {stats} " + " UNION ALL ".join(parts)
 
 
 ORACLES: dict[str, str] = {
@@ -283,7 +293,8 @@ ORACLES: dict[str, str] = {
         CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S')
           WHEN 'signup' THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS utc,
         CASE event_type WHEN 'error' THEN '{RUN_TIME}' WHEN 'click' THEN s || '-05:30' WHEN 'signup' THEN s || '+02:00' ELSE s || 'Z' END AS printed FROM e""",
-    "front_matter": f"WITH {ORDER_POSTS} SELECT site, id, {front_matter('post')} AS front_matter FROM order_posts",
+    "front_matter": f"""WITH {ORDER_POSTS}, titled AS (SELECT * REPLACE (title || chr(10) || slug || chr(13) || '\\' AS title) FROM order_posts)
+      SELECT site, id, {front_matter('post')} AS front_matter FROM titled""",
     "post_documents": f"""WITH RECURSIVE {ORDER_POSTS}, {PAGE_POSTS}, {CATEGORIES}, {CATEGORY_PATHS},
       posts AS (SELECT * EXCLUDE (broken, content_type) FROM order_posts UNION ALL BY NAME SELECT * FROM page_posts),
       placed AS (SELECT p.*, 'posts/' || coalesce(nullif({link_folder('link')}, ''), c.path, 'uncategorized') || '/' || {file_name('slug', 'p.id')} AS path
@@ -309,7 +320,8 @@ ORACLES: dict[str, str] = {
     "merge_discovered": f"""WITH {LOOKUPS}, {LISTED}, {DISCOVERED}, {ORDER_POSTS} SELECT site, content_type, id, slug, false AS discovered FROM order_posts
       UNION ALL SELECT 'store', 'page', id, slug, true FROM discovered WHERE content_type = 'pages'""",
     "media_filename": f"""WITH {PAGE_MEDIA} SELECT page_id AS id, CASE WHEN url LIKE '%/' THEN page_id || '_media_' || page_id || {MIME} ELSE file END AS file
-      FROM page_media JOIN pages ON page_id = id""",
+      FROM page_media JOIN pages ON page_id = id
+      UNION ALL SELECT page_id, page_id || '_' || left(repeat('ab', page_id % 60 + 70), 195) || '.jpeg' FROM pages""",
     "mime_extension": f"""SELECT event_id, coalesce(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in MIME_EXTENSIONS.items())}}}[CASE WHEN event_type = 'error' THEN props
       ELSE [{', '.join(f"'{k}'" for k in MIME_EXTENSIONS)}][event_id % {len(MIME_EXTENSIONS)} + 1] END], '{DEFAULT_EXTENSION}') AS extension FROM events""",
     "path_safe": "SELECT page_id, url LIKE 'https:%' AS inside FROM pages",
@@ -363,12 +375,12 @@ ORACLES: dict[str, str] = {
     "rpc_terms": f"""WITH {ORDER_POSTS}, {CATEGORIES}, {TAGS} SELECT site || '-' || id // {IDS_PER_PAGE} AS site, id, slug, parent FROM category_nodes
       UNION ALL SELECT site || '-' || id // {IDS_PER_PAGE}, id, id::VARCHAR, 0 FROM tags""",
     "export_stats": f"""WITH {ORDER_POSTS}, {CATEGORIES}, {TAGS}, {SITES}, {LOOKUPS}, {LISTED}, {DISCOVERED},
-      found AS (SELECT 'site-0' AS site FROM discovered WHERE content_type = 'posts'), posts AS (SELECT site FROM order_posts UNION ALL SELECT site FROM found)
-      SELECT site, {counted('posts p', 'p.site', 'total_posts')}, 0 AS total_pages, {counted('supplier', "'site-' || s_nationkey", 'total_media')},
+      found AS (SELECT 'site-0' AS site FROM discovered WHERE content_type = 'posts'), posts AS (SELECT site, status FROM order_posts UNION ALL SELECT site, '' FROM found)
+      SELECT site, {counted('posts p', 'p.site', 'total_posts', "p.status <> 'private'")}, {counted('posts p', 'p.site', 'total_pages', "p.status = 'private'")}, {counted('supplier', "'site-' || s_nationkey", 'total_media')},
         {counted('category_nodes c', 'c.site', 'total_categories')}, {counted('tags t', 't.site', 'total_tags')},
         {counted('customer', "'site-' || c_nationkey", 'total_users')}, {counted('supplier', "'site-' || s_nationkey", 'media_downloaded', 's_acctbal > 0')},
         {counted('found f', 'f.site', 'brute_force_found')} FROM sites""",
-    "export_records": f"WITH {ORDER_POSTS}, {CATEGORIES}, {TAGS}, {RECORDS} SELECT * FROM records",
+    "export_records": f"WITH {ORDER_POSTS}, {store_posts(rewritten=False)}, {CATEGORIES}, {TAGS}, {RECORDS} SELECT * FROM records",
     "export_json": _lines(("site", "posts", "pages", "media", "categories", "tags", "users", "exported_at", "stats")),
     "export_metadata": _lines(("categories", "exported_at", "media", "stats", "tags", "users")),
 }

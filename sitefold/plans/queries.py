@@ -81,7 +81,9 @@ def q_parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stand_ins.order_posts(spark, sf_dir).select("site", "id", documents.front_matter("post", RUN_TIME).alias("front_matter"))
+    posts = stand_ins.order_posts(spark, sf_dir)
+    broken = F.col("title").withField("rendered", cat(F.col("title.rendered"), "\n", F.col("slug"), "\r\\"))
+    return posts.withColumn("title", broken).select("site", "id", documents.front_matter("post", RUN_TIME).alias("front_matter"))
 
 
 def q_post_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +160,10 @@ def q_merge_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_media_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = stand_ins.page_media(spark, sf_dir)
-    return items.select("id", media_file_name("id", "source_url", "mime_type").alias("file"))
+    items = stand_ins.page_media(spark, sf_dir).select("id", "source_url", "mime_type")
+    # Names on both sides of the limit of 200 bytes.
+    long = items.withColumn("source_url", F.concat(F.lit("https://cdn.example.com/"), F.repeat(F.lit("ab"), (F.col("id") % 60 + 70).cast("int")), F.lit(".jpeg")))
+    return items.unionByName(long).select("id", media_file_name("id", "source_url", "mime_type").alias("file"))
 
 
 def q_mime_extension(spark: SparkSession, sf_dir: str) -> DataFrame:

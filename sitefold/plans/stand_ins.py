@@ -142,10 +142,20 @@ def store_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.select(store_site("n_nationkey").alias("site"), *entity_columns(SITE, fields))
 
 
+def store_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with an image each, which is media of the same store for some of them; private ones are pages."""
+    image = cat('<img src="https://cdn.example.com/', F.col("author") % 97 + 1, '.png">')
+    return (
+        order_posts(spark, sf_dir)
+        .withColumn("content", F.col("content").withField("rendered", F.concat("content.rendered", image)))
+        .withColumn("content_type", F.when(F.col("status") == "private", "page").otherwise("post"))
+    )
+
+
 def store_content(spark: SparkSession, sf_dir: str) -> Content:
     return Content(
         sites=store_sites(spark, sf_dir),
-        posts=order_posts(spark, sf_dir),
+        posts=store_posts(spark, sf_dir),
         media=store_media(spark, sf_dir),
         categories=store_categories(spark, sf_dir),
         tags=store_tags(spark, sf_dir),
