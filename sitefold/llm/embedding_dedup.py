@@ -196,9 +196,10 @@ def near_duplicates(
     links = found.where("links > 0").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     found_components = components(found.where("b IS NOT NULL"), "a", "b").withColumnRenamed("vertex", "class")
     labelled = classes.select("class", "copies", "first_id").join(links, "class", "left").join(found_components, "class", "left")
-    labelled = labelled.withColumn("top", F.coalesce("component", "class"))
-    smallest = labelled.groupBy("top").agg(F.min("first_id").alias("component_id"))
-    members = labelled.join(smallest, "top").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    labelled = landed(labelled.withColumn("top", F.coalesce("component", "class")))
+    smallest = landed(labelled.groupBy("top").agg(F.min("first_id").alias("component_id")))
+    # A component may hold a third of all classes, so it is not gathered to learn its smallest id.
+    members = lookup_join(labelled, smallest, ["top"], "inner", ["class"]).select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     judged = lookup_join(rows.select(key, "class"), landed(members), ["class"], "left", [key])
     own = F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("component_id"))
     return judged.select(key, F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id")).withColumn(
