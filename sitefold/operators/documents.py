@@ -11,6 +11,7 @@ from sitefold.functions.sqltext import column, lit, text
 from sitefold.functions.times import ZERO_TIME, print_time_sql
 from sitefold.operators.joins import BROADCAST_BYTES, SLICES, fits_broadcast, materialised
 from sitefold.operators.taxonomy import with_category_folder
+from sitefold.session import landed
 
 
 def _quoted(name: str, value: str) -> str:
@@ -98,13 +99,23 @@ def last_writes(rows: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
     return rows.join(repeated, overwritten & same_slice, "left_anti")
 
 
+_DOCUMENT_COLUMNS = (
+    "id", "title", "slug", "date", "modified", "status", "link", "author", "featured_media", "categories", "tags", "excerpt", "content",
+)
+
+
 def post_documents(posts: DataFrame, paths: DataFrame, unreadable_time: str = ZERO_TIME) -> DataFrame:
-    """(site, path, content) of posts, in folders by category."""
+    """(site, path, content) of posts, in folders by category.
+
+    Placed rows are landed: the search for contested paths reads two columns of them, and
+    the documents are made from them without placing posts again.
+    """
     folder = F.nullif(F.col("folder"), F.lit("."))
     placed = with_category_folder(posts.filter("content_type = 'post'"), paths).withColumn(
         "path", F.concat_ws("/", F.lit("posts"), folder, markdown_file_name("slug", "id"))
     )
-    return last_writes(placed).select("site", "path", document_text("post", unreadable_time).alias("content"))
+    rows = landed(placed.select("site", "path", "ord", *_DOCUMENT_COLUMNS))
+    return last_writes(rows).select("site", "path", document_text("post", unreadable_time).alias("content"))
 
 
 def page_documents(posts: DataFrame, unreadable_time: str = ZERO_TIME) -> DataFrame:

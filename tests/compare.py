@@ -25,9 +25,9 @@ def sorted_rows(columns, rows):
     return [columns[i] for i in order], [tuple(row[i] for i in order) for row in rows]
 
 
-def differences(spark, con, name, sf_dir):
+def differences(spark, con, name, sf_dir, df=None):
     """None when equal, else a short description; and the number of rows."""
-    df = queries()[name](spark, sf_dir)
+    df = queries()[name](spark, sf_dir) if df is None else df
     columns, got = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
     sql = oracle_sql().get(name)
     if sql is None:

@@ -1,11 +1,13 @@
-"""Physical plans: what reaches the scan, and which joins are never used."""
+"""Physical plans: what reaches the scan, and what runs once."""
 
 import os
 
 import pytest
 
 from sitefold import schemas
-from sitefold.operators import discovery
+from sitefold.operators import discovery, rewrite
+from sitefold.plans import export, stand_ins
+from sitefold.plans.options import ExportOptions
 from sitefold.sources import rest
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -35,10 +37,15 @@ def test_bodies_are_not_shuffled(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["media_rewrite", "post_documents", "discover", "export_stats", "rpc_posts"])
-def test_no_pairing_joins_and_no_python(spark, name):
-    from __spark_entry__ import queries
-
-    plan = plan_of(queries()[name](spark, SF_DIR))
-    for operator in ("CartesianProduct", "NestedLoopJoin", "Python", "Pandas"):
-        assert operator not in plan
+def test_an_export_rewrites_posts_once(spark, monkeypatch):
+    """All jobs of an export read the landed posts: none of their plans looks for URLs again."""
+    calls = []
+    plain = rewrite.rewrite_media_links
+    monkeypatch.setattr(rewrite, "rewrite_media_links", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    options = ExportOptions(output_format="markdown")
+    prepared = export.prepare(stand_ins.store_content(spark, SF_DIR), "/export", options)
+    searched = "url_hash"
+    assert searched in plan_of(plain(stand_ins.store_posts(spark, SF_DIR), stand_ins.store_media(spark, SF_DIR)))
+    for df in (export.json_lines(prepared, options), export.metadata_lines(prepared, options), export.markdown_documents(prepared, options)):
+        assert searched not in plan_of(df)
+    assert len(calls) == 1

@@ -4,6 +4,7 @@ import os
 
 import pytest
 from compare import connect, differences
+from test_plans import plan_of
 
 from __spark_entry__ import entry, oracle_sql, queries
 from sitefold.plans.queries import QUERIES
@@ -23,7 +24,11 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    problem, rows = differences(spark, duck, name, SF_DIR)
+    df = queries()[name](spark, SF_DIR)
+    plan = plan_of(df)
+    for operator in ("CartesianProduct", "NestedLoopJoin", "Python", "Pandas"):
+        assert operator not in plan
+    problem, rows = differences(spark, duck, name, SF_DIR, df)
     assert problem is None and rows > 0
 
 
