@@ -198,9 +198,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     edges = landed(fingerprint_links(distinct))
     found = components(edges, "low", "high")
     labelled = distinct.join(found.withColumnRenamed("vertex", "fingerprint_bits"), "fingerprint_bits", "left")
-    classes = labelled.withColumn("class", F.coalesce("component", "fingerprint_bits"))
-    smallest = classes.groupBy("class").agg(F.min("first_id").alias("component_id"))
-    members = classes.select("fingerprint_bits", "class").join(smallest, "class").drop("class")
+    classes = landed(labelled.withColumn("class", F.coalesce("component", "fingerprint_bits")))
+    smallest = landed(classes.groupBy("class").agg(F.min("first_id").alias("component_id")))
+    # A component of very many fingerprints is not gathered to learn its smallest id.
+    members = lookup_join(classes.select("fingerprint_bits", "class"), smallest, ["class"], "inner", ["fingerprint_bits"]).drop("class")
     hexed = F.lower(F.lpad(F.hex("fingerprint_bits"), 16, "0")).alias("fingerprint")
     # A fingerprint of very many documents is spread, should the lookup not fit a broadcast.
     placed = lookup_join(prints, landed(members), ["fingerprint_bits"], "left", [key])
