@@ -22,7 +22,7 @@ METHODS = {
     "options": "wp.getOptions",
 }
 PAGED_METHODS = ("wp.getPosts", "wp.getPages", "wp.getMediaLibrary")
-PAGE_SIZE = 100
+PAGE_SIZE = 100  # what the calls asked for; captures made with another size state it
 SITE_NAME = "WordPress Site"
 
 _SCALARS = ("string", "int", "i4", "boolean", "double", "dateTime.iso8601", "base64", "_VALUE")
@@ -74,13 +74,13 @@ def rpc_outcomes(rpc_pages: DataFrame) -> DataFrame:
     )
 
 
-def offset_cuts(rpc_pages: DataFrame) -> DataFrame:
+def offset_cuts(rpc_pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Last offset of each paged call sequence: the first one with fewer records than a page holds.
 
     An error at or before it fails the sequence. Calls that do not page end at offset 0.
     """
     paged = F.col("method").isin(*PAGED_METHODS)
-    short = (F.col("outcome") == "ok") & ((F.col("records") < PAGE_SIZE) | ~paged)
+    short = (F.col("outcome") == "ok") & ((F.col("records") < page_size) | ~paged)
     return (
         rpc_outcomes(rpc_pages)
         .groupBy("site", "method")
@@ -103,13 +103,13 @@ def offset_cuts(rpc_pages: DataFrame) -> DataFrame:
     )
 
 
-# Calls of one sequence that share a join key, as for listing pages.
+# Offsets of one sequence that share a join key, as for listing pages.
 OFFSET_BLOCK = 64 * PAGE_SIZE
 
 
-def _surviving_calls(rpc_pages: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+def _surviving_calls(rpc_pages: DataFrame, bound: int = BROADCAST_BYTES, page_size: int = PAGE_SIZE) -> DataFrame:
     """Calls up to the end of sequences that did not fail, joined as listing pages are."""
-    cuts = materialised(offset_cuts(rpc_pages).filter(~F.col("failed")).select("site", "method", "last_offset"))
+    cuts = materialised(offset_cuts(rpc_pages, page_size).filter(~F.col("failed")).select("site", "method", "last_offset"))
     answered = rpc_pages.filter("status = 200")
     if fits_broadcast(cuts, bound):
         joined = answered.join(F.broadcast(cuts), ["site", "method"])
@@ -236,17 +236,21 @@ _USER_FIELDS = {
     "description": _text("bio"),
     "slug": _text("nicename", "username"),
 }
+# Levels of values below a record that hold the fields above: an option is a record with a value, a term one in
+# a list of the post's own. No field is read from further down, so nothing that is decoded is cut off.
 _RECORD_DEPTH, _TERMS_DEPTH, _OPTIONS_DEPTH = 2, 4, 2
 
 
-def _records(rpc_pages: DataFrame, method: str, ddl: str, fields: dict[str, str], depth: int = _RECORD_DEPTH) -> DataFrame:
+def _records(
+    rpc_pages: DataFrame, method: str, ddl: str, fields: dict[str, str], depth: int = _RECORD_DEPTH, page_size: int = PAGE_SIZE
+) -> DataFrame:
     """Records of one method in all columns of the entity; those it does not carry are zero.
 
     Member names and texts become two parallel arrays once per record, so each
     field is a plain lookup. The outer explode keeps the optimizer from parsing
     bodies once more in a filter on empty responses.
     """
-    calls = _surviving_calls(rpc_pages.filter(F.col("method") == method))
+    calls = _surviving_calls(rpc_pages.filter(F.col("method") == method), page_size=page_size)
     response = calls.select("site", "offset", F.from_xml("body", F.lit(_response_ddl(depth)), _XML_OPTIONS).alias("response"))
     members = (
         response.selectExpr("site", "offset", "posexplode_outer(try_element_at(response.params.param, 1).value.array.data.value) AS (position, value)")
@@ -264,15 +268,15 @@ def _records(rpc_pages: DataFrame, method: str, ddl: str, fields: dict[str, str]
     return members.selectExpr("site", "ord", *columns)
 
 
-def rpc_posts(rpc_pages: DataFrame) -> DataFrame:
+def rpc_posts(rpc_pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Posts and pages, in the columns of the JSON API."""
-    posts = _records(rpc_pages, METHODS["posts"], POST, _POST_FIELDS, _TERMS_DEPTH)
-    pages = _records(rpc_pages, METHODS["pages"], POST, _PAGE_FIELDS)
+    posts = _records(rpc_pages, METHODS["posts"], POST, _POST_FIELDS, _TERMS_DEPTH, page_size)
+    pages = _records(rpc_pages, METHODS["pages"], POST, _PAGE_FIELDS, page_size=page_size)
     return posts.withColumn("content_type", F.lit("post")).unionByName(pages.withColumn("content_type", F.lit("page")))
 
 
-def rpc_media(rpc_pages: DataFrame) -> DataFrame:
-    return _records(rpc_pages, METHODS["media"], MEDIA, _MEDIA_FIELDS)
+def rpc_media(rpc_pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    return _records(rpc_pages, METHODS["media"], MEDIA, _MEDIA_FIELDS, page_size=page_size)
 
 
 def rpc_categories(rpc_pages: DataFrame) -> DataFrame:

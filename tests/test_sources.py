@@ -155,3 +155,16 @@ def test_rpc_entities(spark):
     assert [r.slug for r in rpc.rpc_tags(pages).collect()] == ["t"]
     assert rpc.rpc_users(pages).first().name == "u"
     assert rpc.rpc_site_info(pages).first().name == "Blog"
+
+
+def test_call_ends_are_joined_alike_beyond_the_broadcast_bound(spark):
+    """Sequences that end, fail and go on over several blocks of offsets, by broadcast and by a spread shuffle."""
+    item = "<value><struct><member><name>post_id</name><value><int>1</int></value></member></struct></value>"
+    head, tail = "<methodResponse><params><param><value><array><data>", "</data></array></value></param></params></methodResponse>"
+    full, short = head + item * rpc.PAGE_SIZE + tail, head + item + tail
+    rows = [("long", "wp.getPosts", n * 100, 200, full) for n in range(70)] + [("long", "wp.getPosts", 7000, 200, short), ("long", "wp.getPosts", 7100, 200, short)]
+    rows += [("fails", "wp.getPosts", 0, 200, full), ("fails", "wp.getPosts", 100, 500, ""), ("once", "wp.getUsers", 0, 200, full), ("early", "wp.getPages", 0, 200, short)]
+    calls = spark.createDataFrame(rows, schemas.RPC_PAGES)
+    both = [sorted((r.site, r.offset) for r in rpc._surviving_calls(calls, bound).collect()) for bound in (-1, 1 << 20)]
+    assert rpc.rpc_posts(calls.filter("site = 'early'"), page_size=1).count() == 1  # no shorter page: it goes on to its end
+    assert both[0] == both[1] == sorted([("long", n * 100) for n in range(71)] + [("once", 0), ("early", 0)])
