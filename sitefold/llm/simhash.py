@@ -187,15 +187,21 @@ def fingerprint_links(distinct: DataFrame, column: str = "fingerprint_bits") ->
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["low", "high"])
 
     columns = met.select("print", F.col("choice").cast("int").alias("choice"), "block", "place")
-    columns.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return columns.mapInArrow(run, "low bigint, high bigint")
+    # Four numbers a row, so batches may be long; the edges are landed at once, then texts get short ones again.
+    conf, name = columns.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "20000")
+    try:
+        return landed(columns.mapInArrow(run, "low bigint, high bigint"))
+    finally:
+        conf.set(name, before)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, fingerprint (16 hex digits) and component_id of every document."""
     prints = landed(with_fingerprints(docs, key, text))
     distinct = landed(prints.groupBy("fingerprint_bits").agg(F.min(key).alias("first_id")))
-    edges = landed(fingerprint_links(distinct))
+    edges = fingerprint_links(distinct)
     found = components(edges, "low", "high")
     labelled = distinct.join(found.withColumnRenamed("vertex", "fingerprint_bits"), "fingerprint_bits", "left")
     classes = landed(labelled.withColumn("class", F.coalesce("component", "fingerprint_bits")))
