@@ -52,7 +52,7 @@ ANCHORS = ["license", "hereby", "redistribut", "unencumbered", "creative", "cc"]
 
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: The Kelvin sign is the only character outside ASCII that lower() turns into a letter of ASCII alone.
-_KELVIN, _STAND_IN = "K", "Ω"
+_KELVIN, _STAND_IN = "\u212a", "\u2126"
 
 
 def _quoted(text: str) -> str:
