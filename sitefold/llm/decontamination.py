@@ -1,24 +1,31 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts and items become words (letters and digits, A-Z lower-cased). An item of m words is found in a document if some
-window of m consecutive words is within ``m // 5`` word edits of it (a similarity of 0.8 or more).
+Texts and items become words (letters and digits, A-Z lower-cased). With ``stretches``, as the queries search, an item of
+m words is found in a document if some stretch of it, of any length from ``m - m // 5`` to ``m + m // 5`` words, is within
+``m // 5`` word edits of the item (a similarity of 0.8 or more); a stretch may be the whole of a document shorter than the
+item. Without ``stretches`` only windows of exactly m words within a document count, which misses copies from which over
+m / 10 words were left out or to which as many were added.
 
 1. Windows. A window within k edits of an item shares at least m - 1 - 2k of its word pairs with it, because an edit
-   touches two pairs at most. Windows with fewer pairs known from any item are left out; this loses nothing.
+   touches two pairs at most. Windows with fewer pairs known from any item are left out; this loses nothing. The same
+   holds for the window of m words that begins with a stretch: an added word costs one pair and pushes one out at most.
+   With ``stretches`` the window at a document's end is filled up with zeros.
 2. Embedding. The CGK walk copies the word under a pointer, step by step, and moves the pointer on by a random bit that
    depends on step and word; after 3m steps an edit distance has become a Hamming distance. Windows and items of one
    length take the same walk.
 3. Sampling. ``SAMPLES`` places of an embedding make a key; windows meet the items with an equal key. Walks and samples
    are repeated until pairs at the largest allowed distance meet with ``TARGET_RECALL``: the number is set by embedding
-   edited copies of the items (a bounded number of them), and exact copies always meet.
-4. Verification. Each pair that has met is compared by its exact word edit distance.
+   edited copies of the items (a bounded number of them), and exact copies always meet. With ``stretches`` copies with
+   words only replaced, only left out and only put in have to reach it as well.
+4. Verification. Each pair that has met is compared by its exact word edit distance; with ``stretches`` the item is
+   compared with all stretches that begin near the window (semi-global distance).
 
 The benchmark is measured and travels to the tasks in blocks of at most ``BLOCK_BYTES``; further blocks are further
 passes, so no benchmark is too large. Documents are not shuffled.
 
 Defined cases: null and empty texts hold no item; items of fewer than ``LEAST_WORDS`` words are not searched. Repeated
 items are reported each; repeated documents too. Null ids are carried. Of several windows for one item the closest, then
-the first is reported. Extra columns are not read (``drop_contaminated`` passes them on). Empty tables give no matches.
+the first is reported; of equally close stretches with one first word that whose length is nearest the item's. Extra columns are not read (``drop_contaminated`` passes them on). Empty tables give no matches.
 """
 
 from __future__ import annotations
@@ -118,16 +125,40 @@ def edit_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return row[:, m]
 
 
-def repetitions_for(items: list[np.ndarray], target: float = TARGET_RECALL) -> int:
-    """Repetitions with which copies of the items at the largest allowed distance meet them as often as wanted."""
+def best_stretches(texts: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least distance of each row of ``items`` to a stretch of its text's first ``sizes`` words; the stretch's start and length.
+
+    Of equally close stretches the first, then the one nearest the item's length.
+    """
+    (n, widest), m = texts.shape, items.shape[1]
+    one = np.int64(1 << 32)  # an edit; the lower bits hold where the stretch begins
+    steps = np.arange(widest + 1)
+    row = np.broadcast_to(steps, (n, widest + 1)).astype(np.int64)
+    for i in range(m):
+        fresh = row + one
+        fresh[:, 1:] = np.minimum(fresh[:, 1:], row[:, :-1] + one * (texts != items[:, i : i + 1]))
+        row = np.minimum.accumulate(fresh - steps * one, axis=1) + steps * one
+    row[steps > sizes[:, None]] = np.iinfo(np.int64).max
+    least = row.min(axis=1)
+    start = least & (one - 1)
+    off = np.where(row == least[:, None], np.abs(steps - start[:, None] - m), np.iinfo(np.int64).max)
+    return least >> 32, start, off.argmin(axis=1) - start
+
+
+def repetitions_for(items: list[np.ndarray], target: float = TARGET_RECALL, edits: tuple[int, ...] = (0, 1, 2)) -> int:
+    """Repetitions with which copies of the items at the largest allowed distance meet them as often as wanted.
+
+    ``edits``: words are replaced (0), left out (1) or put in (2), in turn.
+    """
     random = np.random.default_rng(SEED)
     chances = []
     for words in items[:TRIALS]:
         edited = list(words)
-        for k in range(allowed_edits(len(words))):  # replaced, left out and put in, in turn
+        for k in range(allowed_edits(len(words))):
             at = int(random.integers(len(edited)))
             strange = np.uint64(random.integers(1, 1 << 62))
-            edited[at : at + (k % 3 != 2)] = [] if k % 3 == 1 else [strange]
+            edit = edits[k % len(edits)]
+            edited[at : at + (edit != 2)] = [] if edit == 1 else [strange]
         edited = (edited + [np.uint64(random.integers(1, 1 << 62)) for _ in words])[: len(words)]
         both = walks(np.array([words, edited], dtype=np.uint64), np.arange(SEED, SEED + 4, dtype=np.uint64))
         same = np.mean(both[:, 0] == both[:, 1])
@@ -141,14 +172,17 @@ def repetitions_for(items: list[np.ndarray], target: float = TARGET_RECALL) -> i
 class Index:
     """Items of one block: their words, sampled keys and word pairs."""
 
-    def __init__(self, ids: list, texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], stretches: bool = False):
+        self.stretches = stretches
         hashes, first_word = words_of(pa.array(texts, pa.large_string()))
         sizes = np.diff(first_word)
         own = np.flatnonzero(sizes >= LEAST_WORDS)
         self.ids, self.lengths = [ids[i] for i in own], sizes[own]
         self.words = padded_rows(hashes, first_word[:-1][own], self.lengths)
         rows = [row[:m] for row, m in zip(self.words, self.lengths, strict=True)]
-        self.sampler = Sampler(repetitions_for(rows[:: max(1, len(rows) // TRIALS)]))
+        trials = rows[:: max(1, len(rows) // TRIALS)]
+        edits = [(0, 1, 2), (0,), (1,), (2,)] if stretches else [(0, 1, 2)]
+        self.sampler = Sampler(max(repetitions_for(trials, edits=kinds) for kinds in edits))
         keys = self.sampler.keys(self.words, self.lengths)
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
@@ -163,7 +197,10 @@ class Index:
         self.flags[(self.pairs >> np.uint64(44)).astype(np.int64)] = True
 
     def windows(self, hashes: np.ndarray, first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First word and length of every item-sized window that holds enough word pairs of items of its length."""
+        """First word and length of every item-sized window that holds enough word pairs of items of its length.
+
+        With ``stretches`` a window may reach over its document's end.
+        """
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(hashes) < 2 or not len(self.pairs):
             return nothing
@@ -186,32 +223,61 @@ class Index:
         begin, end, m = at[fits][near], at[last][near], m[near]
         document = np.searchsorted(first_word, begin, side="right") - 1
         low = np.maximum(end - (m - 2), first_word[document])
-        high = np.minimum(begin, first_word[document + 1] - m)
+        high = begin if self.stretches else np.minimum(begin, first_word[document + 1] - m)
         sizes = np.maximum(0, high - low + 1)
-        found = np.array([np.repeat(m, sizes), np.repeat(low, sizes) + ranges(sizes)])
-        found = np.unique(found, axis=1)
-        return found[1], found[0]
+        found = np.unique(np.repeat(m, sizes) * len(hashes) + np.repeat(low, sizes) + ranges(sizes))
+        return found % len(hashes), found // len(hashes)
 
-    def matches(self, texts) -> Iterator[tuple[int, object, int, int, int]]:
-        """(document, item id, first word, words, distance) of every document and item that match."""
+    def matches(self, texts) -> Iterator[tuple[int, object, int, int, int, float]]:
+        """(document, item id, first word, words, distance, similarity) of every document and item that match."""
         hashes, first_word = words_of(texts)
         starts, lengths = self.windows(hashes, first_word)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for first in range(0, len(starts), 1024):
             start, m = starts[first : first + 1024], lengths[first : first + 1024]
-            windows = padded_rows(hashes, start, m)
+            document = np.searchsorted(first_word, start, side="right") - 1
+            windows = padded_rows(hashes, start, np.minimum(m, first_word[document + 1] - start), int(m.max()))
             window, item = self._met(windows, m)
+            if self.stretches:
+                for d, i, *found in self._near(hashes, first_word, start[window], document[window], item):
+                    best[d, i] = min(tuple(found), best.get((d, i), tuple(found)))
+                continue
             for size in np.unique(m[window]):
                 own = np.flatnonzero(m[window] == size)
                 for k in range(0, len(own), 8192):
                     w, i = window[own[k : k + 8192]], item[own[k : k + 8192]]
                     distance = edit_distances(windows[w, :size], self.words[i, :size])
                     for hit in np.flatnonzero(distance <= allowed_edits(int(size))):
-                        d = int(np.searchsorted(first_word, start[w[hit]], side="right")) - 1
-                        found = (int(distance[hit]), int(start[w[hit]] - first_word[d]))
+                        d = int(document[w[hit]])
+                        found = (int(distance[hit]), int(start[w[hit]] - first_word[d]), int(size))
                         best[d, int(i[hit])] = min(found, best.get((d, int(i[hit])), found))
-        for (d, i), (distance, start) in best.items():
-            yield d, self.ids[i], start, int(self.lengths[i]), distance
+        for (d, i), (distance, start, size) in best.items():
+            yield d, self.ids[i], start, size, distance, 1 - distance / int(self.lengths[i])
+
+    def _near(self, hashes, first_word, start, document, item) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, item number, distance, first word, words) of the best stretch about each window that has met an item.
+
+        Windows of a quarter of the item's words are taken together: the text about all of them is compared once.
+        """
+        most, n = len(hashes) + 1, max(1, len(self.ids))
+        cell = (start - first_word[document]) // np.maximum(1, self.lengths[item] // 4)
+        cells = np.unique((document * n + item) * most + cell)
+        document, item = cells // most // n, cells // most % n
+        m = self.lengths[item]
+        edits, step = m // EDIT_SHARE, np.maximum(1, m // 4)
+        begin = first_word[document] + cells % most * step
+        low = np.maximum(begin - edits, first_word[document])
+        sizes = np.minimum(begin + step + m + edits, first_word[document + 1]) - low
+        for size in np.unique(m):
+            own = np.flatnonzero(m == size)
+            rows = max(1, (1 << 19) // (2 * int(size)))
+            for k in range(0, len(own), rows):
+                some = own[k : k + rows]
+                distance, first, words = best_stretches(padded_rows(hashes, low[some], sizes[some]), sizes[some], self.words[item[some], :size])
+                for hit in np.flatnonzero(distance <= allowed_edits(int(size))):
+                    one = some[hit]
+                    place = int(low[one] - first_word[document[one]] + first[hit])
+                    yield int(document[one]), int(item[one]), int(distance[hit]), place, int(words[hit])
 
     def _met(self, windows: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window and item numbers of the distinct pairs that have a key in common."""
@@ -229,9 +295,9 @@ class Index:
         return window[same], item[same]
 
 
-def padded_rows(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A row of word hashes for every window, zero past its length."""
-    widest = int(lengths.max()) if len(lengths) else 0
+def padded_rows(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int = 0) -> np.ndarray:
+    """A row of word hashes for every window, zero past its length; rows are ``least`` wide at least."""
+    widest = max(least, int(lengths.max()) if len(lengths) else 0)
     steps = np.arange(widest)
     inside = steps < lengths[:, None]
     return np.where(inside, hashes[np.where(inside, starts[:, None] + steps, 0)], np.uint64(0)) if len(hashes) else np.zeros((len(starts), widest), np.uint64)
@@ -254,14 +320,18 @@ def find_items(
     item_key: str = "item_id",
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    stretches: bool = False,
 ) -> DataFrame:
-    """Document and item of every match, with first_word, n_words, distance and similarity."""
+    """Document and item of every match, with first_word, n_words, distance and similarity.
+
+    ``stretches``: stretches of other lengths than the item's count as well.
+    """
     kinds = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}"
     schema = f"{kinds}, first_word bigint, n_words bigint, distance int, similarity double"
     arrow_item = pa.int64() if items.schema[item_key].dataType.simpleString() in ("bigint", "int") else None
     found = None
     for ids, texts in _blocks(items, item_key, item_text, block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index(ids, texts))
+        index = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, stretches))
 
         def run(batches, index=index):
             for batch in batches:
@@ -271,14 +341,14 @@ def find_items(
                     own = (data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                     rows += [(first + d, *rest) for d, *rest in index.value.matches(own)]
                 if rows:
-                    document, item, start, m, distance = zip(*rows, strict=True)
+                    document, item, start, m, distance, similarity = zip(*rows, strict=True)
                     columns = [
                         batch.column(0).take(pa.array(document)),
                         pa.array(item, arrow_item),
                         pa.array(start, pa.int64()),
                         pa.array(m, pa.int64()),
                         pa.array(distance, pa.int32()),
-                        pa.array([1 - x / y for x, y in zip(distance, m, strict=True)], pa.float64()),
+                        pa.array(similarity, pa.float64()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=[key, item_key, "first_word", "n_words", "distance", "similarity"])
 
@@ -287,12 +357,12 @@ def find_items(
     return found
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", block_bytes: int = BLOCK_BYTES, stretches: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns kept; each row is judged where it is read."""
     at = docs.columns.index(text)
     numbered = items.select(F.lit(0).alias("number"), F.col(item_text).alias("text"))
     for ids, texts in _blocks(numbered, "number", "text", block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index(ids, texts))
+        index = docs.sparkSession.sparkContext.broadcast(Index(ids, texts, stretches))
 
         def run(batches, index=index):
             for batch in batches:

@@ -309,3 +309,61 @@ def test_decontamination_defined_cases(spark):
     assert decontamination.find_items(docs_of(spark, []), bench).count() == 0
     assert decontamination.find_items(docs, bench.limit(0)).count() == 0
     assert decontamination.drop_contaminated(docs, bench.limit(0)).count() == 5
+
+
+def plain_stretches(docs, items):
+    """(document, item): least distance over all stretches of the document, of whatever length."""
+    found = {}
+    for d, text in docs:
+        h = decontamination.words_of(pa.array([text], pa.large_string()))[0].tolist()
+        for i, item in items:
+            own = decontamination.words_of(pa.array([item], pa.large_string()))[0].tolist()
+            row = [0] * (len(h) + 1)
+            for n, word in enumerate(own):
+                old, row = row, [n + 1]
+                for j, x in enumerate(h):
+                    row.append(min(row[j] + 1, old[j + 1] + 1, old[j] + (x != word)))
+            if len(own) >= decontamination.LEAST_WORDS and min(row) <= len(own) // 5:
+                found[d, i] = min(row)
+    return found
+
+
+def test_best_stretches():
+    def hashed(text):
+        return decontamination.words_of(pa.array([text], pa.large_string()))[0]
+
+    item = "a b c d e f g h i j"
+    texts = ["x y a b c d e f g h i j z", "q a b c e f g h i j k l", "a b c d p e f g h i j", "b c d e f g h i j"]
+    sizes = np.array([len(t.split()) for t in texts])
+    rows = np.array([np.pad(hashed(t), (0, 13 - n)) for t, n in zip(texts, sizes)])
+    found = decontamination.best_stretches(rows, sizes, np.repeat(hashed(item)[None], 4, 0))
+    assert [x.tolist() for x in found] == [[0, 1, 1, 1], [2, 1, 0, 0], [10, 9, 11, 9]]
+
+
+def test_decontamination_finds_stretches_of_other_lengths(spark):
+    rng = random.Random(9)
+    items = [(i, [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(15, 60))]) for i in range(30)]
+    docs = []
+    for d in range(180):
+        own, passage = [[f"v{rng.randrange(3000)}" for _ in range(rng.randrange(1, 80))] for _ in range(2)], list(items[d % 30][1])
+        for _ in range(len(passage) // 5):
+            at = rng.randrange(len(passage))
+            passage[at : at + (d % 3 != 1)] = [] if d % 3 == 0 else [f"e{rng.randrange(99)}"]  # left out, put in, replaced
+        docs.append((d, " ".join(own[0] + passage + own[1])))
+    docs += [(1000 + i, " ".join(own[1:])) for i, own in items]  # whole documents shorter than the item
+    docs += [(2000 + i, "front " + " ".join(own[: len(own) - len(own) // 5])) for i, own in items]  # stretches at the end
+    item_rows = [(i, " ".join(own)) for i, own in items]
+    bench = spark.createDataFrame(item_rows, "item_id long, text string")
+    table = docs_of(spark, [t for _, t in docs], [d for d, _ in docs])
+    wanted = plain_stretches(docs, item_rows)
+    rows = decontamination.find_items(table, bench, stretches=True).collect()
+    found = {(r.doc_id, r.item_id): r.distance for r in rows}
+    assert len(rows) == len(found) and set(found) <= set(wanted) and len(found) >= 0.97 * len(wanted) >= 0.97 * 240
+    assert sum(found[k] == wanted[k] for k in found) >= 0.97 * len(found)
+    texts, words_in = dict(docs), dict(items)
+    for r in rows:
+        assert r.similarity == pytest.approx(1 - r.distance / len(words_in[r.item_id])) and abs(r.n_words - len(words_in[r.item_id])) <= r.distance
+        assert r.first_word + r.n_words <= len(texts[r.doc_id].split())
+    assert sum(k[0] < 180 and k[0] % 3 == 0 for k in found) >= 57 and sum(1000 <= k[0] < 2000 for k in found) == 30 and sum(k[0] >= 2000 for k in found) >= 29
+    clean = {r.doc_id for r in decontamination.drop_contaminated(table, bench, stretches=True).collect()}
+    assert clean == {d for d, _ in docs} - {d for d, _ in found}
