@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source."""
-    cleaned = line_dedup.drop_boilerplate(docs)
+    cleaned = line_dedup.drop_boilerplate(docs, copies_only=True)
     lengths = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", lengths).select(*docs.columns)
 

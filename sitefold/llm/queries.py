@@ -54,7 +54,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, cleaned text, its number of lines and of dropped lines; hosts are sources."""
-    cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), copies_only=True)
     return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from sitefold.llm import decontamination, license_scan, line_dedup, sharding, simhash, substring_dedup, words
+from sitefold.operators import joins as operators_joins
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use inside.
@@ -236,6 +237,20 @@ def test_line_dedup_keeps_whole_copies(spark):
     assert line_dedup.drop_boilerplate(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_exempts_only_proven_copies(spark, monkeypatch):
+    texts = ["menu\nfoot\nown one", "menu\nfoot\nown two", "menu\nfoot\nown three", "menu\nfoot", "foot\n\n menu", "same\nlines"] + ["same\nlines"] * 3 + [None, ""]
+    wanted = ["own one", "own two", "own three", "", "", *["same\nlines"] * 4, None, ""]
+    docs = docs_of(spark, texts + texts[:4], sources=["s"] * len(texts) + [None] * 4, clashing=True)
+    for bound in (operators_joins.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(line_dedup, "lookup_join", lambda *a, bound=bound: operators_joins.lookup_join(*a, bound=bound))
+        rows = sorted(line_dedup.drop_boilerplate(docs, copies_only=True).select("doc_id", "text", "n_dropped", "exempt").collect())
+        assert [None if r.text is None else r.text.strip("\n") for r in rows] == wanted + ["own one", "own two", "own three", ""]
+        assert [r.n_dropped for r in rows] == [2] * 5 + [0] * 6 + [2] * 4
+        assert [r.doc_id for r in rows if r.exempt] == [5, 6, 7, 8]
+    assert line_dedup.drop_boilerplate(docs, copies_only=True).columns == [*docs.columns, "n_lines", "n_dropped", "exempt"]
+    assert line_dedup.drop_boilerplate(docs_of(spark, []), copies_only=True).count() == 0
+
+
 def plain_matches(docs, items):
     found = {}
     for d, text in docs:
