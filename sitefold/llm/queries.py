@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitefold.llm import decontamination, embedding_dedup, license_scan, line_dedup, pieces, sharding, simhash, substring_dedup, toxicity, url_filter
+from sitefold.llm import collocations, decontamination, embedding_dedup, license_scan, line_dedup, pieces, sharding, simhash, substring_dedup, toxicity, url_filter
 from sitefold.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), stretches=True)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -119,4 +124,20 @@ judged AS (SELECT *, len(stay) < len(lines) AND len(list_filter(stay, lambda l:
 SELECT doc_id, source, CASE WHEN changes THEN array_to_string(stay, chr(10)) ELSE text END AS text,
   coalesce(len(lines), 0)::BIGINT AS n_lines, (CASE WHEN changes THEN len(lines) - len(stay) ELSE 0 END)::BIGINT AS n_dropped
 FROM judged""",
+    "op11_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+split AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM split, (VALUES (1), (2), (3)) AS sizes(m)),
+f AS (SELECT lang, m, w[i:i + m - 1] AS p, count(*)::HUGEINT AS n FROM starts GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+found AS (SELECT lang, m, p, n AS a FROM f WHERE m > 1 AND n >= 10),
+cuts AS (SELECT lang, m, p, a, unnest(range(1, m)) AS k FROM found),
+scored AS (SELECT c.*, l.n AS l, r.n AS r, (1000000::HUGEINT * c.a * c.a) // (l.n * r.n) AS score FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.p = c.p[:c.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[c.k + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+around AS (SELECT lang, p, max(a) AS a FROM (SELECT lang, p[1:2] AS p, a FROM found WHERE m = 3 UNION ALL SELECT lang, p[2:3], a FROM found WHERE m = 3) GROUP BY ALL),
+kept AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN around x ON x.lang = b.lang AND x.p = b.p WHERE x.a IS NULL OR 100 * x.a < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }
