@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sitefold.llm import alignment, collocations, decontamination, embedding_dedup, license_scan, line_dedup, pieces, sharding, simhash, substring_dedup, toxicity, url_filter
+from sitefold.llm import alignment, collocations, decontamination, embedding_dedup, license_scan, line_dedup, pieces, quality, sharding, simhash, substring_dedup, toxicity, url_filter
 from sitefold.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.alignments(table(spark, sf_dir, "documents"), digest=True)
     return found.withColumnRenamed("groups", "groups_sha256")
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_collocations": op11_collocations,
+    "op12_quality": op12_quality,
     "op13_alignment": op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
