@@ -15,8 +15,7 @@ language (null: ``und``) is counted on its own.
    floor(1,000,000 a a / (l r)), with l and r occurrences of both parts, in exact decimals. The lowest cut counts, then the
    smallest. Candidates inside a longer one with half their occurrences or more go. The first ``top`` of a language stay.
 
-Parts of a candidate occur at least as often as it does, so what stays in 3 is all that 4 needs. The tables that scores
-are looked up in are measured, and broadcast or spread (``operators/joins.py``).
+Parts of a candidate occur at least as often as it does, so what stays in 3 is all that 4 needs.
 
 Defined cases: null and empty texts and pieces have no words; a language without candidates has no rows. Equal texts are
 counted each time. Ties in score and occurrences go by the phrase's bytes. Very long texts are counted in stretches.
@@ -48,7 +47,7 @@ BURST, RUN_ENTRIES, STRETCH = 1 << 15, 1 << 20, 1 << 19
 #: Entries of a page, and of a partition that is merged in one task.
 PAGE_ENTRIES, MERGE_ENTRIES = 1 << 14, 1 << 21
 #: Bytes of text for each of the first partitions, the most of them, and the number into which a large one is cut.
-PARTITION_BYTES, MOST_PARTITIONS, FANOUT = 4 << 20, 4096, 64
+PARTITION_BYTES, MOST_PARTITIONS, FANOUT = 8 << 20, 4096, 64
 
 _PAGES = "lang string, part bigint, entries bigint, page binary"
 _COUNTS = "lang string, phrase string, size int, n bigint"
@@ -123,6 +122,16 @@ class Trie:
 
     def __init__(self):
         self.words, self.root = Words(), Container(0)
+        self._hashes = np.zeros(0, np.uint64)
+
+    def hashes(self) -> np.ndarray:
+        """Hashes of all words, those of new ones added to what is known."""
+        known = self.words.known
+        self._hashes = np.r_[self._hashes, hashes_of(known[len(self._hashes) :])]
+        return self._hashes
+
+    def forget(self) -> None:
+        self.words, self._hashes = Words(), np.zeros(0, np.uint64)
 
     def add(self, tokens: list[bytes], longest: int, own: int) -> None:
         """Count the n-grams that begin in the first ``own`` tokens."""
@@ -164,20 +173,26 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
 
 def pages(lang: str, words: list[bytes], grams: np.ndarray, counts: np.ndarray, part: np.ndarray) -> Iterator[tuple]:
     """Sorted pages of a run: n-grams (three rows of indexes into ``words``, 0: none) and counts, cut by partition."""
-    used = np.unique(np.r_[0, grams.ravel()])
-    names = [words[i] for i in used]
+    seen = np.zeros(len(words), bool)
+    seen[0] = seen[grams] = True
+    used = np.flatnonzero(seen)
+    names = [words[i] for i in used.tolist()]
     order = sorted(range(len(names)), key=names.__getitem__)
     rank = np.empty(len(words), np.int64)
     rank[used[order]] = np.arange(len(order))
-    names, ranks = [names[i] for i in order], rank[grams]
-    by = np.lexsort((*ranks[::-1], part))
+    names, ranks, bits = np.array(names, object)[order], rank[grams], len(names).bit_length()
+    if 3 * bits <= 63:
+        by = np.argsort(ranks[0] << 2 * bits | ranks[1] << bits | ranks[2])
+    else:
+        by = np.lexsort(ranks[::-1])
+    by = by[np.argsort(part[by].astype(np.uint16 if len(part) and part.max() < 1 << 16 else np.int64), kind="stable")]
     ranks, counts, part = ranks[:, by], counts[by], part[by]
     borders = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(0, np.int64)
     for first, end in zip(borders[:-1], borders[1:], strict=True):
         for low in range(first, end, PAGE_ENTRIES):
             high = min(end, low + PAGE_ENTRIES)
             local, numbers = np.unique(np.r_[0, ranks[:, low:high].ravel()], return_inverse=True)
-            columns = [b" ".join(names[i] for i in local), *map(packed, numbers[1:].reshape(3, -1)), packed(counts[low:high])]
+            columns = [b" ".join(names[local].tolist()), *map(packed, numbers[1:].reshape(3, -1)), packed(counts[low:high])]
             sizes = np.array([len(c) for c in columns], "<i8").tobytes()
             blob = sizes + b"".join(columns)
             page = len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
@@ -234,11 +249,11 @@ def _runs(docs: DataFrame, lang: str, text: str, longest: int, partitions: int,
         keys, counts = trie.spill(share)
         mask = (1 << ID_BITS) - 1
         grams = np.array([keys >> 2 * ID_BITS, keys >> ID_BITS & mask, keys & mask])
-        hashes = hashes_of(trie.words.known)
+        hashes = trie.hashes()
         prefix = mixed(hashes[grams[0]] * np.uint64(0x9E3779B97F4A7C15) + hashes[grams[1]])
         yield from pages(name, trie.words.known, grams, counts, (prefix % np.uint64(partitions)).astype(np.int64))
         if share >= 1:
-            trie.words = Words()
+            trie.forget()
 
     def counted(batches) -> Iterator[tuple]:
         tries: dict[str, Trie] = {}
@@ -369,7 +384,8 @@ def collocations(
     cuts = cuts.withColumns({"left": F.expr(part.format("1", "k")), "right": F.expr(part.format("k + 1", "size - k"))})
     for side, count in (("left", "l"), ("right", "r")):
         known = grams.select("lang", F.col("phrase").alias(side), F.col("f").alias(count))
-        cuts = lookup_join(cuts, known, ["lang", side], "inner", ["phrase"])
+        # Both sides are distinct phrases; a word that begins very many of them is split by adaptive execution.
+        cuts = cuts.join(known, ["lang", side])
     score = F.expr("(cast(1000000 AS decimal(7,0)) * (cast(a AS decimal(15,0)) * cast(a AS decimal(15,0)))) div (cast(l AS decimal(18,0)) * cast(r AS decimal(18,0)))")
     best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     inside = f"explode(flatten(transform(sequence(2, size - 1), j -> transform(sequence(1, size - j + 1), i -> {part.format('i', 'j')}))))"
@@ -378,7 +394,7 @@ def collocations(
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     # First within slices of a language, so that none is sorted whole by one task.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    sliced = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    sliced = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(16)))
     for keys in (["lang", "slice"], ["lang"]):
         sliced = sliced.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
     named = lookup_join(sliced, landed(totals), ["lang"], "inner", ["phrase"])

@@ -60,16 +60,20 @@ def content_from_api(api_pages: DataFrame, sites: DataFrame, strict: bool = Fals
 
 
 def content_from_rpc(rpc_pages: DataFrame, strict: bool = False) -> Content:
-    """Content of the XML-RPC API, in the same columns."""
+    """Content of the XML-RPC API, in the same columns; every call is parsed once.
+
+    A call sequence that failed gives no records; with ``strict`` it raises.
+    """
+    calls = rpc.decode_calls(rpc_pages)
     if strict:
-        _require_complete(rpc.offset_cuts(rpc_pages).filter("failed").select("site", "method", "error_offset"))
+        _require_complete(rpc.offset_cuts(calls).filter("failed").select("site", "method", "error_offset"))
     return Content(
-        sites=rpc.rpc_site_info(rpc_pages),
-        posts=rpc.rpc_posts(rpc_pages),
-        media=rpc.rpc_media(rpc_pages),
-        categories=rpc.rpc_categories(rpc_pages),
-        tags=rpc.rpc_tags(rpc_pages),
-        users=rpc.rpc_users(rpc_pages),
+        sites=rpc.rpc_site_info(calls),
+        posts=rpc.rpc_posts(calls),
+        media=rpc.rpc_media(calls),
+        categories=rpc.rpc_categories(calls),
+        tags=rpc.rpc_tags(calls),
+        users=rpc.rpc_users(calls),
     )
 
 
@@ -202,6 +206,11 @@ def export_captures(
     return export(content_from_api(api_pages, sites, options.strict), output, options, **inputs)
 
 
+def export_rpc_captures(rpc_pages: DataFrame, output: str, options: ExportOptions, **inputs: DataFrame | bool | None) -> DataFrame:
+    """The same for captured XML-RPC calls."""
+    return export(content_from_rpc(rpc_pages, options.strict), output, options, **inputs)
+
+
 def default_outputs(sites: DataFrame, run_time: str) -> DataFrame:
     """(site, output): the folder an export of each site goes to by default.
 

@@ -365,13 +365,15 @@ ORACLES: dict[str, str] = {
       SELECT 'user-' || user_id AS site, event_id AS offset, CASE WHEN ok THEN 'ok' ELSE 'error' END AS outcome,
         CASE WHEN ok AND event_type <> 'signup' THEN 2 ELSE 0 END AS records FROM e""",
     "rpc_posts": f"""WITH {ORDER_POSTS} SELECT site || '-' || id // {IDS_PER_PAGE} AS site, CASE WHEN status = 'private' THEN 'page' ELSE 'post' END AS content_type, id, date,
-      slug, status, author, link, CASE WHEN status = 'private' THEN 0 ELSE featured_media END AS featured_media, title, content FROM order_posts""",
+      slug, status, author, link, CASE WHEN status = 'private' THEN 0 ELSE featured_media END AS featured_media, title, content,
+      CASE WHEN status <> 'private' THEN id END AS custom_id, CASE WHEN status <> 'private' THEN title || ' <b> & \\' END AS custom_value FROM order_posts""",
     "rpc_site_info": """SELECT DISTINCT 'site-' || n_nationkey AS site, n_name AS name, '' AS description, 'https://site-' || n_nationkey AS url, '' AS home_url,
       '' AS timezone, '' AS language FROM nation""",
     "rpc_users": f"""SELECT 'site-' || c_nationkey || '-' || c_custkey // {IDS_PER_PAGE} AS site, c_custkey AS id, c_name AS name, lower(c_name) AS slug,
       'https://shop.example.com/u/' || c_custkey AS url FROM customer""",
     "rpc_media": f"""SELECT 'site-' || s_nationkey || '-' || s_suppkey // {IDS_PER_PAGE} AS site, s_suppkey AS id, s_name AS title, 'image/png' AS mime_type,
-      'https://cdn.example.com/' || s_suppkey || '.png' AS source_url FROM supplier""",
+      'https://cdn.example.com/' || s_suppkey || '.png' AS source_url, s_suppkey || '.png' AS file, (s_suppkey % 2000)::BIGINT AS width,
+      'https://cdn.example.com/' || s_suppkey || '-150x150.png' AS thumbnail, 150::BIGINT AS thumbnail_width FROM supplier""",
     "rpc_terms": f"""WITH {ORDER_POSTS}, {CATEGORIES}, {TAGS} SELECT site || '-' || id // {IDS_PER_PAGE} AS site, id, slug, parent FROM category_nodes
       UNION ALL SELECT site || '-' || id // {IDS_PER_PAGE}, id, id::VARCHAR, 0 FROM tags""",
     "export_stats": f"""WITH {ORDER_POSTS}, {CATEGORIES}, {TAGS}, {SITES}, {LOOKUPS}, {LISTED}, {DISCOVERED},

@@ -272,6 +272,8 @@ def q_rpc_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select(
         "site", "content_type", "id", "date", "slug", "status", "author", "link", "featured_media",
         F.col("title.rendered").alias("title"), F.col("content.rendered").alias("content"),
+        F.try_variant_get("meta", "$.custom_fields[0].id", "bigint").alias("custom_id"),
+        F.try_variant_get("meta", "$.custom_fields[0].value.a[0].b[0].c", "string").alias("custom_value"),
     )
 
 
@@ -281,7 +283,12 @@ def q_rpc_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rpc_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = rpc.rpc_media(stand_ins.customer_calls(spark, sf_dir))
-    return items.select("site", "id", "source_url", "mime_type", F.col("title.rendered").alias("title"))
+    thumbnail = F.col("media_details")["sizes"]["thumbnail"]
+    return items.select(
+        "site", "id", "source_url", "mime_type", F.col("title.rendered").alias("title"), F.col("media_details")["file"].alias("file"),
+        F.try_variant_get(F.col("media_details")["width"], "$", "bigint").alias("width"), thumbnail["source_url"].alias("thumbnail"),
+        F.try_variant_get(thumbnail["width"], "$", "bigint").alias("thumbnail_width"),
+    )
 
 
 def q_rpc_site_info(spark: SparkSession, sf_dir: str) -> DataFrame:

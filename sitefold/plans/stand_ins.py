@@ -355,6 +355,15 @@ def _xml_member(name: str, kind: str, value: Column) -> Column:
     return cat(f"<member><name>{name}</name><value><{kind}>", _xml(value.cast("string")), f"</{kind}></value></member>")
 
 
+def _xml_record(name: str, *members: Column) -> Column:
+    return cat(f"<member><name>{name}</name><value><struct>", *members, "</struct></value></member>")
+
+
+def _xml_list(name: str, *members: Column) -> Column:
+    """A member that is a list of one record."""
+    return cat(f"<member><name>{name}</name><value><array><data>\n<value><struct>", *members, "</struct></value>\n</data></array></value></member>")
+
+
 _XML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<methodResponse><params><param><value><array><data>'
 _XML_TAIL = "</data></array></value></param></params></methodResponse>"
 
@@ -399,12 +408,15 @@ def post_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders as captured XML-RPC calls: private ones as pages, the others as posts."""
     posts = order_posts(spark, sf_dir)
     stamp = F.regexp_replace("date", "-", "")
-    thumbnail = cat("<member><name>post_thumbnail</name><value><struct>", _xml_member("attachment_id", "string", F.col("featured_media")), "</struct></value></member>")
+    thumbnail = _xml_record("post_thumbnail", _xml_member("attachment_id", "string", F.col("featured_media")))
+    # A custom field whose value holds lists of records of lists of records.
+    innermost = _xml_member("c", "string", cat(F.col("title.rendered"), " <b> & \\"))
+    custom = _xml_list("custom_fields", _xml_member("id", "int", F.col("id")), _xml_member("key", "string", F.lit("deep")), _xml_record("value", _xml_list("a", _xml_list("b", innermost))))
     post_members = [
         _xml_member("post_id", "string", F.col("id")), _xml_member("post_title", "string", F.col("title.rendered")),
         _xml_member("post_date", "dateTime.iso8601", stamp), _xml_member("post_name", "string", F.col("slug")),
         _xml_member("post_status", "string", F.col("status")), _xml_member("post_author", "string", F.col("author")),
-        _xml_member("link", "string", F.col("link")), _xml_member("post_content", "string", F.col("content.rendered")), thumbnail,
+        _xml_member("link", "string", F.col("link")), _xml_member("post_content", "string", F.col("content.rendered")), thumbnail, custom,
     ]
     page_members = [
         _xml_member("page_id", "string", F.col("id")), _xml_member("title", "string", F.col("title.rendered")),
@@ -432,6 +444,8 @@ def customer_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     media_calls = _calls(media, "wp.getMediaLibrary", [
         _xml_member("attachment_id", "string", F.col("id")), _xml_member("link", "string", F.col("source_url")),
         _xml_member("title", "string", F.col("title.rendered")), _xml_member("type", "string", F.col("mime_type")),
+        _xml_record("metadata", _xml_member("width", "int", F.col("id") % 2000), _xml_member("file", "string", cat(F.col("id"), ".png")),
+            _xml_record("sizes", _xml_record("thumbnail", _xml_member("file", "string", cat(F.col("id"), "-150x150.png")), _xml_member("width", "int", F.lit(150))))),
     ])
     term_calls = _calls(terms, "wp.getTerms", [
         _xml_member("term_id", "string", F.col("id")), _xml_member("slug", "string", F.col("slug")),

@@ -39,6 +39,7 @@ POST = f"""
     sticky BOOLEAN, template STRING, format STRING, meta VARIANT,
     categories ARRAY<BIGINT>, tags ARRAY<BIGINT>, _links {_LINKS}
 """
+MEDIA_SIZES = "MAP<STRING, STRUCT<file: STRING, width: VARIANT, height: VARIANT, mime_type: STRING, source_url: STRING>>"
 MEDIA = f"""
     id BIGINT, date STRING, date_gmt STRING, guid STRUCT<rendered: STRING>, modified STRING,
     modified_gmt STRING, slug STRING, status STRING, type STRING, link STRING,
@@ -46,7 +47,7 @@ MEDIA = f"""
     meta VARIANT, description {_RENDERED}, caption {_RENDERED},
     alt_text STRING, media_type STRING, mime_type STRING,
     media_details STRUCT<width: VARIANT, height: VARIANT, file: STRING,
-      sizes: MAP<STRING, STRUCT<file: STRING, width: VARIANT, height: VARIANT, mime_type: STRING, source_url: STRING>>,
+      sizes: {MEDIA_SIZES},
       image_meta: VARIANT, length: VARIANT, filesize: VARIANT>,
     post BIGINT, source_url STRING, _links {_LINKS}
 """

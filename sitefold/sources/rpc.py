@@ -1,16 +1,22 @@
 """Responses captured from the XML-RPC API.
 
-``rpc_pages`` holds one row per call; ``offset`` is 0 for calls that do not page.
+``rpc_pages`` holds one row per call; ``offset`` is 0 for calls that do not page. Every function takes captured calls, or
+decoded ones (``decode_calls``), by which an export parses each call once. Values nest to any depth: below a record they
+become JSON text (``functions/rpcvalues``).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.functions.sqltext import lit
+from sitefold.functions.rpcvalues import SCALAR_TYPES, json_text_sql, protected_sql, unescaped_sql
+from sitefold.functions.sqltext import bind, lit
 from sitefold.operators.joins import BROADCAST_BYTES, fits_broadcast, materialised
-from sitefold.schemas import CATEGORY, MEDIA, POST, SITE, TAG, USER, listed_ord, struct_type, zero_filled_sql
+from sitefold.schemas import CATEGORY, MEDIA, MEDIA_SIZES, POST, SITE, TAG, USER, listed_ord, struct_type, zero_filled_sql
+from sitefold.session import shared_dir
 
 # Methods by entity, and the page size of calls that page.
 METHODS = {
@@ -25,51 +31,76 @@ PAGED_METHODS = ("wp.getPosts", "wp.getPages", "wp.getMediaLibrary")
 PAGE_SIZE = 100  # what the calls asked for; captures made with another size state it
 SITE_NAME = "WordPress Site"
 
-_SCALARS = ("string", "int", "i4", "boolean", "double", "dateTime.iso8601", "base64", "_VALUE")
+# What a value may hold; a text without a type is its own.
+_SCALARS = (*SCALAR_TYPES, "_VALUE")
 _XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
-# Only the outline of a response: enough to see a fault and count records.
-_OUTLINE = (
-    "params STRUCT<param: ARRAY<STRUCT<value: STRUCT<array: STRUCT<data: STRUCT<value: ARRAY<STRING>>>>>>>, "
-    "fault STRING"
-)
 _ROOT = r"(?s)\A\s*(?:<\?xml.*?\?>)?\s*<methodResponse\s*(?:/>\s*|>.*</methodResponse\s*>\s*)\z"
+# Values of members below a record are not decoded but kept as text, so no depth is fixed here.
+_VALUE = "STRUCT<" + ", ".join(f"`{name}`: STRING" for name in (*_SCALARS, "struct", "array")) + ">"
+_MEMBERS = f"STRUCT<member: ARRAY<STRUCT<name: STRING, value: {_VALUE}>>>"
+_RESPONSE = (
+    f"params STRUCT<param: ARRAY<STRUCT<value: STRUCT<array: STRUCT<data: STRUCT<value: ARRAY<STRUCT<struct: {_MEMBERS}>>>>, "
+    f"struct: {_MEMBERS}>>>>, fault STRING"
+)
+#: Calls as they are decoded: one row per call, a record being its members with their text or, if nested, their JSON.
+DECODED_CALLS = (
+    "site STRING, offset INT, status INT, outcome STRING, records INT, "
+    "items ARRAY<ARRAY<STRUCT<name: STRING, text: STRING, nested: STRING>>>, method STRING"
+)
 
 
-def _value_ddl(depth: int) -> str:
-    fields = ", ".join(f"`{name}`: STRING" for name in _SCALARS)
-    if depth:
-        inner = _value_ddl(depth - 1)
-        fields += (
-            f", struct: STRUCT<member: ARRAY<STRUCT<name: STRING, value: {inner}>>>"
-            f", array: STRUCT<data: STRUCT<value: ARRAY<{inner}>>>"
-        )
-    return f"STRUCT<{fields}>"
-
-
-def _response_ddl(depth: int) -> str:
-    return f"params STRUCT<param: ARRAY<STRUCT<value: {_value_ddl(depth)}>>>"
-
-
-def _outlined(rpc_pages: DataFrame) -> DataFrame:
+def _decoded(rpc_pages: DataFrame) -> DataFrame:
+    """The calls with their outcome, the number of records and the records, in one pass over the bodies."""
     body = F.coalesce("body", F.lit(""))
-    outline = F.when(
-        (F.col("status") == 200) & body.rlike(_ROOT), F.from_xml(body, F.lit(_OUTLINE), _XML_OPTIONS)
+    answer = F.when((F.col("status") == 200) & body.rlike(_ROOT), F.from_xml(F.expr(protected_sql("coalesce(body, '')")), F.lit(_RESPONSE), _XML_OPTIONS))
+    nested = (
+        f"CASE WHEN m.value.struct IS NOT NULL THEN {json_text_sql(_wrapped('struct'))} "
+        f"WHEN m.value.array IS NOT NULL THEN {json_text_sql(_wrapped('array'))} END"
     )
-    values = F.try_element_at(F.col("outline.params.param"), F.lit(1))["value"]["array"]["data"]["value"]
+    text = f"coalesce({', '.join(f'm.value.`{name}`' for name in _SCALARS)}, '')"
+    member = f"m -> named_struct('name', m.name, 'text', {unescaped_sql(text)}, 'nested', {nested})"
+    records, options = "value.array.data.value", "value.struct.member"
+    items = (
+        f"CASE WHEN {options} IS NOT NULL THEN array(transform({options}, {member})) "
+        f"ELSE transform({records}, r -> transform(r.struct.member, {member})) END"
+    )
+    failed = F.col("answer").isNull() | F.col("answer.fault").isNotNull()
     return (
-        rpc_pages.withColumn("outline", outline)
-        .withColumn(
-            "outcome",
-            F.when(F.col("outline").isNull() | F.col("outline.fault").isNotNull(), "error").otherwise("ok"),
+        rpc_pages.withColumn("answer", answer)
+        .withColumn("value", F.expr("try_element_at(answer.params.param, 1).value"))
+        .select(
+            "site",
+            F.col("offset").cast("int").alias("offset"),
+            F.col("status").cast("int").alias("status"),
+            F.when(failed, "error").otherwise("ok").alias("outcome"),
+            F.when(~failed, F.coalesce(F.size(F.expr(records)), F.lit(0))).alias("records"),
+            F.when(~failed, F.expr(items)).alias("items"),
+            "method",
         )
-        .withColumn("records", F.when(F.col("outcome") == "ok", F.coalesce(F.size(values), F.lit(0))))
-        .drop("outline")
     )
 
 
+def _wrapped(kind: str) -> str:
+    return f"concat('<{kind}>', m.value.`{kind}`, '</{kind}>')"
+
+
+def decode_calls(rpc_pages: DataFrame) -> DataFrame:
+    """All calls decoded once and landed by method; outcomes, cuts and every entity are read from there by column."""
+    spark = rpc_pages.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    _decoded(rpc_pages).write.partitionBy("method").parquet(path)
+    return spark.read.schema(DECODED_CALLS).parquet(path)
+
+
+def _calls(rpc_pages: DataFrame) -> DataFrame:
+    """Decoded calls are taken as they are; captured ones are decoded first."""
+    return rpc_pages if "items" in rpc_pages.columns else decode_calls(rpc_pages)
+
+
 def rpc_outcomes(rpc_pages: DataFrame) -> DataFrame:
     """``ok`` or ``error`` per call; a fault, a status other than 200 and unreadable XML are errors."""
-    return _outlined(rpc_pages).select(
+    calls = rpc_pages if "items" in rpc_pages.columns else _decoded(rpc_pages)
+    return calls.select(
         "site", "method", "offset", "status", "outcome", F.greatest("records", F.lit(0)).alias("records")
     )
 
@@ -122,10 +153,6 @@ def _surviving_calls(rpc_pages: DataFrame, bound: int = BROADCAST_BYTES, page_si
     return joined.filter("offset <= last_offset").select(*rpc_pages.columns)
 
 
-def _scalar(value: str) -> str:
-    return f"coalesce({', '.join(f'{value}.`{name}`' for name in _SCALARS)}, '')"
-
-
 def _found(name: str) -> str:
     """Position of a member in ``names``, NULL where it is missing."""
     return f"nullif(array_position(names, {lit(name)}), 0L)"
@@ -152,26 +179,49 @@ def _rendered(value: str) -> str:
     return f"named_struct('rendered', {value}, 'protected', false)"
 
 
-def _inner(members: str, name: str) -> str:
-    """Text of a member of a nested record."""
-    return f"coalesce({_scalar(f'try_element_at(filter({members}, x -> x.name = {lit(name)}), 1).value')}, '')"
+def _nested(name: str) -> str:
+    """JSON of a member that is a record or a list."""
+    return f"try_element_at(nested, CAST({_found(name)} AS INT))"
 
 
 def _term_ids(taxonomy: str) -> str:
-    terms = f"try_element_at(members, CAST({_found('terms')} AS INT)).value.array.data.value"
-    chosen = f"filter({terms}, t -> {_inner('t.struct.member', 'taxonomy')} = {lit(taxonomy)})"
-    ids = f"transform({chosen}, t -> coalesce(try_cast({_inner('t.struct.member', 'term_id')} AS BIGINT), 0L))"
+    terms = f"from_json({_nested('terms')}, 'ARRAY<STRUCT<term_id: STRING, taxonomy: STRING>>')"
+    ids = f"transform(filter({terms}, t -> t.taxonomy = {lit(taxonomy)}), t -> coalesce(try_cast(t.term_id AS BIGINT), 0L))"
     return f"coalesce({ids}, CAST(array() AS ARRAY<BIGINT>))"
 
 
 def _thumbnail() -> str:
     """Id of the featured image: a record of its own, or a plain number."""
-    record = f"try_element_at(members, CAST({_found('post_thumbnail')} AS INT)).value.struct.member"
-    return f"coalesce(try_cast({_inner(record, 'attachment_id')} AS BIGINT), {_number('post_thumbnail')})"
+    return f"coalesce(try_cast(get_json_object({_nested('post_thumbnail')}, '$.attachment_id') AS BIGINT), {_number('post_thumbnail')})"
+
+
+def _custom_fields() -> str:
+    """Custom fields as they came, values of any depth among them, below the name of their member."""
+    fields = _nested("custom_fields")
+    return f"CASE WHEN {fields} IS NOT NULL THEN try_parse_json(concat('{{\"custom_fields\":', {fields}, '}}')) END"
+
+
+def _details() -> str:
+    """Size, file and scaled versions of an image; those lie beside the file itself."""
+    kinds = "map<string, struct<file: string, width: variant, height: variant, `mime-type`: string>>"
+    folder = f"regexp_extract({_text('link')}, {lit(r'\A[^?#]*/')}, 0)"
+
+    def part(d: str, name: str, kind: str) -> str:
+        return f"try_variant_get({d}, '$.{name}', {lit(kind)})"
+
+    def filled(d: str) -> str:
+        url = f"CASE WHEN s.file <> '' THEN concat({folder}, s.file) ELSE '' END"
+        size = f"named_struct('file', coalesce(s.file, ''), 'width', s.width, 'height', s.height, 'mime_type', coalesce(s.`mime-type`, ''), 'source_url', coalesce({url}, ''))"
+        sizes = f"coalesce(transform_values({part(d, 'sizes', kinds)}, (k, s) -> {size}), CAST(map() AS {MEDIA_SIZES}))"
+        variants = {name: part(d, name, "variant") for name in ("width", "height", "image_meta", "length", "filesize")}
+        fields = {"width": variants["width"], "height": variants["height"], "file": f"coalesce({part(d, 'file', 'string')}, '')", "sizes": sizes}
+        fields |= {name: variants[name] for name in ("image_meta", "length", "filesize")}
+        return f"named_struct({', '.join(f'{lit(k)}, {v}' for k, v in fields.items())})"
 
+    return bind(f"try_parse_json({_nested('metadata')})", filled)
 
-# Members of each method's records by the field they fill; the response nests
-# to the given depth.
+
+# Members of each method's records by the field they fill.
 _POST_FIELDS = {
     "id": _number("post_id"),
     "date": _time("post_date"),
@@ -194,6 +244,7 @@ _POST_FIELDS = {
     "format": _text("post_format"),
     "categories": _term_ids("category"),
     "tags": _term_ids("post_tag"),
+    "meta": _custom_fields(),
 }
 _PAGE_FIELDS = {
     "id": _number("page_id"),
@@ -208,6 +259,7 @@ _PAGE_FIELDS = {
     "excerpt": _rendered(_text("excerpt")),
     "author": _number("wp_author_id"),
     "template": _text("wp_page_template"),
+    "meta": _custom_fields(),
 }
 _MEDIA_FIELDS = {
     "id": _number("attachment_id"),
@@ -219,6 +271,7 @@ _MEDIA_FIELDS = {
     "description": _rendered(_text("description")),
     "mime_type": _text("type"),
     "post": _number("parent"),
+    "media_details": _details(),
 }
 _TERM_FIELDS = {
     "id": _number("term_id"),
@@ -236,42 +289,30 @@ _USER_FIELDS = {
     "description": _text("bio"),
     "slug": _text("nicename", "username"),
 }
-# Levels of values below a record that hold the fields above: an option is a record with a value, a term one in
-# a list of the post's own. No field is read from further down, so nothing that is decoded is cut off.
-_RECORD_DEPTH, _TERMS_DEPTH, _OPTIONS_DEPTH = 2, 4, 2
-
 
-def _records(
-    rpc_pages: DataFrame, method: str, ddl: str, fields: dict[str, str], depth: int = _RECORD_DEPTH, page_size: int = PAGE_SIZE
-) -> DataFrame:
-    """Records of one method in all columns of the entity; those it does not carry are zero.
 
-    Member names and texts become two parallel arrays once per record, so each
-    field is a plain lookup. The outer explode keeps the optimizer from parsing
-    bodies once more in a filter on empty responses.
-    """
-    calls = _surviving_calls(rpc_pages.filter(F.col("method") == method), page_size=page_size)
-    response = calls.select("site", "offset", F.from_xml("body", F.lit(_response_ddl(depth)), _XML_OPTIONS).alias("response"))
-    members = (
-        response.selectExpr("site", "offset", "posexplode_outer(try_element_at(response.params.param, 1).value.array.data.value) AS (position, value)")
-        .filter("position IS NOT NULL")
-        .select("site", listed_ord(F.col("offset"), F.col("position")).alias("ord"), F.col("value.struct.member").alias("members"))
-        .selectExpr(
-            "site",
-            "ord",
-            "members",
-            "coalesce(transform(members, m -> m.name), CAST(array() AS ARRAY<STRING>)) AS names",
-            f"coalesce(transform(members, m -> {_scalar('m.value')}), CAST(array() AS ARRAY<STRING>)) AS texts",
-        )
+def _members(calls: DataFrame) -> DataFrame:
+    """Names, texts and nested values of the members of every record, as parallel arrays: a field is a plain lookup."""
+    return calls.selectExpr("site", "offset", "posexplode(items) AS (position, members)").select(
+        "site",
+        listed_ord(F.col("offset"), F.col("position")).alias("ord"),
+        *[F.expr(f"coalesce(transform(members, m -> m.{part}), CAST(array() AS ARRAY<STRING>))").alias(f"{part}s") for part in ("name", "text")],
+        F.expr("coalesce(members.nested, CAST(array() AS ARRAY<STRING>))").alias("nested"),
     )
+
+
+def _records(rpc_pages: DataFrame, method: str, ddl: str, fields: dict[str, str], page_size: int = PAGE_SIZE) -> DataFrame:
+    """Records of one method in all columns of the entity; those it does not carry are zero."""
+    calls = _surviving_calls(_calls(rpc_pages).filter(F.col("method") == method), page_size=page_size)
     columns = [f"{fields.get(f.name) or zero_filled_sql(None, f.dataType)} AS `{f.name}`" for f in struct_type(ddl)]
-    return members.selectExpr("site", "ord", *columns)
+    return _members(calls).selectExpr("site", "ord", *columns)
 
 
 def rpc_posts(rpc_pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """Posts and pages, in the columns of the JSON API."""
-    posts = _records(rpc_pages, METHODS["posts"], POST, _POST_FIELDS, _TERMS_DEPTH, page_size)
-    pages = _records(rpc_pages, METHODS["pages"], POST, _PAGE_FIELDS, page_size=page_size)
+    calls = _calls(rpc_pages)
+    posts = _records(calls, METHODS["posts"], POST, _POST_FIELDS, page_size)
+    pages = _records(calls, METHODS["pages"], POST, _PAGE_FIELDS, page_size)
     return posts.withColumn("content_type", F.lit("post")).unionByName(pages.withColumn("content_type", F.lit("page")))
 
 
@@ -293,15 +334,11 @@ def rpc_users(rpc_pages: DataFrame) -> DataFrame:
 
 def rpc_site_info(rpc_pages: DataFrame) -> DataFrame:
     """One row per site whose options call succeeded; missing options keep their defaults."""
-    calls = _surviving_calls(rpc_pages.filter(F.col("method") == METHODS["options"]))
-    response = F.from_xml("body", F.lit(_response_ddl(_OPTIONS_DEPTH)), _XML_OPTIONS)
-    options = calls.select("site", response.alias("response")).selectExpr(
-        "site", "try_element_at(response.params.param, 1).value.struct.member AS members"
-    )
+    calls = _surviving_calls(_calls(rpc_pages).filter(F.col("method") == METHODS["options"]))
+    options = _members(calls.withColumn("items", F.expr("CASE WHEN size(items) > 0 THEN items ELSE array(NULL) END")))
 
     def option(name: str, default: str = "''") -> str:
-        record = f"try_element_at(filter(members, m -> m.name = {lit(name)}), 1).value.struct.member"
-        return f"coalesce(nullif({_inner(record, 'value')}, ''), {default})"
+        return f"coalesce(nullif(get_json_object({_nested(name)}, '$.value'), ''), {default})"
 
     fields = {
         "name": option("blog_title", lit(SITE_NAME)),

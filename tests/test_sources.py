@@ -168,3 +168,46 @@ def test_call_ends_are_joined_alike_beyond_the_broadcast_bound(spark):
     both = [sorted((r.site, r.offset) for r in rpc._surviving_calls(calls, bound).collect()) for bound in (-1, 1 << 20)]
     assert rpc.rpc_posts(calls.filter("site = 'early'"), page_size=1).count() == 1  # no shorter page: it goes on to its end
     assert both[0] == both[1] == sorted([("long", n * 100) for n in range(71)] + [("once", 0), ("early", 0)])
+
+
+def test_rpc_values_nest_to_any_depth(spark):
+    """Lists in records in lists, texts with markup, escapes, CDATA, references by number, blanks and untyped values."""
+    deep = "<string>end</string>"
+    for level in range(9):
+        deep = f"<array><data> <value>{deep}</value> <value><int>{level}</int></value></data></array>"
+    fields = ("<array><data>" + record(id="<int>7</int>", key="<string>k</string>", value=deep)
+              + record(key="<string>s</string>", value="<struct>" + member("t", "<string>&lt;b&gt; &amp;amp; &quot;q&quot; \\ &#60;i&#x3E;\n</string>")
+              + member("c", "<string><![CDATA[<p>a & b</p>]]></string>") + member("u", " plain ") + member("e", "<string/>") + member("w", "<string>  </string>")
+              + member("n", "<double>1.5</double>") + member("z", "<int>007</int>") + member("y", "<boolean>1</boolean>") + member("l", "<array><data/></array>")
+              + member("x", "<nil/>") + "</struct>") + "</data></array>")
+    sizes = "<struct>" + member("thumb", "<struct>" + member("file", "<string>i-1x1.jpg</string>") + member("width", "<int>1</int>") + "</struct>") + "</struct>"
+    none = "<array><data></data></array>"
+    rows = [
+        ("a", "wp.getPosts", 0, 200, response([record(post_id="<int>1</int>", custom_fields=fields), record(post_id="<int>2</int>", custom_fields=none), record(post_id="<int>3</int>")])),
+        ("a", "wp.getMediaLibrary", 0, 200, response([
+            record(attachment_id="<string>3</string>", link="<string>https://a/u/i.jpg?x=/</string>", metadata="<struct>" + member("width", "<int>9</int>") + member("file", "<string>u/i.jpg</string>") + member("sizes", sizes) + "</struct>"),
+            record(attachment_id="<string>4</string>", metadata="<struct>" + member("sizes", none) + "</struct>"), record(attachment_id="<string>5</string>", metadata="<string></string>")])),
+    ]
+    calls = rpc.decode_calls(spark.createDataFrame(rows, schemas.RPC_PAGES))
+    one, two, three = [json.loads(m) if m else None for (m,) in rpc.rpc_posts(calls).orderBy("id").selectExpr("to_json(meta)").collect()]
+    first, second = one["custom_fields"]
+    value = first["value"]
+    for level in reversed(range(9)):
+        value, number = value
+        assert number == level
+    assert (first["id"], value) == (7, "end")
+    assert second["value"] == {"t": '<b> &amp; "q" \\ <i>\n', "c": "<p>a & b</p>", "u": " plain ", "e": "", "w": "  ", "n": 1.5, "z": "007", "y": True, "l": [], "x": None}
+    assert (two, three) == ({"custom_fields": []}, None)
+    media = rpc.rpc_media(calls).orderBy("id").selectExpr("id", "media_details.file", "media_details.sizes").collect()
+    assert [(m.id, m.file, {k: v.source_url for k, v in m.sizes.items()}) for m in media] == [(3, "u/i.jpg", {"thumb": "https://a/u/i-1x1.jpg"}), (4, "", {}), (5, "", {})]
+
+
+def test_an_rpc_export_parses_each_call_once(spark):
+    """Entities, cuts and outcomes of decoded calls read columns; none parses XML again."""
+    rows = [("a", "wp.getPosts", 0, 200, posts_xml(0, 2)), ("a", "wp.getUsers", 0, 200, response([])), ("b", "wp.getPosts", 0, 500, "")]
+    calls = rpc.decode_calls(spark.createDataFrame(rows, schemas.RPC_PAGES))
+    for rows in (rpc.rpc_posts(calls), rpc.rpc_media(calls), rpc.rpc_categories(calls), rpc.rpc_tags(calls), rpc.rpc_users(calls), rpc.rpc_site_info(calls), rpc.offset_cuts(calls), rpc.rpc_outcomes(calls)):
+        plan = rows._jdf.queryExecution().toString()
+        assert "from_xml" not in plan.lower() and "xmltostructs" not in plan.lower()
+    assert "PartitionFilters: [isnotnull(method" in rpc.rpc_users(calls)._jdf.queryExecution().toString()
+    assert sorted((r.site, r.failed) for r in rpc.offset_cuts(calls).collect() if r.method == "wp.getPosts") == [("a", False), ("b", True)]
