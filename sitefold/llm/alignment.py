@@ -121,26 +121,9 @@ def tokenizers(byte_bpe: str = BYTE_BPE, piece_bpe: str = PIECE_BPE) -> tuple[By
         return ByteTokenizer(description.read()), PieceTokenizer(model.read())
 
 
-def align(a: list[int], b: list[int], sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[list[tuple[int, int]], str, int]:
-    """Links (index in a, index in b), the groups as text and their number, for tokens of equal joined bytes."""
-    links, groups, i, j, end_a, end_b, first = [], [], 0, 0, 0, 0, (0, 0)
-    end_a, end_b = int(sizes_a[a[0]]), int(sizes_b[b[0]])
-    while True:
-        links.append((i, j))
-        if end_a == end_b:
-            mine, other = a[first[0] : i + 1], b[first[1] : j + 1]
-            groups.append(f"{','.join(map(str, mine))}|{','.join(map(str, other))}")
-            first = (i + 1, j + 1)
-            if i + 1 == len(a):
-                return links, ";".join(groups), len(groups)
-            i, j = i + 1, j + 1
-            end_a, end_b = end_a + int(sizes_a[a[i]]), end_b + int(sizes_b[b[j]])
-        elif end_a < end_b:
-            i += 1
-            end_a += int(sizes_a[a[i]])
-        else:
-            j += 1
-            end_b += int(sizes_b[b[j]])
+def _token_counts(mark: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of token ends before each of the places ``at``."""
+    return np.cumsum(mark)[at] - mark[at]
 
 
 class Aligner:
@@ -150,21 +133,44 @@ class Aligner:
         self.tokens_a, self.tokens_b = tokens_a, tokens_b
         self.sizes_a, self.sizes_b = (np.array([len(t) for t in tokens], np.int64) for tokens in (tokens_a, tokens_b))
         self.marked_a, self.marked_b = (np.array([t[:1] == b" " for t in tokens]) for tokens in (tokens_a, tokens_b))
+        # An id's text with what may follow it: an id of its side, the other side, another group, nothing.
+        names_a, names_b = ([str(i) for i in range(len(tokens))] for tokens in (tokens_a, tokens_b))
+        self.texts_a = np.array([[n + "," for n in names_a], [n + "|" for n in names_a]], object)
+        self.texts_b = np.array([[n + "," for n in names_b], [n + ";" for n in names_b], names_b], object)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[tuple[bytes, bytes], int] = {}
         self.groups, self.n_groups, self.starts, self.pairs = [], array("q"), array("q", [0]), array("q")
 
-    def _learn(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(ids, np.int32).tolist() for ids in key)
-        links, text, n = align(a, b, self.sizes_a, self.sizes_b)
-        self.pairs.extend(a[i] * len(self.tokens_b) + b[j] for i, j in links)
-        self.starts.append(len(self.pairs))
-        self.groups.append(text)
-        self.n_groups.append(n)
-        self.known[key] = number = len(self.groups) - 1
-        return number
+    def _learn(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Align new windows, laid end to end, all at once; ``n_a`` and ``n_b`` are their numbers of tokens.
+
+        Token ends of both sides cut a window into stretches; each lies in one token of A and one of B, and links them.
+        """
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        mark_a, mark_b = np.zeros(ends_a[-1] + 1, bool), np.zeros(ends_b[-1] + 1, bool)
+        mark_a[ends_a] = mark_b[ends_b] = True
+        stretch, shared = np.flatnonzero(mark_a | mark_b), np.flatnonzero(mark_a & mark_b)
+        links = a[_token_counts(mark_a, stretch)].astype(np.int64) * len(self.tokens_b) + b[_token_counts(mark_b, stretch)]
+        window_ends = ends_a[np.cumsum(n_a) - 1]
+        self.starts.extend((len(self.pairs) + np.searchsorted(stretch, window_ends, side="right")).tolist())
+        self.pairs.frombytes(links.tobytes())
+        groups = np.searchsorted(shared, window_ends, side="right")
+        self.n_groups.extend(np.diff(groups, prepend=0).tolist())
+        # Texts in the order of groups, A's ids before B's in each.
+        upto_a, upto_b = np.searchsorted(ends_a, shared, side="right"), np.searchsorted(ends_b, shared, side="right")
+        sizes_a, sizes_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[upto_a - 1], last_b[upto_b - 1] = 1, 1
+        last_b[np.cumsum(n_b) - 1] = 2
+        texts = np.empty(len(a) + len(b), object)
+        texts[np.arange(len(a)) + np.repeat(np.r_[0, upto_b[:-1]], sizes_a)] = self.texts_a[last_a, a]
+        texts[np.arange(len(b)) + np.repeat(upto_a, sizes_b)] = self.texts_b[last_b, b]
+        texts, first = texts.tolist(), 0
+        for end in np.cumsum(n_a + n_b).tolist():
+            self.groups.append("".join(texts[first:end]))
+            first = end
 
     def fits(self, text: str, a: list[int], b: list[int]) -> bool:
         whole = b" " + text.encode()
@@ -191,12 +197,20 @@ class Aligner:
         text_ends = np.cumsum([1 + len(text.encode()) for text in texts])
         ends_a, ends_b, ends = self.windows(a, b, text_ends, int(text_ends[-1]))
         bytes_a, bytes_b = a.tobytes(), b.tobytes()
-        numbers, low_a, low_b = [], 0, 0
+        numbers, fresh, low_a, low_b, learnt = [], [], 0, 0, len(self.groups)
         for high_a, high_b in zip((4 * ends_a).tolist(), (4 * ends_b).tolist(), strict=True):
             key = (bytes_a[low_a:high_a], bytes_b[low_b:high_b])
             number = self.known.get(key)
-            numbers.append(self._learn(key) if number is None else number)
+            if number is None:
+                self.known[key] = number = learnt + len(fresh)
+                fresh.append(len(numbers))
+            numbers.append(number)
             low_a, low_b = high_a, high_b
+        if fresh:
+            n_a, n_b = np.diff(ends_a, prepend=0)[fresh], np.diff(ends_b, prepend=0)[fresh]
+            new_a = np.repeat(ends_a[fresh] - n_a, n_a) + ranges(n_a)
+            new_b = np.repeat(ends_b[fresh] - n_b, n_b) + ranges(n_b)
+            self._learn(a[new_a], b[new_b], n_a, n_b)
         cuts = np.searchsorted(ends, text_ends, side="right")
         window = np.array(numbers, np.int64)
         starts, pairs, n_groups = np.array(self.starts), np.array(self.pairs), np.array(self.n_groups)
