@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitefold.functions.sqltext import bind, lit
-from sitefold.operators.joins import lookup_join, materialised
+from sitefold.operators.joins import BROADCAST_BYTES, fits_broadcast, lookup_join, materialised
 from sitefold.operators.media import link_path, media_urls
 
 POST_KEY = ["site", "content_type", "ord"]
@@ -173,23 +173,32 @@ def rewrite_candidates(posts: DataFrame, urls: DataFrame, exact: bool = False) -
     return _swaps(known)
 
 
-def rewrite_media_links(posts: DataFrame, media: DataFrame, enabled: bool = True, exact: bool = False) -> DataFrame:
+def rewrite_media_links(
+    posts: DataFrame, media: DataFrame, enabled: bool = True, exact: bool = False, bound: int = BROADCAST_BYTES
+) -> DataFrame:
     """Posts and pages with media URLs in content and excerpt pointing to local files.
 
-    ``exact`` also replaces URLs that an earlier replacement has formed.
+    ``exact`` also replaces URLs that an earlier replacement has formed. The replacements of posts are measured: within ``bound``
+    bytes they are broadcast, and texts are not shuffled. Beyond it only the texts of posts that have any are, as long as
+    their keys fit.
     """
     if not enabled:
         return posts
-    swaps = rewrite_candidates(posts, replacements(media), exact)
+    swaps = materialised(rewrite_candidates(posts, replacements(media), exact))
 
     def rewritten(name: str) -> Column:
         body = F.aggregate("swaps", F.col(name)["rendered"], lambda text, s: F.replace(text, s["url"], s["local_path"]))
         kept = F.when(F.col("swaps").isNull(), F.col(name)["rendered"]).otherwise(body)
         return F.col(name).withField("rendered", kept)
 
-    return (
-        posts.join(swaps, POST_KEY, "left")
-        .withColumn("content", rewritten("content"))
-        .withColumn("excerpt", rewritten("excerpt"))
-        .drop("swaps")
-    )
+    def applied(joined: DataFrame) -> DataFrame:
+        return joined.withColumn("content", rewritten("content")).withColumn("excerpt", rewritten("excerpt")).drop("swaps")
+
+    # Most posts hold no URL of a medium. Their texts stay where they are as long as what is sent to them fits.
+    if fits_broadcast(swaps, bound):
+        return applied(posts.join(F.broadcast(swaps), POST_KEY, "left"))
+    keys = materialised(swaps.select(*POST_KEY))
+    if fits_broadcast(keys, bound):
+        touched = posts.join(F.broadcast(keys), POST_KEY, "left_semi").join(swaps, POST_KEY)
+        return applied(touched).unionByName(posts.join(F.broadcast(keys), POST_KEY, "left_anti"))
+    return applied(posts.join(swaps, POST_KEY, "left"))

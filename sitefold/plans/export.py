@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,24 +32,25 @@ class Content:
 
 
 class IncompleteCapture(ValueError):
-    """A listing failed and ``strict`` was set."""
+    """A listing failed, or a field had another type than its entity's, and ``strict`` was set."""
 
 
-def _require_complete(failed: DataFrame) -> None:
-    example = failed.first()
+def _require_none(found: DataFrame, what: str) -> None:
+    example = found.first()
     if example is not None:
-        raise IncompleteCapture(f"failed listing, for example {example.asDict()}")
+        raise IncompleteCapture(f"{what}, for example {example.asDict()}")
 
 
 def content_from_api(api_pages: DataFrame, sites: DataFrame, strict: bool = False) -> Content:
     """Content of the JSON API. ``sites(site, url)`` names the sites to export.
 
-    A failed listing is empty; with ``strict`` it raises.
+    A failed listing is empty, and a field of another JSON type is zero; with ``strict`` either raises.
     """
     listings = api_pages.filter(F.col("endpoint").isin(*ENDPOINT_ROWS))
     cuts = materialised(rest.page_cuts(listings))
     if strict:
-        _require_complete(rest.failed_listings(listings, cuts))
+        _require_none(rest.failed_listings(listings, cuts), "failed listing")
+        _require_none(rest.rejected_fields(listings, cuts), "field of another type")
     return Content(
         sites=site.site_info(api_pages, sites),
         posts=rest.scan_posts(listings, cuts),
@@ -66,7 +68,7 @@ def content_from_rpc(rpc_pages: DataFrame, strict: bool = False) -> Content:
     """
     calls = rpc.decode_calls(rpc_pages)
     if strict:
-        _require_complete(rpc.offset_cuts(calls).filter("failed").select("site", "method", "error_offset"))
+        _require_none(rpc.offset_cuts(calls).filter("failed").select("site", "method", "error_offset"), "failed call")
     return Content(
         sites=rpc.rpc_site_info(calls),
         posts=rpc.rpc_posts(calls),
@@ -105,9 +107,20 @@ def land(content: Content, folder: str) -> Content:
 
 @dataclass(frozen=True)
 class Prepared:
-    content: Content
+    """``source`` is the content as it came; the rewritten one is made when it is first read."""
+
+    source: Content
     manifest: DataFrame
     stats: DataFrame
+    options: ExportOptions
+
+    @cached_property
+    def content(self) -> Content:
+        """The content with links to local files, landed: posts and pages are read by several jobs, and the rewrite is the dearest step."""
+        if not self.options.download_media:
+            return self.source
+        posts = rewrite.rewrite_media_links(self.source.posts, self.source.media, exact=self.options.exact_rewrite)
+        return replace(self.source, posts=landed(posts))
 
 
 def prepare(
@@ -125,15 +138,10 @@ def prepare(
     manifest = media.media_manifest(
         content.media, existing_files, attempts, folder, options.retries, options.download_media
     )
-    posts = content.posts
-    if options.download_media:
-        # Landed, because posts and pages are read by several jobs and the rewrite is the dearest step.
-        posts = landed(rewrite.rewrite_media_links(posts, content.media, exact=options.exact_rewrite))
-    rewritten = replace(content, posts=posts)
     counters = stats.export_stats(
         content.sites, content.posts, content.media, content.categories, content.tags, content.users, manifest
     )
-    return Prepared(rewritten, manifest, counters)
+    return Prepared(content, manifest, counters, options)
 
 
 def _tables(content: Content) -> dict[str, DataFrame]:
@@ -148,10 +156,11 @@ def json_lines(prepared: Prepared, options: ExportOptions) -> DataFrame:
 
 
 def metadata_lines(prepared: Prepared, options: ExportOptions) -> DataFrame:
-    tables = {name: rows for name, rows in _tables(prepared.content).items() if name != "posts"}
+    """Without posts and pages, so nothing is rewritten for it."""
+    tables = {name: rows for name, rows in _tables(prepared.source).items() if name != "posts"}
     records = json_export.entity_rows(tables, options.run_time)
     return json_export.document_lines(
-        prepared.content.sites, records, prepared.stats, options.run_time, json_export.METADATA_KEYS
+        prepared.source.sites, records, prepared.stats, options.run_time, json_export.METADATA_KEYS
     )
 
 

@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sitefold.functions.sqltext import lit
 from sitefold.functions.times import print_time_sql
 from sitefold.operators.joins import lookup_join, materialised
 from sitefold.schemas import ENDPOINT_ROWS, SITE, STAT_COLUMNS, struct_type
+from sitefold.session import landed_once
 
 # Keys of the documents, in the order in which they are written.
 EXPORT_KEYS = ("site", "posts", "pages", "media", "categories", "tags", "users", "exported_at", "stats")
@@ -120,22 +122,44 @@ def document_lines(
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Largest document that is one file.
+WHOLE_BYTES = 64 << 20
 LINE_ORDER = ["site", "key_no", "part", "ord"]
 
 
-def write_document_lines(lines: DataFrame, output: str) -> None:
+def write_document_lines(lines: DataFrame, output: str, whole_bytes: int = WHOLE_BYTES) -> None:
     """One folder per site; its part files, read in name order, form the document.
 
-    Range partitioning on the full order splits a large site over many files.
+    The document of a site of up to ``whole_bytes`` is one file, valid JSON by itself: such sites are dealt whole, and a task
+    streams them in order. That of a larger one is spread over files by range partitioning on the full order. The table
+    ``<output>-parts`` lists every file with its number, its first byte in the document and its length. The lines
+    are landed once, for their sizes and for both writers.
     """
-    (
-        lines.repartitionByRange(*LINE_ORDER)  # adaptive execution sets the number of parts
-        .sortWithinPartitions(*LINE_ORDER)
-        .select("site", "line")
-        .write.mode("overwrite")
-        .partitionBy("site")
-        .text(output)
-    )
+    spark = lines.sparkSession
+    with landed_once(lines) as rows:
+        sizes = materialised(rows.groupBy("site").agg(F.sum(F.octet_length("line") + 1).alias("bytes")))
+        large = materialised(sizes.where(F.col("bytes") > whole_bytes).select("site"))
+        whole = lookup_join(rows, large, ["site"], "left_anti", ["key_no", "ord"])
+        _written(whole.repartitionByRange("site"), output, "overwrite")
+        if not large.isEmpty():
+            spread = lookup_join(rows, large, ["site"], "left_semi", ["key_no", "ord"])
+            _written(spread.repartitionByRange(*LINE_ORDER), output, "append")  # adaptive execution sets the number of parts
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(output).select("path", "length")
+    site = F.url_decode(F.replace(F.regexp_extract("path", "/site=([^/]*)/", 1), F.lit("+"), F.lit("%2B")))
+    # A site's files are as many as it has parts, so its offsets are sums over few rows.
+    order = Window.partitionBy("site").orderBy("path")
+    placed = files.select(site.alias("site"), F.element_at(F.split("path", "/"), -1).alias("file"), "path", "length")
+    placed.select(
+        "site",
+        (F.row_number().over(order) - 1).alias("part"),
+        "file",
+        (F.sum("length").over(order) - F.col("length")).alias("first_byte"),
+        F.col("length").alias("bytes"),
+    ).write.mode("overwrite").parquet(f"{output}-parts")
+
+
+def _written(rows: DataFrame, output: str, mode: str) -> None:
+    rows.sortWithinPartitions(*LINE_ORDER).select("site", "line").write.mode(mode).partitionBy("site").text(output)
 
 
 def write_entities(records: DataFrame, output: str) -> None:

@@ -6,9 +6,13 @@ lookup by id. A (site, endpoint, page) or (site, content_type, id) is captured o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sitefold.functions.sqltext import lit
 from sitefold.operators.joins import BROADCAST_BYTES, fits_broadcast, materialised
 from sitefold.schemas import (
     CONTENT_TYPES,
@@ -16,6 +20,7 @@ from sitefold.schemas import (
     MEDIA,
     POST,
     listed_ord,
+    struct_type,
     zero_filled_fields,
 )
 
@@ -37,12 +42,11 @@ def is_json_object(body: Column) -> Column:
 def _row_count(body: Column) -> Column:
     """Records in a JSON array body, 0 for ``null``; NULL where it is no array of objects and nulls.
 
-    The decoder decides: one element of another kind makes the whole array undecodable.
+    The decoder decides, in one pass: one element of another kind makes the whole array undecodable. It would take a lone
+    record for an array, so the brackets are looked at as well.
     """
     array = body.rlike(r"\A\s*\[") & body.rlike(r"\]\s*\z")
-    decoded = F.size(F.from_json(body, "ARRAY<STRUCT<id: STRING>>"))
-    count = F.json_array_length(body)
-    return F.when(is_json_null(body), F.lit(0)).when(array & (decoded == count), count)
+    return F.when(is_json_null(body), F.lit(0)).when(array, F.size(F.from_json(body, "ARRAY<STRUCT<id: STRING>>")))
 
 
 def page_outcome(status: Column, count: Column) -> Column:
@@ -167,6 +171,49 @@ def scan_users(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame
     return scan_listing(api_pages, "users", cuts)
 
 
+def _wrong_kind_sql(value: str, kind: T.DataType, depth: int = 0) -> str:
+    """Whether a JSON value can't be read as the type; ``null`` can always."""
+    shape, item = f"schema_of_variant({value})", f"e{depth}"
+    if isinstance(kind, T.VariantType):
+        return "false"
+    if isinstance(kind, T.ArrayType):
+        inner = f"exists(try_variant_get({value}, '$', 'array<variant>'), {item} -> {_wrong_kind_sql(item, kind.elementType, depth + 1)})"
+        return f"coalesce({shape} <> 'VOID' AND (NOT startswith({shape}, 'ARRAY<') OR {inner}), false)"
+    if isinstance(kind, T.MapType):
+        inner = f"exists(map_values(try_variant_get({value}, '$', 'map<string, variant>')), {item} -> {_wrong_kind_sql(item, kind.valueType, depth + 1)})"
+        return f"coalesce({shape} <> 'VOID' AND (NOT startswith({shape}, 'OBJECT<') OR {inner}), false)"
+    if isinstance(kind, T.StructType):
+        fields = [_wrong_kind_sql(f"try_variant_get({value}, {lit(f'$[{chr(34)}{f.name}{chr(34)}]')}, 'variant')", f.dataType, depth) for f in kind]
+        return f"coalesce({shape} <> 'VOID' AND (NOT startswith({shape}, 'OBJECT<') OR {' OR '.join(fields)}), false)"
+    wanted = {T.StringType: "STRING", T.BooleanType: "BOOLEAN"}.get(type(kind), "BIGINT")
+    return f"coalesce({shape} NOT IN ({lit(wanted)}, 'VOID'), false)"
+
+
+def rejected_fields(api_pages: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
+    """(site, endpoint, page, position, field, found) of fields whose JSON type isn't the entity's.
+
+    They are read as zero values. ``position`` counts a page's records from 0, ``found`` is the type as it came; a record's
+    fields below the first level are reported as the one they belong to. Pages beyond a listing's end don't count, nor do
+    failed listings. Bodies are decoded once more for this, so an export looks only if it is ``strict``.
+    """
+    listings = api_pages.filter(F.col("endpoint").isin(*ENDPOINT_ROWS))
+    pages = surviving_pages(listings, cuts)
+    parts = []
+    for ddl in dict.fromkeys(ENDPOINT_ROWS.values()):
+        own = [name for name, rows in ENDPOINT_ROWS.items() if rows == ddl]
+        records = pages.filter(F.col("endpoint").isin(*own)).select(
+            "site", "endpoint", "page", F.posexplode(F.from_json("body", "ARRAY<MAP<STRING, VARIANT>>")).alias("position", "record")
+        )
+        fields = [
+            f"CASE WHEN {_wrong_kind_sql(f'try_element_at(record, {lit(f.name)})', f.dataType)} THEN {lit(f.name)} END"
+            for f in struct_type(ddl)
+            if not isinstance(f.dataType, T.VariantType)
+        ]
+        wrong = records.withColumn("field", F.expr(f"explode(array_compact(array({', '.join(fields)})))"))
+        parts.append(wrong.select("site", "endpoint", "page", "position", "field", F.expr("schema_of_variant(record[field])").alias("found")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def item_outcome(status: Column, body: Column) -> Column:
     """``found``, ``missing`` (404) or ``error`` (any other status, or a body that is no record)."""
     readable = is_json_object(F.coalesce(body, F.lit("")))

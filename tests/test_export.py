@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 from glob import glob
 
 import pytest
@@ -110,7 +111,7 @@ def test_tree_refuses_paths_outside_a_site(spark, tmp_path, site, path):
     assert not glob(f"{tmp_path}/**/*.md", recursive=True)
 
 
-@pytest.mark.parametrize("output", ["s3a://bucket/x", "ftp://host/x", "relative/x"])
+@pytest.mark.parametrize("output", ["wasb://bucket/x", "ftp://host/x", "relative/x"])
 def test_tree_refuses_storage_it_cannot_write(spark, output):
     with pytest.raises(ValueError):
         write_tree(spark.createDataFrame([], "site string, path string, content string"), output)
@@ -148,11 +149,22 @@ def test_large_document_spans_files(spark, tmp_path):
     stats = export.prepare(content, "/x", ExportOptions()).stats
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as for a large document
     try:
-        write_document_lines(document_lines(content.sites, records, stats, RUN, EXPORT_KEYS), str(tmp_path / "doc"))
+        write_document_lines(document_lines(content.sites, records, stats, RUN, EXPORT_KEYS), str(tmp_path / "doc"), whole_bytes=4096)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(glob(f"{tmp_path}/doc/site=a/part-*")) > 1
     assert [p["id"] for p in document(tmp_path / "doc", "a")["posts"]] == list(range(5000))
+    # The site that fits is one valid file; the parts table says which bytes of the document every file holds.
+    (small,) = glob(f"{tmp_path}/doc/site=b/part-*")
+    with open(small) as file:
+        assert json.load(file)["posts"] == []
+    parts = spark.read.parquet(f"{tmp_path}/doc-parts").orderBy("site", "part").collect()
+    names = {site: [os.path.basename(p) for p in sorted(glob(f"{tmp_path}/doc/site={site}/part-*"))] for site in ("a", "b")}
+    assert {site: [r.file for r in parts if r.site == site] for site in names} == names
+    end = 0
+    for r in (r for r in parts if r.site == "a"):
+        assert r.first_byte == end and r.bytes == os.path.getsize(f"{tmp_path}/doc/site=a/{r.file}")
+        end += r.bytes
 
 
 def test_options_and_strictness(spark):
@@ -183,14 +195,20 @@ def test_stream_equals_batch(spark, tmp_path):
     query = start_discovery(found, str(tmp_path / "found"), f"test-{os.getpid()}")
     query.awaitTermination()
     batches = [p for p in query.recentProgress if p.numInputRows]
-    assert len(batches) == 2 and not any(p.stateOperators for p in batches)  # nothing is kept between batches
+    assert len(batches) == 2
+    assert all("rocksdb" in json.dumps(p.stateOperators[0].customMetrics).lower() for p in batches)
+    assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or "")  # the session keeps its own
     streamed = sorted(r.id for r in spark.read.parquet(str(tmp_path / "found")).collect())
     batch = discovery.discovered_items(spark.read.parquet(landing), known, 220)
     assert streamed == sorted({r.id for r in batch.collect()}) and len(streamed) > 50
-    later = [("a", "posts", i, 200, '{"id":%d}' % i) for i in (2, 4, 217, 219)]  # two are known to the output already
+    # What was found is known from the stream's state alone: the output can be gone.
+    kept = streamed
+    for folder in glob(f"{tmp_path}/found/batch_id=[0-9]*"):
+        shutil.rmtree(folder)
+    later = [("a", "posts", i, 200, '{"id":%d}' % i) for i in (2, 4, 217, 219)]  # 217 was written before, 219 is listed
     spark.createDataFrame(later, schemas.API_ITEMS).coalesce(1).write.mode("append").parquet(landing)
     start_discovery(discovered_stream(read_lookups(spark, landing, 1), known, 220), str(tmp_path / "found"), f"test-{os.getpid()}").awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "found")).collect()) == sorted({*streamed, 2, 4, 217})
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "found")).collect()) == [2, 4] and 217 in kept
 
 
 def test_rpc_content_exports(spark, tmp_path):
@@ -202,3 +220,64 @@ def test_rpc_content_exports(spark, tmp_path):
     export.export(content, str(tmp_path), ExportOptions(output_format="markdown", run_time=RUN), as_files=False)
     docs = {r.path for r in spark.read.parquet(f"{tmp_path}/documents").collect()}
     assert docs == {"README.md", "posts/uncategorized/x.md"}
+
+
+def test_metadata_rewrites_nothing_and_a_rewrite_shuffles_no_text(spark, monkeypatch):
+    pages, sites = captures(spark)
+    content = export.content_from_api(pages, sites)
+    calls = []
+    own = export.rewrite.rewrite_media_links
+    monkeypatch.setattr(export.rewrite, "rewrite_media_links", lambda *a, **k: calls.append(1) or own(*a, **k))
+    prepared = export.prepare(content, "/x", ExportOptions(output_format="markdown"))
+    export.metadata_lines(prepared, ExportOptions()).collect()
+    assert not calls
+    assert prepared.content is prepared.content and len(calls) == 1
+    posts = spark.createDataFrame(content.posts.collect(), content.posts.schema)
+    plan = own(posts, content.media)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Exchange hashpartitioning" not in plan and "BroadcastExchange" in plan
+    texts = []
+    for bound in (1 << 20, 60, -1):  # replacements fit; only their keys may; nothing does
+        rows = own(posts, content.media, bound=bound).collect()
+        texts.append(sorted((r.site, r.id, r.content.rendered) for r in rows))
+    assert texts[0] == texts[1] == texts[2] and any("media/5_x.jpg" in t for *_, t in texts[0])
+
+
+def test_a_failed_tree_leaves_what_was_there_and_a_new_one_replaces_it(spark, tmp_path):
+    columns = "site string, path string, content string"
+    out = str(tmp_path / "out")
+    write_tree(spark.createDataFrame([("a", "old.md", "1"), ("a", "x/y.md", "1"), ("b", "z.md", "1")], columns), out)
+    rows = spark.createDataFrame([("a", f"{i}.md", "2") for i in range(200)] + [("a", "../b.md", "2")], columns).repartition(4)
+    with pytest.raises(Exception, match="path outside its site"):
+        write_tree(rows, out)
+    files = lambda: sorted(os.path.relpath(f, out) for f in glob(f"{out}/**/*", recursive=True, include_hidden=True) if os.path.isfile(f))
+    assert files() == ["a/old.md", "a/x/y.md", "b/z.md"]
+    write_tree(spark.createDataFrame([("a", "x/y.md", "3")], columns), f"file://{out}")
+    assert files() == ["a/x/y.md", "b/z.md"] and (tmp_path / "out/a/x/y.md").read_text() == "3"
+
+
+def test_files_of_an_earlier_export_as_a_table(spark, tmp_path):
+    from sitefold.operators.media import media_manifest
+    from sitefold.sources.files import existing_files
+
+    pages, sites = captures(spark)
+    media = export.content_from_api(pages, sites).media
+    (tmp_path / "media/a").mkdir(parents=True)
+    (tmp_path / "media/a/5_x.jpg").write_bytes(b"12345")
+    (tmp_path / "media/a/odd name é+%41.jpg").write_bytes(b"")
+    (tmp_path / "media/loose.txt").write_bytes(b"1")
+    files = existing_files(spark, str(tmp_path / "media"))
+    assert sorted(map(tuple, files.collect())) == [("a", "5_x.jpg", 5), ("a", "odd name é+%41.jpg", 0)]
+    one = existing_files(spark, str(tmp_path / "media/a"), site="only")
+    assert {r.site for r in one.collect()} == {"only"} and one.count() == 2
+    assert existing_files(spark, str(tmp_path / "none")).count() == 0
+    attempts = spark.createDataFrame([], schemas.ATTEMPTS)
+    by_hand = spark.createDataFrame([("a", "5_x.jpg")], schemas.EXISTING_FILES)
+    manifests = [sorted(map(str, media_manifest(media, f, attempts, "/m").collect())) for f in (files.drop("bytes"), by_hand)]
+    assert manifests[0] == manifests[1]
+
+
+def test_strict_rpc_export_raises(spark, tmp_path):
+    calls = spark.createDataFrame([("r", "wp.getPosts", 0, 500, "")], schemas.RPC_PAGES)
+    with pytest.raises(export.IncompleteCapture):
+        export.export_rpc_captures(calls, str(tmp_path), ExportOptions(strict=True))
+    assert export.export_rpc_captures(calls, str(tmp_path / "o"), ExportOptions()).count() == 0

@@ -211,3 +211,17 @@ def test_an_rpc_export_parses_each_call_once(spark):
         assert "from_xml" not in plan.lower() and "xmltostructs" not in plan.lower()
     assert "PartitionFilters: [isnotnull(method" in rpc.rpc_users(calls)._jdf.queryExecution().toString()
     assert sorted((r.site, r.failed) for r in rpc.offset_cuts(calls).collect() if r.method == "wp.getPosts") == [("a", False), ("b", True)]
+
+
+def test_fields_of_another_type_are_listed(spark):
+    good = {"id": 1, "slug": "s", "title": {"rendered": "t"}, "categories": [], "sticky": None, "meta": [], "unknown": 5, "excerpt": None}
+    bad = {"id": "x", "slug": ["q"], "title": {"rendered": 5}, "categories": [1, "2"], "sticky": 0, "date": 3, "author": 1.5, "content": [], "_links": {"self": [{"href": 1}]}}
+    picture = {"id": 2, "media_details": {"width": "7", "sizes": {"t": {"file": 1}}}}
+    rows = [("a", "posts", 1, 200, json.dumps([good, bad, None])), ("a", "posts", 2, 400, ""), ("a", "posts", 3, 200, json.dumps([bad])),
+            ("a", "media", 1, 200, json.dumps([picture])), ("a", "users", 1, 200, '[{"id":1,"avatar_urls":{"24":5}}]'), ("a", "tags", 1, 200, '[{"id":1,"count":12345678901234567890}]'),
+            ("b", "posts", 1, 200, json.dumps([bad])), ("b", "posts", 2, 500, ""), ("c", "pages", 1, 200, "null")]
+    found = rest.rejected_fields(spark.createDataFrame(rows, schemas.API_PAGES)).collect()
+    got = {(r.site, r.endpoint, r.page, r.position, r.field): r.found for r in found}
+    fields = ("id", "slug", "title", "categories", "sticky", "date", "author", "content", "_links")
+    assert set(got) == {("a", "posts", 1, 1, f) for f in fields} | {("a", "media", 1, 0, "media_details"), ("a", "users", 1, 0, "avatar_urls"), ("a", "tags", 1, 0, "count")}
+    assert (got["a", "posts", 1, 1, "id"], got["a", "posts", 1, 1, "sticky"]) == ("STRING", "BIGINT")
