@@ -197,6 +197,29 @@ LINKED_MEDIA = f"""linked_media AS (
     SELECT {HOST} AS site, page_id, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos
     FROM (SELECT url, page_id, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS hrefs FROM pages)) GROUP BY ALL)"""
 
+_LOCAL = "'media/' || {0} || '_' || translate({1}[2:], '\\:*?\"<>|', '________')"
+LINKED_URLS = f"""{LINKED_MEDIA}, linked_ends AS (SELECT site, min(id) AS first_id, max(id) AS last_id, arg_min(href, id) AS first_href FROM linked_media GROUP BY site),
+  linked_urls AS (SELECT site, id, 0 AS k, 'https://' || site || href AS u, {_LOCAL.format('id', 'href')} AS p FROM linked_media
+    UNION ALL SELECT site, id, 1, 'https://' || site || href || '-150x150.png', {_LOCAL.format('id', 'href')} || '-150x150.png' FROM linked_media
+    UNION ALL SELECT site, id, 2, '/wide' || href || '.png', {_LOCAL.format('id', 'href')} || '.png' FROM linked_media
+    UNION ALL SELECT site, last_id, 3, {_LOCAL.format('first_id', 'first_href')}, 'media/' || last_id || '_' || ({_LOCAL.format('first_id', 'first_href')})[7:] FROM linked_ends WHERE last_id > first_id)"""
+LINKED_POSTS = f"""linked_posts AS (SELECT site, content_type, id, replace(html, 'href="/', 'href="https://' || site || '/')
+      || CASE WHEN href <> '' THEN '<img src="https://' || site || href || '-150x150.png"><img src="/wide' || href || '.png">' ELSE '' END AS content,
+    CASE WHEN secure THEN '<p>' || title || '</p>' || CASE WHEN href <> '' THEN '<a href="https://' || site || href || '">more</a>' ELSE '' END ELSE '' END AS excerpt
+  FROM (SELECT {HOST} AS site, CASE WHEN page_id % 3 = 0 THEN 'page' ELSE 'post' END AS content_type, page_id AS id, html, regexp_extract(html, 'href="(/[^"]*)"', 1) AS href,
+    url LIKE 'https:%' AS secure, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages))"""
+
+
+def _swapped(name: str, found: bool) -> str:
+    """A text of every post with its site's URLs replaced one after the other; ``found``: only those that it holds at first."""
+    held = f" AND contains(p.{name}, u.u)" if found else ""
+    return f"""swapped_{name} AS (SELECT p.site, p.id, list_reduce(list_prepend({{'c': any_value(p.{name}), 'u': '', 'p': ''}}, list({{'c': '', 'u': u.u, 'p': u.p}} ORDER BY u.id, u.k)),
+      lambda a, s: {{'c': replace(a.c, s.u, s.p), 'u': '', 'p': ''}}).c AS text FROM linked_posts p JOIN linked_urls u ON u.site = p.site{held} GROUP BY ALL)"""
+
+
+_REWRITTEN = """SELECT p.site, p.content_type, p.id, coalesce(c.text, p.content) AS content, coalesce(e.text, p.excerpt) AS excerpt FROM linked_posts p
+  LEFT JOIN swapped_content c ON c.site = p.site AND c.id = p.id LEFT JOIN swapped_excerpt e ON e.site = p.site AND e.id = p.id"""
+
 ZERO_TIME = "0001-01-01T00:00:00Z"
 
 
@@ -311,7 +334,9 @@ ORACLES: dict[str, str] = {
       FROM order_posts p LEFT JOIN category_paths c ON c.site = p.site AND c.id = p.categories[1]""",
     "gap_ids": f"""WITH {LOOKUPS}, {LISTED}, ranges AS (SELECT content_type, unnest(range(1, max(id) + 1)) AS id FROM lookups GROUP BY content_type)
       SELECT 'store' AS site, content_type, id FROM ranges r WHERE NOT EXISTS (SELECT 1 FROM listed k WHERE k.content_type = r.content_type AND k.id = r.id)""",
-    "id_range": f"WITH {LOOKUPS} SELECT id, slug, content_type FROM lookups WHERE status = 200 AND readable AND (content_type = 'posts' AND id BETWEEN 100 AND 700 OR content_type = 'media' AND id BETWEEN 7 AND 90 OR content_type = 'pages' AND id = 42)",
+    "id_range": f"""WITH {LOOKUPS}, ends AS (SELECT content_type, min(id) AS lo, max(id) AS hi FROM lookups GROUP BY content_type)
+      SELECT id, slug, content_type FROM lookups JOIN ends USING (content_type) WHERE status = 200 AND readable
+        AND CASE WHEN content_type = 'pages' THEN id = (lo + hi) // 2 ELSE id BETWEEN lo + (hi - lo) // 4 AND hi - (hi - lo) // 4 END""",
     "item_outcome": f"""WITH {LOOKUPS} SELECT content_type, id,
       CASE WHEN status = 200 AND readable THEN 'found' WHEN status = 404 THEN 'missing' ELSE 'error' END AS outcome FROM lookups""",
     "discover": f"WITH {LOOKUPS}, {LISTED}, {DISCOVERED} SELECT 'store' AS site, content_type, id FROM discovered",
@@ -334,12 +359,13 @@ ORACLES: dict[str, str] = {
     "media_downloaded": f"""WITH {PAGE_MEDIA}, {ATTEMPTS}, {OUTCOMES}, {PRESENT}, {MANIFEST}
       SELECT site, count(*) FILTER (status IN ('present', 'downloaded')) AS media_downloaded FROM manifest GROUP BY site""",
     "attempt_outcome": f"WITH {ATTEMPTS}, {OUTCOMES} SELECT * FROM outcomes",
-    "media_rewrite": f"""WITH {LINKED_MEDIA}, posts AS (SELECT {HOST} AS site, page_id AS id, replace(html, 'href="/', 'href="https://' || {HOST} || '/') AS html FROM pages),
-      matched AS (SELECT p.site, p.id, list({{'c': '', 'u': 'https://' || m.site || m.href, 'p': 'media/' || m.id || '_' || translate(m.href[2:], '\\:*?"<>|', '________')}} ORDER BY m.id) AS swaps
-        FROM posts p JOIN linked_media m ON m.site = p.site AND contains(p.html, 'https://' || m.site || m.href) GROUP BY ALL)
-      SELECT p.site, p.id, CASE WHEN swaps IS NULL THEN html ELSE list_reduce(list_prepend({{'c': html, 'u': '', 'p': ''}}, swaps),
-        lambda a, s: {{'c': replace(a.c, s.u, s.p), 'u': '', 'p': ''}}).c END AS content
-      FROM posts p LEFT JOIN matched m ON m.site = p.site AND m.id = p.id""",
+    "media_rewrite": f"""WITH {LINKED_URLS}, {LINKED_POSTS}, {_swapped('content', True)}, {_swapped('excerpt', True)} {_REWRITTEN}""",
+    "media_rewrite_exact": f"""WITH {LINKED_URLS}, {LINKED_POSTS}, {_swapped('content', False)}, {_swapped('excerpt', False)} {_REWRITTEN}""",
+    "media_rewrite_off": f"WITH {LINKED_POSTS} SELECT site, content_type, id, content, excerpt FROM linked_posts",
+    "discover_off": f"WITH {ORDER_POSTS} SELECT site, 'post' AS content_type, id, slug, false AS discovered FROM order_posts",
+    "rejected_fields": """SELECT 'user-' || user_id AS site, 'posts' AS endpoint, event_id::INT AS page, 1 AS position, f.field, f.found FROM events
+      JOIN (VALUES ('click', 'id', 'STRING'), ('purchase', 'slug', 'ARRAY<STRING>'), ('purchase', 'title', 'OBJECT<rendered: BIGINT>'),
+        ('error', 'categories', 'ARRAY<VARIANT>'), ('error', 'content', 'ARRAY<VOID>'), ('error', 'author', 'DECIMAL(2,1)')) AS f(kind, field, found) ON kind = event_type""",
     "pagination_cut": f"WITH {EVENT_LISTING}, {EVENT_CUTS} SELECT * FROM ends",
     "surviving_pages": f"""WITH {EVENT_LISTING}, {EVENT_CUTS} SELECT l.site, l.endpoint, l.page, l.status, l.body
       FROM event_listing l JOIN ends e ON e.site = l.site AND e.endpoint = l.endpoint WHERE NOT failed AND page < end_page AND status = 200""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,12 +118,15 @@ def q_gap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_id_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle half of all ids looked up as posts and as media, one page in the middle, and an inverted range."""
     items = stand_ins.lookups(spark, sf_dir)
-    posts = discovery.items_in_range(items, "posts", 100, 700).select("id", "slug", F.lit("posts").alias("content_type"))
-    media_rows = discovery.items_in_range(items, "media", 7, 90).select("id", "slug", F.lit("media").alias("content_type"))
-    inverted = discovery.items_in_range(items, "pages", 20, 10).select("id", "slug", F.lit("pages").alias("content_type"))
-    single = discovery.items_in_range(items, "pages", 42, 42).select("id", "slug", F.lit("pages").alias("content_type"))
-    return posts.unionByName(media_rows).unionByName(inverted).unionByName(single)
+    ends = {r[0]: (r[1], r[2]) for r in items.groupBy("content_type").agg(F.min("id"), F.max("id")).collect()}
+    quarter = {kind: (last - first) // 4 for kind, (first, last) in ends.items()}
+    middle = sum(ends["pages"]) // 2
+    ranges = [(kind, ends[kind][0] + quarter[kind], ends[kind][1] - quarter[kind]) for kind in ("posts", "media")]
+    ranges += [("pages", middle, middle), ("pages", ends["pages"][1], ends["pages"][0])]
+    found = [discovery.items_in_range(items, *r).select("id", "slug", F.lit(r[0]).alias("content_type")) for r in ranges]
+    return reduce(DataFrame.unionByName, found)
 
 
 def q_item_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,9 +208,33 @@ def q_attempt_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.attempt_outcomes(stand_ins.download_attempts(spark, sf_dir))
 
 
+def _rewritten(spark: SparkSession, sf_dir: str, **how: bool) -> DataFrame:
+    posts = rewrite.rewrite_media_links(stand_ins.linked_posts(spark, sf_dir), stand_ins.linked_media(spark, sf_dir), **how)
+    return posts.select("site", "content_type", "id", F.col("content.rendered").alias("content"), F.col("excerpt.rendered").alias("excerpt"))
+
+
 def q_media_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = rewrite.rewrite_media_links(stand_ins.linked_posts(spark, sf_dir), stand_ins.linked_media(spark, sf_dir))
-    return posts.select("site", "id", F.col("content.rendered").alias("content"))
+    return _rewritten(spark, sf_dir)
+
+
+def q_media_rewrite_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also of URLs that an earlier replacement has formed."""
+    return _rewritten(spark, sf_dir, exact=True)
+
+
+def q_media_rewrite_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rewritten(spark, sf_dir, enabled=False)
+
+
+def q_discover_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All listed posts, with nothing found by id beside them."""
+    items = discovery.discovered_items(stand_ins.lookups(spark, sf_dir), stand_ins.listed_ids(spark, sf_dir), 1 << 40, enabled=False)
+    merged = discovery.merge_discovered(stand_ins.order_posts(spark, sf_dir), discovery.discovered_records(items, "posts"))
+    return merged.select("site", "content_type", "id", "slug", discovery.is_discovered().alias("discovered"))
+
+
+def q_rejected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rest.rejected_fields(stand_ins.typed_listing(spark, sf_dir))
 
 
 def q_pagination_cut(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,21 +220,46 @@ def page_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages whose links are absolute, as content carries them."""
+    """Web pages whose links are absolute, as content carries them; every third one is a page.
+
+    Each shows the two sizes of the first medium that it links to, one of them by a relative URL, and names that medium in
+    its excerpt if it has one.
+    """
     posts = page_posts(spark, sf_dir, "post")
-    absolute = F.replace(F.col("content.rendered"), F.lit('href="/'), cat('href="https://', F.col("site"), "/"))
-    return posts.withColumn("content", F.col("content").withField("rendered", absolute))
+    html, home = F.col("content.rendered"), cat("https://", F.col("site"))
+    first = F.regexp_extract(html, 'href="(/[^"]*)"', 1)
+    absolute = F.replace(html, F.lit('href="/'), cat('href="', home, "/"))
+    images = F.when(first != "", cat('<img src="', home, first, '-150x150.png"><img src="/wide', first, '.png">')).otherwise("")
+    excerpt = F.col("excerpt.rendered")
+    named = F.when((excerpt != "") & (first != ""), cat(excerpt, '<a href="', home, first, '">more</a>')).otherwise(excerpt)
+    return posts.select(
+        *[c for c in posts.columns if c not in ("content", "excerpt", "content_type")],
+        F.col("content").withField("rendered", F.concat(absolute, images)).alias("content"),
+        F.col("excerpt").withField("rendered", named).alias("excerpt"),
+        F.when(F.col("id") % 3 == 0, "page").otherwise("post").alias("content_type"),
+    )
 
 
 def linked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct link targets of each host as its media, numbered by first occurrence."""
+    """The distinct link targets of each host as its media, numbered by first occurrence, in two sizes.
+
+    The last medium of a host has a third size, whose URL is what links to the first medium become.
+    """
     pages = read(spark, sf_dir, "pages")
     links = pages.select(
         page_host().alias("site"), "page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("pos", "href")
     )
     numbered = links.groupBy("site", "href").agg(F.min(F.col("page_id") * 1000000 + F.col("pos")).alias("id"))
-    fields = {"id": F.col("id"), "source_url": cat("https://", F.col("site"), F.col("href")), "mime_type": F.lit("image/png")}
-    return numbered.select("site", F.col("id").alias("ord"), *entity_columns(MEDIA, fields))
+    ends = numbered.groupBy("site").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min_by("href", "id").alias("first_href"))
+    joined = numbered.join(ends, "site")
+    url = cat("https://", F.col("site"), F.col("href"))
+    own = F.create_map(F.lit("small"), _size(cat(url, "-150x150.png")), F.lit("wide"), _size(cat("/wide", F.col("href"), ".png")))
+    local = cat("media/", F.col("first_id"), "_", F.translate(F.substring("first_href", 2, 1 << 20), '\\:*?"<>|', "________"))
+    sizes = F.when((F.col("id") == F.col("last_id")) & (F.col("id") > F.col("first_id")), F.map_concat(own, F.create_map(F.lit("zchain"), _size(local)))).otherwise(own)
+    details_type = next(f.dataType for f in struct_type(MEDIA) if f.name == "media_details")
+    details = F.struct(*[(sizes if f.name == "sizes" else F.lit(None)).cast(f.dataType).alias(f.name) for f in details_type])
+    fields = {"id": F.col("id"), "source_url": url, "mime_type": F.lit("image/png"), "media_details": details}
+    return joined.select("site", F.col("id").alias("ord"), *entity_columns(MEDIA, fields))
 
 
 def _json_page(record: Column) -> Column:
@@ -328,6 +353,22 @@ def event_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def typed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as listings of posts of one user each, with fields of other types than theirs; pages in event order."""
+    kind, key = F.col("event_type"), F.col("event_id")
+    record = (
+        F.when(kind == "click", cat('{"id":"', key, '","slug":"s"}'))
+        .when(kind == "purchase", cat('{"id":', key, ',"slug":["q"],"sticky":null,"title":{"rendered":', key, "}}"))
+        .when(kind == "error", cat('{"id":', key, ',"categories":[1,"', key, '"],"content":[],"author":1.5}'))
+        .otherwise(cat('{"id":', key, ',"slug":"s","title":{"rendered":"t"},"categories":[1],"meta":[]}'))
+    )
+    events = read(spark, sf_dir, "events")
+    return events.select(
+        cat("user-", F.col("user_id")).alias("site"), F.lit("posts").alias("endpoint"), key.cast("int").alias("page"),
+        F.lit(200).alias("status"), cat("[null,", record, "]").alias("body"),
+    )
+
+
 def customer_site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings and root answers of one site per customer."""
     customers = read(spark, sf_dir, "customer")
