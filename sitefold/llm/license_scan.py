@@ -1,15 +1,17 @@
 """License scan with a positional index of rare template words; native operators only.
 
 1. Document frequencies of all licence words (the words of the templates) are counted over all documents.
-2. In each file the licence words present are ranked by their inverse document frequency, and for every template its
-   ``RARE`` highest in the file are looked up in the template's postings. Position in the file less position in the
-   template gives the place where the template would start.
-3. At each such place the template's words are compared at their relative positions. The score is the share of the
-   template's IDF weight that stands in place; a template with a score of ``LEAST_SCORE`` or more whose mandatory key
-   phrases stand word by word in their places gives its label. ``score`` is the best score of a template so verified.
-
-Base phrases (``mit license``, ``apache license``, ``general public license``) are found at every place in the file.
-Everything happens within a file's row, so there is no shuffle but that of the word counts, which combine before it.
+2. Index. Of the mandatory words of every template, those in its key phrases, the ``RARE`` with the highest inverse document
+   frequency are indexed: postings word -> (template, position).
+3. Look-up. The indexed words that a file holds are looked up, and nothing else: a template is a candidate if all of its
+   indexed words turn up. Their positions in the file less those in the template give the places where it would start;
+   the lists of these places are intersected. Mandatory words stand in every copy, so this loses none.
+4. Verification. At the places left the mandatory words have to stand in theirs; the score is the share of the template's IDF
+   weight that stands in place, and from ``LEAST_SCORE`` on gives the template's label. ``score`` is the best of those.
+
+A file costs its words once, and the occurrences of the indexed words that it holds for each candidate; templates that
+share no rare word with it cost nothing. Base phrases (``mit license``, ``apache license``, ``general public license``) are found at every
+place in the file. Everything happens within a file's row, so there is no shuffle but that of the word counts, which combine before it.
 
 Defined cases: a null text is empty, and an empty text has no words, labels or places and the score 0. Repeated rows
 give repeated rows, null keys are kept. Ties between rare words go to the alphabet. Extra columns are not read. An
@@ -19,12 +21,45 @@ empty table gives no rows.
 from __future__ import annotations
 
 import json
+import math
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Whole texts of short licences, as words.
+_MIT = """mit license permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+documentation files the software to deal in the software without restriction including without limitation the rights to use copy
+modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is
+furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied
+including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event
+shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or
+otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+_ISC = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided
+that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author
+disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event
+shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss
+of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with
+the use or performance of this software"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following
+disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following
+disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright
+holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of
+merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable
+for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute
+goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in
+contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if
+advised of the possibility of such damage"""
+_ZLIB = """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any
+damages arising from the use of this software permission is granted to anyone to use this software for any purpose including
+commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software
+must not be misrepresented you must not claim that you wrote the original software 2 altered source versions must be plainly marked as
+such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source
+distribution"""
+
 #: Licence notices: label, words, and the phrases that must be there.
 TEMPLATES = [
     ("mit-notice", "released under the mit license", ["mit license"]),
@@ -43,12 +78,14 @@ TEMPLATES = [
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
+    ("mit", _MIT, ["mit license", "permission is hereby granted free of charge", "without warranty of any kind"]),
+    ("isc", _ISC, ["with or without fee is hereby granted", "the author disclaims all warranties"]),
+    ("bsd-2-clause", _BSD, ["redistribution and use in source and binary forms", "this list of conditions", "provided by the copyright holders"]),
+    ("zlib", _ZLIB, ["without any express or implied warranty", "altered source versions must be plainly marked"]),
     ("cc-by-text", "licensed under a creative commons attribution", ["creative commons attribution"]),
 ]
 RARE = 3
 LEAST_SCORE = 0.8
-#: A word without which no template's key phrases and no base phrase are complete; a cheap test before the exact one.
-ANCHORS = ["license", "hereby", "redistribut", "unencumbered", "creative", "cc"]
 
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: The Kelvin sign is the only character outside ASCII that lower() turns into a letter of ASCII alone.
@@ -59,23 +96,44 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _templates_json() -> str:
+Template = tuple[str, str, list[str]]
+
+
+def mandatory(template: Template) -> list[int]:
+    """Positions of a template's key phrases."""
+    label, words, phrases = template
+    own, places = words.split(), set()
+    for phrase in phrases:
+        parts = phrase.split()
+        at = next((i for i in range(len(own)) if own[i : i + len(parts)] == parts), None)
+        if at is None:
+            raise ValueError(f"no such key phrase in the template {label}: {phrase}")
+        places.update(range(at, at + len(parts)))
+    return sorted(places)
+
+
+def indexed(templates: list[Template], idf: dict[str, float]) -> list[dict]:
+    """Every template with its words, mandatory positions and indexed places, which hold different words."""
     out = []
-    for label, words, phrases in TEMPLATES:
-        own = words.split()
-        places = []
-        for phrase in phrases:
-            parts = phrase.split()
-            at = next(i for i in range(len(own)) if own[i : i + len(parts)] == parts)
-            places += range(at, at + len(parts))
-        if not any(anchor in word for anchor in ANCHORS for word in (own[p] for p in places)):
-            raise ValueError(f"no anchor word in the key phrases of {label}")
-        out.append({"label": label, "words": own, "distinct": sorted(set(own)), "must": sorted(set(places))})
-    return json.dumps(out)
+    for template in templates:
+        own, must = template[1].split(), mandatory(template)
+        first = {own[p]: p for p in reversed(must)}
+        rare = sorted(first, key=lambda w: (-idf[w], w))[:RARE]
+        out.append({"label": template[0], "words": own, "must": must, "rare": [{"w": w, "o": first[w]} for w in rare]})
+    return out
+
 
+def postings(index: list[dict]) -> dict[str, list[int]]:
+    """Indexed word -> numbers of the templates that it leads to."""
+    lists: dict[str, list[int]] = {}
+    for number, template in enumerate(index):
+        for place in template["rare"]:
+            lists.setdefault(place["w"], []).append(number)
+    return lists
 
-def vocabulary() -> list[str]:
-    return sorted({w for _, words, _ in TEMPLATES for w in words.split()})
+
+def vocabulary(templates: list[Template] = TEMPLATES) -> list[str]:
+    return sorted({w for _, words, _ in templates for w in words.split()})
 
 
 def lowered(text: str) -> str:
@@ -87,51 +145,51 @@ def words_sql(low: str) -> str:
     return f"regexp_extract_all({low}, {_quoted(_WORD)}, 0)"
 
 
-def inverse_frequencies(docs: DataFrame, text: str = "text") -> tuple[dict[str, float], int]:
-    """IDF of every licence word over all documents: a few hundred numbers, whatever the corpus."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(w,) for w in vocabulary()], "word string")
-    words = docs.select(F.expr(f"explode(array_append(array_distinct({words_sql(lowered(text))}), ''))").alias("word"))
-    counts = {r[0]: r[1] for r in words.join(F.broadcast(known.union(spark.createDataFrame([("",)], "word string"))), "word").groupBy("word").count().collect()}
+def inverse_frequencies(docs: DataFrame, text: str = "text", templates: list[Template] = TEMPLATES) -> dict[str, float]:
+    """IDF of every licence word over all documents: as many numbers as the templates have words, whatever the corpus."""
+    known = vocabulary(templates)
+    held = f"array_intersect({words_sql(lowered(text))}, array({', '.join(map(_quoted, known))}))"
+    words = docs.select(F.expr(f"explode(array_append({held}, ''))").alias("word"))
+    counts = {r[0]: r[1] for r in words.groupBy("word").count().collect()}
     total = counts.get("", 0)
-    idf = spark.createDataFrame([(w, counts.get(w, 0)) for w in vocabulary()], "word string, n long").select(
-        "word", F.log((F.lit(total) + 1) / (F.col("n") + 1)) + 1
-    )
-    return {r[0]: r[1] for r in idf.collect()}, total
+    return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1 for w in known}
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[Template] = TEMPLATES) -> DataFrame:
     """Key, n_words, n_base, first_word, last_word, base_labels, labels and score of every row."""
-    idf, _ = inverse_frequencies(docs, text)
+    idf = inverse_frequencies(docs, text, templates)
+    index = indexed(templates, idf)
+    lists = postings(index)
     weights = f"from_json({_quoted(json.dumps(idf))}, 'map<string, double>')"
-    kinds = "array<struct<label: string, words: array<string>, distinct: array<string>, must: array<int>>>"
-    templates = f"from_json({_quoted(_templates_json())}, '{kinds}')"
-    anchored = " OR ".join(f"contains(low, '{a}')" for a in ANCHORS)
-    known = f"array({', '.join(map(_quoted, vocabulary()))})"
+    kinds = "array<struct<label: string, words: array<string>, must: array<int>, rare: array<struct<w: string, o: int>>>>"
+    known = f"from_json({_quoted(json.dumps(index))}, '{kinds}')"
+    lookup = f"from_json({_quoted(json.dumps(lists))}, 'map<string, array<int>>')"
+    rare_words = f"array({', '.join(map(_quoted, sorted({*lists, 'license'})))})"
 
     def step(df: DataFrame, **columns: str) -> DataFrame:
         return df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
 
-    rows = docs.select(F.col(key), F.expr(lowered(text)).alias("low"))
-    rows = step(rows, words=words_sql("low"), anchored=anchored)
-    # Files without an anchor word end here: all later columns are empty for them.
-    rows = step(rows, n_words="cast(size(words) AS bigint)", present=f"CASE WHEN anchored THEN array_intersect(words, {known}) ELSE array() END")
+    rows = docs.select(F.col(key), F.expr(words_sql(lowered(text))).alias("words"))
+    rows = step(rows, n_words="cast(size(words) AS bigint)", present=f"array_intersect(words, {rare_words})")
+    # Most files hold no indexed word and end here: all later columns are empty for them.
+    occurrences = "filter(transform(words, (w, i) -> CASE WHEN array_contains(present, w) THEN struct(w AS w, i AS i) END), x -> x IS NOT NULL)"
+    reached = f"array_distinct(flatten(transform(filter(present, w -> map_contains_key({lookup}, w)), w -> {lookup}[w])))"
+    rows = step(rows, occ=f"CASE WHEN size(present) > 0 THEN {occurrences} ELSE filter(array(struct('' AS w, 0 AS i)), x -> false) END")
     rows = step(
         rows,
-        places="filter(transform(CASE WHEN array_contains(present, 'license') THEN words ELSE array() END, (w, i) -> CASE WHEN w = 'license' THEN CASE"
-        " WHEN get(words, i - 1) = 'mit' THEN struct('mit' AS label, i - 1 AS at)"
-        " WHEN get(words, i - 1) = 'apache' THEN struct('apache' AS label, i - 1 AS at)"
-        " WHEN get(words, i - 1) = 'public' AND get(words, i - 2) = 'general' THEN struct('gpl' AS label, i - 2 AS at)"
-        " END END), p -> p IS NOT NULL)",
-        # Templates all of whose mandatory words occur, each with its rarest words in this file.
-        looked_up=f"transform(filter({templates}, t -> size(present) > 0 AND forall(t.must, p -> array_contains(present, t.words[p]))), t -> struct(t AS t,"
-        f" slice(transform(array_sort(transform(array_intersect(t.distinct, present), w -> struct(-{weights}[w] AS rank, w AS word))), x -> x.word), 1, {RARE}) AS rare))",
+        places="filter(transform(filter(occ, x -> x.w = 'license'), x -> CASE"
+        " WHEN get(words, x.i - 1) = 'mit' THEN struct('mit' AS label, x.i - 1 AS at)"
+        " WHEN get(words, x.i - 1) = 'apache' THEN struct('apache' AS label, x.i - 1 AS at)"
+        " WHEN get(words, x.i - 1) = 'public' AND get(words, x.i - 2) = 'general' THEN struct('gpl' AS label, x.i - 2 AS at)"
+        " END), p -> p IS NOT NULL)",
+        candidates=f"filter(transform({reached}, t -> {known}[t]), t -> forall(t.rare, r -> array_contains(present, r.w)))",
     )
+    # Starts that one indexed word allows, and of those the ones that the others allow as well.
+    allowed = "transform(filter(occ, x -> x.w = {0}.w), x -> x.i - {0}.o)"
     rows = step(
         rows,
-        starts="transform(looked_up, x -> struct(x.t AS t, array_distinct(flatten(flatten(transform("
-        "filter(transform(words, (w, i) -> CASE WHEN array_contains(x.rare, w) THEN struct(w AS w, i AS i) END), h -> h IS NOT NULL),"
-        " h -> transform(array(filter(transform(x.t.words, (v, o) -> CASE WHEN v = h.w THEN h.i - o END), s -> s IS NOT NULL)), s -> s))))) AS starts))",
+        starts=f"transform(candidates, t -> struct(t AS t, aggregate(slice(t.rare, 2, {RARE}), element_at(transform(slice(t.rare, 1, 1), r -> {allowed.format('r')}), 1),"
+        f" (left, r) -> array_intersect(left, {allowed.format('r')})) AS starts))",
     )
     rows = step(
         rows,
@@ -153,6 +211,28 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
+def templates_by_brute_force(texts: list[str | None], templates: list[Template] = TEMPLATES) -> list[tuple[str, float]]:
+    """(labels of templates, score) of each text by comparing every template at every place, for tests."""
+    lower = {i: i + 32 for i in range(65, 91)}
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower)) for t in texts]
+    known = vocabulary(templates)
+    counts = {w: sum(w in set(words) for words in split) for w in known}
+    idf = {w: math.log((len(texts) + 1) / (counts[w] + 1)) + 1 for w in known}
+    found = []
+    for words in split:
+        best = {}
+        for template in templates:
+            own, must = template[1].split(), mandatory(template)
+            for s in range(-len(own), len(words)):
+                if all(0 <= s + p < len(words) and words[s + p] == own[p] for p in must):
+                    there = sum(idf[v] for o, v in enumerate(own) if 0 <= s + o < len(words) and words[s + o] == v)
+                    score = there / sum(idf[v] for v in own)
+                    if score >= LEAST_SCORE:
+                        best[template[0]] = max(score, best.get(template[0], 0))
+        found.append((",".join(sorted(best)), max(best.values(), default=0.0)))
+    return found
+
+
 def scan_by_brute_force(texts: list[str | None]) -> list[tuple[int, int | None, int | None, str]]:
     """(n_base, first_word, last_word, base_labels) of each text, for tests."""
     found = []

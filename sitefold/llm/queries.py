@@ -53,9 +53,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, cleaned text, its number of lines and of dropped lines; hosts are sources."""
+    """doc_id, source, cleaned text, its number of lines and of dropped lines, and whether it is exempt; hosts are sources.
+
+    A line is boilerplate above a tenth of a source's pages, on 3 pages or more. Two things differ from the plain ratio: hosts
+    of few pages have no boilerplate (3 pages), and a page that would lose all its lines keeps them if its source has another page
+    of exactly its text: such copies are for near-dedup to judge, and they are marked as exempt.
+    """
     cleaned = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), copies_only=True)
-    return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped")
+    return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped", "exempt")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +136,13 @@ sets AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
 kept AS (SELECT d.*, list_filter(lines, lambda l: trim(l, ' ' || chr(9) || chr(13)) = ''
     OR NOT list_contains(coalesce(s.bad, []), trim(l, ' ' || chr(9) || chr(13)))) AS stay
   FROM d LEFT JOIN sets s ON d.source IS NOT DISTINCT FROM s.source),
-judged AS (SELECT *, len(stay) < len(lines) AND len(list_filter(stay, lambda l: trim(l, ' ' || chr(9) || chr(13)) <> '')) > 0 AS changes FROM kept)
+losing AS (SELECT *, coalesce(len(stay) < len(lines), false) AS loses,
+    coalesce(len(stay) < len(lines) AND len(list_filter(stay, lambda l: trim(l, ' ' || chr(9) || chr(13)) <> '')) = 0, false) AS alone FROM kept),
+judged AS (SELECT *, alone AND count(*) FILTER (alone) OVER (PARTITION BY source, text) > 1 AS exempt FROM losing),
+changed AS (SELECT *, loses AND NOT exempt AS changes FROM judged)
 SELECT doc_id, source, CASE WHEN changes THEN array_to_string(stay, chr(10)) ELSE text END AS text,
-  coalesce(len(lines), 0)::BIGINT AS n_lines, (CASE WHEN changes THEN len(lines) - len(stay) ELSE 0 END)::BIGINT AS n_dropped
-FROM judged""",
+  coalesce(len(lines), 0)::BIGINT AS n_lines, (CASE WHEN changes THEN len(lines) - len(stay) ELSE 0 END)::BIGINT AS n_dropped, exempt
+FROM changed""",
     "op11_collocations": r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
