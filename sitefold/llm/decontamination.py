@@ -11,25 +11,30 @@ m / 10 words were left out or to which as many were added.
    holds for the window of m words that begins with a stretch: an added word costs one pair and pushes one out at most.
    With ``stretches`` the window at a document's end is filled up with zeros.
 2. Embedding. The CGK walk copies the word under a pointer, step by step, and moves the pointer on by a random bit that
-   depends on step and word; after 3m steps an edit distance has become a Hamming distance. Windows and items of one
+   depends on step and word; after 3m steps an edit distance has become a Hamming distance. (After some 2m the text is used
+   up; places beyond agree always, which the number of repetitions below takes into account.) Windows and items of one
    length take the same walk.
 3. Sampling. ``SAMPLES`` places of an embedding make a key; windows meet the items with an equal key. Walks and samples
    are repeated until pairs at the largest allowed distance meet with ``TARGET_RECALL``: the number is set by embedding
-   edited copies of the items (a bounded number of them), and exact copies always meet. With ``stretches`` copies with
-   words only replaced, only left out and only put in have to reach it as well.
+   edited copies of the items (a bounded number of them) in many walks, and the hardest of them has to reach it; exact copies
+   always meet. With ``stretches`` copies with words only replaced, only left out and only put in have to reach it as well.
+   Where that would take more than ``MOST_REPETITIONS``, windows meet every item of their length instead.
 4. Verification. Each pair that has met is compared by its exact word edit distance; with ``stretches`` the item is
    compared with all stretches that begin near the window (semi-global distance).
 
+Items of fewer than ``LEAST_WORDS`` words allow no edit; they are looked up as they are, by a hash of their words.
+
 The benchmark is measured and travels to the tasks in blocks of at most ``BLOCK_BYTES``; further blocks are further
 passes, so no benchmark is too large. Documents are not shuffled.
 
-Defined cases: null and empty texts hold no item; items of fewer than ``LEAST_WORDS`` words are not searched. Repeated
+Defined cases: null and empty texts hold no item; items without words are found nowhere. Repeated
 items are reported each; repeated documents too. Null ids are carried. Of several windows for one item the closest, then
 the first is reported; of equally close stretches with one first word that whose length is nearest the item's. Extra columns are not read (``drop_contaminated`` passes them on). Empty tables give no matches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +47,15 @@ from sitefold.llm.words import ALPHANUMERIC, mixed, ranges, slices, text_bytes,
 
 EDIT_SHARE = 5
 LEAST_WORDS = 5
-SAMPLES = 3
+SAMPLES = 2
 TARGET_RECALL = 0.98
 SEED = 7_919
 WALK_STEPS = 3
 #: Samples taken from each walk.
-PER_WALK = 16
-#: Items whose edited copies set the number of repetitions, at most; and the most repetitions.
-TRIALS, MOST_REPETITIONS = 64, 512
+PER_WALK = 4
+#: Items whose edited copies set the number of repetitions, at most, and walks that each is tried with. Where more than
+#: ``MOST_REPETITIONS`` would be needed, every window is compared with every item of its length instead.
+TRIALS, TRIAL_WALKS, MOST_REPETITIONS = 64, 64, 2048
 BLOCK_BYTES = 8 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,21 +78,32 @@ def word_pairs(hashes: np.ndarray) -> np.ndarray:
     return mixed(hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[1:])
 
 
+def sequence_keys(hashes: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of the m words that begin at every word; none at the last m - 1."""
+    n = max(0, len(hashes) - m + 1)
+    keys = np.full(n, m, np.uint64)
+    for step in range(m):
+        keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + hashes[step : n + step])
+    return keys
+
+
 def walks(symbols: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """CGK embeddings of rows of word hashes, zero past a row's end: (steps, rows, seeds).
 
-    The pointer stays past the end once it has left the row, where the words are zero.
+    The coin of a word at a step is one of the 64 bits of its hash, chosen by step and seed. The pointer stays past the end
+    once it has left the row, where the words are zero.
     """
     n, widest = symbols.shape
     padded = np.zeros((n, widest + 1), np.uint64)
     padded[:, :widest] = symbols
-    coins = mixed(padded)
-    at, rows = np.zeros((n, len(seeds)), np.int64), np.arange(n)[:, None]
+    flat, coins = padded.ravel(), mixed(padded).ravel()
+    first, last = np.arange(n)[:, None] * (widest + 1), np.arange(n)[:, None] * (widest + 1) + widest
+    at = np.repeat(first, len(seeds), axis=1)
     out = np.empty((WALK_STEPS * widest, n, len(seeds)), np.uint64)
     for step in range(WALK_STEPS * widest):
-        out[step] = padded[rows, at]
-        moves = mixed(coins[rows, at] ^ (seeds + np.uint64(step))) & np.uint64(1)
-        at = np.minimum(at + moves.astype(np.int64), widest)
+        out[step] = flat[at]
+        bits = mixed(seeds + np.uint64(step)) >> np.uint64(58)
+        at = np.minimum(at + ((coins[at] >> bits) & np.uint64(1)).astype(np.int64), last)
     return out
 
 
@@ -151,7 +168,8 @@ def repetitions_for(items: list[np.ndarray], target: float = TARGET_RECALL, edit
     ``edits``: words are replaced (0), left out (1) or put in (2), in turn.
     """
     random = np.random.default_rng(SEED)
-    chances = []
+    seeds = np.arange(SEED, SEED + TRIAL_WALKS, dtype=np.uint64)
+    hardest = 0.0  # chance of a pair not to meet in a walk
     for words in items[:TRIALS]:
         edited = list(words)
         for k in range(allowed_edits(len(words))):
@@ -160,13 +178,10 @@ def repetitions_for(items: list[np.ndarray], target: float = TARGET_RECALL, edit
             edit = edits[k % len(edits)]
             edited[at : at + (edit != 2)] = [] if edit == 1 else [strange]
         edited = (edited + [np.uint64(random.integers(1, 1 << 62)) for _ in words])[: len(words)]
-        both = walks(np.array([words, edited], dtype=np.uint64), np.arange(SEED, SEED + 4, dtype=np.uint64))
-        same = np.mean(both[:, 0] == both[:, 1])
-        chances.append(float(same) ** SAMPLES)
-    repetitions = PER_WALK
-    while chances and repetitions < MOST_REPETITIONS and np.mean([1 - (1 - c) ** repetitions for c in chances]) < target:
-        repetitions += PER_WALK
-    return repetitions
+        both = walks(np.array([words, edited], dtype=np.uint64), seeds)
+        same = (both[:, 0] == both[:, 1]).mean(axis=0)
+        hardest = max(hardest, float(((1 - same**SAMPLES) ** PER_WALK).mean()))
+    return PER_WALK * max(1, math.ceil(math.log(1 - target) / math.log(min(max(hardest, 1e-9), 1 - 1e-6))))
 
 
 class Index:
@@ -182,8 +197,18 @@ class Index:
         rows = [row[:m] for row, m in zip(self.words, self.lengths, strict=True)]
         trials = rows[:: max(1, len(rows) // TRIALS)]
         edits = [(0, 1, 2), (0,), (1,), (2,)] if stretches else [(0, 1, 2)]
-        self.sampler = Sampler(max(repetitions_for(trials, edits=kinds) for kinds in edits))
-        keys = self.sampler.keys(self.words, self.lengths)
+        repetitions = max(repetitions_for(trials, edits=kinds) for kinds in edits)
+        self.exhaustive = repetitions > MOST_REPETITIONS
+        self.sampler = Sampler(0 if self.exhaustive else repetitions)
+        self.by_length = np.argsort(self.lengths, kind="stable")
+        self.short = {}
+        for m in range(1, LEAST_WORDS):
+            some = np.flatnonzero(sizes == m)
+            if len(some):
+                keys = sequence_keys(padded_rows(hashes, first_word[:-1][some], sizes[some]).ravel(), m)[::m]
+                order = np.argsort(keys, kind="stable")
+                self.short[m] = keys[order], [ids[i] for i in some[order]]
+        keys = self.sampler.keys(self.words, self.lengths) if not self.exhaustive else np.zeros((0, len(own)), np.uint64)
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, axis=1)
         # Each word pair with the lengths of the items that hold it.
@@ -231,6 +256,7 @@ class Index:
     def matches(self, texts) -> Iterator[tuple[int, object, int, int, int, float]]:
         """(document, item id, first word, words, distance, similarity) of every document and item that match."""
         hashes, first_word = words_of(texts)
+        yield from self._short_matches(hashes, first_word)
         starts, lengths = self.windows(hashes, first_word)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for first in range(0, len(starts), 1024):
@@ -254,6 +280,19 @@ class Index:
         for (d, i), (distance, start, size) in best.items():
             yield d, self.ids[i], start, size, distance, 1 - distance / int(self.lengths[i])
 
+    def _short_matches(self, hashes: np.ndarray, first_word: np.ndarray) -> Iterator[tuple[int, object, int, int, int, float]]:
+        """First place of every short item in every document."""
+        for m, (known, ids) in self.short.items():
+            keys = sequence_keys(hashes, m)
+            low, high = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
+            at = np.flatnonzero(high > low)
+            document = np.searchsorted(first_word, at, side="right") - 1
+            at, document = (x[at + m <= first_word[document + 1]] for x in (at, document))
+            _, first = np.unique(np.array([document, low[at]]), axis=1, return_index=True)
+            for k in first:
+                for item in ids[low[at[k]] : high[at[k]]]:
+                    yield int(document[k]), item, int(at[k] - first_word[document[k]]), m, 0, 1.0
+
     def _near(self, hashes, first_word, start, document, item) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item number, distance, first word, words) of the best stretch about each window that has met an item.
 
@@ -282,6 +321,11 @@ class Index:
     def _met(self, windows: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Window and item numbers of the distinct pairs that have a key in common."""
         n, met = len(self.ids), []
+        if self.exhaustive:
+            ordered = self.lengths[self.by_length]
+            low = np.searchsorted(ordered, m)
+            sizes = np.searchsorted(ordered, m, side="right") - low
+            return np.repeat(np.arange(len(m)), sizes), self.by_length[np.repeat(low, sizes) + ranges(sizes)]
         for known, order, key in zip(self.keys, self.order, self.sampler.keys(windows, m), strict=True):
             low = np.searchsorted(known, key)
             sizes = np.searchsorted(known, key, side="right") - low

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitefold.llm import alignment, collocations, license_scan, line_dedup, quality, queries
+from sitefold.llm import alignment, collocations, decontamination, license_scan, line_dedup, quality, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, part int, pair int, own string, score string"
@@ -359,3 +359,38 @@ def test_line_dedup_of_the_query_equals_brute_force(spark, seed):
         wanted.append(("\n".join(k) if change else t, 0 if t is None else len(t.split("\n")), len(t.split("\n")) - len(k) if change else 0, exempt))
     rows = line_dedup.drop_boilerplate(docs_of(spark, texts, sources=hosts), copies_only=True).orderBy("doc_id")
     assert [tuple(r) for r in rows.select("text", "n_lines", "n_dropped", F.col("exempt")).collect()] == wanted and any(w[-1] for w in wanted)
+
+
+# Decontamination
+
+
+def test_short_benchmark_items_are_found_as_they_are(spark):
+    items = spark.createDataFrame([(1, "Four words, in all!"), (2, "lone"), (3, "two words"), (4, "two words"), (5, "..."), (6, None), (7, "a five word item here")], "item_id long, text string")
+    texts = ["x four WORDS in all y", "four words in", "the lone one", "lonely two words", "two", "words", None, "", "and two words two words", "in all four words", "say a five word item here"]
+    found = sorted((r.doc_id, r.item_id, r.first_word, r.n_words, r.distance) for r in decontamination.find_items(docs_of(spark, texts), items, stretches=True).collect())
+    assert found == [(0, 1, 1, 4, 0), (2, 2, 1, 1, 0), (3, 3, 1, 2, 0), (3, 4, 1, 2, 0), (8, 3, 1, 2, 0), (8, 4, 1, 2, 0), (10, 7, 1, 5, 0)]
+    kept = decontamination.drop_contaminated(docs_of(spark, texts), items, stretches=True)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 9]
+
+
+@pytest.mark.parametrize("most", [2048, 0])
+def test_edited_items_are_found_whatever_the_edits(spark, monkeypatch, most):
+    """The share found of copies with as many edits as allowed, per kind of edit; all of them where windows meet every item."""
+    monkeypatch.setattr(decontamination, "MOST_REPETITIONS", most)
+    rng = random.Random(2)
+    items = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice([5, 7, 15, 38, 59]))) for _ in range(40)]
+    texts, kinds = [], []
+    for item in items:
+        for kind in ("replace", "leave out", "put in"):
+            for _ in range(5):
+                own = item.split()
+                for _ in range(len(own) // 5):
+                    at = rng.randrange(len(own))
+                    own[at : at + (kind != "put in")] = [] if kind == "leave out" else [f"n{rng.randrange(10**6)}"]
+                texts.append(" ".join(f"x{rng.randrange(10**6)}" for _ in range(30)) + " " + " ".join(own) + " " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(30)))
+                kinds.append(kind)
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_items(docs_of(spark, texts), table, stretches=True).collect()}
+    for kind in set(kinds):
+        own = [(i, i // 15) in found for i, k in enumerate(kinds) if k == kind]
+        assert np.mean(own) >= (0.98 if most else 1), kind
