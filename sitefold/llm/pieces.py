@@ -31,8 +31,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 #: Log score of a character without a piece, below the lowest score of a piece.
 UNKNOWN_PENALTY = 10.0
-#: Parts kept in a task's memory before it starts afresh.
-MEMORY_PARTS = 200_000
+#: Parts kept in a task's memory, and their bytes, before it starts afresh.
+MEMORY_PARTS, MEMORY_BYTES = 200_000, 32 << 20
 _NORMAL, _BYTE, _USER = 1, 6, 4
 
 
@@ -259,11 +259,12 @@ class Encoder:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.bytes = 0
         self.ids, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
-        if len(self.number) > self.memory:
+        if len(self.number) > self.memory or self.bytes > MEMORY_BYTES:
             self._forget()
         number, parts, counts = self.number, [], []
         for text in texts:
@@ -272,7 +273,9 @@ class Encoder:
             counts.append(len(own))
         fresh = [p for p in dict.fromkeys(parts) if p not in number]
         if fresh:
-            ids, sizes = self.vocabulary.segment([p.encode() for p in fresh])
+            own = [p.encode() for p in fresh]
+            self.bytes += sum(map(len, own))
+            ids, sizes = self.vocabulary.segment(own)
             number.update(zip(fresh, range(len(number), len(number) + len(fresh)), strict=True))
             self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(sizes) - sizes]
             self.ids, self.size = np.r_[self.ids, ids], np.r_[self.size, sizes]

@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sitefold.llm.common import landed, scale_of
+from sitefold.operators.joins import lookup_join
 
 SHARDS = 16
 SEED = 20_240_517
 ROUNDS = 6
 #: Buckets for numbering: 4,096 at least, and so many that a bucket holds some 100,000 rows.
 LEAST_BUCKETS, BUCKET_ROWS = 4096, 100_000
+#: Buckets whose sizes one task adds up, and equal rows that are written out at once.
+GROUP_BUCKETS, COPY_BLOCK = 4096, 1 << 16
 #: Steps of the cycle walk written out in the plan; see ``permuted``.
 WALK = 64
 
@@ -73,12 +76,19 @@ def numbered(rows: DataFrame, keys: list[str], copies: str, buckets: int) -> Dat
     """Add ``row_number``: the first global number of each row, which stands for ``copies`` equal rows."""
     keyed = rows.withColumn("bucket", F.expr(f"cast(pmod(xxhash64({', '.join(keys)}), {buckets}) AS int)"))
     sizes = keyed.groupBy("bucket").agg(F.sum(copies).alias("in_bucket"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("bucket_start"))
+    # Sums in two levels: of groups of buckets, then within each, so no task orders all buckets.
+    grouped = landed(sizes.withColumn("range", F.expr(f"bucket div {GROUP_BUCKETS}")))
+    earlier = Window.unboundedPreceding, -1
+    ranges = grouped.groupBy("range").agg(F.sum("in_bucket").alias("in_range"))
+    range_starts = ranges.select("range", F.coalesce(F.sum("in_range").over(Window.orderBy("range").rowsBetween(*earlier)), F.lit(0)).alias("range_start"))
+    before = Window.partitionBy("range").orderBy("bucket").rowsBetween(*earlier)
+    starts = grouped.join(range_starts, "range").select(
+        "bucket", (F.col("range_start") + F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).alias("bucket_start")
+    )
     within = Window.partitionBy("bucket").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = keyed.withColumn("in_order", F.coalesce(F.sum(copies).over(within), F.lit(0)))
     return (
-        keyed.withColumn("in_order", F.coalesce(F.sum(copies).over(within), F.lit(0)))
-        .join(F.broadcast(starts), "bucket")  # a row per bucket, far fewer than rows
+        lookup_join(ordered, landed(starts), ["bucket"], "inner", keys)  # a row per bucket: measured, then broadcast or spread
         .withColumn("row_number", F.col("bucket_start") + F.col("in_order"))
         .drop("bucket", "bucket_start", "in_order")
     )
@@ -94,9 +104,15 @@ def shard(
     )
     keys = [key, "size", "text_crc32"]
     distinct = landed(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")))
-    total = distinct.agg(F.sum("copies")).first()[0] or 0
+    total, most = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
     ordered = numbered(distinct, keys, "copies", scale_of(total, BUCKET_ROWS, LEAST_BUCKETS))
-    each = ordered.select(*keys, F.expr("explode(sequence(row_number, row_number + copies - 1)) AS row_number"))
+    # Equal rows are written out in blocks, which are dealt to tasks where a group has several: no array holds a whole group.
+    blocks = ordered.withColumn("row_end", F.expr("row_number + copies - 1")).select(
+        *keys, "row_end", F.expr(f"explode(sequence(row_number, row_end, {COPY_BLOCK}L)) AS block_start")
+    )
+    if most > COPY_BLOCK:
+        blocks = blocks.repartition("block_start")
+    each = blocks.select(*keys, F.expr(f"explode(sequence(block_start, least(block_start + {COPY_BLOCK - 1}L, row_end))) AS row_number"))
     placed = each.withColumn("place", F.expr(permuted("row_number", max(1, total), seed)))
     return placed.select(
         *keys,

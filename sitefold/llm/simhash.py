@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from sitefold.llm.common import landed, short_batches
 from sitefold.llm.components import components
@@ -219,7 +220,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Only keys move: those of rows to drop are measured and broadcast, or joined by a spread shuffle beyond the bound.
     """
-    number = F.coalesce(F.lpad(F.col(key).cast("string"), 20, "0"), F.lit("~"))  # texts sort like the numbers
+    number = F.col(key).cast("string")
+    if isinstance(docs.schema[key].dataType, IntegralType):  # texts sort like the numbers, negative ones first
+        number = F.lpad(F.hex(F.col(key).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    number = F.coalesce(number, F.lit("~"))
     keyed = docs.withColumn("__sh_key", F.concat_ws("/", number, F.md5(F.coalesce(text, F.lit("")))))
     found = landed(near_duplicates(keyed, "__sh_key", text).select("__sh_key", "component_id"))
     dropped = landed(found.where("__sh_key <> component_id").select("__sh_key").distinct())

@@ -12,7 +12,7 @@ one task as 64-bit hashes; the vocabulary is made of the words of ``LEAST_DOCUME
 without a shuffle.
 
 Defined cases: null and empty texts have no words and get the probability their style measures give. A label row with a
-null is ignored; of several label rows for one document the larger value counts. Documents without a label are scored
+null is ignored; of several label rows for one document the larger value counts, of several texts with one id the one of the smallest digest. Documents without a label are scored
 like others. Without labelled documents every probability is 0; with one class only, it is that class's. Repeated rows
 give repeated rows, null ids are kept. Extra columns are not read (``drop_toxic`` passes them on). An empty table gives no
 rows.
@@ -206,7 +206,10 @@ def trained_chain(docs: DataFrame, labels: DataFrame, key: str, text: str, categ
         .orderBy(rank, key)
         .limit(sample)  # top-k per task, then of these; the bound of the broadcast below
     )
-    picked = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(chosen), key).dropDuplicates([key])
+    sampled = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(chosen), key)
+    # Of several texts with one id the one of the smallest digest, so that the model is repeatable.
+    smallest = F.min(F.struct(F.md5(F.coalesce("__text", F.lit(""))).alias("digest"), "__text")).alias("first")
+    picked = sampled.groupBy(key, *categories).agg(smallest).select(key, *categories, "first.__text")
     kinds = ", ".join(f"`{c}` int" for c in categories)
 
     def run(batches):

@@ -14,7 +14,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sitefold.llm import alignment, collocations, decontamination, license_scan, line_dedup, quality, queries
+from sitefold.llm import alignment, collocations, decontamination, license_scan, line_dedup, pieces, quality, queries, sharding, simhash, toxicity
+from sitefold.operators import joins
 
 SF_DIR = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, part int, pair int, own string, score string"
@@ -394,3 +395,42 @@ def test_edited_items_are_found_whatever_the_edits(spark, monkeypatch, most):
     for kind in set(kinds):
         own = [(i, i // 15) in found for i, k in enumerate(kinds) if k == kind]
         assert np.mean(own) >= (0.98 if most else 1), kind
+
+
+# Sharding, SimHash, toxicity and pieces: hot groups and ties
+
+
+def test_shards_of_very_many_equal_rows(spark, monkeypatch):
+    """A third of all rows alike is written out in blocks; buckets are summed up in groups."""
+    plain = sorted(map(tuple, sharding.shard(docs_of(spark, ["same"] * 700 + [f"t{i}" for i in range(1400)], ids=[None] * 700 + list(range(1400)))).collect()), key=str)
+    monkeypatch.setattr(sharding, "COPY_BLOCK", 64)
+    monkeypatch.setattr(sharding, "GROUP_BUCKETS", 100)
+    monkeypatch.setattr(sharding, "lookup_join", lambda *a: joins.lookup_join(*a, bound=-1))
+    found = sharding.shard(docs_of(spark, ["same"] * 700 + [f"t{i}" for i in range(1400)], ids=[None] * 700 + list(range(1400)))).collect()
+    assert sorted(map(tuple, found), key=str) == plain
+    assert sorted(r.row_number for r in found) == list(range(2100))
+
+
+def test_the_smallest_id_stays_among_negative_ones(spark):
+    kept = simhash.keep_one(docs_of(spark, ["one two three four five six"] * 4, ids=[-12, 5, -17, 30]))
+    assert [r.doc_id for r in kept.collect()] == [-17]
+
+
+def test_toxicity_of_repeated_ids_is_repeatable(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["fine", "good", "vile", "scum", "tree"]) for _ in range(20)) for _ in range(300)]
+    ids = [i % 100 for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(100)], "doc_id long, low_quality int, toxic int")
+    first, second = (
+        sorted(map(tuple, toxicity.score(docs_of(spark, t, ids=k), labels).collect())) for t, k in ((texts, ids), (texts[::-1], ids[::-1]))
+    )
+    assert first == second
+
+
+def test_pieces_remember_a_bounded_number_of_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMORY_BYTES", 1000)
+    encoder, plain = pieces.Encoder(pieces.load()), pieces.Encoder(pieces.load())
+    for k in range(6):
+        text = ["x" * 700 + str(k), f"some words {k}"]
+        assert [x.tolist() for x in encoder.encode(text)] == [x.tolist() for x in plain.encode(text)]
+        assert encoder.bytes < 2500
