@@ -6,7 +6,7 @@ language (null: ``und``) is counted on its own.
 1. Counting. A task gives the words of its texts ids of its own and packs the ids of an n-gram into one number. A shallow
    trie over the digits of the first and second word's id leads to hash containers, which burst into 64 children once they
    hold ``BURST`` n-grams. Beyond ``RUN_ENTRIES`` n-grams the largest subtrees are written out as one sorted run, cut into
-   pages by prefix partition. An n-gram's partition is a hash of its first two words, so memory doesn't grow with the table.
+   pages by prefix partition. An n-gram's partition is a hash of its first word. Memory doesn't grow with the table.
 2. Splitting. A partition that holds more than ``MERGE_ENTRIES`` entries, be it because the table is large or because one
    prefix is hot, is combined in parts and cut into ``FANOUT`` finer ones by a hash of all its words, again and again.
 3. Merging. All pages of a partition meet in one task, where the runs are merged and n-grams that occur ``least`` times
@@ -192,7 +192,11 @@ def pages(lang: str, words: list[bytes], grams: np.ndarray, counts: np.ndarray,
         for low in range(first, end, PAGE_ENTRIES):
             high = min(end, low + PAGE_ENTRIES)
             local, numbers = np.unique(np.r_[0, ranks[:, low:high].ravel()], return_inverse=True)
-            columns = [b" ".join(names[local].tolist()), *map(packed, numbers[1:].reshape(3, -1)), packed(counts[low:high])]
+            one, two, three = numbers[1:].reshape(3, -1)
+            # Sorted, so first words and second words of one first word are written as steps.
+            step = np.diff(one, prepend=0)
+            two = np.where(step > 0, two, np.diff(two, prepend=0))
+            columns = [b" ".join(names[local].tolist()), *map(packed, (step, two, three, counts[low:high]))]
             sizes = np.array([len(c) for c in columns], "<i8").tobytes()
             blob = sizes + b"".join(columns)
             page = len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
@@ -206,7 +210,10 @@ def combined(some: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         blob = pa.decompress(page[8:], int.from_bytes(page[:8], "little"), codec="zstd", asbytes=True)
         ends = 40 + np.r_[0, np.cumsum(np.frombuffer(blob, "<i8", 5))]
         words, *columns = (blob[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
-        opened.append((words.split(b" "), *(unpacked(c).astype(np.int64) for c in columns)))
+        step, two, three, counts = (unpacked(c).astype(np.int64) for c in columns)
+        sums, begins = np.cumsum(two), np.flatnonzero(step)
+        two = sums - np.repeat(sums[begins] - two[begins], np.diff(np.r_[begins, len(step)]))
+        opened.append((words.split(b" "), np.cumsum(step), two, three, counts))
     names = sorted(set().union(*(words for words, *_ in opened)))
     number = {word: i for i, word in enumerate(names)}
     places = [np.fromiter(map(number.__getitem__, words), np.int64, len(words)) for words, *_ in opened]
@@ -249,9 +256,8 @@ def _runs(docs: DataFrame, lang: str, text: str, longest: int, partitions: int,
         keys, counts = trie.spill(share)
         mask = (1 << ID_BITS) - 1
         grams = np.array([keys >> 2 * ID_BITS, keys >> ID_BITS & mask, keys & mask])
-        hashes = trie.hashes()
-        prefix = mixed(hashes[grams[0]] * np.uint64(0x9E3779B97F4A7C15) + hashes[grams[1]])
-        yield from pages(name, trie.words.known, grams, counts, (prefix % np.uint64(partitions)).astype(np.int64))
+        prefix = mixed(trie.hashes() * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(partitions)
+        yield from pages(name, trie.words.known, grams, counts, prefix.astype(np.int64)[grams[0]])
         if share >= 1:
             trie.forget()
 
