@@ -235,5 +235,5 @@ def default_outputs(sites: DataFrame, run_time: str) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """A capture table from Parquet; partition it by site and endpoint to let filters prune."""
+    """A capture table from plain Parquet files; ``sources/captures`` writes and reads the layout that scans prune best."""
     return spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{name}")

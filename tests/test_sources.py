@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitefold import schemas
-from sitefold.sources import rest, rpc, site
+from sitefold.sources import captures, rest, rpc, site
 
 
 def ids(n, start=1):
@@ -225,3 +225,26 @@ def test_fields_of_another_type_are_listed(spark):
     fields = ("id", "slug", "title", "categories", "sticky", "date", "author", "content", "_links")
     assert set(got) == {("a", "posts", 1, 1, f) for f in fields} | {("a", "media", 1, 0, "media_details"), ("a", "users", 1, 0, "avatar_urls"), ("a", "tags", 1, 0, "count")}
     assert (got["a", "posts", 1, 1, "id"], got["a", "posts", 1, 1, "sticky"]) == ("STRING", "BIGINT")
+
+
+def test_bucketed_captures_are_pruned_and_cut_without_a_shuffle(spark, tmp_path):
+    rows = [(f"s{i}", e, p, 200 if p < 3 else 400, '[{"id":%d}]' % (10 * i + p) if p < 3 else "") for i in range(20) for e in ("posts", "tags") for p in (1, 2, 3)]
+    pages = spark.createDataFrame(rows, schemas.API_PAGES)
+    calls = spark.createDataFrame([(f"s{i}", "wp.getPosts", 0, 200, posts_xml(i, 2)) for i in range(5)], schemas.RPC_PAGES)
+    names = ["captured_pages", "captured_calls"]
+    try:
+        captures.write_captures(pages.where("site < 's5'"), names[0], str(tmp_path / "pages"), buckets=4)
+        captures.write_captures(pages.where("site >= 's5'"), names[0], str(tmp_path / "pages"), buckets=4, mode="append")
+        captures.write_captures(calls, names[1], str(tmp_path / "calls"), buckets=2)
+        table = captures.read_captures(spark, names[0])
+        cuts = rest.page_cuts(table.where("endpoint = 'tags'"))
+        plan = cuts._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "PartitionFilters: [isnotnull(endpoint" in plan and "Bucketed: true" in plan
+        key = ["site", "endpoint"]
+        assert sorted(map(tuple, rest.page_cuts(table).orderBy(*key).collect())) == sorted(map(tuple, rest.page_cuts(pages).orderBy(*key).collect()))
+        assert rest.scan_tags(table).count() == 40 and rpc.rpc_posts(captures.read_captures(spark, names[1])).count() == 10
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    with pytest.raises(ValueError):
+        captures.write_captures(spark.range(1), "captured_nothing")
