@@ -1,7 +1,11 @@
 """Preparation of a text corpus for training: five stages, each over all that the one before has kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to the shared folder and
-reads again as the next stage's documents.
+reads again as the next stage's documents. A stage's folder goes once the next one is written.
+
+Defined cases: documents without words, null texts among them, are clean and free of items; they are near copies of each other,
+so one of them stays. Null ids are kept and come after all others where one of a group stays; of repeated rows one stays.
+Very long texts are handled whole; extra columns are carried. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sitefold.llm import decontamination, line_dedup, pieces, simhash, toxicity
 from sitefold.llm.common import table
-from sitefold.session import shared_dir
+from sitefold.session import drop_folder, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +63,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table through all stages."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop_folder(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
