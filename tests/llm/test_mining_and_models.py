@@ -14,6 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sitefold.llm import alignment, collocations, decontamination, license_scan, line_dedup, pieces, quality, queries, sharding, simhash, toxicity
 from sitefold.operators import joins
 
@@ -434,3 +435,23 @@ def test_pieces_remember_a_bounded_number_of_bytes(monkeypatch):
         text = ["x" * 700 + str(k), f"some words {k}"]
         assert [x.tolist() for x in encoder.encode(text)] == [x.tolist() for x in plain.encode(text)]
         assert encoder.bytes < 2500
+
+
+# Pipeline
+
+
+def test_pipeline_defined_cases(spark, tmp_path):
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "good words " * 30, "en", "a", 330), (3, "good words " * 30, "en", "a", 330), (None, "other words here " * 9, None, None, 5),
+            (None, "other words here " * 9, None, None, 5), (-4, "long text of numbered words " + " ".join(f"w{i}" for i in range(20_000)), "en", "b", 9)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    labels, benchmark = ([(i, 1, i % 2) for i in range(6)], [(1, "an item that nobody holds at all")])
+    for name, docs in (("some", rows), ("none", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(docs, columns).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    single = simhash.keep_one(spark.read.parquet(f"{tmp_path}/some/documents.parquet")).collect()
+    assert sorted(map(str, (r.doc_id for r in single))) == ["-4", "1", "3", "None"]
+    found = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()]
+    assert {*found} <= {1, 3, None, -4} and len(found) == len({*found})
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
