@@ -14,7 +14,7 @@ from sitefold.operators import discovery, documents, media, rewrite, stats, taxo
 from sitefold.plans.options import ExportOptions
 from sitefold.operators.joins import materialised
 from sitefold.schemas import ATTEMPTS, CONTENT_TYPES, ENDPOINT_ROWS, EXISTING_FILES
-from sitefold.session import landed
+from sitefold.session import landed, landing_scope
 from sitefold.sinks import json_export, markdown_export
 from sitefold.sources import rest, rpc, site
 
@@ -193,18 +193,19 @@ def export(
         content = with_discovered(content, api_items, options.max_id)
     prepared = prepare(content, output, options, existing_files, attempts)
     root = output.removesuffix(".json").rstrip("/")
-    if options.output_format == "json" and by_entity:
-        records = json_export.entity_rows(_tables(prepared.content), options.run_time)
-        json_export.write_entities(records, f"{root}/entities")
-    elif options.output_format == "json":
-        json_export.write_document_lines(json_lines(prepared, options), f"{root}/export")
-    else:
-        pages = markdown_documents(prepared, options)
-        if as_files:
-            markdown_export.write_tree(pages, root)
+    with landing_scope(content.posts.sparkSession):  # the counters read the content as it came
+        if options.output_format == "json" and by_entity:
+            records = json_export.entity_rows(_tables(prepared.content), options.run_time)
+            json_export.write_entities(records, f"{root}/entities")
+        elif options.output_format == "json":
+            json_export.write_document_lines(json_lines(prepared, options), f"{root}/export")
         else:
-            markdown_export.write_documents(pages, f"{root}/documents")
-        json_export.write_document_lines(metadata_lines(prepared, options), f"{root}/metadata")
+            pages = markdown_documents(prepared, options)
+            if as_files:
+                markdown_export.write_tree(pages, root)
+            else:
+                markdown_export.write_documents(pages, f"{root}/documents")
+            json_export.write_document_lines(metadata_lines(prepared, options), f"{root}/metadata")
     return prepared.stats
 
 

@@ -56,9 +56,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def landing_scope(spark: SparkSession) -> Iterator[None]:
+    """What is landed inside goes when the scope ends, so nothing that outlives it may read from there."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop_folder(spark, path)
+
+
 def landed(df: DataFrame) -> DataFrame:
     """The table written to Parquet in the shared folder and read again: computed once, read by column."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

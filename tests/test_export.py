@@ -281,3 +281,13 @@ def test_strict_rpc_export_raises(spark, tmp_path):
     with pytest.raises(export.IncompleteCapture):
         export.export_rpc_captures(calls, str(tmp_path), ExportOptions(strict=True))
     assert export.export_rpc_captures(calls, str(tmp_path / "o"), ExportOptions()).count() == 0
+
+
+@pytest.mark.parametrize("output_format", ["json", "markdown"])
+def test_an_export_leaves_no_work_folder_behind(spark, tmp_path, output_format):
+    pages, sites = captures(spark)
+    content = export.land(export.content_from_api(pages, sites), str(tmp_path / "typed"))
+    work = lambda: set(glob(f"{shared_dir(spark)}/landed-*"))
+    before = work()
+    stats = export.export(content, str(tmp_path / "out"), ExportOptions(output_format=output_format, run_time=RUN))
+    assert work() == before and stats.count() == 2
