@@ -3,8 +3,10 @@
 A 64-bit fingerprint is cut into six blocks. Two fingerprints that differ in at most three bits agree in at least three
 blocks, so each is entered under all 20 choices of three blocks (31 to 33 bits of key); equal keys meet in one
 partition, sorted, and are verified by their Hamming distance there. Documents with one fingerprint are one vertex, so
-copies cost nothing beyond an aggregation. A key shared by many different fingerprints is divided again by the same
-principle over the bits that are left, and only the edges that join its parts are kept, so no group emits its pairs.
+copies cost nothing beyond an aggregation. Keys are counted: one shared by more than ``GROUP_PRINTS`` different fingerprints,
+such as those of a large family of near copies, is entered again in Spark under four longer keys, by the same principle over
+the bits that are left, up to three times; what then shares a key differs in 14 bits at most, so no task holds an
+unbounded group. Within a task only the edges that join a group's parts are kept, so no group emits its pairs.
 
 Defined cases: a text without words, null included, has the fingerprint zero and links like any other. Null ids are
 kept and have no influence on the ids of components; a component of null ids only has a null id. Repeated rows give
@@ -30,6 +32,8 @@ SHINGLE_WORDS = 3
 HASH_SEED = 42
 MAX_BITS = 3
 BLOCKS = 6
+#: Fingerprints that may share a key before it is entered again under longer ones, and how often that is done.
+GROUP_PRINTS, DEEPEST = 20_000, 3
 #: Groups up to this size are compared directly; larger ones are divided again by the bits that are left.
 DIRECT = 512
 
@@ -129,7 +133,7 @@ def joining_edges(values: np.ndarray, bits: list[int], most: int, direct: int =
     return edges
 
 
-def _links_of_run(prints: np.ndarray, groups: np.ndarray, blocks_of: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _links_of_run(prints: np.ndarray, groups: np.ndarray, tags: np.ndarray, left_bits: list[list[int]], most: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges within equal groups of a sorted run of fingerprints."""
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, len(groups)])
@@ -145,26 +149,54 @@ def _links_of_run(prints: np.ndarray, groups: np.ndarray, blocks_of: np.ndarray,
         right.append(prints[b[near]])
     for g in np.flatnonzero(sizes > 8):
         members = prints[starts[g] : starts[g] + sizes[g]]
-        fixed = set(blocks_of[starts[g]])
-        free = [b for k in range(BLOCKS) if k not in fixed for b in range(_BORDERS[k], _BORDERS[k + 1])]
-        edges = joining_edges(members, free, most)
+        edges = joining_edges(members, left_bits[tags[starts[g]]], most)
         left.append(members[[i for i, _ in edges]])
         right.append(members[[j for _, j in edges]])
     return np.concatenate(left), np.concatenate(right)
 
 
-def fingerprint_links(distinct: DataFrame, column: str = "fingerprint_bits") -> DataFrame:
-    """Edges (low, high) between distinct fingerprints that join all within ``MAX_BITS``."""
-    choices = list(combinations(range(BLOCKS), BLOCKS - MAX_BITS))
-    masks = [sum(((1 << _BORDERS[k + 1]) - (1 << _BORDERS[k])) for k in choice) for choice in choices]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+def _fixed_mask(left: list[int]) -> int:
+    """The bits that are not left, as a signed number."""
+    mask = (1 << 64) - 1 - sum(1 << b for b in left)
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
+def _entered(distinct: DataFrame, column: str, left_bits: list[list[int]], most: int) -> DataFrame:
+    """(print, tag, block): every fingerprint under each of its keys; ``left_bits[tag]`` are the places where those who share one may differ."""
+    spark = distinct.sparkSession
+    masks = [_fixed_mask(left) for left in left_bits]
     entries = distinct.select(
-        F.col(column).alias("print"),
-        F.posexplode(F.array(*[F.lit(m).bitwiseAND(F.col(column)) for m in signed])).alias("choice", "block"),
+        F.col(column).alias("print"), F.posexplode(F.array(*[F.lit(m).bitwiseAND(F.col(column)) for m in masks])).alias("tag", "block")
     )
-    dealt = entries.withColumn("place", F.xxhash64("choice", "block"))
-    # Equal (choice, block) meet in a partition, next to each other.
-    met = dealt.repartition("place").sortWithinPartitions("place", "choice", "block", "print")
+    done = None
+    for _ in range(DEEPEST):
+        large = landed(entries.groupBy("tag", "block").count().where(F.col("count") > most).select("tag", "block"))
+        tags = sorted(r.tag for r in large.select("tag").distinct().collect())  # at most a row per choice and division
+        if not tags:
+            break
+        small = lookup_join(entries, large, ["tag", "block"], "left_anti", ["print"])
+        done = small if done is None else done.unionByName(small)
+        longer = []
+        for tag in tags:
+            left = left_bits[tag]
+            step = -(-len(left) // (MAX_BITS + 1))
+            for first in range(0, len(left), step):
+                left_bits.append(left[:first] + left[first + step :])
+                longer.append((tag, len(left_bits) - 1, _fixed_mask(left_bits[-1])))
+        keys = F.broadcast(spark.createDataFrame(longer, "tag int, longer int, mask long"))
+        again = lookup_join(entries, large, ["tag", "block"], "inner", ["print"]).join(keys, "tag")
+        entries = landed(again.select("print", F.col("longer").alias("tag"), F.col("print").bitwiseAND(F.col("mask")).alias("block")))
+    return entries if done is None else done.unionByName(entries)
+
+
+def fingerprint_links(distinct: DataFrame, column: str = "fingerprint_bits", most_prints: int = GROUP_PRINTS) -> DataFrame:
+    """Edges (low, high) between distinct fingerprints that join all within ``MAX_BITS``."""
+    choices = combinations(range(BLOCKS), BLOCKS - MAX_BITS)
+    left_bits = [[b for k in range(BLOCKS) if k not in fixed for b in range(_BORDERS[k], _BORDERS[k + 1])] for fixed in choices]
+    entries = _entered(distinct, column, left_bits, most_prints)
+    dealt = entries.withColumn("place", F.xxhash64("tag", "block"))
+    # Equal (tag, block) meet in a partition, next to each other.
+    met = dealt.repartition("place").sortWithinPartitions("place", "tag", "block", "print")
 
     def run(batches):
         held = None
@@ -182,12 +214,12 @@ def fingerprint_links(distinct: DataFrame, column: str = "fingerprint_bits") ->
 
     def emitted(rows, groups):
         prints = rows[0].view(np.uint64)
-        low, high = _links_of_run(prints, groups, np.array(choices)[rows[1]], MAX_BITS)
+        low, high = _links_of_run(prints, groups, rows[1], left_bits, MAX_BITS)
         if len(low):
             a, b = low.view(np.int64), high.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["low", "high"])
 
-    columns = met.select("print", F.col("choice").cast("int").alias("choice"), "block", "place")
+    columns = met.select("print", F.col("tag").cast("int").alias("tag"), "block", "place")
     # Four numbers a row, so batches may be long; the edges are landed at once, then texts get short ones again.
     conf, name = columns.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)

@@ -455,3 +455,36 @@ def test_pipeline_defined_cases(spark, tmp_path):
     found = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()]
     assert {*found} <= {1, 3, None, -4} and len(found) == len({*found})
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("most", [20_000, 30])
+def test_a_family_of_near_copies_is_entered_under_longer_keys(spark, most):
+    """A third of all fingerprints within few bits of one; groups are divided in Spark up to three times."""
+    rng = random.Random(11)
+    centre = rng.getrandbits(64)
+    prints = {centre}
+    while len(prints) < 700:
+        near = centre
+        for _ in range(rng.randrange(1, 8)):
+            near ^= 1 << rng.randrange(64)
+        prints.add(near)
+    prints |= {rng.getrandbits(64) for _ in range(1400)}
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
+    edges = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in signed], "fingerprint_bits long"), most_prints=most).collect()
+    parent = {p: p for p in signed}
+
+    def root(p):
+        while parent[p] != p:
+            parent[p] = parent[parent[p]]
+            p = parent[p]
+        return p
+
+    mask = (1 << 64) - 1
+    for low, high in edges:
+        assert bin((low ^ high) & mask).count("1") <= 3
+        parent[root(low)] = root(high)
+    found = {p: root(p) for p in signed}
+    values = np.array(sorted(prints), np.uint64)
+    for p in sorted(prints):
+        near = values[np.bitwise_count(values ^ np.uint64(p)) <= 3]
+        assert len({found[int(q) - (1 << 64) if q >= 1 << 63 else int(q)] for q in near}) == 1
