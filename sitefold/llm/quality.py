@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import short_batches
+from sitefold.llm.common import short_batches, smallest_hashes
 from sitefold.llm.words import NOT_BLANK, byte_class, mixed, slices, text_bytes, word_hashes, word_spans
 from sitefold.session import landed
 
@@ -243,8 +243,9 @@ def trusted(rows: DataFrame, labels: DataFrame, key: str, label: str, most: int)
     """Measures of the sampled positives."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("least"))
     good = rows.where("NOT held_out").join(known.where("least = 1"), "key", "left_semi")
-    some = good.select(F.xxhash64("key").alias("hash"), "own").orderBy("hash", "own").limit(most).collect()
-    return np.frombuffer(b"".join(bytes(r[1]) for r in some), "<f4").reshape(len(some), MEASURES).astype(float)
+    # One row per id: of several texts the one whose measures are smallest as bytes.
+    some = smallest_hashes(good.groupBy("key").agg(F.min("own").alias("own")), "key", most).select("own").collect()
+    return np.frombuffer(b"".join(bytes(r[0]) for r in some), "<f4").reshape(len(some), MEASURES).astype(float)
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefold.llm.common import short_batches
+from sitefold.llm.common import short_batches, smallest_hashes
 from sitefold.llm.words import ALPHANUMERIC, byte_class, slices, text_bytes, word_hashes, word_spans
 
 CATEGORIES = ("low_quality", "toxic")
@@ -199,13 +199,8 @@ class Chain:
 def trained_chain(docs: DataFrame, labels: DataFrame, key: str, text: str, categories: tuple[str, ...], sample: int = SAMPLE) -> list[bytes] | None:
     """Train on the sampled labelled documents; None without any. ``labels``: key and a 0/1 column per category."""
     known = labels.where(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in (key, *categories))))
-    rank = F.xxhash64(F.col(key))
-    chosen = (
-        known.groupBy(key)
-        .agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories])
-        .orderBy(rank, key)
-        .limit(sample)  # top-k per task, then of these; the bound of the broadcast below
-    )
+    # The bound of the broadcast below.
+    chosen = smallest_hashes(known.groupBy(key).agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories]), key, sample)
     sampled = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(chosen), key)
     # Of several texts with one id the one of the smallest digest, so that the model is repeatable.
     smallest = F.min(F.struct(F.md5(F.coalesce("__text", F.lit(""))).alias("digest"), "__text")).alias("first")

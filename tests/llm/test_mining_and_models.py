@@ -488,3 +488,12 @@ def test_a_family_of_near_copies_is_entered_under_longer_keys(spark, most):
     for p in sorted(prints):
         near = values[np.bitwise_count(values ^ np.uint64(p)) <= 3]
         assert len({found[int(q) - (1 << 64) if q >= 1 << 63 else int(q)] for q in near}) == 1
+
+
+def test_smallest_hashes_are_those_of_a_plain_order(spark):
+    from sitefold.llm.common import smallest_hashes
+
+    rows = spark.range(20_000).withColumnRenamed("id", "key")
+    plain = [r.key for r in rows.orderBy(F.xxhash64("key"), "key").limit(500).collect()]
+    assert [r.key for r in smallest_hashes(rows, "key", 500).collect()] == plain
+    assert smallest_hashes(rows.limit(3), "key", 500).count() == 3
