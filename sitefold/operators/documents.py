@@ -9,9 +9,8 @@ from sitefold.functions.markup import html_to_markdown_sql, yaml_text_sql
 from sitefold.functions.names import markdown_file_name
 from sitefold.functions.sqltext import column, lit, text
 from sitefold.functions.times import ZERO_TIME, print_time_sql
-from sitefold.operators.joins import BROADCAST_BYTES, SLICES, fits_broadcast, materialised
+from sitefold.operators.joins import BROADCAST_BYTES, SLICES, fits_broadcast, lookup_join, materialised
 from sitefold.operators.taxonomy import with_category_folder
-from sitefold.session import landed
 
 
 def _quoted(name: str, value: str) -> str:
@@ -75,7 +74,17 @@ def document_text(content_type: str, unreadable_time: str = ZERO_TIME) -> Column
     return column(f"concat({', '.join(parts)})")
 
 
-def last_writes(rows: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+def contested_paths(rows: DataFrame) -> DataFrame:
+    """(w_site, w_path, last_ord) of the paths that several rows write, with the largest ``ord`` among them."""
+    return materialised(
+        rows.groupBy("site", "path")
+        .agg(F.max("ord").alias("last_ord"), F.count(F.lit(1)).alias("writes"))
+        .filter("writes > 1")
+        .select(F.col("site").alias("w_site"), F.col("path").alias("w_path"), "last_ord")
+    )
+
+
+def last_writes(rows: DataFrame, bound: int = BROADCAST_BYTES, contested: DataFrame | None = None) -> DataFrame:
     """Of the rows with equal (site, path), the one with the largest ``ord``.
 
     Only paths written more than once leave the aggregation, and rows that lose
@@ -83,12 +92,7 @@ def last_writes(rows: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
     are broadcast and the rows with their texts are not shuffled. Beyond the
     bound, the rows of one path are spread over slices.
     """
-    contested = materialised(
-        rows.groupBy("site", "path")
-        .agg(F.max("ord").alias("last_ord"), F.count(F.lit(1)).alias("writes"))
-        .filter("writes > 1")
-        .select(F.col("site").alias("w_site"), F.col("path").alias("w_path"), "last_ord")
-    )
+    contested = contested_paths(rows) if contested is None else contested
     overwritten = (
         (F.col("site") == F.col("w_site")) & (F.col("path") == F.col("w_path")) & (F.col("ord") < F.col("last_ord"))
     )
@@ -99,23 +103,23 @@ def last_writes(rows: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
     return rows.join(repeated, overwritten & same_slice, "left_anti")
 
 
-_DOCUMENT_COLUMNS = (
-    "id", "title", "slug", "date", "modified", "status", "link", "author", "featured_media", "categories", "tags", "excerpt", "content",
-)
-
-
-def post_documents(posts: DataFrame, paths: DataFrame, unreadable_time: str = ZERO_TIME) -> DataFrame:
+def post_documents(posts: DataFrame, paths: DataFrame, unreadable_time: str = ZERO_TIME, bound: int = BROADCAST_BYTES) -> DataFrame:
     """(site, path, content) of posts, in folders by category.
 
-    Placed rows are landed: the search for contested paths reads two columns of them, and
-    the documents are made from them without placing posts again.
+    Two posts can only write one path if they have one file name. Names are cheap and read no text, so they are counted
+    first; only posts whose name occurs again are placed in their folders to see which paths collide. The documents are
+    then made in a single pass over the posts, which lands nothing.
     """
-    folder = F.nullif(F.col("folder"), F.lit("."))
-    placed = with_category_folder(posts.filter("content_type = 'post'"), paths).withColumn(
-        "path", F.concat_ws("/", F.lit("posts"), folder, markdown_file_name("slug", "id"))
-    )
-    rows = landed(placed.select("site", "path", "ord", *_DOCUMENT_COLUMNS))
-    return last_writes(rows).select("site", "path", document_text("post", unreadable_time).alias("content"))
+    named = posts.filter("content_type = 'post'").withColumn("file_name", markdown_file_name("slug", "id"))
+    repeated = materialised(named.groupBy("site", "file_name").count().where("count > 1").select("site", "file_name"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        folder = F.nullif(F.col("folder"), F.lit("."))
+        return with_category_folder(rows, paths, bound).withColumn("path", F.concat_ws("/", F.lit("posts"), folder, "file_name"))
+
+    rivals = lookup_join(named, repeated, ["site", "file_name"], "left_semi", ["ord"], bound)
+    contested = contested_paths(placed(rivals).select("site", "path", "ord"))
+    return last_writes(placed(named), bound, contested).select("site", "path", document_text("post", unreadable_time).alias("content"))
 
 
 def page_documents(posts: DataFrame, unreadable_time: str = ZERO_TIME) -> DataFrame:
