@@ -3,14 +3,16 @@
 A window is ``WINDOW`` consecutive words of one document. A word is removed if a window that covers it also starts in a
 document with a smaller id; all windows are judged on the input.
 
-1. Documents are dealt to chunks of some 8 MB of text by a hash of their id. Each chunk computes the rolling hash of
+1. Documents are dealt to chunks of some 8 MB of text by a hash of their id and text. Each chunk computes the rolling hash of
    every window, drops repeats within the chunk (their smallest id stays) and deals the rest to buckets by a second
    rolling hash, eight bytes a window. A passage that a third of all documents share thus travels once per chunk.
 2. Each bucket counts its windows over all chunks and answers to every chunk but that of the smallest id.
 3. Each chunk, cogrouped with its answers, marks the words its repeated windows cover, merges them into maximal
    intervals and writes the words that are left. The chunking exchange of step 1 is the same and is reused.
 
-Chunks and buckets follow the size of the table, so neither grows. Two different windows count as equal only if 64 bits
+The numbers of chunks and of buckets follow the size of the table, so neither grows itself, but the rows between them are as many as
+their product: on 1 TB such a row holds some 16 windows, from about 10 TB on one or two, and both sizes should then be
+set larger, as far as a task's memory allows. Two different windows count as equal only if 64 bits
 of one hash and the bucket of the other agree: buckets double with the table, and the chance of one false pair stays
 below one in 10,000 for up to 10**9 windows and falls with the buckets' number beyond.
 
@@ -173,7 +175,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     total = docs.agg(F.sum(F.octet_length(text))).first()[0]
     n_chunks, n_buckets = scale_of(total, chunk_bytes), scale_of(total, BUCKET_BYTES, 12)
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    chunked = plain.select(F.expr(f"pmod(xxhash64(id), {n_chunks})").alias("chunk"), "id", "text")
+    chunked = plain.select(F.expr(f"pmod(xxhash64(id, text), {n_chunks})").alias("chunk"), "id", "text")
     offers = chunked.groupBy("chunk").applyInArrow(
         lambda chunk: _offers(chunk, width, n_buckets), "bucket int, chunk bigint, ids binary, counts binary, hashes binary"
     )
