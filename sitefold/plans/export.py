@@ -217,8 +217,9 @@ def export_captures(
 
 
 def export_rpc_captures(rpc_pages: DataFrame, output: str, options: ExportOptions, **inputs: DataFrame | bool | None) -> DataFrame:
-    """The same for captured XML-RPC calls."""
-    return export(content_from_rpc(rpc_pages, options.strict), output, options, **inputs)
+    """The same for captured XML-RPC calls; the decoded calls go when the counters are known."""
+    with landing_scope(rpc_pages.sparkSession):
+        return materialised(export(content_from_rpc(rpc_pages, options.strict), output, options, **inputs))
 
 
 def default_outputs(sites: DataFrame, run_time: str) -> DataFrame:

@@ -70,11 +70,17 @@ def landing_scope(spark: SparkSession) -> Iterator[None]:
             drop_folder(spark, path)
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """The table written to Parquet in the shared folder and read again: computed once, read by column."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/landed-{uuid.uuid4().hex}"
+def work_folder(spark: SparkSession) -> str:
+    """A new folder of the shared storage; it goes with the scope that it is made in."""
+    path = f"{shared_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append(path)
+    return path
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """The table written to Parquet in the shared folder and read again: computed once, read by column."""
+    path = work_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,6 @@ become JSON text (``functions/rpcvalues``).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from sitefold.functions.rpcvalues import SCALAR_TYPES, json_text_sql, protected_
 from sitefold.functions.sqltext import bind, lit
 from sitefold.operators.joins import BROADCAST_BYTES, fits_broadcast, materialised
 from sitefold.schemas import CATEGORY, MEDIA, MEDIA_SIZES, POST, SITE, TAG, USER, listed_ord, struct_type, zero_filled_sql
-from sitefold.session import shared_dir
+from sitefold.session import work_folder
 
 # Methods by entity, and the page size of calls that page.
 METHODS = {
@@ -87,7 +85,7 @@ def _wrapped(kind: str) -> str:
 def decode_calls(rpc_pages: DataFrame) -> DataFrame:
     """All calls decoded once and landed by method; outcomes, cuts and every entity are read from there by column."""
     spark = rpc_pages.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    path = work_folder(spark)
     _decoded(rpc_pages).write.partitionBy("method").parquet(path)
     return spark.read.schema(DECODED_CALLS).parquet(path)
 

@@ -278,9 +278,11 @@ def test_files_of_an_earlier_export_as_a_table(spark, tmp_path):
 
 def test_strict_rpc_export_raises(spark, tmp_path):
     calls = spark.createDataFrame([("r", "wp.getPosts", 0, 500, "")], schemas.RPC_PAGES)
+    before = set(glob(f"{shared_dir(spark)}/landed-*"))
     with pytest.raises(export.IncompleteCapture):
         export.export_rpc_captures(calls, str(tmp_path), ExportOptions(strict=True))
     assert export.export_rpc_captures(calls, str(tmp_path / "o"), ExportOptions()).count() == 0
+    assert set(glob(f"{shared_dir(spark)}/landed-*")) == before
 
 
 @pytest.mark.parametrize("output_format", ["json", "markdown"])
