@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitefold.functions.rpcrecords import records_of
 from sitefold.functions.rpcvalues import SCALAR_TYPES, json_text_sql, protected_sql, unescaped_sql
 from sitefold.functions.sqltext import bind, lit
 from sitefold.operators.joins import BROADCAST_BYTES, fits_broadcast, materialised
@@ -48,9 +49,14 @@ DECODED_CALLS = (
 
 
 def _decoded(rpc_pages: DataFrame) -> DataFrame:
-    """The calls with their outcome, the number of records and the records, in one pass over the bodies."""
+    """The calls with their outcome, the number of records and the records, in one pass over the bodies.
+
+    Plain lists of records, which most answers are, are decoded in batches; what is left of the bodies goes through the XML parser.
+    """
+    plain = records_of(F.when(F.col("status") == 200, F.col("body")))
     body = F.coalesce("body", F.lit(""))
-    answer = F.when((F.col("status") == 200) & body.rlike(_ROOT), F.from_xml(F.expr(protected_sql("coalesce(body, '')")), F.lit(_RESPONSE), _XML_OPTIONS))
+    unread = F.col("plain").isNull() & (F.col("status") == 200) & body.rlike(_ROOT)
+    answer = F.when(unread, F.from_xml(F.expr(protected_sql("coalesce(body, '')")), F.lit(_RESPONSE), _XML_OPTIONS))
     nested = (
         f"CASE WHEN m.value.struct IS NOT NULL THEN {json_text_sql(_wrapped('struct'))} "
         f"WHEN m.value.array IS NOT NULL THEN {json_text_sql(_wrapped('array'))} END"
@@ -59,19 +65,20 @@ def _decoded(rpc_pages: DataFrame) -> DataFrame:
     member = f"m -> named_struct('name', m.name, 'text', {unescaped_sql(text)}, 'nested', {nested})"
     records, options = "value.array.data.value", "value.struct.member"
     items = (
-        f"CASE WHEN {options} IS NOT NULL THEN array(transform({options}, {member})) "
+        f"CASE WHEN plain IS NOT NULL THEN plain WHEN {options} IS NOT NULL THEN array(transform({options}, {member})) "
         f"ELSE transform({records}, r -> transform(r.struct.member, {member})) END"
     )
-    failed = F.col("answer").isNull() | F.col("answer.fault").isNotNull()
+    failed = F.col("plain").isNull() & (F.col("answer").isNull() | F.col("answer.fault").isNotNull())
     return (
-        rpc_pages.withColumn("answer", answer)
+        rpc_pages.withColumn("plain", plain)
+        .withColumn("answer", answer)
         .withColumn("value", F.expr("try_element_at(answer.params.param, 1).value"))
         .select(
             "site",
             F.col("offset").cast("int").alias("offset"),
             F.col("status").cast("int").alias("status"),
             F.when(failed, "error").otherwise("ok").alias("outcome"),
-            F.when(~failed, F.coalesce(F.size(F.expr(records)), F.lit(0))).alias("records"),
+            F.when(~failed, F.coalesce(F.size("plain"), F.size(F.expr(records)), F.lit(0))).alias("records"),
             F.when(~failed, F.expr(items)).alias("items"),
             "method",
         )
