@@ -1,8 +1,10 @@
 """Joins of a large side with a lookup table that is unique per key.
 
 The lookup side is materialised and measured first. Within the bound it is
-broadcast, so the large side is not shuffled at all; beyond it, the large side
-is spread so that no key gathers in one task.
+broadcast, so the large side is not shuffled at all; beyond it, both sides are
+shuffled once, and what is uneven is split at run time by adaptive execution.
+Where that is switched off, the large side is spread so that no key gathers in
+one task, at the price of a lookup side repeated for every slice.
 """
 
 from __future__ import annotations
@@ -15,6 +17,12 @@ from sitefold.session import cut_lineage
 SLICES = 16
 BROADCAST_BYTES = 32 << 20
 _SLICE = "__slice"
+# Settings by which adaptive execution splits the left side of any join named below, by map output.
+SPLITTING = (
+    "spark.sql.adaptive.enabled",
+    "spark.sql.adaptive.skewJoin.enabled",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin",
+)
 _HOW = ("inner", "left", "left_semi", "left_anti")
 
 
@@ -42,11 +50,16 @@ def spread_join(
 def lookup_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str, spread_by: list[str], bound: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Join to a materialised lookup table, by broadcast if it fits and spread otherwise."""
+    """Join to a materialised lookup table, by broadcast if it fits and by shuffle otherwise.
+
+    The lookup side holds a key once and the left side streams past it, so a hot key takes no memory; its partition is split.
+    """
     if how not in _HOW:
         raise ValueError(f"unsupported join type: {how}")
     if fits_broadcast(right, bound):
         return left.join(F.broadcast(right), keys, how)
+    if all(left.sparkSession.conf.get(name) == "true" for name in SPLITTING):
+        return left.join(right, keys, how)
     return spread_join(left, right, keys, how, spread_by)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefold.functions.folders import join_folders, link_folder
 from sitefold.functions.names import folder_name
-from sitefold.operators.joins import BROADCAST_BYTES, lookup_join, materialised
+from sitefold.operators.joins import BROADCAST_BYTES, fits_broadcast, lookup_join, materialised
 
 # Folder of posts without a category, and the category name that
 # counts as none.
@@ -28,8 +28,15 @@ def latest_categories(categories: DataFrame) -> DataFrame:
 
 
 def _jump(left: DataFrame, right: DataFrame, how: str, bound: int) -> DataFrame:
-    """Follow ``up`` one step: join each node to the row of the ancestor it points at."""
-    return lookup_join(left, right.withColumnRenamed("id", "up"), ["site", "up"], how, ["id"], bound)
+    """Follow ``up`` one step: join each node to the row of the ancestor it points at.
+
+    Most nodes are leaves, at which none points. Of a large table only the rows pointed at are kept, so these are often broadcast.
+    """
+    ancestors = right.withColumnRenamed("id", "up")
+    if not fits_broadcast(ancestors, bound):
+        targets = materialised(left.select("site", "up").distinct())
+        ancestors = materialised(lookup_join(ancestors, targets, ["site", "up"], "left_semi", ["up"], bound))
+    return lookup_join(left, ancestors, ["site", "up"], how, ["id"], bound)
 
 
 def _edges(nodes: DataFrame, bound: int) -> DataFrame:
