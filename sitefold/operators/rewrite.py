@@ -149,30 +149,47 @@ _TEXTS = ("content", "excerpt")
 def rewrite_candidates(posts: DataFrame, urls: DataFrame, exact: bool = False) -> DataFrame:
     """Per post, the replacements that may occur in its content or excerpt, in order.
 
-    With ``exact``, URLs that only an earlier replacement forms are found as well: every text between two
-    replacements is searched in its turn, until no further URL turns up. Each round is a job over changed posts only.
+    With ``exact``, URLs that only an earlier replacement forms are found as well: what each replacement
+    has put in is searched with its surroundings, until no further URL turns up. Each round is a job over changed posts only.
     """
+    urls = materialised(urls) if exact else urls
     shapes = materialised(_url_shapes(urls))
     names = [f"text_{t}" for t in _TEXTS]
     texts = posts.selectExpr(*POST_KEY, *[f"coalesce({t}.rendered, '') AS text_{t}" for t in _TEXTS])
     found = _occurring(texts, names, urls, shapes)
     if not exact:
         return _swaps(found)
-    found = materialised(found)
-    known, size = found, found.count()
-    while size:
-        steps = [
-            f"aggregate(swaps, array({name}), (done, s) -> CASE WHEN contains(element_at(done, -1), s.url) THEN "
-            f"concat(done, array(replace(element_at(done, -1), s.url, s.local_path))) ELSE done END)"
-            for name in names
-        ]
-        between = texts.join(_swaps(known), POST_KEY).selectExpr(*POST_KEY, f"explode(array_distinct(concat({', '.join(steps)}))) AS text")
-        fresh = materialised(_occurring(between, ["text"], urls, shapes).unionByName(known).dropDuplicates([*POST_KEY, "url"]))
-        grown = fresh.count()
-        known, size = fresh, 0 if grown == size else grown
+    known = changed = materialised(found)
+    longest = urls.agg(F.max(F.length("url"))).first()[0] or 0
+    while not changed.isEmpty():
+        # What has not changed would be searched with the same result.
+        swaps = _swaps(known.join(changed.select(*POST_KEY).distinct(), POST_KEY, "left_semi"))
+        steps = [_formed(name, longest) for name in names]
+        formed = texts.join(swaps, POST_KEY).selectExpr(*POST_KEY, f"explode(array_distinct(concat({', '.join(steps)}))) AS text")
+        fresh = _occurring(formed, ["text"], urls, shapes).dropDuplicates([*POST_KEY, "url"])
+        changed = materialised(fresh.join(known.select(*POST_KEY, "url"), [*POST_KEY, "url"], "left_anti"))
+        known = materialised(known.unionByName(changed))
     return _swaps(known)
 
 
+def _formed(text: str, longest: int) -> str:
+    """The parts of a text in which its replacements, one after the other, may have formed a URL.
+
+    Such a URL touches what was put in, so it lies within the length of the longest URL around it. Where two places are
+    closer to each other than that, the whole text stands for them.
+    """
+
+    def around(parts: str) -> str:
+        apart = f"forall(slice({parts}, 2, size({parts}) - 2), p -> length(p) >= {longest})"
+        part = f"concat(right(element_at({parts}, i), {longest}), s.local_path, left(element_at({parts}, i + 1), {longest}))"
+        return f"CASE WHEN {apart} THEN transform(sequence(1, size({parts}) - 1), i -> {part}) ELSE array(array_join({parts}, s.local_path)) END"
+
+    cut = "split(replace(d.text, s.url, '\\0'), '\\0', -1)"
+    step = f"named_struct('text', replace(d.text, s.url, s.local_path), 'parts', concat(d.parts, {bind(cut, around)}))"
+    start = f"named_struct('text', {text}, 'parts', CAST(array() AS ARRAY<STRING>))"
+    return f"aggregate(swaps, {start}, (d, s) -> CASE WHEN contains(d.text, s.url) THEN {step} ELSE d END, d -> d.parts)"
+
+
 def rewrite_media_links(
     posts: DataFrame, media: DataFrame, enabled: bool = True, exact: bool = False, bound: int = BROADCAST_BYTES
 ) -> DataFrame:

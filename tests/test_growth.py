@@ -1,6 +1,6 @@
 """What keeps the cost of large tables in proportion to them."""
 
-from sitefold.operators import joins
+from sitefold.operators import joins, rewrite
 from sitefold.plans import stand_ins
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +25,12 @@ def test_a_lookup_side_beyond_the_bound_is_not_repeated(spark):
 
 def test_captured_listings_are_made_once(spark):
     assert "collect_list" not in plan(stand_ins.order_listing(spark, SF))
+
+
+def test_only_surroundings_of_replacements_are_searched_again(spark):
+    far, near = "x" * 500 + "http://u" + "y" * 500 + "http://u" + "z" * 500, "ahttp://ubhttp://uc"
+    swaps = [(("http://u", "media/1"),)]
+    rows = spark.createDataFrame([(text, [s[0] for s in swaps]) for text in (far, near)], "t STRING, swaps ARRAY<STRUCT<url: STRING, local_path: STRING>>")
+    parts = [r.parts for r in rows.selectExpr(f"{rewrite._formed('t', 20)} AS parts").collect()]
+    assert parts[0] == ["x" * 20 + "media/1" + "y" * 20, "y" * 20 + "media/1" + "z" * 20]
+    assert parts[1] == ["amedia/1bmedia/1c"]  # closer than a URL is long: one could span both
