@@ -29,6 +29,7 @@ METHODS = {
 PAGED_METHODS = ("wp.getPosts", "wp.getPages", "wp.getMediaLibrary")
 PAGE_SIZE = 100  # what the calls asked for; captures made with another size state it
 SITE_NAME = "WordPress Site"
+BATCH_CALLS = 256  # bodies handed to Python at once
 
 # What a value may hold; a text without a type is its own.
 _SCALARS = (*SCALAR_TYPES, "_VALUE")
@@ -53,6 +54,8 @@ def _decoded(rpc_pages: DataFrame) -> DataFrame:
 
     Plain lists of records, which most answers are, are decoded in batches; what is left of the bodies goes through the XML parser.
     """
+    # Bodies are long, so batches are kept short; the setting is read when a plan runs, so it stays.
+    rpc_pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_CALLS))
     plain = records_of(F.when(F.col("status") == 200, F.col("body")))
     body = F.coalesce("body", F.lit(""))
     unread = F.col("plain").isNull() & (F.col("status") == 200) & body.rlike(_ROOT)

@@ -36,3 +36,11 @@ def test_both_ways_of_decoding_agree(spark):
     calls = spark.createDataFrame(rows, "site STRING, method STRING, offset INT, status INT, body STRING")
     found = {r.site: (r.outcome, r.records, r["items"]) for r in rpc._decoded(calls).collect()}
     assert all(found[f"{i}-0"] == found[f"{i}-1"] and found[f"{i}-0"][:2] == ("ok", 1) for i in range(len(bodies)))
+
+
+def test_ends_of_sequences_come_from_short_batches(spark):
+    rows = [("s", "wp.getPosts", offset, 200, HEAD + record(*PLAIN[0]) * n + TAIL) for offset, n in ((0, 2), (2, 1), (4, 2))]
+    cuts = rpc.offset_cuts(spark.createDataFrame(rows, "site STRING, method STRING, offset INT, status INT, body STRING"), page_size=2)
+    assert [(r.last_offset, r.failed) for r in cuts.collect()] == [(2, False)]
+    assert "ArrowEvalPython" in cuts._jdf.queryExecution().optimizedPlan().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rpc.BATCH_CALLS
