@@ -83,6 +83,7 @@ def _url_shapes(urls: DataFrame) -> DataFrame:
         F.struct(
             *[F.array_sort(F.collect_list(F.when(kind == name, shape))).alias(name) for name in kinds],
             *[F.coalesce(F.max(F.when(kind == name, F.col("span"))), F.lit(0)).alias(f"{name}_span") for name in kinds],
+            *[F.coalesce(F.max(F.when(kind == name, F.col("n"))), F.lit(0)).alias(f"{name}_longest") for name in kinds],
         ).alias("shapes")
     )
 
@@ -107,11 +108,11 @@ def _anchored_pieces(content: str, name: str) -> str:
             piece = f"concat(right({own}, u.before), {lit(mark)}, substring({tail}, 1, {rest}))"
             return f"transform({like}, u -> xxhash64({piece}))"
 
-        longest = f"array_max(transform({shapes}, u -> u.n))"
+        longest = f"shapes.{name}_longest"
         return f"flatten(transform(sequence(1, size({parts}) - 1), i -> {bind(f'left({joined}, {longest})', pieces)}))"
 
     found = bind(f"split({content}, {lit('\\Q' + mark + '\\E')}, -1)", lambda parts: f"CASE WHEN size({parts}) > 1 THEN {around(parts)} ELSE {_NONE} END")
-    return f"CASE WHEN size({shapes}) > 0 THEN {found} ELSE {_NONE} END"
+    return f"CASE WHEN size({shapes}) > 0 AND contains({content}, {lit(mark)}) THEN {found} ELSE {_NONE} END"
 
 
 def _bare_pieces(content: str) -> str:
@@ -147,7 +148,12 @@ _TEXTS = ("content", "excerpt")
 
 
 def rewrite_candidates(posts: DataFrame, urls: DataFrame, exact: bool = False) -> DataFrame:
-    """Per post, the replacements that may occur in its content or excerpt, in order.
+    """Per post, the replacements that may occur in its content or excerpt, in order."""
+    return _swaps(occurrences(posts, urls, exact))
+
+
+def occurrences(posts: DataFrame, urls: DataFrame, exact: bool = False) -> DataFrame:
+    """(post key, rank, url, local_path) of the replacements that may occur in the content or excerpt of posts.
 
     With ``exact``, URLs that only an earlier replacement forms are found as well: what each replacement
     has put in is searched with its surroundings, until no further URL turns up. Each round is a job over changed posts only.
@@ -158,7 +164,7 @@ def rewrite_candidates(posts: DataFrame, urls: DataFrame, exact: bool = False) -
     texts = posts.selectExpr(*POST_KEY, *[f"coalesce({t}.rendered, '') AS text_{t}" for t in _TEXTS])
     found = _occurring(texts, names, urls, shapes)
     if not exact:
-        return _swaps(found)
+        return found
     known = changed = materialised(found)
     longest = urls.agg(F.max(F.length("url"))).first()[0] or 0
     while not changed.isEmpty():
@@ -169,7 +175,7 @@ def rewrite_candidates(posts: DataFrame, urls: DataFrame, exact: bool = False) -
         fresh = _occurring(formed, ["text"], urls, shapes).dropDuplicates([*POST_KEY, "url"])
         changed = materialised(fresh.join(known.select(*POST_KEY, "url"), [*POST_KEY, "url"], "left_anti"))
         known = materialised(known.unionByName(changed))
-    return _swaps(known)
+    return known
 
 
 def _formed(text: str, longest: int) -> str:
@@ -195,27 +201,61 @@ def rewrite_media_links(
 ) -> DataFrame:
     """Posts and pages with media URLs in content and excerpt pointing to local files.
 
-    ``exact`` also replaces URLs that an earlier replacement has formed. The replacements of posts are measured: within ``bound``
-    bytes they are broadcast, and texts are not shuffled. Beyond it only the texts of posts that have any are, as long as
-    their keys fit.
+    ``exact`` also replaces URLs that an earlier replacement has formed. Posts of a site that uses few URLs are
+    rewritten in place by the list of these, however many posts there are. For the other sites the replacements of posts
+    are measured: within ``bound`` bytes they are broadcast, and texts are not shuffled. Beyond it only the texts of posts
+    that have any are, as long as their keys fit.
     """
     if not enabled:
         return posts
-    swaps = materialised(rewrite_candidates(posts, replacements(media), exact))
+    found = materialised(occurrences(posts, replacements(media), exact))
+    lists = materialised(_site_lists(found))
+    if not fits_broadcast(lists, bound):
+        return _rewritten_by_post(posts, found, bound)
+    rest = materialised(found.join(F.broadcast(lists.select("site")), "site", "left_anti"))
+    if not rest.isEmpty():
+        posts = _rewritten_by_post(posts, rest, bound)
+    if lists.isEmpty():
+        return posts
+    # Only what the text as given holds is replaced, unless URLs that replacements form count too.
+    held = " OR ".join(f"coalesce(contains({t}.rendered, s.url), false)" for t in _TEXTS)
+    swaps = "listed" if exact else f"filter(listed, s -> {held})"
+    return _applied(posts.join(F.broadcast(lists.withColumnRenamed("swaps", "listed")), "site", "left").withColumn("swaps", F.expr(swaps)).drop("listed"))
+
+
+# Most URLs of a site that are all looked for in each of its posts.
+_FEW = 16
+
+
+def _site_lists(found: DataFrame) -> DataFrame:
+    """(site, swaps): the replacements of each site whose posts use few different ones, in order."""
+    used = materialised(found.groupBy("site", "url").agg(F.first("rank").alias("rank"), F.first("local_path").alias("local_path")))
+    few = used.groupBy("site").count().where(F.col("count") <= _FEW).select("site")
+    return (
+        used.join(few, "site", "left_semi")
+        .groupBy("site")
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "url", "local_path"))).alias("swaps"))
+    )
+
+
+def _applied(joined: DataFrame) -> DataFrame:
+    """The replacements in ``swaps`` made one after the other; NULL stands for none."""
 
     def rewritten(name: str) -> Column:
         body = F.aggregate("swaps", F.col(name)["rendered"], lambda text, s: F.replace(text, s["url"], s["local_path"]))
         kept = F.when(F.col("swaps").isNull(), F.col(name)["rendered"]).otherwise(body)
         return F.col(name).withField("rendered", kept)
 
-    def applied(joined: DataFrame) -> DataFrame:
-        return joined.withColumn("content", rewritten("content")).withColumn("excerpt", rewritten("excerpt")).drop("swaps")
+    return joined.withColumns({name: rewritten(name) for name in _TEXTS}).drop("swaps")
+
 
+def _rewritten_by_post(posts: DataFrame, found: DataFrame, bound: int) -> DataFrame:
+    swaps = materialised(_swaps(found))
     # Most posts hold no URL of a medium. Their texts stay where they are as long as what is sent to them fits.
     if fits_broadcast(swaps, bound):
-        return applied(posts.join(F.broadcast(swaps), POST_KEY, "left"))
+        return _applied(posts.join(F.broadcast(swaps), POST_KEY, "left"))
     keys = materialised(swaps.select(*POST_KEY))
     if fits_broadcast(keys, bound):
         touched = posts.join(F.broadcast(keys), POST_KEY, "left_semi").join(swaps, POST_KEY)
-        return applied(touched).unionByName(posts.join(F.broadcast(keys), POST_KEY, "left_anti"))
-    return applied(posts.join(swaps, POST_KEY, "left"))
+        return _applied(touched).unionByName(posts.join(F.broadcast(keys), POST_KEY, "left_anti"))
+    return _applied(posts.join(swaps, POST_KEY, "left"))

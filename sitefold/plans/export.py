@@ -115,12 +115,19 @@ class Prepared:
     options: ExportOptions
 
     @cached_property
-    def content(self) -> Content:
-        """The content with links to local files, landed: posts and pages are read by several jobs, and the rewrite is the dearest step."""
+    def rewritten(self) -> Content:
+        """The content with links to local files, for a single reader; replacements are found when it is first asked for."""
         if not self.options.download_media:
             return self.source
         posts = rewrite.rewrite_media_links(self.source.posts, self.source.media, exact=self.options.exact_rewrite)
-        return replace(self.source, posts=landed(posts))
+        return replace(self.source, posts=posts)
+
+    @cached_property
+    def content(self) -> Content:
+        """The same landed: posts and pages of a Markdown export are read by several jobs."""
+        if not self.options.download_media:
+            return self.source
+        return replace(self.rewritten, posts=landed(self.rewritten.posts))
 
 
 def prepare(
@@ -149,9 +156,11 @@ def _tables(content: Content) -> dict[str, DataFrame]:
 
 
 def json_lines(prepared: Prepared, options: ExportOptions) -> DataFrame:
-    records = json_export.entity_rows(_tables(prepared.content), options.run_time)
+    """Rewritten posts are read in one pass only, so nothing is landed; what comes first in a list is told by the content as it came."""
+    records = json_export.entity_rows(_tables(prepared.rewritten), options.run_time)
+    listed = json_export.entity_rows(_tables(prepared.source), options.run_time)
     return json_export.document_lines(
-        prepared.content.sites, records, prepared.stats, options.run_time, json_export.EXPORT_KEYS
+        prepared.source.sites, records, prepared.stats, options.run_time, json_export.EXPORT_KEYS, listed
     )
 
 
@@ -195,7 +204,7 @@ def export(
     root = output.removesuffix(".json").rstrip("/")
     with landing_scope(content.posts.sparkSession):  # the counters read the content as it came
         if options.output_format == "json" and by_entity:
-            records = json_export.entity_rows(_tables(prepared.content), options.run_time)
+            records = json_export.entity_rows(_tables(prepared.rewritten), options.run_time)
             json_export.write_entities(records, f"{root}/entities")
         elif options.output_format == "json":
             json_export.write_document_lines(json_lines(prepared, options), f"{root}/export")

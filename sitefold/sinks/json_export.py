@@ -75,13 +75,14 @@ def entity_rows(tables: dict[str, DataFrame], run_time: str) -> DataFrame:
 
 
 def document_lines(
-    sites: DataFrame, records: DataFrame, stats: DataFrame, run_time: str, keys: tuple[str, ...]
+    sites: DataFrame, records: DataFrame, stats: DataFrame, run_time: str, keys: tuple[str, ...], listed: DataFrame | None = None
 ) -> DataFrame:
     """(site, key_no, part, ord, line): the lines of one JSON document per site, in that order.
 
     A site of any size stays spread over tasks, since its document is a sorted
     run of rows rather than one value. A record is preceded by a comma unless it
-    is the first of its list; firsts are found by a small aggregation.
+    is the first of its list; firsts are found by a small aggregation, of ``listed`` where
+    the same (site, entity, ord) can be read there at less cost.
     """
     lists = [k for k in keys if k in ENDPOINT_ROWS]
     numbers = F.create_map(*[item for n, k in enumerate(keys) for item in (F.lit(k), F.lit(n))])
@@ -105,17 +106,17 @@ def document_lines(
     framing = sites.selectExpr("site", f"explode(array({', '.join(frames)})) AS frame").select(
         "site", "frame.key_no", "frame.part", zero.alias("ord"), "frame.line"
     )
-    chosen = records.filter(F.col("entity").isin(*lists))
+    chosen, counted = [rows.filter(F.col("entity").isin(*lists)) for rows in (records, records if listed is None else listed)]
     # A row per list: measured and broadcast, so that records are not shuffled for their commas.
-    firsts = materialised(chosen.groupBy("site", "entity").agg(F.min("ord").alias("first_ord")))
-    listed = lookup_join(chosen, firsts, ["site", "entity"], "left", ["ord"]).select(
+    firsts = materialised(counted.groupBy("site", "entity").agg(F.min("ord").alias("first_ord")))
+    numbered = lookup_join(chosen, firsts, ["site", "entity"], "left", ["ord"]).select(
         "site",
         numbers[F.col("entity")].alias("key_no"),
         F.lit(_RECORD).alias("part"),
         "ord",
         F.concat(F.when(F.col("ord") == F.col("first_ord"), F.lit("")).otherwise(F.lit(",")), F.col("record")).alias("line"),
     )
-    parts = [framing, listed, single(stats, "stats", stats_json())]
+    parts = [framing, numbered, single(stats, "stats", stats_json())]
     parts.append(single(sites, "exported_at", F.lit(f'"{run_time}"')))
     if "site" in keys:
         parts.append(single(sites, "site", F.to_json(F.struct(*[f.name for f in struct_type(SITE)]))))

@@ -1,5 +1,7 @@
 """What keeps the cost of large tables in proportion to them."""
 
+from pyspark.sql import functions as F
+
 from sitefold.operators import joins, rewrite
 from sitefold.plans import stand_ins
 
@@ -34,3 +36,27 @@ def test_only_surroundings_of_replacements_are_searched_again(spark):
     parts = [r.parts for r in rows.selectExpr(f"{rewrite._formed('t', 20)} AS parts").collect()]
     assert parts[0] == ["x" * 20 + "media/1" + "y" * 20, "y" * 20 + "media/1" + "z" * 20]
     assert parts[1] == ["amedia/1bmedia/1c"]  # closer than a URL is long: one could span both
+
+
+def test_posts_of_a_site_with_few_urls_are_rewritten_without_moving(spark):
+    """What is broadcast is the list of a site's URLs, which doesn't grow with the number of posts."""
+    copies = stand_ins.store_posts(spark, SF).crossJoin(spark.range(20).withColumnRenamed("id", "copy"))
+    posts = copies.withColumn("ord", F.expr("ord * 20 + copy")).drop("copy").cache()
+    items = stand_ins.store_media(spark, SF)
+    found = rewrite.occurrences(posts, rewrite.replacements(items)).count()
+    bound = found * 64  # neither the replacements of posts nor their keys fit
+    rows = rewrite.rewrite_media_links(posts, items, bound=bound)
+    assert found > 300 and "Join LeftOuter, (site" in plan(rows) and "content_type#" not in plan(rows).split("Join LeftOuter")[1].splitlines()[0]
+    texts = [sorted((r.site, r.id, r.content.rendered) for r in df.select("site", "id", "content").collect()) for df in (rows, rewrite.rewrite_media_links(posts, items, bound=-1))]
+    assert texts[0] == texts[1] and any("media/" in t for *_, t in texts[0])
+
+
+def test_sites_with_few_and_many_urls_are_rewritten_alike(spark, monkeypatch):
+    posts, items = stand_ins.linked_posts(spark, SF).cache(), stand_ins.linked_media(spark, SF).cache()
+    for exact in (False, True):
+        texts = []
+        for few in (16, 2, 0):  # lists for most sites, for some, for none
+            monkeypatch.setattr(rewrite, "_FEW", few)
+            rows = rewrite.rewrite_media_links(posts, items, exact=exact)
+            texts.append(sorted((r.site, r.content_type, r.id, r.content.rendered, r.excerpt.rendered) for r in rows.select("site", "content_type", "id", "content", "excerpt").collect()))
+        assert texts[0] == texts[1] == texts[2]
