@@ -13,6 +13,11 @@ NON_CATEGORY_SEGMENTS = ("blog", "posts", "archives")
 
 # Segments of a path are told apart by the slashes around them.
 _START, _END = r"(?<![^/])", r"(?![^/])"
+# Addresses without escapes and special hosts whose path has one segment or starts with a date: they name no folder.
+_NO_FOLDER = lit(
+    r"\A[A-Za-z][A-Za-z0-9+.\-]*://[A-Za-z0-9.\-]*(?::[0-9]*)?"
+    r"(?:/+(?:[^\x00-\x1f\x7f%?#/]*/*|[0-9]+/[0-9]+/[0-9]+(?:/[^\x00-\x1f\x7f%?#]*)?))?(?:[?#][^\x00-\x1f\x7f%]*)?\z"
+)
 
 
 def is_numeric_sql(value: str) -> str:
@@ -59,7 +64,8 @@ def link_folder_sql(link: str) -> str:
         dated = f"{path} RLIKE {lit(r'\A[0-9]+/[0-9]+/[0-9]+' + _END)}"
         return f"CASE WHEN NOT contains({path}, '/') OR {dated} THEN '' ELSE {bind(kept, _resolved)} END"
 
-    return bind(f"btrim({text(url_path_sql(link))}, '/')", folders)
+    named = bind(f"btrim({text(url_path_sql(link))}, '/')", folders)
+    return f"CASE WHEN {text(link)} RLIKE {_NO_FOLDER} THEN '' ELSE {named} END"
 
 
 def link_folder(link: str) -> Column:

@@ -11,6 +11,9 @@ from sitefold.functions.sqltext import bind, column, lit, text
 _PLAIN = lit(
     r"\A[A-Za-z][A-Za-z0-9+.\-]*://[A-Za-z0-9.\-]*(?::[0-9]*)?((?:/[^\x00-\x1f\x7f%?#]*)?)(?:[?#][^\x00-\x1f\x7f%]*)?\z"
 )
+# In an address that is plain but for valid escapes below its host, the path lies between host and query.
+_ESCAPE = lit(r"%[0-9A-Fa-f]{2}")
+_PLAIN_PATH = lit(r"\A[^:]*://[^/?#]*([^?#]*)")
 _PLAIN_HOST = lit(r"\A[^:]*://([^:/?#]*)")
 _SCHEME = lit(r"\A[A-Za-z][A-Za-z0-9+.\-]*:")
 _BEFORE_QUERY = lit(r"(?s)\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?([^?#]*)")
@@ -70,6 +73,9 @@ def url_path_sql(url: str) -> str:
 
     return (
         f"CASE WHEN {address} RLIKE {_PLAIN} THEN regexp_extract({address}, {_PLAIN}, 1) "
+        # Hosts and schemes hold no ``_``, so an escape there is left to the whole check.
+        f"WHEN contains({address}, '%') AND regexp_replace({address}, {_ESCAPE}, '_') RLIKE {_PLAIN} "
+        f"THEN {bind(f'regexp_extract({address}, {_PLAIN_PATH}, 1)', _unescape)} "
         f"ELSE {bind(_rest(address), path)} END"
     )
 

@@ -74,13 +74,14 @@ def _at_once(html: str) -> str:
     Tags cannot overlap and no replacement contains an angle bracket, so this
     equals replacing in turn unless a removed tag stands inside another.
     """
-    pairs = ", ".join(f"{lit(old[1:-1])}, {lit(new)}" for old, new in TAG_REPLACEMENTS)
-    longest = max(len(old) for old, _ in TAG_REPLACEMENTS) - 1
+    # Short tags first: they are frequent, and a map is searched from its start. A piece without ``>`` has the empty tag.
+    tags = sorted(TAG_REPLACEMENTS, key=lambda pair: len(pair[0]))
+    pairs = ", ".join(f"{lit(old[1:])}, {lit(new)}" for old, new in tags)
     end = "locate('>', piece)"
-    swapped = f"concat(try_element_at(map({pairs}), substring(piece, 1, {end} - 1)), substring(piece, {end} + 1))"
+    swapped = f"concat(try_element_at(map({pairs}), substring(piece, 1, {end})), substring(piece, {end} + 1))"
     return (
         f"array_join(transform(split({html}, '<'), (piece, i) -> CASE WHEN i = 0 THEN piece "
-        f"WHEN {end} BETWEEN 2 AND {longest} THEN coalesce({swapped}, concat('<', piece)) ELSE concat('<', piece) END), '')"
+        f"WHEN {end} > {len(tags[-1][0]) - 1} THEN concat('<', piece) ELSE coalesce({swapped}, concat('<', piece)) END), '')"
     )
 
 

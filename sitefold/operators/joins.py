@@ -26,10 +26,15 @@ SPLITTING = (
 _HOW = ("inner", "left", "left_semi", "left_anti")
 
 
+def measured_bytes(table: DataFrame) -> int:
+    """Size of a materialised table, written out as text."""
+    row_bytes = F.octet_length(F.to_json(F.struct("*"))) + 64
+    return table.agg(F.sum(row_bytes)).first()[0] or 0
+
+
 def fits_broadcast(table: DataFrame, bound: int = BROADCAST_BYTES) -> bool:
     """Whether a materialised table, written out as text, stays within the bound."""
-    row_bytes = F.octet_length(F.to_json(F.struct("*"))) + 64
-    return (table.agg(F.sum(row_bytes)).first()[0] or 0) <= bound
+    return measured_bytes(table) <= bound
 
 
 def spread_join(
@@ -53,13 +58,16 @@ def lookup_join(
     """Join to a materialised lookup table, by broadcast if it fits and by shuffle otherwise.
 
     The lookup side holds a key once and the left side streams past it, so a hot key takes no memory; its partition is split.
+    While a partition's share of the lookup side is within the bound it is hashed, so that the left side isn't sorted.
     """
     if how not in _HOW:
         raise ValueError(f"unsupported join type: {how}")
-    if fits_broadcast(right, bound):
+    size, conf = measured_bytes(right), left.sparkSession.conf
+    if size <= bound:
         return left.join(F.broadcast(right), keys, how)
-    if all(left.sparkSession.conf.get(name) == "true" for name in SPLITTING):
-        return left.join(right, keys, how)
+    if all(conf.get(name) == "true" for name in SPLITTING):
+        hashed = size <= bound * int(conf.get("spark.sql.shuffle.partitions"))
+        return left.join(right.hint("shuffle_hash") if hashed else right, keys, how)
     return spread_join(left, right, keys, how, spread_by)
 
 

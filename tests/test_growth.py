@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sitefold.functions.folders import link_folder
 from sitefold.operators import joins, rewrite
 from sitefold.plans import stand_ins
 
@@ -60,3 +61,23 @@ def test_sites_with_few_and_many_urls_are_rewritten_alike(spark, monkeypatch):
             rows = rewrite.rewrite_media_links(posts, items, exact=exact)
             texts.append(sorted((r.site, r.content_type, r.id, r.content.rendered, r.excerpt.rendered) for r in rows.select("site", "content_type", "id", "content", "excerpt").collect()))
         assert texts[0] == texts[1] == texts[2]
+
+
+def test_a_lookup_side_is_hashed_while_its_shares_fit(spark):
+    """The left side with its texts is then not sorted; a larger lookup side is merged as before."""
+    left = spark.range(1000).selectExpr("id % 7 AS k", "id")
+    right = joins.materialised(spark.range(5).selectExpr("id AS k", "id * 10 AS v"))
+    size = joins.measured_bytes(right)
+    for bound, hashed in ((size // 2, True), (size // 5, False)):  # four shuffle partitions
+        joined = joins.lookup_join(left, right, ["k"], "left", ["id"], bound)
+        assert ("ShuffledHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == hashed
+        assert joined.where("v IS NOT NULL").count() == sum(i % 7 < 5 for i in range(1000))
+
+
+def test_folders_of_links_by_short_and_whole_checks(evaluate):
+    cases = {
+        "https://h.com/a-post?x=/y/z#top": "", "https://h.com//a-post//": "", "https://h.com/2024/01/02": "", "https://h.com/2024/01/02/b/c/": "",
+        "https://h.com/2024/01/02x/c": "02x", "https://h.com/blog/news/a%2Fb+c/p/?q#f": "news/a/b+c", "https://h.com/a%zz/b": "", "https://h.com/x/y%41": "x",
+        "https://h%41.com/x/y": "", None: "",
+    }
+    assert evaluate([(link,) for link in cases], "u STRING", link_folder("u")) == list(cases.values())
